@@ -51,3 +51,33 @@ def ascii_lower(column: Column) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _below(bounds: list[int], value: Column, inclusive: bool) -> Column:
+    """How many of the sorted bounds are below ``value``, by binary search."""
+    if not bounds:
+        return F.lit(0)
+    held, steps = F.array(*map(F.lit, bounds)), [1 << b for b in reversed(range(len(bounds).bit_length()))]
+
+    def step(at: Column, by: Column) -> Column:
+        bound = F.get(held, at + by - 1)
+        return F.when((at + by <= len(bounds)) & ((bound <= value) if inclusive else (bound < value)), at + by).otherwise(at)
+
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), step)
+
+
+def range_buckets(df: DataFrame, key: str, tie: Column, buckets: int) -> Column:
+    """A bucket number, never falling in the order of (key, tie), that deals rows evenly.
+
+    ``key`` is an integer column, ``tie`` a hash (long, used unsigned by its top
+    bits) that orders rows of one key.  Bounds are approximate quantiles; a key
+    so frequent that it is several bounds at once is spread over the buckets
+    between them by ``tie``.  Null keys come first.  Only the bounds, ``buckets
+    - 1`` numbers, come to the driver.
+    """
+    probabilities = [i / buckets for i in range(1, buckets)]
+    bounds = sorted(map(int, df.approxQuantile(key, probabilities, 0.25 / buckets))) if buckets > 1 else []
+    low, high = _below(bounds, F.col(key), False), _below(bounds, F.col(key), True)
+    part = F.shiftrightunsigned(tie, 33)  # 31 bits
+    spread = F.shiftright(part * (high - low + 1), 31)
+    return F.when(F.col(key).isNull(), F.lit(0)).when(high == low, low).otherwise((low + spread).cast("int"))

@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import secret_scan, sharding, simhash, winnow
+from lodestar.llm import secret_scan, sharding, simhash, token_binary, winnow
 from lodestar.llm.common import table
 
 
+def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = token_binary.write_tokens(table(spark, sf_dir, "documents"), token_binary.new_path(spark), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return token_binary.positions(spark, path)
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("secrets", lambda x: x["order"] < len(secret_scan.BASE))
@@ -43,5 +50,5 @@ def op6_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
-QUERIES = {f.__name__: f for f in (op3_secret_scan, op4_extendible_sharding, op5_simhash_near_dedup, op6_winnowing_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_token_binary, op3_secret_scan, op4_extendible_sharding, op5_simhash_near_dedup, op6_winnowing_decontamination)}
 ORACLE: dict[str, str] = {}
