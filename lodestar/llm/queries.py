@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import secret_scan, sharding, simhash, token_binary, winnow
+from lodestar.llm import fingerprint, secret_scan, sharding, simhash, token_binary, url_filter, winnow
 from lodestar.llm.common import table
 
 
+def op1_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_pairs(table(spark, sf_dir, "documents"))
+
+
 def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -50,5 +54,9 @@ def op6_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_token_binary, op3_secret_scan, op4_extendible_sharding, op5_simhash_near_dedup, op6_winnowing_decontamination)}
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_merkle_fingerprints, op2_token_binary, op3_secret_scan, op4_extendible_sharding, op5_simhash_near_dedup, op6_winnowing_decontamination, op7_url_filter)}
 ORACLE: dict[str, str] = {}
