@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import fingerprint, secret_scan, sharding, simhash, token_binary, url_filter, winnow
+from lodestar.llm import fingerprint, secret_scan, sharding, simhash, token_binary, toxicity, url_filter, winnow
 from lodestar.llm.common import table
 
 
@@ -58,5 +58,9 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_merkle_fingerprints, op2_token_binary, op3_secret_scan, op4_extendible_sharding, op5_simhash_near_dedup, op6_winnowing_decontamination, op7_url_filter)}
+def op8_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_merkle_fingerprints, op2_token_binary, op3_secret_scan, op4_extendible_sharding, op5_simhash_near_dedup, op6_winnowing_decontamination, op7_url_filter, op8_weak_toxicity)}
 ORACLE: dict[str, str] = {}
