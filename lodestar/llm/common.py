@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from lodestar.shipping import ship
 
+#: Texts go to Python in batches of so many rows at most: with texts of many KB the default's are large.
+BATCH, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 #: The ASCII letters that contracts ask to be lower-cased.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -18,6 +20,8 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder, read by Spark's own reader."""
     ship(spark)
+    if int(spark.conf.get(BATCH)) > ROWS:
+        spark.conf.set(BATCH, str(ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

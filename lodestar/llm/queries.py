@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import fingerprint, secret_scan, sharding, simhash, token_binary, toxicity, url_filter, winnow
+from lodestar.llm import fingerprint, secret_scan, sharding, simhash, sp_dropout, token_binary, toxicity, url_filter, winnow
 from lodestar.llm.common import table
 
 
@@ -62,5 +62,12 @@ def op8_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_merkle_fingerprints, op2_token_binary, op3_secret_scan, op4_extendible_sharding, op5_simhash_near_dedup, op6_winnowing_decontamination, op7_url_filter, op8_weak_toxicity)}
+def op10_sentencepiece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = sp_dropout.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_chars", F.size("ids").cast("long").alias("n_pieces"), "lossless", "ids")
+
+
+QUERIES = {f.__name__: f for f in (op1_merkle_fingerprints, op2_token_binary, op3_secret_scan, op4_extendible_sharding, op5_simhash_near_dedup, op6_winnowing_decontamination, op7_url_filter, op8_weak_toxicity, op10_sentencepiece_dropout)}
 ORACLE: dict[str, str] = {}
