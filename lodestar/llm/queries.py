@@ -16,7 +16,7 @@ def op1_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    path = token_binary.write_tokens(table(spark, sf_dir, "documents"), token_binary.new_path(spark), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    path = token_binary.write_tokens(table(spark, sf_dir, "documents"), token_binary.new_path(spark), public_tokenizers.path("byte_bpe_50k.json"))
     return token_binary.positions(spark, path)
 
 

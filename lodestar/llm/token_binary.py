@@ -15,6 +15,8 @@ Spark reads will do, and a lost executor costs a task.
 
 from __future__ import annotations
 
+import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -28,7 +30,9 @@ from lodestar.llm.common import durable, partitions, range_buckets, shared_dir
 
 END = 0
 #: Distinct words whose ids a Python worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
+#: Documents taken at once.
+ROWS = 500
 #: Buckets of the key order for each shuffle partition.
 BUCKETS = 3
 
@@ -37,87 +41,146 @@ LENGTHS = (_CODES + 1).astype(np.int64)
 SPANS = LENGTHS.sum(axis=1)
 #: For each control byte, where its 16 value bytes come from; 16 is a byte that is zero.
 _FROM = np.cumsum(np.c_[np.zeros(256, np.int64), LENGTHS[:, :3]], axis=1)
-GATHER = np.where(np.arange(4) < LENGTHS[:, :, None], _FROM[:, :, None] + np.arange(4), 16).reshape(256, 16)
+GATHER = np.where(np.arange(4) < LENGTHS[:, :, None], _FROM[:, :, None] + np.arange(4), 16).reshape(256, 16).astype(np.int32)
 
 
-def encode_ranks(values: np.ndarray) -> tuple[bytes, bytes]:
-    """(control bytes, data bytes) of unsigned 32-bit values."""
-    padded = np.zeros(-(-len(values) // 4) * 4, "<u4")
-    padded[: len(values)] = values
-    code = (padded > 0xFF).astype(np.uint8) + (padded > 0xFFFF) + (padded > 0xFFFFFF)
+def encode_ranks(values: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(control bytes, data bytes, data bytes of each run) of unsigned 32-bit values.
+
+    ``counts`` are the lengths of runs (documents), each padded on its own; one
+    run by default.
+    """
+    counts = np.array([len(values)]) if counts is None else counts
+    fours = -(-counts // 4)
+    at = np.arange(len(values)) + np.repeat(np.cumsum(4 * fours - counts) - (4 * fours - counts), counts)
+    padded = np.zeros(4 * int(fours.sum()), "<u4")
+    padded[at] = values
+    code = (padded > 0xFF).view(np.uint8) + (padded > 0xFFFF).view(np.uint8) + (padded > 0xFFFFFF).view(np.uint8)
     four = code.reshape(-1, 4)
     control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
     data = padded.view(np.uint8).reshape(-1, 4)[np.arange(4) <= code[:, None]]
-    return control.astype(np.uint8).tobytes(), data.tobytes()
+    ends = np.r_[0, np.cumsum(SPANS[control])][np.r_[0, np.cumsum(fours)]]
+    return control, data, np.diff(ends)
 
 
 def decode_ranks(control: np.ndarray, data: np.ndarray) -> np.ndarray:
     """The values, padding included, by table lookup."""
-    start = np.cumsum(SPANS[control]) - SPANS[control]
+    spans = SPANS[control]
+    start = (np.cumsum(spans) - spans).astype(np.int32)
     at = GATHER[control]
-    source = np.where(at < 16, start[:, None] + at, len(data))
+    source = np.where(at < 16, start[:, None] + at, np.int32(len(data)))
     return np.append(data, np.uint8(0))[source].reshape(-1, 4).view("<u4").ravel()
 
 
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all values, length of each) of a binary array without nulls."""
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    held = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None and len(column) else np.zeros(0, np.uint8)
+    return held, np.diff(ends).astype(np.int64)
+
+
+def _binary(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    ends = np.r_[0, np.cumsum(lengths)].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+#: The byte-level BPE pre-tokenizer's classes of words, for Latin texts.
+_WORDS = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+_BEYOND = re.compile("[^\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]")
+
+
 class Encoder:
     """Whole texts to little-endian 16- or 32-bit ids of a byte-level BPE of the tokenizers library.
 
-    Words as the tokenizer splits them are encoded on their own, so each
-    distinct one is encoded once while it is remembered.  Texts with characters
-    beyond Latin letters, whose classes may differ between Unicode versions, go
-    through the tokenizer whole.
+    The tokenizer never merges over the words that it splits a text into, so a
+    word's ids are remembered.  New words are encoded many at once: words that
+    start with a space follow each other in one text, which splits into just
+    them, and a token that starts with a space starts the next word.  Texts
+    with characters other than ASCII and Latin letters, whose classes may
+    differ between Unicode versions, go through the tokenizer whole.
     """
 
-    def __init__(self, path: str, pattern: str):
-        import regex
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.split = regex.compile(pattern).findall
-        self.beyond = regex.compile("[^\x00-ɏ]").search
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        vocabulary = self.tokenizer.get_vocab()
+        self.kind = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
+        self.starts = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.starts[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
         self.known: dict[str, bytes] = {}
 
-    def _batch(self, texts: list[str]) -> list[bytes]:
+    def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, text: str) -> bytes:
-        if self.beyond(text):
-            return self._batch([text])[0]
-        words = self.split(text)
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            new = [w for w in set(words) if w not in self.known]
-            self.known.update(zip(new, self._batch(new)))
-            return b"".join(map(self.known.__getitem__, words))
-
-
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
-
-
-def encoder(path: str, pattern: str) -> Encoder:
+    def _learn(self, words: set[str]) -> None:
+        spaced = [w for w in words if w[0] == " " and w[1:].isalpha()]
+        others = [w for w in words if not (w[0] == " " and w[1:].isalpha())]
+        if spaced:
+            joined = self._ids(["".join(spaced)])[0]
+            first = np.flatnonzero(self.starts[np.frombuffer(joined, self.kind)]) * self.kind.itemsize
+            if len(first) == len(spaced):
+                ends = [*first.tolist(), len(joined)]
+                self.known.update(zip(spaced, [joined[a:b] for a, b in zip(ends, ends[1:])]))
+            else:
+                others += spaced
+        if others:
+            self.known.update(zip(others, self._ids(others)))
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text; null counts as empty."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        get, found, new, whole = self.known.get, [], set(), []
+        for i, text in enumerate(texts):
+            if text and _BEYOND.search(text):
+                whole.append(i)
+                text = ""
+            words = _WORDS.findall(text or "")
+            ids = list(map(get, words))
+            at, missing = -1, []
+            try:
+                while True:
+                    at = ids.index(None, at + 1)
+                    missing.append((at, words[at]))
+                    new.add(words[at])
+            except ValueError:
+                found.append((ids, missing))
+        if new:
+            self._learn(new)
+        for ids, missing in found:
+            for at, word in missing:
+                ids[at] = self.known[word]
+        out = [b"".join(ids) for ids, _ in found]
+        for i, ids in zip(whole, self._ids([texts[i] for i in whole]) if whole else ()):
+            out[i] = ids
+        return out
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
     """One encoder for each Python worker."""
-    import os
-
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if (path, pattern) not in _ENCODERS:
-        _ENCODERS[path, pattern] = Encoder(path, pattern)
-    return _ENCODERS[path, pattern]
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
-def tokenize(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", end: int = END) -> DataFrame:
+def tokenize(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", end: int = END) -> DataFrame:
     """``key, ids`` (little-endian, end id last), ``width`` (bytes of an id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path, pattern)
+        own = encoder(path)
         last = np.array([end], own.kind).tobytes()
         for batch in batches:
-            ids = [own.encode(t.as_py() or "") + last for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array([own.kind.itemsize] * len(ids), pa.int32())], [key, "ids", "width"])
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                ids = [x + last for x in own.encode(part.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([own.kind.itemsize] * len(ids), pa.int32())], [key, "ids", "width"])
 
     return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, ids binary, width int")
 
@@ -128,18 +191,19 @@ def id_counts(tokens: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids, width in zip(batch.column(0), batch.column(1)):
-                n = np.bincount(np.frombuffer(ids.as_buffer(), f"<u{width.as_py()}"))
-                if len(n) > len(total):
-                    total, n = n.astype(np.int64), total
-                total[: len(n)] += n
+            if not batch.num_rows:
+                continue
+            n = np.bincount(_flat(batch.column(0))[0].view(f"<u{batch.column(1)[0].as_py()}"))
+            if len(n) > len(total):
+                total, n = n.astype(np.int64), total
+            total[: len(n)] += n
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], ["id", "n"])
 
     return tokens.select("ids", "width").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def write_tokens(df: DataFrame, path: str, tokenizer: str, pattern: str, key: str = "doc_id", text: str = "text", end: int = END) -> str:
+def write_tokens(df: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: str = "text", end: int = END) -> str:
     """Tokenize ``df`` and write the files under ``path``; returns ``path``.
 
     Null texts count as empty (the end id alone).  Null keys come first; rows of
@@ -148,7 +212,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, pattern: str, key: st
     ignored.  ``key`` must be an integer column.
     """
     spark = df.sparkSession
-    tokens = durable(tokenize(df, tokenizer, pattern, key, text, end), "tokens")
+    tokens = durable(tokenize(df, tokenizer, key, text, end), "tokens")
     # As many rows as the vocabulary has ids, at most.
     ranked = id_counts(tokens).orderBy(F.desc("n"), "id")
     of_rank = np.array([r.id for r in ranked.collect()], np.int64)
@@ -158,13 +222,14 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, pattern: str, key: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, parts = [], []
-            for ids, width in zip(batch.column(1), batch.column(2)):
-                values = rank_of[np.frombuffer(ids.as_buffer(), f"<u{width.as_py()}")]
-                counts.append(len(values))
-                parts.append(encode_ranks(values))
+            if not batch.num_rows:
+                continue
+            ids, lengths = _flat(batch.column(1))
+            width = batch.column(2)[0].as_py()
+            counts = lengths // width
+            control, data, spans = encode_ranks(rank_of[ids.view(f"<u{width}")], counts)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(3), batch.column(4), pa.array(counts, pa.int64()), pa.array([c for c, _ in parts], pa.binary()), pa.array([d for _, d in parts], pa.binary())],
+                [batch.column(0), batch.column(3), batch.column(4), pa.array(counts), _binary(control, -(-counts // 4)), _binary(data, spans)],
                 [key, "bucket", "tie", "n_tokens", "control", "data"],
             )
 
@@ -173,8 +238,8 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, pattern: str, key: st
     bucket = range_buckets(tokens, key, F.col("tie"), n * BUCKETS)
     placed = tokens.withColumn("tie", F.xxhash64("ids")).select(key, "ids", "width", bucket.alias("bucket"), "tie")
     coded = placed.mapInArrow(run, f"`{key}` {kind}, bucket int, tie bigint, n_tokens bigint, control binary, data binary")
-    # Buckets, not hashes of them, pick the partition: each holds BUCKETS neighbours.
-    dealt = coded.repartitionByRange(n, "bucket") if n > 1 else coded.coalesce(1)
+    # Neighbouring buckets share a partition; their number is the partition's, so nothing is sampled.
+    dealt = coded.repartitionById(n, F.expr(f"bucket div {BUCKETS}").cast("int"))
     order = F.shiftrightunsigned("tie", 1)
     dealt.sortWithinPartitions("bucket", F.asc_nulls_first(key), order, "tie").write.parquet(f"{path}/tokens")
     return path
@@ -187,12 +252,16 @@ def read_tokens(spark, path: str, key: str = "doc_id") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = np.asarray(batch.column(3))
-            ids = []
-            for n, control, data in zip(counts.tolist(), batch.column(4), batch.column(5)):
-                ranks = decode_ranks(np.frombuffer(control.as_buffer(), np.uint8), np.frombuffer(data.as_buffer(), np.uint8))
-                ids.append(of_rank[ranks[:n]].tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(ids, pa.binary())], [key, "bucket", "tie", "n_tokens", "ids"])
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                counts = np.asarray(part.column(3))
+                ranks = decode_ranks(_flat(part.column(4))[0], _flat(part.column(5))[0])
+                padded = -(-counts // 4) * 4
+                kept = np.ones(len(ranks), bool)
+                for i in range(1, 4):  # up to three values of padding at each end
+                    last = np.cumsum(padded) - i
+                    kept[last[padded - counts >= i]] = False
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], _binary(of_rank[ranks[kept]].view(np.uint8), 4 * counts)], [key, "bucket", "tie", "n_tokens", "ids"])
 
     kind = files.schema[key].dataType.simpleString()
     return files.select(key, "bucket", "tie", "n_tokens", "control", "data").mapInArrow(run, f"`{key}` {kind}, bucket int, tie bigint, n_tokens bigint, ids binary")

@@ -26,22 +26,36 @@ TEXTS = [None, "", " ", "a", "Hello  world\n\n  it's 123 <|endoftext|>!", "Éaux
 @pytest.mark.parametrize("values", [[], [0], [255, 256, 65535, 65536, 2**24 - 1, 2**24, 2**32 - 1], list(range(0, 70000, 7))])
 def test_round_trip(values):
     values = np.array(values, np.uint32)
-    control, data = T.encode_ranks(values)
-    assert len(control) == -(-len(values) // 4)
-    got = T.decode_ranks(np.frombuffer(control, np.uint8), np.frombuffer(data, np.uint8))
-    assert (got[: len(values)] == values).all()
+    control, data, spans = T.encode_ranks(values)
+    assert len(control) == -(-len(values) // 4) and spans.sum() == len(data)
+    assert (T.decode_ranks(control, data)[: len(values)] == values).all()
+
+
+def test_runs_are_padded_alone():
+    rng = np.random.default_rng(1)
+    counts = np.array([0, 1, 4, 5, 0, 11, 3])
+    values = rng.integers(0, 1 << 20, counts.sum()).astype(np.uint32)
+    control, data, spans = T.encode_ranks(values, counts)
+    at = fours = start = 0
+    for n, span in zip(counts.tolist(), spans.tolist()):
+        got = T.decode_ranks(control[fours : fours + -(-n // 4)], data[start : start + span])
+        assert (got[:n] == values[at : at + n]).all() and len(got) == -(-n // 4) * 4
+        at, fours, start = at + n, fours + -(-n // 4), start + span
 
 
 def test_words_alone_encode_like_texts():
-    own = T.Encoder(PATH, public_tokenizers.PATTERN)
-    for t in TEXTS:
-        assert np.frombuffer(own.encode(t or ""), own.kind).tolist() == tokenizer().encode(t or "", add_special_tokens=False).ids
+    own = T.Encoder(PATH)
+    extra = ["it's _a_b c__ +_+ x²", "a\u00a0b\u200bc", "  lead", "tail  ", "\n\n a\n b", " ".join(f"w{i} Éa{i}" for i in range(50)), "|x|y || z!? 'll 'S"]
+    texts = TEXTS + extra
+    for _ in range(2):
+        for t, ids in zip(texts, own.encode(texts)):
+            assert np.frombuffer(ids, own.kind).tolist() == tokenizer().encode(t or "", add_special_tokens=False).ids, t
 
 
 def test_files(spark, tmp_path):
     rows = [(50 - i, t, "x") for i, t in enumerate(TEXTS)] + [(None, "null key", "x"), (45, "again", "x"), (46, TEXTS[4], "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
-    path = T.write_tokens(df, str(tmp_path / "t"), PATH, public_tokenizers.PATTERN)
+    path = T.write_tokens(df, str(tmp_path / "t"), PATH)
     got = sorted(T.positions(spark, path).collect(), key=lambda r: r.start)
     assert len(got) == len(rows)
     keys = [-1 if r.doc_id is None else r.doc_id for r in got]
@@ -59,7 +73,7 @@ def test_files(spark, tmp_path):
 
 def test_empty(spark, tmp_path):
     df = spark.createDataFrame([], "doc_id long, text string")
-    assert T.positions(spark, T.write_tokens(df, str(tmp_path / "t"), PATH, public_tokenizers.PATTERN)).count() == 0
+    assert T.positions(spark, T.write_tokens(df, str(tmp_path / "t"), PATH)).count() == 0
 
 
 def test_buckets_spread_a_hot_key(spark):
