@@ -256,7 +256,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     known = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1) & (fit_key(F.col(key)) != 1))
     known = known.groupBy(F.col(key).alias("key")).agg(F.max(F.col(label)).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("key"), "key").limit(FIT_ROWS)
-    sample = durable(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key").select("key", "text", "label"), "fit").limit(2 * FIT_ROWS)
+    sample = durable(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key").select("key", "text", "label").dropDuplicates(["key"]), "fit")
     counted, positive, negative = _mine(sample)
     # The strongest few thousand by a bound that needs no more than the counts.
     likely = counted.where("pos >= 3").where(F.col("pos") * max(1, negative) > 3 * F.col("neg") * max(1, positive))
