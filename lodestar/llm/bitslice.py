@@ -126,22 +126,40 @@ def close_pairs(values: np.ndarray, groups: np.ndarray, radius: int):
                     yield np.full(len(other), start + at + q), start + other
 
 
-def spanning_edges(values: np.ndarray, groups: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of the graph of close pairs: as connected, never more than values."""
-    parent = list(range(len(values)))
+def spanning_edges(values: np.ndarray, groups: np.ndarray, radius: int, also=None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (places) of a spanning forest of the graph of close pairs: as connected, fewer than values.
+
+    ``also(i, j)`` may test found pairs further; it returns which of them count.
+    """
+    parent = np.arange(len(values))
 
     def root(i: int) -> int:
         while parent[i] != i:
             parent[i] = parent[parent[i]]
-            i = parent[i]
+            i = int(parent[i])
         return i
 
     a, b = [], []
+    # Roots as of the last look: pairs within one component need not be looked at again.
+    label, joined = parent.copy(), 0
     for left, right in close_pairs(values, groups, radius):
+        apart = label[left] != label[right]
+        left, right = left[apart], right[apart]
+        if also is not None and len(left):
+            ok = also(left, right)
+            left, right = left[ok], right[ok]
+        if len(left) > 1 and left[0] == left[-1]:  # one query: one partner of each component is enough
+            _, one = np.unique(label[right], return_index=True)
+            left, right = left[one], right[one]
         for i, j in zip(left.tolist(), right.tolist()):
             x, y = root(i), root(j)
             if x != y:
                 parent[max(x, y)] = min(x, y)
                 a.append(i)
                 b.append(j)
-    return values[np.array(a, np.int64)], values[np.array(b, np.int64)]
+        if len(a) - joined > 64 + len(values) // 256:
+            joined = len(a)
+            while (label := parent[parent]).tobytes() != parent.tobytes():
+                parent[:] = label
+            label = parent.copy()
+    return np.array(a, np.int64), np.array(b, np.int64)

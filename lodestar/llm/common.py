@@ -17,11 +17,16 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One table of a data folder, read by Spark's own reader."""
+def prepare(spark: SparkSession) -> None:
+    """What operators that run Python need of a session: this package, and batches of bounded rows."""
     ship(spark)
     if int(spark.conf.get(BATCH)) > ROWS:
         spark.conf.set(BATCH, str(ROWS))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One table of a data folder, read by Spark's own reader."""
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -11,6 +11,7 @@ planes (:mod:`lodestar.llm.bitslice`) and leave as a spanning forest.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,7 +80,7 @@ def _forest(radius: int):
             change = (masks[1:] != masks[:-1]) | (keys[1:] != keys[:-1])
             groups = np.cumsum(np.r_[0, change])
             a, b = bitslice.spanning_edges(fps.view(np.uint64), groups, radius)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["u", "v"])
+            return pa.RecordBatch.from_arrays([pa.array(fps[a]), pa.array(fps[b])], ["u", "v"])
 
         for batch in batches:
             rest.append(tuple(np.asarray(batch.column(i)) for i in range(3)))
@@ -147,3 +148,168 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     named = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = labelled.join(named, "root").select("fp", "component_id")
     return rows.join(of_fp, "fp").select(key, "fp", "component_id")
+
+
+# -- classes by similarity ------------------------------------------------------
+#
+# A pair of texts whose shingles have Jaccard similarity s differs in each bit
+# with a probability that follows from s, so the share of differing bits of a
+# wide fingerprint estimates s.
+
+#: 64-bit words of a wide fingerprint.
+WIDE = 8
+#: Pairs count from this much below the asked similarity: one standard error of the estimate.
+MARGIN = 0.04
+#: How surely a pair at the asked similarity meets in some block.
+RECALL = 0.99
+#: Distinct fingerprints in a block of unrelated texts, about; and when a block is dealt out anew on more bits.
+ORDINARY, LARGE = 256, 20_000
+
+
+def differing_share(similarity: float) -> float:
+    """Probability that a bit differs: the angle of vectors with that overlap, in half turns."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def wide_fingerprint(text: str | None, words: int = 5) -> bytes:
+    """SimHash of ``WIDE`` words; zeros if the text has no words."""
+    parts = (text or "").encode("utf-8").lower().split()
+    if not parts:
+        return bytes(8 * WIDE)
+    digest = xxhash.xxh64_intdigest
+    hashes = [digest(b" ".join(s)) for s in zip(*(parts[i:] for i in range(words)))] or [digest(b" ".join(parts))]
+    values, out = np.array(hashes, np.uint64), np.zeros(WIDE, np.uint64)
+    for w in range(WIDE):
+        mixed = values + np.uint64((w + 1) * 0x9E3779B97F4A7C15 & 2**64 - 1)
+        mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        mixed ^= mixed >> np.uint64(31)
+        counts = np.zeros(64, np.int64)
+        for at in range(0, len(mixed), 240):  # counts of 240 rows fit a byte
+            counts += np.unpackbits(mixed[at : at + 240].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+        out[w] = np.packbits(2 * counts > len(mixed), bitorder="little").view(np.uint64)[0]
+    return out.tobytes()
+
+
+def _bands(share: float, bits: int, seed: int) -> list[np.ndarray]:
+    """Sets of bit numbers, so many that a pair differing in ``share`` of its bits agrees on one with ``RECALL``."""
+    each = (1 - share) ** bits
+    rng = np.random.default_rng(seed)
+    return [np.sort(rng.choice(64 * WIDE, bits, replace=False)) for _ in range(math.ceil(math.log(1 - RECALL) / math.log(1 - each)))]
+
+
+def _banded(bands: list[np.ndarray]):
+    """``node, fp, block`` once for each band: ``block`` hashes the former block, the band and its bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n = batch.num_rows
+            fps = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(n, -1)
+            bits = np.unpackbits(fps, axis=1, bitorder="little")
+            former = np.asarray(batch.column(2)).view(np.uint64)
+            for number, band in enumerate(bands):
+                value = bits[:, band].astype(np.uint64) @ (np.uint64(1) << np.arange(len(band), dtype=np.uint64))
+                block = (former + value + np.uint64(number + 1 << 40)) * np.uint64(0x9E3779B97F4A7C15)
+                block = (block ^ (block >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(block.view(np.int64))], ["node", "fp", "block"])
+
+    return run
+
+
+def _similar_forest(most: int):
+    """Rows sorted by block to edges of spanning forests of pairs with ``most`` differing bits at most."""
+    share = most / (64 * WIDE)
+    first = int(64 * share + 3.5 * math.sqrt(64 * share * (1 - share)))  # of the first word, for nearly all such pairs
+
+    def compare(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(rows)
+        block = table.column("block").to_numpy()
+        node = table.column("node").to_numpy()
+        fps = np.frombuffer(b"".join(table.column("fp").to_pylist()), np.uint64).reshape(-1, WIDE)
+        groups = np.cumsum(np.r_[0, block[1:] != block[:-1]])
+        near = lambda i, j: np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1) <= most
+        a, b = bitslice.spanning_edges(np.ascontiguousarray(fps[:, 0]), groups, first, near)
+        return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            block = batch.column(2).to_numpy()
+            other = np.flatnonzero(block != block[-1])
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if rest and (cut or rest[-1].column(2)[-1].as_py() != block[-1]):
+                yield compare([*rest, batch.slice(0, cut)])
+                rest = []
+            elif cut:
+                yield compare([batch.slice(0, cut)])
+            rest.append(batch.slice(cut))
+        if rest:
+            yield compare(rest)
+
+    return run
+
+
+def similar_classes(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``key, hash, component, keeper``: one row per different (key, text).
+
+    ``hash`` is ``xxhash64`` of the text (null as empty), ``component`` names a
+    class of texts that estimated similarities of ``similarity`` or more
+    connect, ``keeper`` marks the one with the smallest key (null keys last).
+    Texts without words are alike.
+    """
+    spark = df.sparkSession
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = [wide_fingerprint(t.as_py(), words) for t in batch.column(2)]
+            node = [xxhash.xxh64_intdigest(f) - 2**63 for f in fps]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.binary()), pa.array(node, pa.int64())], ["key", "hash", "fp", "node"])
+
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = durable(df.select(F.col(key).alias("key"), F.xxhash64(body).alias("hash"), body.alias("text")).mapInArrow(run, f"key {kind}, hash bigint, fp binary, node bigint"), "wide")
+    distinct = durable(rows.groupBy("node").agg(F.first("fp").alias("fp")), "distinct")
+    n = distinct.count()
+    share = differing_share(similarity)
+    most = int(64 * WIDE * differing_share(max(0.0, similarity - MARGIN)))
+    bits = min(20, max(2, math.ceil(math.log2(max(1, n) / ORDINARY)))) if n > ORDINARY else 1
+    edges, level = [], distinct.select("node", "fp", F.lit(0).cast("long").alias("block"))
+    for number, width in enumerate((bits, 10)):
+        met = durable(level.mapInArrow(_banded(_bands(share, width, number)), "node bigint, fp binary, block bigint"), "bands")
+        sizes = met.groupBy("block").agg(F.count("*").alias("n")).where("n > 1")
+        large = sizes.where(F.col("n") > LARGE).select("block")
+        again = number == 0 and large.limit(1).count() > 0
+        ready = met.join(F.broadcast(large), "block", "left_anti") if again else met
+        dealt = ready.select("node", "fp", "block").repartition(partitions(spark), "block").sortWithinPartitions("block", "fp")
+        edges.append(dealt.mapInArrow(_similar_forest(most), "u bigint, v bigint"))
+        if not again:
+            break
+        level = met.join(F.broadcast(large), "block", "left_semi").select("node", "fp", "block")
+    found = connected_components(edges[0] if len(edges) == 1 else edges[0].unionByName(edges[1]))
+    order = F.struct(F.col("key").isNull(), "key", "hash")
+    slim = rows.select("key", "hash", "node").distinct()
+    named = slim.join(found, slim.node == found.node, "left").select("key", "hash", F.coalesce("root", slim.node).alias("component"))
+    first = named.groupBy("component").agg(F.min(order).alias("first"))
+    return named.join(first, "component").select(F.col("key").alias(key), "hash", "component", (order == F.col("first")).alias("keeper"))
+
+
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``df`` with one row of each near-duplicate class: the smallest key's; columns as they are.
+
+    Of rows that repeat key and text one stays, whichever.
+    """
+    found = similar_classes(df, key, text, words, similarity)
+    marked = df.withColumn("_ls_hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    gone = durable(found.where("not keeper").select(F.col(key).alias("_ls_key"), F.col("hash").alias("_ls_gone")), "gone")
+    kept = marked.join(gone, marked[key].eqNullSafe(gone["_ls_key"]) & (marked["_ls_hash"] == gone["_ls_gone"]), "left_anti")
+    twice = marked.groupBy(F.col(key).alias("_ls_key"), F.col("_ls_hash").alias("_ls_twice")).agg(F.count("*").alias("_ls_n")).where("_ls_n > 1").drop("_ls_n")
+    twice = durable(twice, "twice")
+    if twice.limit(1).count() == 0:
+        return kept.drop("_ls_hash")
+    same = kept[key].eqNullSafe(twice["_ls_key"]) & (kept["_ls_hash"] == twice["_ls_twice"])
+    one = kept.join(twice, same, "left_semi").dropDuplicates([key, "_ls_hash"])
+    return kept.join(twice, same, "left_anti").unionByName(one).drop("_ls_hash")

@@ -208,3 +208,27 @@ def contamination(
         ).otherwise(F.concat(acc, F.array(x))),
     )
     return met.select(key, "n_words", merged.alias("hit_spans"), "items", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_ls_copy")).drop("_ls_copy")
+
+
+def keep_clean(
+    docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", span: int = SPAN, gram: int = GRAM, most_words: int = MOST_WORDS
+) -> DataFrame:
+    """``docs`` without the documents that any item hits, columns as they are; a pass for each slice of the benchmark."""
+    at = docs.columns.index(text)
+
+    def keep(index: Index):
+        known = index.vocabulary.get
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = []
+                for value in batch.column(at):
+                    hit, _ = index.hits(np.array([known(w, 0) for w in words_of(value.as_py())], np.uint64))
+                    clean.append(not hit.any())
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        return run
+
+    for rows in _slices(items, item, item_text, most_words):
+        docs = docs.mapInArrow(keep(Index.build(rows, span, gram)), docs.schema)
+    return docs

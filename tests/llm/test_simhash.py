@@ -98,3 +98,49 @@ def test_classes(spark):
 
 def test_empty(spark):
     assert S.classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def near_copies():
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 8)))
+    groups = []
+    for _ in range(30):
+        words = [word() for _ in range(rng.randrange(150, 400))]
+        group = [" ".join(words)]
+        for _ in range(rng.randrange(5)):
+            copy = list(words)
+            for _ in range(max(1, len(copy) // 100)):
+                copy[rng.randrange(len(copy))] = word()
+            group.append(" ".join(copy))
+        groups.append(group)
+    return groups + [[" ".join(word() for _ in range(rng.randrange(1, 60)))] for _ in range(100)]
+
+
+@pytest.mark.parametrize("large", [20_000, 8])
+def test_similar_classes(spark, monkeypatch, large):
+    monkeypatch.setattr(S, "LARGE", large)
+    monkeypatch.setattr(S, "ORDINARY", 32)
+    groups = near_copies()
+    rows = [(i, t, g) for i, (g, t) in enumerate((g, t) for g, group in enumerate(groups) for t in group)]
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string, hash long")
+    of = {i: g for i, _, g in rows}
+    got = S.similar_classes(df).collect()
+    assert len(got) == len(rows)
+    by = {}
+    for r in got:
+        by.setdefault(r.component, []).append(r)
+    for members in by.values():
+        assert len({of[r.doc_id] for r in members}) == 1, "clean documents stay apart"
+        assert [r.doc_id for r in members if r.keeper] == [min(r.doc_id for r in members)]
+    assert len(by) <= len(groups) + 1
+
+
+def test_keep_one(spark):
+    base = " ".join(f"w{i}" for i in range(300))
+    rows = [(5, base, "a"), (3, base.upper(), "b"), (9, base.replace("w150 ", "other "), None), (7, None, "c"), (8, "", "c"), (4, "fine text alone", "d"), (4, "fine text alone", "d"), (None, base, "e"), (None, "null key", "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = S.keep_one(df)
+    assert out.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text) for r in out.collect()) == [(0, "null key"), (3, base.upper()), (4, "fine text alone"), (7, None)]
+    assert S.keep_one(df.limit(0)).count() == 0
