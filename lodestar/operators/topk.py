@@ -7,8 +7,9 @@ One operator, several physical strategies with equal results:
     the shuffle (WindowGroupLimit), so k rows a group leave each task.
 ``sort``
     The same window over whole groups, hidden from that optimisation.
-``sorted_array``
-    ``collect_list``, ``array_sort``, ``slice``.  For groups that fit a task.
+``heap``
+    Each task keeps the k best of every group while batches pass (pandas),
+    then the window merges tasks.  Never more than k rows of a group in memory.
 ``two_level``
     Groups are cut into ``deg`` parts by the label's hash, k of each part are
     merged: for one group that is large by itself.
@@ -16,12 +17,16 @@ One operator, several physical strategies with equal results:
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.model import positive
+from lodestar.shipping import ship
 
-STRATEGIES = ("group_limit", "sort", "sorted_array", "two_level")
+STRATEGIES = ("group_limit", "sort", "heap", "two_level")
 
 
 def _order(value: str, labels: list[str], largest: bool) -> list[Column]:
@@ -54,13 +59,25 @@ def top_k(df: DataFrame, groups: list[str], value: str, labels: list[str], k: in
     if strategy == "two_level":
         part = slim.withColumn("_ls_part", F.pmod(F.xxhash64(*labels), F.lit(deg)))
         return _ranked(_ranked(part, [*groups, "_ls_part"], order, k).drop("rank"), groups, order, k).select(*out)
-    kind = slim.schema[value].dataType.simpleString()
-    if largest and kind not in ("double", "float", "int", "bigint", "smallint", "tinyint"):
-        raise ValueError("sorted_array takes the largest of numbers only")
-    key = -F.col(value) if largest else F.col(value)
-    lists = slim.groupBy(*groups).agg(F.slice(F.array_sort(F.collect_list(F.struct(F.col(value).isNull().alias("_ls_null"), key.alias("_ls_key"), *labels, F.col(value).alias("_ls_value")))), 1, k).alias("rows"))
-    flat = lists.select(*groups, F.posexplode("rows").alias("at", "row"))
-    return flat.select(*groups, (F.col("at") + 1).alias("rank"), *[F.col(f"row.{c}").alias(c) for c in labels], F.col("row._ls_value").alias(value))
+    ship(df.sparkSession)
+    odd = F.isnan(value) if slim.schema[value].dataType.simpleString() in ("double", "float") else F.lit(False)
+    # Not-a-number is larger than any number, null is last: an order that pandas does not have.
+    place = F.when(F.col(value).isNull(), 2).when(odd, -1 if largest else 1).otherwise(0)
+    marked = slim.withColumn("_ls_place", place)
+    kept = marked.mapInPandas(_running(groups, ["_ls_place", value, *labels], [True, not largest, *[True] * len(labels)], k), marked.schema)
+    return _ranked(kept.drop("_ls_place"), groups, order, k).select(*out)
+
+
+def _running(groups: list[str], by: list[str], ascending: list[bool], k: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = None
+        for batch in batches:
+            rows = batch if best is None or best.empty else pd.concat([best, batch], ignore_index=True)
+            best = rows.sort_values(by, ascending=ascending).groupby(groups, dropna=False, sort=False).head(k)
+        if best is not None:
+            yield best
+
+    return run
 
 
 def _whole(df: DataFrame, value: str, labels: list[str], k: int, largest: bool) -> DataFrame:

@@ -27,7 +27,7 @@ _WINDOW, _FUSED = Algorithm("group_limit"), Algorithm("fused")
 #: The names.
 ALGORITHMS: dict[str, Algorithm] = {
     "serial": Algorithm("sort"),
-    "parallel": Algorithm("sorted_array", "l2_partial"),
+    "parallel": Algorithm("heap", "l2_partial"),
     "partial-bitonic": _WINDOW,
     "partial-bitonic-warp": _WINDOW,
     "partial-bitonic-warp-static": _WINDOW,

@@ -94,8 +94,8 @@ def knn_l2_sort(spark, sf_dir):
 
 
 @query(knn_sql())
-def knn_l2_sorted_array(spark, sf_dir):
-    return _knn(spark, sf_dir, strategy="sorted_array")
+def knn_l2_heap(spark, sf_dir):
+    return _knn(spark, sf_dir, strategy="heap")
 
 
 @query(knn_sql())

@@ -107,15 +107,23 @@ def sort_with_position(df: DataFrame, order: list, name: str) -> DataFrame:
 PREPROCESSORS = {"identity": identity, "ascending": ordering(True), "descending": ordering(False)}
 
 
-def to_columnar(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """Row vectors to one row a dimension: ``dim, keys, values`` ordered by key."""
-    long = df.select(key, F.posexplode(vector).alias("dim", "value"))
-    rows = long.groupBy("dim").agg(F.array_sort(F.collect_list(F.struct(key, "value"))).alias("r"))
-    return rows.select("dim", F.col(f"r.{key}").alias("keys"), F.col("r.value").alias("values"))
+#: Vectors in a columnar block.
+BLOCK = 65_536
+
+
+def to_columnar(df: DataFrame, key: str, vector: str, rows: int = BLOCK) -> DataFrame:
+    """Row vectors to one row a block and dimension: ``block, dim, keys, values`` ordered by key.
+
+    A block holds about ``rows`` vectors, so no row grows with the table.
+    """
+    blocks = max(1, -(-df.count() // rows))
+    long = df.select(F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"), key, F.posexplode(vector).alias("dim", "value"))
+    lists = long.groupBy("block", "dim").agg(F.array_sort(F.collect_list(F.struct(key, "value"))).alias("r"))
+    return lists.select("block", "dim", F.col(f"r.{key}").alias("keys"), F.col("r.value").alias("values"))
 
 
 def from_columnar(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """The inverse of :func:`to_columnar`."""
+    """The inverse of :func:`to_columnar`; a key's components meet, no more."""
     long = df.select("dim", F.explode(F.arrays_zip("keys", "values")).alias("x"))
-    rows = long.groupBy(F.col("x.keys").alias(key)).agg(F.array_sort(F.collect_list(F.struct("dim", F.col("x.values").alias("value")))).alias("r"))
-    return rows.select(key, F.col("r.value").alias(vector))
+    lists = long.groupBy(F.col("x.keys").alias(key)).agg(F.array_sort(F.collect_list(F.struct("dim", F.col("x.values").alias("value")))).alias("r"))
+    return lists.select(key, F.col("r.value").alias(vector))

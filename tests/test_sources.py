@@ -64,8 +64,8 @@ def test_preprocessors(spark, name, sign):
 def test_columnar(spark):
     points = V.uniform(spark, 20, 4, seed=1)
     wide = V.to_columnar(points, "point_id", "p")
-    assert wide.count() == 4
-    assert sorted(map(tuple, V.from_columnar(wide, "point_id", "p").collect())) == sorted(map(tuple, points.collect()))
+    assert wide.count() == 4 and V.to_columnar(points, "point_id", "p", 5).count() > 4
+    assert sorted(map(tuple, V.from_columnar(V.to_columnar(points, "point_id", "p", 5), "point_id", "p").collect())) == sorted(map(tuple, points.collect()))
 
 
 def test_log_round_trip(spark, tmp_path):
