@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import fingerprint, secret_scan, sharding, simhash, sp_dropout, suffix_dedup, token_binary, toxicity, url_filter, winnow
+from lodestar.llm import fingerprint, oracles, secret_scan, sharding, simhash, sp_dropout, suffix_dedup, token_binary, toxicity, url_filter, winnow
 from lodestar.llm.common import table
 
 
@@ -75,4 +75,4 @@ def op10_sentencepiece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_merkle_fingerprints, op2_token_binary, op3_secret_scan, op4_extendible_sharding, op5_simhash_near_dedup, op6_winnowing_decontamination, op7_url_filter, op8_weak_toxicity, op9_suffix_dedup, op10_sentencepiece_dropout)}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = oracles.ORACLE
