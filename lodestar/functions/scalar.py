@@ -100,3 +100,8 @@ def roofline_seconds(points: Column, queries: Column, dim: Column, rate: Column,
     """Least time to store all distances (and to load all vectors) at ``rate`` floats a second."""
     stored = points.cast("double") * queries
     return (stored if store_only else (points + queries).cast("double") * dim + stored) / rate
+
+
+def log2_label(column: Column) -> Column:
+    """Rounded binary logarithm, for axes."""
+    return F.round(F.log2(column)).cast("int")

@@ -18,6 +18,20 @@ def mean_time(log: DataFrame, parameters: list[str] = PARAMETERS, tunables: list
     return log.groupBy(*parameters, *tunables).agg(F.avg("time").alias("time"))
 
 
+def single_dataset(log: DataFrame, columns: tuple[str, ...] = ("generator", "preprocessor")) -> str:
+    """The one dataset of a log, as ``generator-preprocessor``; an error if there are others."""
+    rows = log.select(*columns).distinct().limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError("the log must hold exactly one dataset")
+    return "-".join(str(x) for x in rows[0])
+
+
+def first_best(means: DataFrame, groups: list[str], order: str) -> DataFrame:
+    """The fastest row of each group; of equal ones the first by ``order``."""
+    window = Window.partitionBy(*groups).orderBy("time", order)
+    return means.withColumn("_ls_rank", F.row_number().over(window)).where("_ls_rank = 1").drop("_ls_rank")
+
+
 def phase_sum(log: DataFrame, keys: list[str]) -> DataFrame:
     """Total time over the phases of each iteration."""
     return log.groupBy(*keys, "iteration").agg(F.sum("time").alias("time"))

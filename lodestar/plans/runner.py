@@ -10,6 +10,7 @@ from lodestar.model import BENCH, PHASES, positive
 from lodestar.operators.distance import distances
 from lodestar.operators.topk import top_k
 from lodestar.plans.algorithms import ALGORITHMS, run
+from lodestar.sources.vectors import generate
 
 
 def _timed(df: DataFrame) -> float:
@@ -18,6 +19,26 @@ def _timed(df: DataFrame) -> float:
     return time.perf_counter() - began
 
 
+#: Distances of one problem, at most.
+MOST_DISTANCES = 1 << 32
+
+
+def feasible(points: int, queries: int, k: int) -> bool:
+    """Whether a benchmark measures this problem."""
+    return points * queries <= MOST_DISTANCES and k <= points
+
+
+def bench_grid(spark: SparkSession, names: list[str], problems: list[tuple[int, int, int, int]], generator: str = "uniform", repeats: int = 1, seed: int = 1) -> DataFrame:
+    """The log of every algorithm on every feasible problem ``(points, queries, dim, k)``."""
+    out = spark.createDataFrame([], BENCH)
+    for points, queries, dim, k in problems:
+        if feasible(points, queries, k):
+            p, q = generate(spark, generator, points, queries, dim, seed)
+            for name in names:
+                out = out.unionByName(bench(spark, name, p, q, k, repeats, generator=generator))
+    return out
+
+
 def bench(
     spark: SparkSession,
     name: str,

@@ -7,8 +7,10 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from lodestar.functions.scalar import log2_label
 from lodestar.plans import analytics as A
 from lodestar.plans import queries as Q
+from lodestar.plans.runner import bench_grid, feasible
 
 SF = "/root/testdata/sf0.001"
 P, T = ["algorithm", "k"], ["block"]
@@ -101,6 +103,19 @@ def test_situations(spark):
     assert len(got) == 18
 
 
+def test_small_helpers(spark):
+    one = spark.createDataFrame([("uniform", "identity", 8), ("uniform", "identity", 1000)], "generator string, preprocessor string, n int")
+    assert A.single_dataset(one) == "uniform-identity"
+    assert [r.x for r in one.select(log2_label(F.col("n")).alias("x")).collect()] == [3, 10]
+    with pytest.raises(ValueError):
+        A.single_dataset(one.withColumn("generator", F.col("n").cast("string")))
+    queue = spark.createDataFrame([(32, 4, 2.0, 1), (32, 2, 2.0, 2), (64, 8, 3.0, 3)], "k int, queue int, time double, line int")
+    assert {(r.k, r.queue) for r in A.first_best(queue, ["k"], "line").collect()} == {(32, 4), (64, 8)}
+    log = bench_grid(spark, ["bits", "serial"], [(100, 2, 3, 5), (4, 2, 3, 5)])
+    assert log.select("algorithm").distinct().count() == 2 and log.count() == 14
+    assert not feasible(1 << 20, 1 << 13, 8) and feasible(1 << 20, 1 << 12, 8)
+
+
 @pytest.fixture(scope="module")
 def views():
     duckdb = pytest.importorskip("duckdb")
