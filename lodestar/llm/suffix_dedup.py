@@ -162,9 +162,14 @@ def _core_pass(shape: Shape):
     return run
 
 
-def _bit_map(repeated: DataFrame, bits: int) -> np.ndarray:
-    """A bit for each repeated core; comes to the driver in pieces of 8 KB, ``bits`` bits in all."""
-    piece = 1 << 16
+def _bit_map(values: DataFrame) -> np.ndarray:
+    """A bit for each hash of a column of longs, by its low bits.
+
+    As large as their number asks for, up to ``MOST_BITS``; comes to the driver
+    in pieces of 8 KB.  A fuller map lets more rows through, none are lost.
+    """
+    values, piece = values.toDF("core"), 1 << 16
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS * max(values.count(), 1)).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,7 +179,7 @@ def _bit_map(repeated: DataFrame, bits: int) -> np.ndarray:
                 own[(slot[slot // np.uint64(piece) == number] % np.uint64(piece)).astype(np.int64)] = True
                 yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())], ["piece", "held"])
 
-    slots = repeated.select("core").repartition(partitions(repeated.sparkSession), F.expr(f"(core & {bits - 1}L) div {piece}")).sortWithinPartitions(F.expr(f"core & {bits - 1}L"))
+    slots = values.repartition(partitions(values.sparkSession), F.expr(f"(core & {bits - 1}L) div {piece}")).sortWithinPartitions(F.expr(f"core & {bits - 1}L"))
     out = np.zeros(bits // 8, np.uint8)
     for row in slots.mapInArrow(run, "piece bigint, held binary").toLocalIterator():
         at = row.piece * piece // 8
@@ -182,15 +187,29 @@ def _bit_map(repeated: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def _anchor_pass(shape: Shape, held: np.ndarray, bits: int):
+def _in_map(held: np.ndarray, values: np.ndarray) -> np.ndarray:
+    slot = (values.view(np.uint64) & np.uint64(8 * len(held) - 1)).astype(np.int64)
+    return (held[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _filtered(docs: DataFrame, held: np.ndarray) -> DataFrame:
+    """Documents (``key, hash, text``) whose hash is in the map: before a shuffle moves texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_in_map(held, np.asarray(batch.column(1)))))
+
+    return docs.select("key", "hash", "text").mapInArrow(run, docs.select("key", "hash", "text").schema)
+
+
+def _anchor_pass(shape: Shape, held: np.ndarray):
     """Anchors whose cores may be repeated: ``key, hash, place, size, core, around``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, data, lengths in _slices(batch, 2):
                 found = Anchored(data, lengths, shape)
-                slot = (found.core & np.uint64(bits - 1)).astype(np.int64)
-                found.keep(np.flatnonzero(held[slot >> 3] >> (slot & 7).astype(np.uint8) & 1))
+                found.keep(np.flatnonzero(_in_map(held, found.core)))
                 rows = pa.array(row + found.doc)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -348,10 +367,7 @@ def repeated_stretches(df: DataFrame, key: str = "doc_id", text: str = "text", l
     docs = df.select(F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("hash"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     cores = docs.select("text").mapInArrow(_core_pass(shape), "core bigint, n int").groupBy("core").agg(F.sum("n").alias("n")).where("n > 1")
     repeated = durable(cores.select("core"), "cores")
-    n = repeated.count()
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS * max(n, 1)).bit_length()))
-    held = _bit_map(repeated, bits)
-    found = durable(docs.mapInArrow(_anchor_pass(shape, held, bits), f"key {kind}, hash bigint, place int, size int, core bigint, around bigint"), "anchors")
+    found = durable(docs.mapInArrow(_anchor_pass(shape, _bit_map(repeated)), f"key {kind}, hash bigint, place int, size int, core bigint, around bigint"), "anchors")
 
     each = found.groupBy("core", "around").agg(F.count("*").alias("n"), F.min(F.struct("key", "hash", "place")).alias("one"))
     each = durable(each, "neighbourhoods")
@@ -365,10 +381,11 @@ def repeated_stretches(df: DataFrame, key: str = "doc_id", text: str = "text", l
     # Cores with several neighbourhoods: one row of each goes on.
     several = each.groupBy("core").agg(F.count("*").alias("several")).where("several > 1")
     open_ = each.join(several, "core").select("core", (F.col("n") == 1).alias("single"), "one", "several")
-    asked = open_.groupBy(F.col("one.key").alias("asked_key"), F.col("one.hash").alias("asked_hash")).agg(
+    asked = durable(open_.groupBy(F.col("one.key").alias("asked_key"), F.col("one.hash").alias("asked_hash")).agg(
         F.collect_list(F.struct(F.col("one.place").alias("place"), "core", "single")).alias("at")
-    )
-    unique = docs.join(asked, docs.key.eqNullSafe(asked.asked_key) & (docs.hash == asked.asked_hash)).select("key", "hash", "text", "at")
+    ), "asked")
+    likely = _filtered(docs, _bit_map(asked.select("asked_hash")))
+    unique = likely.join(asked, likely.key.eqNullSafe(asked.asked_key) & (likely.hash == asked.asked_hash)).select("key", "hash", "text", "at")
     rows = unique.mapInArrow(_neighbourhoods(shape), f"key {kind}, hash bigint, place int, core bigint, single boolean, before binary, behind binary")
     # A repeated row of documents would bring its neighbourhoods again; that they are repeated is known by then.
     frequent = several.where(F.col("several") > group).select("core")
@@ -386,29 +403,47 @@ def repeated_stretches(df: DataFrame, key: str = "doc_id", text: str = "text", l
     return out if more is None else out.unionByName(more)
 
 
-def _cut(name: str):
-    """Documents and their stretches to what remains."""
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stretches of each document to maximal runs."""
+    for batch in batches:
+        out = []
+        for at in batch.column(2).to_pylist():
+            runs: list[list[int]] = []
+            for start, stop in sorted((x["start"], x["stop"]) for x in at):
+                if runs and start <= runs[-1][1]:
+                    runs[-1][1] = max(runs[-1][1], stop)
+                else:
+                    runs.append([start, stop])
+            out.append([{"start": a, "stop": b} for a, b in runs])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, _RUNS)], ["of_key", "of_hash", "spans"])
+
+
+_RUNS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+
+
+def _cut(name: str, held: np.ndarray | None = None):
+    """Documents (``key, hash, text, spans``) to what remains of them.
+
+    With a map, documents without runs: those whose hash is not in it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if held is not None:
+                batch = batch.filter(pa.array(~_in_map(held, np.asarray(batch.column(1)))))
             size, removed, spans, kept, texts = [], [], [], [], []
-            for text, at in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                body, merged = text.encode(), []
-                for start, stop in sorted((x["start"], x["stop"]) for x in at or ()):
-                    if merged and start <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], stop)
-                    else:
-                        merged.append([start, stop])
-                edges = [0, *[e for m in merged for e in m], len(body)]
-                rest = b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2])) if merged else body
+            found = batch.column(3).to_pylist() if held is None else [None] * batch.num_rows
+            for text, runs in zip(batch.column(2).to_pylist(), found):
+                body, runs = text.encode(), runs or []
+                edges = [0, *[e for m in runs for e in (m["start"], m["stop"])], len(body)]
+                rest = b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2])) if runs else body
                 size.append(len(body))
                 removed.append(len(body) - len(rest))
-                spans.append([{"start": a, "stop": b} for a, b in merged])
+                spans.append(runs)
                 kept.append(hashlib.sha256(rest).hexdigest())
                 texts.append(rest)
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(kept), pa.array(texts, pa.binary())], [name, "n_bytes", "n_removed", "spans", "kept_sha256", "kept"]
+                [batch.column(0), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, _RUNS), pa.array(kept, pa.string()), pa.array(texts, pa.binary())], [name, "n_bytes", "n_removed", "spans", "kept_sha256", "kept"]
             )
 
     return run
@@ -424,10 +459,14 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", length:
     any other; an empty table gives an empty result; other columns are ignored.
     """
     kind = df.schema[key].dataType.simpleString()
-    docs = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    docs = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).select("key", F.xxhash64("text").alias("hash"), "text")
     found = repeated_stretches(df, key, text, length, group)
     # At most one stretch for each anchor of a document.
-    spans = found.groupBy(F.col("key").alias("of_key"), F.col("hash").alias("of_hash")).agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    met = docs.join(spans, docs.key.eqNullSafe(spans.of_key) & (docs.hash == spans.of_hash), "left").select("key", "text", "spans")
+    lists = found.groupBy("key", "hash").agg(F.collect_set(F.struct("start", "stop")).alias("at"))
+    spans = durable(lists.mapInArrow(_merged, f"of_key {kind}, of_hash bigint, spans array<struct<start:int,stop:int>>"), "spans")
+    # Only texts that lose something move to meet their runs.
+    held = _bit_map(spans.select("of_hash"))
+    losing = _filtered(docs, held)
+    met = losing.join(spans, losing.key.eqNullSafe(spans.of_key) & (losing.hash == spans.of_hash), "left").select("key", "hash", "text", "spans")
     schema = f"`{key}` {kind}, n_bytes bigint, n_removed bigint, spans array<struct<start:int,stop:int>>, kept_sha256 string, kept binary"
-    return met.mapInArrow(_cut(key), schema)
+    return met.mapInArrow(_cut(key), schema).unionByName(docs.mapInArrow(_cut(key, held), schema))
