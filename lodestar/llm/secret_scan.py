@@ -144,9 +144,11 @@ def _evaluate(query, bit: dict[str, Column]) -> Column:
 
 def postings(df: DataFrame, trigrams: list[str], keys: list[Column], text: Column) -> DataFrame:
     """``*keys, trigram`` (an index into ``trigrams``) for each that a text contains."""
-    low = F.lower(text)
-    found = F.array_compact(F.array(*[F.when(low.contains(t), F.lit(i)) for i, t in enumerate(trigrams)]))
-    return df.select(*keys, F.explode(found).alias("trigram"))
+    # A projection of its own: texts are lower-cased once, not for each trigram.
+    lowered = df.select(*keys, F.lower(text).alias("_ls_low"))
+    names = [c for c in lowered.columns if c != "_ls_low"]
+    found = F.array_compact(F.array(*[F.when(F.col("_ls_low").contains(t), F.lit(i)) for i, t in enumerate(trigrams)]))
+    return lowered.select(*names, F.explode(found).alias("trigram"))
 
 
 def candidates(df: DataFrame, rules: tuple[Rule, ...], keys: dict[str, Column], text: Column) -> DataFrame:
