@@ -29,6 +29,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lodestar.llm.common import prepare
+
 #: The mark that the model writes for a space.
 SPACE = "▁"
 RATE = 0.1
@@ -344,6 +346,7 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", ra
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array([len(t or "") for t in texts], pa.int64()), pa.array(same, pa.bool_())], [key, "ids", "n_chars", "lossless"])
 
+    prepare(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>, n_chars bigint, lossless boolean")
 
@@ -359,7 +362,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "text") -> Da
             texts = [None if x is None else o.decode() for x, o in zip(lists, out)]
             yield pa.RecordBatch.from_arrays([*[c for n, c in zip(batch.schema.names, batch.columns) if n != text], pa.array(texts, pa.string())], [*[n for n in batch.schema.names if n != text], text])
 
-    at = df.columns.index(ids)
+    prepare(df.sparkSession)
     kept = df.drop(text)
     at = kept.columns.index(ids)
     return kept.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + f", `{text}` string")

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import durable, partitions
+from lodestar.llm.common import durable, partitions, prepare
 
 LENGTH = 200
 GRAM = 8
@@ -363,6 +363,7 @@ def repeated_stretches(df: DataFrame, key: str = "doc_id", text: str = "text", l
     key apart.
     """
     spark, shape = df.sparkSession, Shape(length)
+    prepare(spark)
     kind = df.schema[key].dataType.simpleString()
     docs = df.select(F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("hash"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     cores = docs.select("text").mapInArrow(_core_pass(shape), "core bigint, n int").groupBy("core").agg(F.sum("n").alias("n")).where("n > 1")
@@ -391,11 +392,11 @@ def repeated_stretches(df: DataFrame, key: str = "doc_id", text: str = "text", l
     frequent = several.where(F.col("several") > group).select("core")
     if frequent.limit(1).count():
         rows = durable(rows, "strings")
-        hashed = rows.join(F.broadcast(frequent), "core", "left_semi").select("key", "hash", "place", "core", "single", "before", "behind")
+        hashed = rows.join(frequent, "core", "left_semi").select("key", "hash", "place", "core", "single", "before", "behind")
         strings = hashed.mapInArrow(_string_hashes(shape), f"key {kind}, hash bigint, single boolean, start int, string bigint")
         again = strings.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
         more = strings.join(again, "string", "left_semi").where("single").select("key", "hash", "start", (F.col("start") + length).cast("int").alias("stop"))
-        rows = rows.join(F.broadcast(frequent), "core", "left_anti").select("key", "hash", "place", "core", "single", "before", "behind")
+        rows = rows.join(frequent, "core", "left_anti").select("key", "hash", "place", "core", "single", "before", "behind")
     else:
         more = None
     dealt = rows.repartition(partitions(spark), "core").sortWithinPartitions("core")

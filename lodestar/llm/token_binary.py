@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import durable, partitions, range_buckets, shared_dir
+from lodestar.llm.common import durable, partitions, prepare, range_buckets, shared_dir
 
 END = 0
 #: Distinct words whose ids a Python worker remembers.
@@ -182,6 +182,7 @@ def tokenize(df: DataFrame, path: str, key: str = "doc_id", text: str = "text",
                 ids = [x + last for x in own.encode(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([own.kind.itemsize] * len(ids), pa.int32())], [key, "ids", "width"])
 
+    prepare(df.sparkSession)
     return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, ids binary, width int")
 
 
@@ -247,6 +248,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, key: str = "doc_id",
 
 def read_tokens(spark, path: str, key: str = "doc_id") -> DataFrame:
     """``key, bucket, tie, n_tokens, ids`` (little-endian 32-bit) of files that :func:`write_tokens` wrote."""
+    prepare(spark)
     of_rank = np.array([r.id for r in spark.read.parquet(f"{path}/ranks").orderBy("rank").collect()], "<u4")
     files = spark.read.parquet(f"{path}/tokens")
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import durable
+from lodestar.llm.common import durable, prepare
 
 #: Labelled rows that a fit takes, at most.
 FIT_ROWS = 20_000
@@ -253,6 +253,7 @@ def choose_entries(rows: list[tuple[str, int, int]], positive: int, negative: in
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Fit on labelled rows that are not held out; without both labels, on the fixed list alone."""
+    prepare(docs.sparkSession)
     known = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1) & (fit_key(F.col(key)) != 1))
     known = known.groupBy(F.col(key).alias("key")).agg(F.max(F.col(label)).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("key"), "key").limit(FIT_ROWS)

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.llm.common import prepare
+
 #: Words in a window that counts as contamination; k-gram; hashes in a winnowing window.
 SPAN, GRAM = 10, 5
 #: Benchmark words that are sent to the executors at once, at most (8 bytes each, and their texts).
@@ -179,6 +181,7 @@ def contamination(
     more than one slice, rows are told apart by key and text, and rows with both
     equal come back once for each copy.  Empty tables give no rows or no hits.
     """
+    prepare(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     found = "n_words bigint, hit_spans array<struct<start:int,end:int>>, items array<string>"
     slices = _slices(items, item, item_text, most_words)
@@ -214,6 +217,7 @@ def keep_clean(
     docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", span: int = SPAN, gram: int = GRAM, most_words: int = MOST_WORDS
 ) -> DataFrame:
     """``docs`` without the documents that any item hits, columns as they are; a pass for each slice of the benchmark."""
+    prepare(docs.sparkSession)
     at = docs.columns.index(text)
 
     def keep(index: Index):
