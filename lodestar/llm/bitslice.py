@@ -17,8 +17,8 @@ ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 LOOK_EVERY = 8
 #: Blocks up to this size are compared at once with many others.
 SMALL = 64
-#: Queries compared at once with a larger block.
-QUERIES = 32
+#: Words compared at once in a larger block, about; and queries at least.
+WORDS, QUERIES = 8192, 32
 
 
 def to_planes(values: np.ndarray) -> np.ndarray:
@@ -107,8 +107,9 @@ def close_pairs(values: np.ndarray, groups: np.ndarray, radius: int):
         block = values[start : start + size]
         planes = to_planes(block)
         words = planes.shape[1]
-        for at in range(0, size, QUERIES):
-            queries = block[at : at + QUERIES]
+        some = max(QUERIES, WORDS // words)
+        for at in range(0, size, some):
+            queries = block[at : at + some]
             first = at // 64  # earlier words were compared when they were queries
             span = words - first
             row = np.repeat(np.arange(len(queries)), span)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm import bitslice
-from lodestar.llm.common import durable, partitions
+from lodestar.llm.common import durable, partitions, prepare
 from lodestar.llm.components import connected_components
 
 SEED = 42
@@ -57,6 +57,7 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", words:
             out = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], [key, "fp"])
 
+    prepare(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, fp bigint")
 
@@ -103,6 +104,7 @@ def _forest(radius: int):
 def close_edges(distinct: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
     """Edges ``u, v`` that connect all of ``fp`` (distinct longs) at ``radius`` differing bits or fewer."""
     spark = distinct.sparkSession
+    prepare(spark)
     edges, level = [], [(0, list(range(64)))]
     # Rows of a level: fp, mask (the bits that its block agrees on).
     rows = distinct.select("fp", F.lit(0).cast("long").alias("mask"))
@@ -262,6 +264,7 @@ def similar_classes(df: DataFrame, key: str = "doc_id", text: str = "text", word
     Texts without words are alike.
     """
     spark = df.sparkSession
+    prepare(spark)
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,16 +282,16 @@ def similar_classes(df: DataFrame, key: str = "doc_id", text: str = "text", word
     bits = min(20, max(2, math.ceil(math.log2(max(1, n) / ORDINARY)))) if n > ORDINARY else 1
     edges, level = [], distinct.select("node", "fp", F.lit(0).cast("long").alias("block"))
     for number, width in enumerate((bits, 10)):
-        met = durable(level.mapInArrow(_banded(_bands(share, width, number)), "node bigint, fp binary, block bigint"), "bands")
-        sizes = met.groupBy("block").agg(F.count("*").alias("n")).where("n > 1")
-        large = sizes.where(F.col("n") > LARGE).select("block")
+        # Cheap to make again, large to keep: blocks are counted first, then made anew for the comparison.
+        met = level.mapInArrow(_banded(_bands(share, width, number)), "node bigint, fp binary, block bigint")
+        large = durable(met.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > LARGE).select("block"), "large")
         again = number == 0 and large.limit(1).count() > 0
-        ready = met.join(F.broadcast(large), "block", "left_anti") if again else met
+        ready = met.join(large, "block", "left_anti") if again else met
         dealt = ready.select("node", "fp", "block").repartition(partitions(spark), "block").sortWithinPartitions("block", "fp")
         edges.append(dealt.mapInArrow(_similar_forest(most), "u bigint, v bigint"))
         if not again:
             break
-        level = met.join(F.broadcast(large), "block", "left_semi").select("node", "fp", "block")
+        level = met.join(large, "block", "left_semi").select("node", "fp", "block")
     found = connected_components(edges[0] if len(edges) == 1 else edges[0].unionByName(edges[1]))
     order = F.struct(F.col("key").isNull(), "key", "hash")
     slim = rows.select("key", "hash", "node").distinct()
