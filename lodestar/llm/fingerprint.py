@@ -62,16 +62,18 @@ def likeness(a: Column, b: Column, a_leaves: Column, b_leaves: Column) -> Column
     return F.when(root(a) == root(b), F.lit(1.0)).otherwise(dice)
 
 
+def paragraphs(fp: Column) -> Column:
+    """Hashes of a fingerprint's paragraphs, in order over all sections."""
+    return F.regexp_extract_all(fp, F.lit(r"([0-9a-f]{8}):"), F.lit(1))
+
+
 def differing(a: Column, b: Column) -> Column:
-    """Numbers, from 0, of a's paragraphs (over all sections) that b's do not hold: where an edit lies."""
-    paragraphs = lambda fp: F.regexp_extract_all(fp, F.lit(r"([0-9a-f]{8}):"), F.lit(1))
-    known = paragraphs(b)
-    marked = F.transform(paragraphs(a), lambda p, i: F.when(~F.array_contains(known, p), i))
-    return F.when(root(a) == root(b), F.array().cast("array<int>")).otherwise(F.filter(marked, lambda i: i.isNotNull()))
+    """Distinct hashes of a's paragraphs that b does not hold: where an edit lies. None for equal roots."""
+    return F.when(root(a) == root(b), F.array().cast("array<string>")).otherwise(F.array_except(paragraphs(a), paragraphs(b)))
 
 
 def with_next(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, text, fp, next_text, next_fp``: each row with the one of the next smaller key, the last with the first.
+    """``key, text, next_text``: each row with the text of the next smaller key, the last with the first's.
 
     Rows go to buckets of the key's range; in a bucket a window finds the next
     row, and a copy of the first row of the following bucket stands guard at
@@ -92,10 +94,9 @@ def with_next(df: DataFrame, key: str, text: str) -> DataFrame:
     own = rows.withColumn("guard", F.lit(0))
     placed = rows.join(guards, (rows.bucket == guards.of) & (rank(F.col("key"), F.col("tie")) == F.col("head")))
     guard = placed.select("key", "text", "tie", F.col("to").alias("bucket"), F.lit(1).alias("guard")).dropDuplicates(["bucket"])
-    held = own.unionByName(guard).withColumn("fp", fingerprint(F.col("text")))
     window = Window.partitionBy("bucket").orderBy("guard", *down)
-    seen = held.select("key", "text", "fp", "guard", F.lead(F.struct("text", "fp")).over(window).alias("next"))
-    return seen.where("guard = 0").select("key", "text", "fp", F.col("next.text").alias("next_text"), F.col("next.fp").alias("next_fp"))
+    seen = own.unionByName(guard).select("key", "text", "guard", F.lead("text").over(window).alias("next_text"))
+    return seen.where("guard = 0").select("key", "text", "next_text")
 
 
 def edited_pairs(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -110,7 +111,8 @@ def edited_pairs(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     n = F.char_length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.col("next_text"), F.lit(1), third))
-    made = near.select("key", n.cast("long").alias("n_chars"), "fp", "next_fp", edited.alias("edited"))
+    # The next text's fingerprint is made again: it would be a third of what moves to the window.
+    made = near.select("key", n.cast("long").alias("n_chars"), fingerprint(F.col("text")).alias("fp"), fingerprint(F.col("next_text")).alias("next_fp"), edited.alias("edited"))
     made = made.select("key", "n_chars", "fp", "next_fp", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("edited")).alias("edited_fp"))
     made = made.select("*", *[leaves(F.col(c)).alias(f"{c}_leaves") for c in ("fp", "edited_fp", "next_fp")])
     like = lambda c: likeness(F.col("fp"), F.col(c), F.col("fp_leaves"), F.col(f"{c}_leaves"))
@@ -122,5 +124,4 @@ def edited_pairs(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         F.col("edited_fp").alias("edited_fingerprint"),
         like("edited_fp").alias("near_edited"),
         like("next_fp").alias("near_next"),
-        F.size(differing(F.col("edited_fp"), F.col("fp"))).alias("n_differing"),
     )

@@ -65,8 +65,7 @@ list_distinct(flatten(list_transform(flatten(s), lambda p: {leaf}))) AS leaves,
 f AS (SELECT doc_id, part, substring(sha256(x), 1, {fingerprint.ROOT_DIGITS}) AS root, leaves, paragraphs, concat(substring(sha256(x), 1, {fingerprint.ROOT_DIGITS}), ';', array_to_string(list_transform(joined, lambda y: concat(substring(md5(y), 1, {node}), '=', y)), ';')) AS fp FROM p)
 SELECT e.doc_id, e.n::BIGINT AS n_chars, sha256(e.et) AS edited_sha256, a.fp AS fingerprint, b.fp AS edited_fingerprint,
 CASE WHEN a.root = b.root THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(a.leaves, b.leaves)) / greatest(len(a.leaves) + len(b.leaves), 1) END AS near_edited,
-CASE WHEN a.root = c.root THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(a.leaves, c.leaves)) / greatest(len(a.leaves) + len(c.leaves), 1) END AS near_next,
-(CASE WHEN a.root = b.root THEN 0 ELSE len(list_filter(b.paragraphs, lambda y: NOT list_contains(a.paragraphs, y))) END)::INTEGER AS n_differing
+CASE WHEN a.root = c.root THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(a.leaves, c.leaves)) / greatest(len(a.leaves) + len(c.leaves), 1) END AS near_next
 FROM e JOIN f a ON a.doc_id = e.doc_id AND a.part = 1 JOIN f b ON b.doc_id = e.doc_id AND b.part = 2 JOIN f c ON c.doc_id = e.doc_id AND c.part = 3"""
 
 
