@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +43,8 @@ SURE = 17.0
 PURE = 0.02
 #: Lengths of word beginnings that may become entries.
 STEMS = (4, 5, 6, 7, 8)
+#: Min-hashes that find copies in the sample.
+MIN_HASHES = 4
 REJECT_AT = 0.7
 #: How often a given label is right: of clean texts, of toxic texts.
 TRUSTED = (0.995, 0.95)
@@ -203,6 +206,45 @@ class Model:
 # -- fitting ------------------------------------------------------------------
 
 
+def _min_hashes(text: str | None) -> list[int]:
+    words = words_of(text)
+    shingles = {" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))}
+    values = np.fromiter((xxhash.xxh64_intdigest(x) for x in shingles), np.uint64, len(shingles))
+    return [int((values * np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) & 2**64 - 1) >> np.uint64(1)).min()) for i in range(MIN_HASHES)]
+
+
+def _apart(sample: DataFrame) -> DataFrame:
+    """One row of each group of copies of a label: words of a text that was copied are not frequent words.
+
+    Rows of one label that share a min-hash of their shingles are copies.  At
+    most ``FIT_ROWS`` rows of a few numbers come to the driver.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [_min_hashes(t.as_py()) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(hashes, pa.list_(pa.int64()))], ["key", "label", "hashes"])
+
+    kind = sample.schema["key"].dataType.simpleString()
+    rows = sample.select("key", "text", "label").mapInArrow(run, f"key {kind}, label int, hashes array<bigint>").orderBy("key").collect()
+    first: dict[tuple, int] = {}
+    parent = list(range(len(rows)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i, r in enumerate(rows):
+        for at, h in enumerate(r.hashes):
+            j = root(first.setdefault((r.label, at, h), i))
+            a, b = sorted((root(i), j))
+            parent[b] = a
+    kept = [(r.key,) for i, r in enumerate(rows) if root(i) == i]
+    return sample.join(F.broadcast(sample.sparkSession.createDataFrame(kept, f"key {kind}")), "key")
+
+
 def _mine(sample: DataFrame) -> tuple[DataFrame, int, int]:
     """``entry, pos, neg`` (rows with it, by label) of the sample, and its rows by label."""
 
@@ -237,15 +279,18 @@ def choose_entries(rows: list[tuple[str, int, int]], positive: int, negative: in
             ranked.append((pos - 3 * neg, len(entry.rstrip("*")), pos, neg, entry))
     ranked.sort(reverse=True)
     chosen: dict[str, tuple[int, int]] = {}
-    longest: dict[str, int] = {}  # of each beginning, rows of the most frequent chosen entry that starts so
+    longer: dict[str, int] = {}  # of each beginning, rows of the most frequent longer entry
+    for _, _, pos, _, entry in ranked:
+        stem = entry.rstrip("*")
+        for n in STEMS:
+            if n < len(stem) or (n == len(stem) and not entry.endswith("*")):
+                longer[stem[:n]] = max(longer.get(stem[:n], 0), pos)
     for _, _, pos, neg, entry in ranked:
         stem = entry.rstrip("*")
         shorter = [chosen[e] for n in STEMS if (e := stem[:n] + "*") in chosen and (n < len(stem) or e != entry)]
-        if any(n <= PURE * p for p, n in shorter) or longest.get(stem, 0) >= 0.95 * pos:
+        if any(n <= PURE * p for p, n in shorter) or longer.get(entry.endswith("*") and stem, 0) >= 0.95 * pos:
             continue
         chosen[entry] = (pos, neg)
-        for n in range(1, len(stem) + 1):
-            longest[stem[:n]] = max(longest.get(stem[:n], 0), pos)
         if len(chosen) >= MOST_ENTRIES:
             break
     return sorted(chosen, key=lambda e: chosen[e][1] > PURE * chosen[e][0]), sum(n <= PURE * p for p, n in chosen.values())
@@ -258,6 +303,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     known = known.groupBy(F.col(key).alias("key")).agg(F.max(F.col(label)).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("key"), "key").limit(FIT_ROWS)
     sample = durable(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key").select("key", "text", "label").dropDuplicates(["key"]), "fit")
+    sample = _apart(sample)
     counted, positive, negative = _mine(sample)
     # The strongest few thousand by a bound that needs no more than the counts.
     likely = counted.where("pos >= 3").where(F.col("pos") * max(1, negative) > 3 * F.col("neg") * max(1, positive))
