@@ -469,7 +469,14 @@ def bench_datasets(spark, sf_dir):
     )
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {MEAN_SQL}, {BEST_SQL}, rows AS (SELECT row_number() OVER (ORDER BY {KEYS}) AS n, block_size, items_per_thread, (query_count >= 100)::INTEGER + (k >= 32)::INTEGER + (dim >= 1)::INTEGER AS score, "
+    "(CASE WHEN query_count >= 100 THEN query_count / 100.0::DOUBLE ELSE 100.0::DOUBLE / query_count END) * (CASE WHEN k >= 32 THEN k / 32.0::DOUBLE ELSE 32.0::DOUBLE / k END) * (CASE WHEN dim >= 1 THEN dim / 1.0::DOUBLE ELSE 1.0::DOUBLE / dim END) AS slack "
+    "FROM best WHERE algorithm = 'F'), fold AS (SELECT 0::BIGINT AS n, 0 AS score, 0.0::DOUBLE AS slack, 256::BIGINT AS block_size, 1::BIGINT AS items UNION ALL "
+    "SELECT r.n, CASE WHEN r.score >= f.score AND (f.slack = 0 OR r.slack < f.slack) THEN r.score ELSE f.score END, CASE WHEN r.score >= f.score AND (f.slack = 0 OR r.slack < f.slack) THEN r.slack ELSE f.slack END, "
+    "CASE WHEN r.score >= f.score AND (f.slack = 0 OR r.slack < f.slack) THEN r.block_size ELSE f.block_size END, CASE WHEN r.score >= f.score AND (f.slack = 0 OR r.slack < f.slack) THEN r.items_per_thread ELSE f.items END "
+    "FROM fold f JOIN rows r ON r.n = f.n + 1) SELECT block_size::INTEGER AS block_size, items::INTEGER AS items_per_thread, 1 AS deg, 1 AS items_per_thread2, 1 AS items_per_thread3 FROM fold ORDER BY n DESC LIMIT 1"
+)
 def config_lookup(spark, sf_dir):
     best = analytics.optima(_means(spark, sf_dir))
     best = best.withColumn("line", F.struct(*analytics.PARAMETERS))
