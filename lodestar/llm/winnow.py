@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import prepare
+from lodestar.llm.common import durable, prepare
 
 #: Words in a window that counts as contamination; k-gram; hashes in a winnowing window.
 SPAN, GRAM = 10, 5
@@ -233,6 +233,8 @@ def keep_clean(
 
         return run
 
-    for rows in _slices(items, item, item_text, most_words):
+    for n, rows in enumerate(_slices(items, item, item_text, most_words)):
+        if n:  # one pass at a time holds an index in memory
+            docs = durable(docs, "clean")
         docs = docs.mapInArrow(keep(Index.build(rows, span, gram)), docs.schema)
     return docs

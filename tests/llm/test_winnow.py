@@ -66,3 +66,12 @@ def test_empty(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [r.hit_spans for r in W.contamination(docs, none).collect()] == [[]]
     assert W.contamination(docs.limit(0), none).count() == 0
+
+
+@pytest.mark.parametrize("most", [10**6, 60])
+def test_keep_clean(spark, most):
+    docs, items = corpus(5)
+    df = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, items string")
+    kept = W.keep_clean(df, spark.createDataFrame(items, "item_id long, text string").coalesce(1), most_words=most)
+    assert kept.columns == df.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [i for i, t in docs if not brute(t, items)[1]]
