@@ -296,8 +296,11 @@ def similar_classes(df: DataFrame, key: str = "doc_id", text: str = "text", word
     order = F.struct(F.col("key").isNull(), "key", "hash")
     slim = rows.select("key", "hash", "node").distinct()
     named = slim.join(found, slim.node == found.node, "left").select("key", "hash", F.coalesce("root", slim.node).alias("component"))
-    first = named.groupBy("component").agg(F.min(order).alias("first"))
-    return named.join(first, "component").select(F.col("key").alias(key), "hash", "component", (order == F.col("first")).alias("keeper"))
+    named = durable(named, "named")
+    # The keepers meet their rows by key and text, which no class makes frequent.
+    first = named.groupBy("component").agg(F.min(order).alias("first")).select(F.col("first.key").alias("_ls_key"), F.col("first.hash").alias("_ls_hash"))
+    marked = named.join(first, named.key.eqNullSafe(first["_ls_key"]) & (named.hash == first["_ls_hash"]), "left")
+    return marked.select(F.col("key").alias(key), "hash", "component", F.col("_ls_hash").isNotNull().alias("keeper"))
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
