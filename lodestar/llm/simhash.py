@@ -27,8 +27,7 @@ from lodestar.llm.components import connected_components
 SEED = 42
 #: Distinct fingerprints in a block beyond which it splits further.
 BLOCK = 2048
-#: Rows of texts taken at once; shingles counted at once.
-TEXT_BYTES = 8_000_000
+#: Shingles counted at once.
 SHINGLES = 1 << 16
 
 
@@ -66,11 +65,6 @@ def _ranges(bits: list[int], parts: int) -> list[list[int]]:
     return [list(map(int, x)) for x in np.array_split(np.array(bits), parts)]
 
 
-def _mask(bits: list[int]) -> int:
-    mask = sum(1 << b for b in bits)
-    return mask - (1 << 64) if mask >> 63 else mask
-
-
 def _forest(radius: int):
     """Blocks, sorted, to the edges of their spanning forests; whole blocks are compared a batch at a time."""
 
