@@ -44,6 +44,18 @@ def shared_dir(spark: SparkSession) -> str:
     return have.rstrip("/")
 
 
+_WRITTEN: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Delete what this process wrote to the shared folder; results that still read it must be written before."""
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def durable(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -52,6 +64,7 @@ def durable(df: DataFrame, name: str = "step") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestar-{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
