@@ -181,7 +181,7 @@ def _bit_map(values: DataFrame) -> np.ndarray:
 
     slots = values.repartition(partitions(values.sparkSession), F.expr(f"(core & {bits - 1}L) div {piece}")).sortWithinPartitions(F.expr(f"core & {bits - 1}L"))
     out = np.zeros(bits // 8, np.uint8)
-    for row in slots.mapInArrow(run, "piece bigint, held binary").toLocalIterator():
+    for row in slots.mapInArrow(run, "piece bigint, held binary").collect():
         at = row.piece * piece // 8
         out[at : at + piece // 8] |= np.frombuffer(row.held, np.uint8)
     return out
