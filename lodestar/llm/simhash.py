@@ -17,12 +17,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm import bitslice
 from lodestar.llm.common import durable, partitions, prepare
 from lodestar.llm.components import connected_components
+from lodestar.llm.suffix_dedup import _bit_map as bit_map
+from lodestar.llm.suffix_dedup import _in_map as in_map
 
 SEED = 42
 #: Distinct fingerprints in a block beyond which it splits further.
@@ -148,103 +150,125 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", words: int =
 
 # -- classes by similarity ------------------------------------------------------
 #
-# A pair of texts whose shingles have Jaccard similarity s differs in each bit
-# with a probability that follows from s, so the share of differing bits of a
-# wide fingerprint estimates s.
+# Exact: two texts are linked if the sets of their shingles (64-bit hashes) have
+# the asked Jaccard similarity.  Sets that similar share one of their first few
+# shingles in any common order (prefix filtering), so candidates meet in blocks
+# of one shingle and none is lost; frequent shingles come last in the order, so
+# that blocks are small.  Every link is verified on the whole sets.
+
+#: Shingles estimated to be in more texts than this come last in the order.
+ORDINARY = 256
+#: Rows of a block beyond which it is dealt out in slices that meet pairwise.
+LARGE = 20_000
+#: Texts, about, whose shingles tell the frequent ones, and how many of those are told apart.
+SAMPLE, FREQUENT = 20_000, 200_000
+#: Shingles of texts remembered while pairs are verified.
+REMEMBERED = 1 << 21
+#: Against rounding of products with the similarity.
+TINY = 1e-6
+
+
+def shingles(text: str | None, words: int = 5) -> np.ndarray:
+    """Hashes of a text's different word shingles, sorted; one shingle if it has fewer words."""
+    parts = (text or "").encode("utf-8").lower().split()
+    digest = xxhash.xxh64_intdigest
+    if len(parts) < words:
+        return np.array([digest(b" ".join(parts))], np.uint64)
+    each = np.fromiter(map(digest, parts), np.uint64, len(parts))
+    n = len(each) - words + 1
+    mixed = np.zeros(n, np.uint64)
+    for i in range(words):
+        mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + each[i : i + n]
+    mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return np.unique(mixed ^ (mixed >> np.uint64(31)))
 
-#: 64-bit words of a wide fingerprint.
-WIDE = 8
-#: Pairs count from this much below the asked similarity: one standard error of the estimate.
-MARGIN = 0.04
-#: How surely a pair at the asked similarity meets in some block.
-RECALL = 0.99
-#: Distinct fingerprints in a block of unrelated texts, about; and when a block is dealt out anew on more bits.
-ORDINARY, LARGE = 256, 20_000
 
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two sorted sets."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
 
-def differing_share(similarity: float) -> float:
-    """Probability that a bit differs: the angle of vectors with that overlap, in half turns."""
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
+def _prefix(own: np.ndarray, frequent: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set in the common order: so many that a similar set shares one."""
+    n = len(own) - math.ceil(similarity * len(own) - TINY) + 1
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
+        late = frequent[at] == own
+        own = np.concatenate([own[~late], own[late][np.argsort(rank[at[late]])]])
+    return own[:n]
 
-def wide_fingerprint(text: str | None, words: int = 5) -> bytes:
-    """SimHash of ``WIDE`` words; zeros if the text has no words."""
-    parts = (text or "").encode("utf-8").lower().split()
-    if not parts:
-        return bytes(8 * WIDE)
-    digest = xxhash.xxh64_intdigest
-    hashes = [digest(b" ".join(s)) for s in zip(*(parts[i:] for i in range(words)))] or [digest(b" ".join(parts))]
-    values, out = np.array(hashes, np.uint64), np.zeros(WIDE, np.uint64)
-    for w in range(WIDE):
-        mixed = values + np.uint64((w + 1) * 0x9E3779B97F4A7C15 & 2**64 - 1)
-        mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        mixed ^= mixed >> np.uint64(31)
-        counts = np.zeros(64, np.int64)
-        for at in range(0, len(mixed), 240):  # counts of 240 rows fit a byte
-            counts += np.unpackbits(mixed[at : at + 240].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
-        out[w] = np.packbits(2 * counts > len(mixed), bitorder="little").view(np.uint64)[0]
-    return out.tobytes()
-
-
-def _bands(share: float, bits: int, seed: int) -> list[np.ndarray]:
-    """Sets of bit numbers, so many that a pair differing in ``share`` of its bits agrees on one with ``RECALL``."""
-    each = (1 - share) ** bits
-    rng = np.random.default_rng(seed)
-    return [np.sort(rng.choice(64 * WIDE, bits, replace=False)) for _ in range(math.ceil(math.log(1 - RECALL) / math.log(1 - each)))]
-
-
-def _banded(bands: list[np.ndarray]):
-    """``node, fp, block`` once for each band: ``block`` hashes the former block, the band and its bits."""
+
+def _frequent(df: DataFrame, text: str, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles of a sample, sorted, and their ranks from the rarest.  They decide the cost, never the result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            n = batch.num_rows
-            fps = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(n, -1)
-            bits = np.unpackbits(fps, axis=1, bitorder="little")
-            former = np.asarray(batch.column(2)).view(np.uint64)
-            for number, band in enumerate(bands):
-                value = bits[:, band].astype(np.uint64) @ (np.uint64(1) << np.arange(len(band), dtype=np.uint64))
-                block = (former + value + np.uint64(number + 1 << 40)) * np.uint64(0x9E3779B97F4A7C15)
-                block = (block ^ (block >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(block.view(np.int64))], ["node", "fp", "block"])
-
-    return run
+            for t in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py(), words).view(np.int64))], ["shingle"])
 
-
-def _similar_forest(most: int):
-    """Rows sorted by block to edges of spanning forests of pairs with ``most`` differing bits at most."""
-    share = most / (64 * WIDE)
-    first = int(64 * share + 3.5 * math.sqrt(64 * share * (1 - share)))  # of the first word, for nearly all such pairs
-
-    def compare(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(rows)
-        block = table.column("block").to_numpy()
-        node = table.column("node").to_numpy()
-        fps = np.frombuffer(b"".join(table.column("fp").to_pylist()), np.uint64).reshape(-1, WIDE)
-        groups = np.cumsum(np.r_[0, block[1:] != block[:-1]])
-        near = lambda i, j: np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1) <= most
-        a, b = bitslice.spanning_edges(np.ascontiguousarray(fps[:, 0]), groups, first, near)
-        return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["u", "v"])
+    share = max(1, df.count() // SAMPLE)
+    body = F.coalesce(F.col(text), F.lit(""))
+    some = df.select(body.alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).dropDuplicates(["text"])
+    counts = some.mapInArrow(run, "shingle bigint").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= max(8, ORDINARY // share))
+    top = counts.orderBy(F.desc("n"), "shingle").limit(FREQUENT).collect()
+    found = np.array([r.shingle for r in reversed(top)], np.int64).view(np.uint64)
+    order = np.argsort(found)
+    return found[order], order
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``node, size, prefix`` to one row a shingle of the prefix, with its place."""
+    for batch in batches:
+        held = [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
+        if not held:
+            continue
+        lengths = np.array([len(x) for x in held])
+        place = np.concatenate([np.arange(n, dtype=np.int32) for n in lengths])
+        columns = [np.concatenate(held), np.repeat(np.asarray(batch.column(0)), lengths), np.repeat(np.asarray(batch.column(1)), lengths), place]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["shingle", "node", "size", "place"])
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows, sorted by shingle, whose shingle has more than one row."""
+    last, taken = None, True
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        shingle = np.asarray(batch.column(0))
+        same = shingle[1:] == shingle[:-1]
+        keep = np.r_[False, same] | np.r_[same, False]
+        if last is not None and last.column(0)[0].as_py() == shingle[0]:
+            keep[0] = True
+            if not taken:
+                yield last
+        yield batch.filter(pa.array(keep))
+        last, taken = batch.slice(batch.num_rows - 1, 1), bool(keep[-1])
+
+
+def _verified(words: int, similarity: float):
+    """``u, v`` and their texts to those pairs whose shingle sets are as similar as asked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[pa.RecordBatch] = []
+        known: dict[int, np.ndarray] = {}
+        held = 0
+
+        def of(node: int, text: pa.Scalar) -> np.ndarray:
+            nonlocal held
+            if node not in known:
+                own = shingles(text.as_py(), words)
+                if held + len(own) > REMEMBERED:
+                    known.clear()
+                    held = 0
+                known[node] = own
+                held += len(own)
+            return known[node]
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            block = batch.column(2).to_numpy()
-            other = np.flatnonzero(block != block[-1])
-            cut = int(other[-1]) + 1 if len(other) else 0
-            if rest and (cut or rest[-1].column(2)[-1].as_py() != block[-1]):
-                yield compare([*rest, batch.slice(0, cut)])
-                rest = []
-            elif cut:
-                yield compare([batch.slice(0, cut)])
-            rest.append(batch.slice(cut))
-        if rest:
-            yield compare(rest)
+            u, v = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ok = [jaccard(of(u[i], batch.column(2)[i]), of(v[i], batch.column(3)[i])) >= similarity - 1e-12 for i in range(len(u))]
+            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
@@ -253,42 +277,77 @@ def similar_classes(df: DataFrame, key: str = "doc_id", text: str = "text", word
     """``key, hash, component, keeper``: one row per different (key, text).
 
     ``hash`` is ``xxhash64`` of the text (null as empty), ``component`` names a
-    class of texts that estimated similarities of ``similarity`` or more
+    class of texts that links of Jaccard similarity ``similarity`` or more
     connect, ``keeper`` marks the one with the smallest key (null keys last).
     Texts without words are alike.
     """
     spark = df.sparkSession
     prepare(spark)
     kind = df.schema[key].dataType.simpleString()
+    frequent, rank = _frequent(df, text, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [wide_fingerprint(t.as_py(), words) for t in batch.column(2)]
-            node = [xxhash.xxh64_intdigest(f) - 2**63 for f in fps]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.binary()), pa.array(node, pa.int64())], ["key", "hash", "fp", "node"])
+            own = [shingles(t.as_py(), words) for t in batch.column(2)]
+            node = [xxhash.xxh64_intdigest(x.tobytes()) - 2**63 for x in own]
+            prefix = [_prefix(x, frequent, rank, similarity).tobytes() for x in own]
+            columns = [pa.array(node, pa.int64()), pa.array([len(x) for x in own], pa.int32()), pa.array(prefix, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["key", "hash", "node", "size", "prefix"])
 
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = durable(df.select(F.col(key).alias("key"), F.xxhash64(body).alias("hash"), body.alias("text")).mapInArrow(run, f"key {kind}, hash bigint, fp binary, node bigint"), "wide")
-    distinct = durable(rows.groupBy("node").agg(F.first("fp").alias("fp")), "distinct")
-    n = distinct.count()
-    share = differing_share(similarity)
-    most = int(64 * WIDE * differing_share(max(0.0, similarity - MARGIN)))
-    bits = min(20, max(2, math.ceil(math.log2(max(1, n) / ORDINARY)))) if n > ORDINARY else 1
-    edges, level = [], distinct.select("node", "fp", F.lit(0).cast("long").alias("block"))
-    for number, width in enumerate((bits, 10)):
-        # Cheap to make again, large to keep: blocks are counted first, then made anew for the comparison.
-        met = level.mapInArrow(_banded(_bands(share, width, number)), "node bigint, fp binary, block bigint")
-        large = durable(met.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > LARGE).select("block"), "large")
-        again = number == 0 and large.limit(1).count() > 0
-        ready = met.join(large, "block", "left_anti") if again else met
-        dealt = ready.select("node", "fp", "block").repartition(partitions(spark), "block").sortWithinPartitions("block", "fp")
-        edges.append(dealt.mapInArrow(_similar_forest(most), "u bigint, v bigint"))
-        if not again:
-            break
-        level = met.join(large, "block", "left_semi").select("node", "fp", "block")
-    found = connected_components(edges[0] if len(edges) == 1 else edges[0].unionByName(edges[1]))
-    order = F.struct(F.col("key").isNull(), "key", "hash")
+    docs = df.select(F.col(key).alias("key"), F.xxhash64(body).alias("hash"), body.alias("text"))
+    rows = durable(docs.mapInArrow(run, f"key {kind}, hash bigint, node bigint, size int, prefix binary"), "prefixes")
     slim = rows.select("key", "hash", "node").distinct()
+    distinct = rows.groupBy("node").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    entry = "shingle bigint, node bigint, size int, place int"
+    dealt = distinct.mapInArrow(_entries, entry).repartition(partitions(spark), "shingle").sortWithinPartitions("shingle")
+    met = durable(dealt.mapInArrow(_shared, entry), "met")
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+        order = F.struct(F.col("key").isNull(), "key", "hash")
+        asked = rows.select("key", "hash", "node").join(nodes, "node").groupBy("node").agg(F.min(order).alias("first"))
+        asked = durable(asked.select("node", F.col("first.key").alias("_ls_key"), F.col("first.hash").alias("_ls_hash")), "asked")
+        held = bit_map(asked.select(F.xxhash64("_ls_key", "_ls_hash")))
+
+        def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(in_map(held, np.asarray(batch.column(0)))))
+
+        some = docs.select(F.xxhash64("key", "hash").alias("at"), "key", "hash", "text").mapInArrow(likely, f"at bigint, key {kind}, hash bigint, text string")
+        some = some.join(asked, some.key.eqNullSafe(asked["_ls_key"]) & (some.hash == asked["_ls_hash"])).select("node", "text")
+        texts = durable(some.dropDuplicates(["node"]), "texts")
+        of = lambda at, name: texts.select(F.col("node").alias(at), F.col("text").alias(name))
+        both = pairs.join(of("u", "a"), "u").join(of("v", "b"), "v").select("u", "v", "a", "b")
+        return durable(both.mapInArrow(_verified(words, similarity), "u bigint, v bigint"), name)
+
+    def could(size, place, other_size, other_place):
+        """At the first shingle in common, what follows must suffice for the similarity."""
+        least = F.ceil((size + other_size) * (similarity / (1 + similarity)) - TINY)
+        return F.least(size - place, other_size - other_place) >= least
+
+    # Neighbours by size in each block first: they connect most of what is alike.
+    after = Window.partitionBy("shingle").orderBy("size", "node")
+    chain = met.select("*", *[F.lead(c).over(after).alias(f"next_{c}") for c in ("node", "size", "place")])
+    chain = chain.where("next_node is not null").where(could(F.col("size"), F.col("place"), F.col("next_size"), F.col("next_place")))
+    pair = [F.least("node", "next_node").alias("u"), F.greatest("node", "next_node").alias("v")]
+    first = durable(chain.select(*pair).distinct(), "pairs")
+    edges = verified(first, "links")
+    # Then all other pairs of each block that are not connected yet.
+    found = connected_components(edges)
+    rooted = met.join(found, "node", "left").select("shingle", "node", "size", "place", F.coalesce("root", "node").alias("root"))
+    apart = rooted.groupBy("shingle").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    slices = F.ceil(F.col("n") / LARGE).cast("int")
+    open_rows = rooted.join(apart.select("shingle", slices.alias("slices")), "shingle").withColumn("own", F.pmod(F.xxhash64("node"), "slices").cast("int"))
+    open_rows = durable(open_rows, "open")
+    others = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
+    left = open_rows.select("shingle", F.col("own").alias("i"), others.alias("j"), *[F.col(c).alias(f"u_{c}") for c in ("node", "size", "place", "root")])
+    right = open_rows.select("shingle", others.alias("i"), F.col("own").alias("j"), *[F.col(c).alias(f"v_{c}") for c in ("node", "size", "place", "root")])
+    crossed = left.join(right, ["shingle", "i", "j"]).where("u_node < v_node and u_root != v_root")
+    crossed = crossed.where(could(F.col("u_size"), F.col("u_place"), F.col("v_size"), F.col("v_place")))
+    rest = crossed.select(F.col("u_node").alias("u"), F.col("v_node").alias("v")).distinct().join(first, ["u", "v"], "left_anti")
+    found = connected_components(edges.unionByName(verified(durable(rest, "pairs"), "links")))
+    order = F.struct(F.col("key").isNull(), "key", "hash")
     named = slim.join(found, slim.node == found.node, "left").select("key", "hash", F.coalesce("root", slim.node).alias("component"))
     named = durable(named, "named")
     # The keepers meet their rows by key and text, which no class makes frequent.

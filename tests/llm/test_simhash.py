@@ -144,3 +144,46 @@ def test_keep_one(spark):
     assert out.columns == df.columns
     assert sorted((r.doc_id or 0, r.text) for r in out.collect()) == [(0, "null key"), (3, base.upper()), (4, "fine text alone"), (7, None)]
     assert S.keep_one(df.limit(0)).count() == 0
+
+
+def shingle_set(text, k=5):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} or {tuple(words)}
+
+
+def brute_classes(texts, similarity=0.8):
+    sets = [shingle_set(t) for t in texts]
+    name = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if name[i] != name[j] and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) - 1e-9:
+                old, new = max(name[i], name[j]), min(name[i], name[j])
+                name = [new if n == old else n for n in name]
+    return name
+
+
+def same_classes(spark, texts):
+    got = {r.doc_id: r.component for r in S.similar_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    least = {}
+    for i in range(len(texts)):
+        least.setdefault(got[i], i)
+    return [least[got[i]] for i in range(len(texts))], brute_classes(texts)
+
+
+def test_links_are_verified(spark):
+    """Two ten-word texts that differ in the last word share 5 of 7 shingles: both stay; so do longer ones below 0.8."""
+    rng = random.Random(3)
+    texts = []
+    for _ in range(40):
+        ten = [f"w{rng.randrange(10**6)}" for _ in range(10)]
+        texts += [" ".join(ten), " ".join(ten[:9] + ["other"])]
+    for n in (100, 300, 1000):
+        for changed in (0.02, 0.021, 0.023, 0.025, 0.03, 0.04) * 4:
+            words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+            copy = list(words)
+            for at in rng.sample(range(n), int(n * changed)):
+                copy[at] = "changed"
+            texts += [" ".join(words), " ".join(copy)]
+    got, want = same_classes(spark, texts)
+    assert got == want
+    assert len(set(want[:80])) == 80
