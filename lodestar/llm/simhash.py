@@ -154,10 +154,11 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", words: int =
 # the asked Jaccard similarity.  Sets that similar share one of their first few
 # shingles in any common order (prefix filtering), so candidates meet in blocks
 # of one shingle and none is lost; frequent shingles come last in the order, so
-# that blocks are small.  Every link is verified on the whole sets.
+# that blocks are small.  Sketches then reject pairs that are surely too
+# different before texts move.  Every link is verified on the whole sets.
 
 #: Shingles estimated to be in more texts than this come last in the order.
-ORDINARY = 256
+ORDINARY = 16
 #: Rows of a block beyond which it is dealt out in slices that meet pairwise.
 LARGE = 20_000
 #: Texts, about, whose shingles tell the frequent ones, and how many of those are told apart.
@@ -190,6 +191,27 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def sketch(own: np.ndarray) -> np.ndarray:
+    """A bit for each value of a set's low bits: whether an odd number of members has it.
+
+    Sketches of two sets never differ in more bits than the sets in members;
+    folding one in halves keeps that.
+    """
+    bits = max(64, 1 << (2 * len(own) - 1).bit_length())
+    odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def too_different(a: np.ndarray, b: np.ndarray, sizes: int, similarity: float) -> bool:
+    """Whether two sketches rule out that their sets, of so many members together, are as similar as asked."""
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    most = sizes - 2 * math.ceil(sizes * similarity / (1 + similarity) - TINY)
+    return int(np.bitwise_count(a ^ b).sum()) > most
+
+
 def _prefix(own: np.ndarray, frequent: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
     """The first shingles of a set in the common order: so many that a similar set shares one."""
     n = len(own) - math.ceil(similarity * len(own) - TINY) + 1
@@ -211,7 +233,7 @@ def _frequent(df: DataFrame, text: str, words: int) -> tuple[np.ndarray, np.ndar
     share = max(1, df.count() // SAMPLE)
     body = F.coalesce(F.col(text), F.lit(""))
     some = df.select(body.alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).dropDuplicates(["text"])
-    counts = some.mapInArrow(run, "shingle bigint").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= max(8, ORDINARY // share))
+    counts = some.mapInArrow(run, "shingle bigint").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= max(2, ORDINARY // share))
     top = counts.orderBy(F.desc("n"), "shingle").limit(FREQUENT).collect()
     found = np.array([r.shingle for r in reversed(top)], np.int64).view(np.uint64)
     order = np.argsort(found)
@@ -247,6 +269,19 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, taken = batch.slice(batch.num_rows - 1, 1), bool(keep[-1])
 
 
+def _possible(similarity: float):
+    """Pairs ``u, v`` whose sketches do not rule them out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = ([np.frombuffer(x, np.uint64) for x in batch.column(i).to_pylist()] for i in (3, 4))
+            sizes = batch.column(2).to_pylist()
+            ok = [not too_different(a[i], b[i], sizes[i], similarity) for i in range(len(sizes))]
+            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
 def _verified(words: int, similarity: float):
     """``u, v`` and their texts to those pairs whose shingle sets are as similar as asked."""
 
@@ -291,19 +326,26 @@ def similar_classes(df: DataFrame, key: str = "doc_id", text: str = "text", word
             own = [shingles(t.as_py(), words) for t in batch.column(2)]
             node = [xxhash.xxh64_intdigest(x.tobytes()) - 2**63 for x in own]
             prefix = [_prefix(x, frequent, rank, similarity).tobytes() for x in own]
-            columns = [pa.array(node, pa.int64()), pa.array([len(x) for x in own], pa.int32()), pa.array(prefix, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["key", "hash", "node", "size", "prefix"])
+            drawn = [sketch(x).tobytes() for x in own]
+            columns = [pa.array(node, pa.int64()), pa.array([len(x) for x in own], pa.int32()), pa.array(prefix, pa.binary()), pa.array(drawn, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["key", "hash", "node", "size", "prefix", "sketch"])
 
     body = F.coalesce(F.col(text), F.lit(""))
     docs = df.select(F.col(key).alias("key"), F.xxhash64(body).alias("hash"), body.alias("text"))
-    rows = durable(docs.mapInArrow(run, f"key {kind}, hash bigint, node bigint, size int, prefix binary"), "prefixes")
+    rows = durable(docs.mapInArrow(run, f"key {kind}, hash bigint, node bigint, size int, prefix binary, sketch binary"), "prefixes")
     slim = rows.select("key", "hash", "node").distinct()
     distinct = rows.groupBy("node").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
     entry = "shingle bigint, node bigint, size int, place int"
     dealt = distinct.mapInArrow(_entries, entry).repartition(partitions(spark), "shingle").sortWithinPartitions("shingle")
     met = durable(dealt.mapInArrow(_shared, entry), "met")
 
+    drawn = rows.select("node", "size", "sketch").join(met.select("node").distinct(), "node", "left_semi")
+    drawn = durable(drawn.groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch")), "sketches")
+
     def verified(pairs: DataFrame, name: str) -> DataFrame:
+        ends = lambda at: drawn.select(F.col("node").alias(at), F.col("size").alias(f"{at}_size"), F.col("sketch").alias(f"{at}_sketch"))
+        pairs = pairs.join(ends("u"), "u").join(ends("v"), "v").select("u", "v", (F.col("u_size") + F.col("v_size")).alias("sizes"), "u_sketch", "v_sketch")
+        pairs = durable(pairs.mapInArrow(_possible(similarity), "u bigint, v bigint"), "possible")
         nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
         order = F.struct(F.col("key").isNull(), "key", "hash")
         asked = rows.select("key", "hash", "node").join(nodes, "node").groupBy("node").agg(F.min(order).alias("first"))

@@ -187,3 +187,15 @@ def test_links_are_verified(spark):
     got, want = same_classes(spark, texts)
     assert got == want
     assert len(set(want[:80])) == 80
+
+
+def test_sketches_never_rule_out_a_link():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 5, 9, 31, 33, 100, 400, 3000):
+        for _ in range(20):
+            both = rng.integers(0, 2**63, n).astype(np.uint64)
+            extra = int(rng.integers(0, n // 4 + 1))
+            split = int(rng.integers(0, extra + 1))
+            more = rng.integers(0, 2**63, extra).astype(np.uint64)
+            a, b = np.unique(np.r_[both, more[:split]]), np.unique(np.r_[both, more[split:]])
+            assert S.jaccard(a, b) < 0.8 or not S.too_different(S.sketch(a), S.sketch(b), len(a) + len(b), 0.8)
