@@ -72,6 +72,44 @@ def differing(a: Column, b: Column) -> Column:
     return F.when(root(a) == root(b), F.array().cast("array<string>")).otherwise(F.array_except(paragraphs(a), paragraphs(b)))
 
 
+def n_differing(a: Column, b: Column) -> Column:
+    """How many of a's paragraphs b does not hold, repeats included; 0 for equal roots.  By sorting, so not quadratic."""
+    tagged = lambda fp, tag: F.transform(paragraphs(fp), lambda p: F.concat(p, F.lit(tag)))
+    state = lambda last, n: F.struct(last.alias("last"), n.alias("n"))
+
+    def step(seen: Column, x: Column) -> Column:
+        own = F.substring(x, 1, NODE_DIGITS)
+        more = seen["n"] + (own != seen["last"]).cast("int")
+        return F.when(F.endswith(x, F.lit("0")), state(own, seen["n"])).otherwise(state(seen["last"], more))
+
+    both = F.sort_array(F.concat(tagged(b, "0"), tagged(a, "1")))
+    return F.when(root(a) == root(b), F.lit(0)).otherwise(F.aggregate(both, state(F.lit(""), F.lit(0)), step, lambda seen: seen["n"]))
+
+
+def differing_at(a: Column, b: Column) -> Column:
+    """``section, paragraph`` (from 0) of each place where the trees differ, in order.
+
+    Sections are compared by place and only unequal ones entered; a place that
+    one tree lacks differs.  Trees that differ only in their blank lines have
+    no such place.
+    """
+    sections = lambda fp: F.split(F.substring(fp, ROOT_DIGITS + 2, 2**31 - 1), ";", -1)
+    hashes = lambda s: F.coalesce(paragraphs(s), F.array().cast("array<string>"))
+    places = lambda x, y: F.sequence(F.lit(0), F.greatest(F.size(x), F.size(y)) - 1)
+    nowhere = F.array().cast("array<struct<section:int,paragraph:int>>")
+
+    def entered(i: Column, x: Column, y: Column) -> Column:
+        other = F.filter(places(x, y), lambda j: ~F.get(x, j).eqNullSafe(F.get(y, j)))
+        return F.transform(other, lambda j: F.struct(i.alias("section"), j.alias("paragraph")))
+
+    def of_section(i: Column) -> Column:
+        x, y = F.get(sections(a), i), F.get(sections(b), i)
+        same = F.substring_index(x, "=", 1).eqNullSafe(F.substring_index(y, "=", 1))
+        return F.when(same, nowhere).otherwise(entered(i, hashes(x), hashes(y)))
+
+    return F.when(root(a) == root(b), nowhere).otherwise(F.flatten(F.transform(places(sections(a), sections(b)), of_section)))
+
+
 def with_next(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key, text, next_text``: each row with the text of the next smaller key, the last with the first's.
 
@@ -124,4 +162,5 @@ def edited_pairs(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         F.col("edited_fp").alias("edited_fingerprint"),
         like("edited_fp").alias("near_edited"),
         like("next_fp").alias("near_next"),
+        n_differing(F.col("edited_fp"), F.col("fp")).alias("n_differing"),
     )

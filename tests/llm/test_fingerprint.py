@@ -90,3 +90,24 @@ def test_differing_paragraphs(spark):
     df = spark.createDataFrame([("a b\nc d\n\ne f", "a b\nc X\n\ne f")], "a string, b string")
     at = df.select(M.differing(M.fingerprint(F.col("a")), M.fingerprint(F.col("b"))).alias("d")).first().d
     assert at == [md5("c d", 8)]
+
+
+def test_places_of_differing_paragraphs(spark):
+    rows = [("a b\nc d\n\ne f", "a b\nc X\n\ne f"), ("a\nb", "b\na"), ("a\nb", "a\nb\nb\n\nc"), ("a", "a"), ("", "x")]
+    df = spark.createDataFrame(rows, "a string, b string").coalesce(1)
+    a, b = M.fingerprint(F.col("a")), M.fingerprint(F.col("b"))
+    got = df.select(M.differing_at(a, b).alias("at"), M.n_differing(b, a).alias("n")).collect()
+    assert [[tuple(x) for x in r.at] for r in got] == [[(0, 1)], [(0, 0), (0, 1)], [(0, 2), (1, 0)], [], [(0, 0)]]
+    assert [r.n for r in got] == [1, 0, 1, 0, 1]
+
+
+def test_pairs_count_differing(spark):
+    rows = [(2, "a\nb\nc\nd\ne\nf"), (1, "x\nx\nx\nx")]
+    got = {r.doc_id: r.n_differing for r in M.edited_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+    def want(text, following):
+        third = len(text) // 3
+        edited = text[: len(text) - third] + following[:third]
+        return sum(p not in text.split("\n") for p in edited.split("\n"))
+
+    assert got == {2: want(rows[0][1], rows[1][1]), 1: want(rows[1][1], rows[0][1])}
