@@ -199,3 +199,13 @@ def test_sketches_never_rule_out_a_link():
             more = rng.integers(0, 2**63, extra).astype(np.uint64)
             a, b = np.unique(np.r_[both, more[:split]]), np.unique(np.r_[both, more[split:]])
             assert S.jaccard(a, b) < 0.8 or not S.too_different(S.sketch(a), S.sketch(b), len(a) + len(b), 0.8)
+
+
+def test_repeated_lines_count_once(spark):
+    """One line repeated makes no two texts alike, nor do numbers of repeats set copies apart."""
+    rng = random.Random(2)
+    line = " ".join(f"l{i}" for i in range(10))
+    own = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(6)]
+    texts = [" ".join([line] * 50 + [o]) for o in own] + [" ".join([line] * n + [own[0]]) for n in (2, 9)]
+    got, want = same_classes(spark, texts)
+    assert got == want == [0, 1, 2, 3, 4, 5, 0, 0]
