@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestar.shipping import ship
 
@@ -94,14 +95,21 @@ def _below(bounds: list[int], value: Column, inclusive: bool) -> Column:
 def range_buckets(df: DataFrame, key: str, tie: Column, buckets: int) -> Column:
     """A bucket number, never falling in the order of (key, tie), that deals rows evenly.
 
-    ``key`` is an integer column, ``tie`` a hash (long, used unsigned by its top
-    bits) that orders rows of one key.  Bounds are approximate quantiles; a key
-    so frequent that it is several bounds at once is spread over the buckets
-    between them by ``tie``.  Null keys come first.  Only the bounds, ``buckets
-    - 1`` numbers, come to the driver.
+    ``key`` is a column of any ordered type, ``tie`` a hash (long, used unsigned
+    by its top bits) that orders rows of one key.  Bounds are approximate
+    quantiles; a key so frequent that it is several bounds at once is spread
+    over the buckets between them by ``tie``.  Null keys come first.  Only the
+    bounds, fewer numbers than ``buckets``, come to the driver.
     """
-    probabilities = [i / buckets for i in range(1, buckets)]
-    bounds = sorted(map(int, df.approxQuantile(key, probabilities, 0.25 / buckets))) if buckets > 1 else []
+    if buckets < 2:
+        bounds = []
+    elif isinstance(df.schema[key].dataType, T.IntegralType):
+        probabilities = [i / buckets for i in range(1, buckets)]
+        bounds = sorted(map(int, df.approxQuantile(key, probabilities, 0.25 / buckets)))
+    else:  # no quantiles: the first keys of as many ranges, sorted with the ties
+        slim = df.select(F.col(key).alias("key"), tie.alias("tie")).where("key is not null")
+        least = slim.repartitionByRange(buckets, "key", "tie").groupBy(F.spark_partition_id().alias("part")).agg(F.min("key").alias("key"))
+        bounds = [r.key for r in least.orderBy("part").collect()[1:]]
     low, high = _below(bounds, F.col(key), False), _below(bounds, F.col(key), True)
     part = F.shiftrightunsigned(tie, 33)  # 31 bits
     spread = F.shiftright(part * (high - low + 1), 31)

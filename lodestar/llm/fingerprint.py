@@ -1,53 +1,77 @@
 """Merkle fingerprints of documents, in DataFrame operations only.
 
-A document is a tree: sections (between blank lines) hold paragraphs (lines),
-paragraphs hold leaves of a few words.  A leaf's hash is of its text, every
-other node's of its children's hashes, the root's of the sections' and the
-length.  Equal texts have equal trees; where two trees differ, equal nodes need
-not be entered, so differing branches locate an edit.
-
-The fingerprint string keeps the upper nodes and, shortened, the leaves:
-``root;section=paragraph:leaf.leaf...,paragraph:...;section=...``.  Likeness of
-two fingerprints is the share of distinct leaves in common (Dice), 1 for equal
-roots.
+A document is a tree: sections (between empty lines) hold paragraphs (lines),
+paragraphs hold leaves of a few words.  A leaf's hash is of its text, a
+paragraph's of its leaves' hashes, a section's of its paragraphs', the root's
+of the sections' and the length.  Text is cut at fixed separators (two line
+ends, one line end) and leaves leave nothing out, so the children of a node
+say all that it holds: equal roots mean equal texts.
+
+The fingerprint string is the tree: ``root;section;section...``, a section
+``hash=paragraph,paragraph...``, a paragraph ``hash:leaf.leaf...``, leaves'
+hashes shortened (their parent hashes the whole ones).  Likeness of two
+fingerprints is the share of distinct leaves in common (Dice), 1 for equal
+roots.  :func:`differing` descends from the roots and enters only nodes that
+differ, which locates an edit.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import partitions, range_buckets
 
 #: A leaf has up to four words; a word counts up to 40 characters, longer ones go on in further words.
-LEAF = r"(?:[^\s]{1,40}\s*){1,4}|\s+"
-LEAF_DIGITS, NODE_DIGITS, ROOT_DIGITS = 5, 8, 32
+LEAF = r"(?:[^\x20\x09-\x0D]{1,40}[\x20\x09-\x0D]*){1,4}|[\x20\x09-\x0D]+"
+LEAF_DIGITS, NODE_DIGITS, ROOT_DIGITS = 8, 16, 32
 BUCKETS = 4
 
 
-def _hex(text: Column, digits: int) -> Column:
-    return F.substring(F.md5(text), 1, digits)
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _hash(children: Column, digits: int = NODE_DIGITS) -> Column:
+    return F.substring(F.md5(children), 1, digits)
 
 
 def fingerprint(text: Column) -> Column:
     """The fingerprint string of a text; null counts as empty."""
-    body = F.coalesce(text, F.lit(""))
 
     def paragraph(p: Column) -> Column:
-        leaves = F.transform(F.regexp_extract_all(p, F.lit(LEAF), F.lit(0)), lambda x: _hex(x, LEAF_DIGITS))
-        return F.concat(_hex(p, NODE_DIGITS), F.lit(":"), F.array_join(leaves, "."))
+        leaves = F.transform(F.regexp_extract_all(p, F.lit(LEAF), F.lit(0)), lambda x: F.md5(x))
+        shown = lambda own: F.array_join(F.transform(own, lambda x: F.substring(x, 1, LEAF_DIGITS)), ".")
+        return _bound(leaves, lambda own: F.concat(_hash(F.array_join(own, "")), F.lit(":"), shown(own)))
 
     def section(s: Column) -> Column:
-        paragraphs = F.array_join(F.transform(F.split(s, "\n", -1), paragraph), ",")
-        return F.concat(_hex(paragraphs, NODE_DIGITS), F.lit("="), paragraphs)
+        of = lambda own: F.array_join(F.transform(own, lambda p: F.substring(p, 1, NODE_DIGITS)), ",")
+        return _bound(F.transform(F.split(s, "\n", -1), paragraph), lambda own: F.concat(_hash(of(own)), F.lit("="), F.array_join(own, ",")))
+
+    def whole(body: Column) -> Column:
+        of = lambda own: F.array_join(F.transform(own, lambda s: F.substring(s, 1, NODE_DIGITS)), ",")
+        top = lambda own: F.sha2(F.concat(F.char_length(body).cast("string"), F.lit(":"), of(own)), 256)
+        sections = F.transform(F.split(body, "\n\n", -1), section)
+        return _bound(sections, lambda own: F.concat(F.substring(top(own), 1, ROOT_DIGITS), F.lit(";"), F.array_join(own, ";")))
 
-    sections = F.array_join(F.transform(F.split(body, r"\n(?:[ \t]*\n)+", -1), section), ";")
-    # The split drops how many blank lines there were, so the root also takes the whole text.
-    return F.concat(F.substring(F.sha2(body, 256), 1, ROOT_DIGITS), F.lit(";"), sections)
+    return _bound(F.coalesce(text, F.lit("")), whole)
 
 
 def root(fp: Column) -> Column:
-    return F.substring_index(fp, ";", 1)
+    return F.substring(fp, 1, ROOT_DIGITS)
+
+
+def sections(fp: Column) -> Column:
+    """The strings of a fingerprint's sections, in order."""
+    return F.split(F.substring(fp, ROOT_DIGITS + 2, 2**31 - 1), ";", -1)
+
+
+def paragraphs(section: Column) -> Column:
+    """The strings of a section's paragraphs, in order."""
+    return F.split(F.substring(section, NODE_DIGITS + 2, 2**31 - 1), ",", -1)
 
 
 def leaves(fp: Column) -> Column:
@@ -62,52 +86,42 @@ def likeness(a: Column, b: Column, a_leaves: Column, b_leaves: Column) -> Column
     return F.when(root(a) == root(b), F.lit(1.0)).otherwise(dice)
 
 
-def paragraphs(fp: Column) -> Column:
-    """Hashes of a fingerprint's paragraphs, in order over all sections."""
-    return F.regexp_extract_all(fp, F.lit(r"([0-9a-f]{8}):"), F.lit(1))
-
-
-def differing(a: Column, b: Column) -> Column:
-    """Distinct hashes of a's paragraphs that b does not hold: where an edit lies. None for equal roots."""
-    return F.when(root(a) == root(b), F.array().cast("array<string>")).otherwise(F.array_except(paragraphs(a), paragraphs(b)))
+def _unlike(a: Column, b: Column, body: Callable[[Column, Column, Column], Column]) -> Column:
+    """``body(x, y, place)`` for the children of two nodes between those that their beginnings and ends have in common.
 
+    Children meet by place; where one node has more of them the other's child
+    is null.  The nodes must differ.
+    """
 
-def n_differing(a: Column, b: Column) -> Column:
-    """How many of a's paragraphs b does not hold, repeats included; 0 for equal roots.  By sorting, so not quadratic."""
-    tagged = lambda fp, tag: F.transform(paragraphs(fp), lambda p: F.concat(p, F.lit(tag)))
-    state = lambda last, n: F.struct(last.alias("last"), n.alias("n"))
+    def same(x: Column, y: Column) -> Column:
+        return F.array_position(F.zip_with(x, y, lambda u, v: u.eqNullSafe(v)), False).cast("int") - 1
 
-    def step(seen: Column, x: Column) -> Column:
-        own = F.substring(x, 1, NODE_DIGITS)
-        more = seen["n"] + (own != seen["last"]).cast("int")
-        return F.when(F.endswith(x, F.lit("0")), state(own, seen["n"])).otherwise(state(seen["last"], more))
+    def of(both: Column) -> Column:
+        a, b, first = both["a"], both["b"], both["first"]
+        last = F.least(same(F.reverse(a), F.reverse(b)), F.size(a) - first, F.size(b) - first)
+        middle = lambda x, last: F.slice(x, first + 1, F.size(x) - first - last)
+        pairs = _bound(last, lambda n: F.zip_with(middle(a, n), middle(b, n), lambda x, y: F.struct(x.alias("x"), y.alias("y"))))
+        return F.transform(pairs, lambda pair, i: body(pair["x"], pair["y"], first + i))
 
-    both = F.sort_array(F.concat(tagged(b, "0"), tagged(a, "1")))
-    return F.when(root(a) == root(b), F.lit(0)).otherwise(F.aggregate(both, state(F.lit(""), F.lit(0)), step, lambda seen: seen["n"]))
+    held = F.struct(a.alias("a"), b.alias("b"))
+    return _bound(held, lambda h: _bound(F.struct(h["a"].alias("a"), h["b"].alias("b"), same(h["a"], h["b"]).alias("first")), of))
 
 
-def differing_at(a: Column, b: Column) -> Column:
-    """``section, paragraph`` (from 0) of each place where the trees differ, in order.
+def differing(a: Column, b: Column) -> Column:
+    """Places where two trees differ, in order, by descent from the roots: none if the roots are equal.
 
-    Sections are compared by place and only unequal ones entered; a place that
-    one tree lacks differs.  Trees that differ only in their blank lines have
-    no such place.
+    At each node, children that both beginnings or both ends have in common are
+    passed over; of the rest, those at the same place are compared and entered
+    if unequal.  ``"3:0"`` is paragraph 0 of section 3 (from 0, counted in either
+    tree); ``"3"`` is a section that only one tree has.
     """
-    sections = lambda fp: F.split(F.substring(fp, ROOT_DIGITS + 2, 2**31 - 1), ";", -1)
-    hashes = lambda s: F.coalesce(paragraphs(s), F.array().cast("array<string>"))
-    places = lambda x, y: F.sequence(F.lit(0), F.greatest(F.size(x), F.size(y)) - 1)
-    nowhere = F.array().cast("array<struct<section:int,paragraph:int>>")
-
-    def entered(i: Column, x: Column, y: Column) -> Column:
-        other = F.filter(places(x, y), lambda j: ~F.get(x, j).eqNullSafe(F.get(y, j)))
-        return F.transform(other, lambda j: F.struct(i.alias("section"), j.alias("paragraph")))
+    nowhere = F.array().cast("array<string>")
 
-    def of_section(i: Column) -> Column:
-        x, y = F.get(sections(a), i), F.get(sections(b), i)
-        same = F.substring_index(x, "=", 1).eqNullSafe(F.substring_index(y, "=", 1))
-        return F.when(same, nowhere).otherwise(entered(i, hashes(x), hashes(y)))
+    def in_section(x: Column, y: Column, at: Column) -> Column:
+        deeper = _unlike(paragraphs(x), paragraphs(y), lambda p, q, j: F.when(p.eqNullSafe(q), F.lit(None).cast("string")).otherwise(F.concat_ws(":", at.cast("string"), j.cast("string"))))
+        return F.when(x.isNull() | y.isNull(), F.array(at.cast("string"))).when(x == y, nowhere).otherwise(F.array_compact(deeper))
 
-    return F.when(root(a) == root(b), nowhere).otherwise(F.flatten(F.transform(places(sections(a), sections(b)), of_section)))
+    return F.when(root(a) == root(b), nowhere).otherwise(F.flatten(_unlike(sections(a), sections(b), in_section)))
 
 
 def with_next(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -120,7 +134,7 @@ def with_next(df: DataFrame, key: str, text: str) -> DataFrame:
     """
     n = partitions(df.sparkSession) * BUCKETS
     rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    rows = rows.withColumn("bucket", range_buckets(df.select(F.col(key).alias("key")), "key", F.col("tie"), n))
+    rows = rows.withColumn("bucket", range_buckets(rows.select("key", "tie"), "key", F.col("tie"), n))
     # In descending order the buckets run from the highest to the lowest.
     down = [F.desc_nulls_last("key"), F.shiftrightunsigned("tie", 1).desc(), F.desc("tie")]
     rank = lambda k, t: F.struct(k.isNotNull(), k, F.shiftrightunsigned(t, 1), t)
@@ -154,6 +168,7 @@ def edited_pairs(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     made = made.select("key", "n_chars", "fp", "next_fp", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("edited")).alias("edited_fp"))
     made = made.select("*", *[leaves(F.col(c)).alias(f"{c}_leaves") for c in ("fp", "edited_fp", "next_fp")])
     like = lambda c: likeness(F.col("fp"), F.col(c), F.col("fp_leaves"), F.col(f"{c}_leaves"))
+    made = made.withColumn("places", differing(F.col("fp"), F.col("edited_fp")))
     return made.select(
         F.col("key").alias(key),
         "n_chars",
@@ -162,5 +177,6 @@ def edited_pairs(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         F.col("edited_fp").alias("edited_fingerprint"),
         like("edited_fp").alias("near_edited"),
         like("next_fp").alias("near_next"),
-        n_differing(F.col("edited_fp"), F.col("fp")).alias("n_differing"),
+        F.size("places").alias("n_differing"),
+        F.array_join("places", ",").alias("differing"),
     )

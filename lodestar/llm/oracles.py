@@ -50,24 +50,39 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)"""
 
 
 def fingerprints_sql() -> str:
-    """The same trees from lists; a text, its edited text and the next one are three rows."""
-    leaf = f"list_transform(regexp_extract_all(p, '{fingerprint.LEAF}'), lambda x: substring(md5(x), 1, {fingerprint.LEAF_DIGITS}))"
-    node = fingerprint.NODE_DIGITS
+    """The same trees from lists, leaves first; a text, its edited text and the next one are three rows.
+
+    Differing places come from rows: one for each section that both trees do not
+    have in common, then one for each paragraph of those.
+    """
+    f, node = fingerprint, fingerprint.NODE_DIGITS
+    same = "list_transform(list_zip({a}, {b}), lambda z: z[1] IS NOT DISTINCT FROM z[2])"
+    first = lambda a, b: f"list_position({same.format(a=a, b=b)}, false) - 1"
+    last = lambda a, b: f"least({first(f'list_reverse({a})', f'list_reverse({b})')}, len({a}) - p, len({b}) - p)"
+    rows = "SELECT {keep}, p + i - 1 AS nth, a[p + i] AS x, b[p + i] AS y, i > len(a) - p - r AS only_b, i > len(b) - p - r AS only_a FROM (SELECT *, unnest(range(1, greatest(len(a), len(b)) - p - r + 1)) AS i FROM {of})"
     return rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 o AS (SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS nt FROM d),
 e AS (SELECT doc_id, t, nt, length(t) AS n, concat(substring(t, 1, length(t) - length(t) // 3), substring(nt, 1, length(t) // 3)) AS et FROM o),
 u AS (SELECT doc_id, 1 AS part, t AS x FROM e UNION ALL SELECT doc_id, 2, et FROM e UNION ALL SELECT doc_id, 3, nt FROM e),
-s AS (SELECT doc_id, part, x, list_transform(string_split_regex(x, '
-(?:[ 	]*
-)+'), lambda y: string_split(y, chr(10))) AS s FROM u),
-p AS (SELECT doc_id, part, x, list_transform(s, lambda y: array_to_string(list_transform(y, lambda p: concat(substring(md5(p), 1, {node}), ':', array_to_string({leaf}, '.'))), ',')) AS joined,
-list_distinct(flatten(list_transform(flatten(s), lambda p: {leaf}))) AS leaves, list_transform(flatten(s), lambda p: substring(md5(p), 1, {node})) AS paragraphs FROM s),
-f AS (SELECT doc_id, part, substring(sha256(x), 1, {fingerprint.ROOT_DIGITS}) AS root, leaves, paragraphs, concat(substring(sha256(x), 1, {fingerprint.ROOT_DIGITS}), ';', array_to_string(list_transform(joined, lambda y: concat(substring(md5(y), 1, {node}), '=', y)), ';')) AS fp FROM p)
-SELECT e.doc_id, e.n::BIGINT AS n_chars, sha256(e.et) AS edited_sha256, a.fp AS fingerprint, b.fp AS edited_fingerprint,
+l AS (SELECT doc_id, part, x, list_transform(string_split(x, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda p: list_transform(regexp_extract_all(p, '{f.LEAF}'), lambda y: md5(y)))) AS l FROM u),
+p AS (SELECT doc_id, part, x, list_distinct(list_transform(flatten(flatten(l)), lambda y: substring(y, 1, {f.LEAF_DIGITS}))) AS leaves,
+list_transform(l, lambda s: list_transform(s, lambda p: concat(substring(md5(array_to_string(p, '')), 1, {node}), ':', array_to_string(list_transform(p, lambda y: substring(y, 1, {f.LEAF_DIGITS})), '.')))) AS p FROM l),
+s AS (SELECT doc_id, part, x, leaves, list_transform(p, lambda s: concat(substring(md5(array_to_string(list_transform(s, lambda q: substring(q, 1, {node})), ',')), 1, {node}), '=', array_to_string(s, ','))) AS s FROM p),
+f AS (SELECT doc_id, part, leaves, s, substring(sha256(concat(length(x), ':', array_to_string(list_transform(s, lambda y: substring(y, 1, {node})), ','))), 1, {f.ROOT_DIGITS}) AS root FROM s),
+g AS (SELECT a.doc_id, a.s AS a, b.s AS b FROM f a JOIN f b USING (doc_id) WHERE a.part = 1 AND b.part = 2 AND a.root <> b.root),
+g1 AS (SELECT *, {last("a", "b")} AS r FROM (SELECT *, {first("a", "b")} AS p FROM g)),
+h AS ({rows.format(keep="doc_id", of="g1")}),
+k AS (SELECT doc_id, nth AS section, string_split(substring(x, {node + 2}), ',') AS a, string_split(substring(y, {node + 2}), ',') AS b FROM h WHERE NOT only_a AND NOT only_b AND x <> y),
+k1 AS (SELECT *, {last("a", "b")} AS r FROM (SELECT *, {first("a", "b")} AS p FROM k)),
+m AS ({rows.format(keep="doc_id, section", of="k1")}),
+w AS (SELECT doc_id, nth AS section, -1 AS paragraph, nth::VARCHAR AS place FROM h WHERE only_a OR only_b
+UNION ALL SELECT doc_id, section, nth, concat(section, ':', nth) FROM m WHERE only_a OR only_b OR x <> y),
+v AS (SELECT doc_id, count(*)::INTEGER AS n, string_agg(place, ',' ORDER BY section, paragraph) AS places FROM w GROUP BY doc_id)
+SELECT e.doc_id, e.n::BIGINT AS n_chars, sha256(e.et) AS edited_sha256, concat(a.root, ';', array_to_string(a.s, ';')) AS fingerprint, concat(b.root, ';', array_to_string(b.s, ';')) AS edited_fingerprint,
 CASE WHEN a.root = b.root THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(a.leaves, b.leaves)) / greatest(len(a.leaves) + len(b.leaves), 1) END AS near_edited,
 CASE WHEN a.root = c.root THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(a.leaves, c.leaves)) / greatest(len(a.leaves) + len(c.leaves), 1) END AS near_next,
-(CASE WHEN a.root = b.root THEN 0 ELSE len(list_filter(b.paragraphs, lambda y: NOT list_contains(a.paragraphs, y))) END)::INTEGER AS n_differing
-FROM e JOIN f a ON a.doc_id = e.doc_id AND a.part = 1 JOIN f b ON b.doc_id = e.doc_id AND b.part = 2 JOIN f c ON c.doc_id = e.doc_id AND c.part = 3"""
+coalesce(v.n, 0)::INTEGER AS n_differing, coalesce(v.places, '') AS differing
+FROM e JOIN f a ON a.doc_id = e.doc_id AND a.part = 1 JOIN f b ON b.doc_id = e.doc_id AND b.part = 2 JOIN f c ON c.doc_id = e.doc_id AND c.part = 3 LEFT JOIN v ON v.doc_id = e.doc_id"""
 
 
 ORACLE = {"op1_merkle_fingerprints": fingerprints_sql(), "op3_secret_scan": secrets_sql(), "op6_winnowing_decontamination": contamination_sql()}

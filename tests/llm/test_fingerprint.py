@@ -1,6 +1,7 @@
 """Merkle fingerprints against the same tree built in Python."""
 
 import hashlib
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -13,26 +14,51 @@ def md5(s, n):
 
 
 def tree(text):
+    """(fingerprint, leaves, sections as lists of paragraphs)."""
     text = text or ""
-    sections, leaves = [], set()
-    for s in re.split(r"\n(?:[ \t]*\n)+", text):
+    sections, nodes, leaves = [], [], set()
+    for s in text.split("\n\n"):
         paragraphs = []
         for p in s.split("\n"):
-            own = [md5(x, 5) for x in re.findall(M.LEAF, p, re.ASCII)]
-            leaves |= set(own)
-            paragraphs.append(md5(p, 8) + ":" + ".".join(own))
-        joined = ",".join(paragraphs)
-        sections.append(md5(joined, 8) + "=" + joined)
-    return hashlib.sha256(text.encode()).hexdigest()[:32] + ";" + ";".join(sections), leaves
+            own = [md5(x, 32) for x in re.findall(M.LEAF, p)]
+            leaves |= {x[:8] for x in own}
+            paragraphs.append(md5("".join(own), 16) + ":" + ".".join(x[:8] for x in own))
+        nodes.append(md5(",".join(p[:16] for p in paragraphs), 16))
+        sections.append(paragraphs)
+    root = hashlib.sha256(f"{len(text)}:{','.join(nodes)}".encode()).hexdigest()[:32]
+    return ";".join([root, *[n + "=" + ",".join(s) for n, s in zip(nodes, sections)]]), leaves, sections
 
 
 def dice(a, b):
-    (fa, la), (fb, lb) = tree(a), tree(b)
+    (fa, la, _), (fb, lb, _) = tree(a), tree(b)
     if fa.split(";")[0] == fb.split(";")[0]:
         return 1.0
     return 2 * len(la & lb) / max(1, len(la) + len(lb))
 
 
+def unlike(a, b):
+    """(place, x, y) between the common beginning and the common end of two lists."""
+    first = 0
+    while first < min(len(a), len(b)) and a[first] == b[first]:
+        first += 1
+    last = 0
+    while last < min(len(a), len(b)) - first and a[-1 - last] == b[-1 - last]:
+        last += 1
+    a, b = a[first : len(a) - last], b[first : len(b) - last]
+    for i in range(max(len(a), len(b))):
+        yield first + i, a[i] if i < len(a) else None, b[i] if i < len(b) else None
+
+
+def places(a, b):
+    out = []
+    for i, x, y in unlike(tree(a)[2], tree(b)[2]):
+        if x is None or y is None:
+            out.append(str(i))
+        elif x != y:
+            out += [f"{i}:{j}" for j, p, q in unlike(x, y) if p != q]
+    return out
+
+
 WORDS = " ".join(f"word{i}" for i in range(200))
 ROWS = [
     (9, "One two three four five six.\nSecond line here\n\nA new section\n \t\n\nthird"),
@@ -59,6 +85,7 @@ def test_pairs_against_python(spark):
         assert r.fingerprint == tree(text)[0]
         assert r.edited_fingerprint == tree(edited)[0]
         assert abs(r.near_edited - dice(text, edited)) < 1e-12
+        assert r.differing == ",".join(places(text, edited)) and r.n_differing == len(places(text, edited))
         assert abs(r.near_next - dice(text, following)) < 1e-12
     assert got[7].near_next == 1.0 and got[7].near_edited > 0.5
 
@@ -86,28 +113,49 @@ def test_single_row_and_empty(spark):
     assert M.edited_pairs(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_differing_paragraphs(spark):
-    df = spark.createDataFrame([("a b\nc d\n\ne f", "a b\nc X\n\ne f")], "a string, b string")
-    at = df.select(M.differing(M.fingerprint(F.col("a")), M.fingerprint(F.col("b"))).alias("d")).first().d
-    assert at == [md5("c d", 8)]
-
-
-def test_places_of_differing_paragraphs(spark):
-    rows = [("a b\nc d\n\ne f", "a b\nc X\n\ne f"), ("a\nb", "b\na"), ("a\nb", "a\nb\nb\n\nc"), ("a", "a"), ("", "x")]
-    df = spark.createDataFrame(rows, "a string, b string").coalesce(1)
-    a, b = M.fingerprint(F.col("a")), M.fingerprint(F.col("b"))
-    got = df.select(M.differing_at(a, b).alias("at"), M.n_differing(b, a).alias("n")).collect()
-    assert [[tuple(x) for x in r.at] for r in got] == [[(0, 1)], [(0, 0), (0, 1)], [(0, 2), (1, 0)], [], [(0, 0)]]
-    assert [r.n for r in got] == [1, 0, 1, 0, 1]
-
-
-def test_pairs_count_differing(spark):
-    rows = [(2, "a\nb\nc\nd\ne\nf"), (1, "x\nx\nx\nx")]
-    got = {r.doc_id: r.n_differing for r in M.edited_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-
-    def want(text, following):
-        third = len(text) // 3
-        edited = text[: len(text) - third] + following[:third]
-        return sum(p not in text.split("\n") for p in edited.split("\n"))
-
-    assert got == {2: want(rows[0][1], rows[1][1]), 1: want(rows[1][1], rows[0][1])}
+def test_places_of_differing_branches(spark):
+    rows = [
+        ("a b\nc d\n\ne f", "a b\nc X\n\ne f", ["0:1"]),
+        ("a\nb", "b\na", ["0:0", "0:1"]),
+        ("a\nb", "a\nb\nb\n\nc", ["0:2", "1"]),
+        ("a\n\nb\n\nc", "a\n\nc", ["1"]),
+        ("a\nb\nc\n\nd", "a\nnew\nb\nc\n\nd", ["0:1"]),
+        ("a", "a", []),
+        ("", "x", ["0:0"]),
+        ("x\n\n\ny", "x\n\n\n\ny", ["1:1", "2"]),
+    ]
+    df = spark.createDataFrame([r[:2] for r in rows], "a string, b string").coalesce(1)
+    got = df.select(M.differing(M.fingerprint(F.col("a")), M.fingerprint(F.col("b"))).alias("at")).collect()
+    for (a, b, want), r in zip(rows, got):
+        assert want == places(a, b)
+        assert r["at"] == want
+
+
+def test_random_edits(spark):
+    rng = random.Random(1)
+    text = lambda: "".join(rng.choice(["a", "b ", "\n", "\n\n"]) for _ in range(rng.randrange(12)))
+    rows = [(text(), text()) for _ in range(400)]
+    df = spark.createDataFrame(rows, "a string, b string").coalesce(2)
+    got = df.select("a", "b", M.fingerprint(F.col("a")).alias("fa"), M.fingerprint(F.col("b")).alias("fb"), M.differing(M.fingerprint(F.col("a")), M.fingerprint(F.col("b"))).alias("at")).collect()
+    for r in got:
+        assert (r.fa, r.fb) == (tree(r.a)[0], tree(r.b)[0])
+        assert (r.fa[:32] == r.fb[:32]) == (r.a == r.b) == (not r["at"])
+        assert r["at"] == places(r.a, r.b)
+
+
+def test_long_texts(spark):
+    """Blank lines by the hundred thousand, and two unrelated texts of 10^5 words."""
+    rng = random.Random(2)
+    words = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(100_000))
+    rows = [(3, "a" + "\n" * 200_000 + "b"), (2, words()), (1, words())]
+    got = {r.doc_id: r for r in M.edited_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[2].near_next < 0.005 and got[2].near_edited > 0.5
+    assert got[3].fingerprint == tree(rows[0][1])[0]
+
+
+def test_string_keys(spark):
+    rows = [(f"key-{i:04}", f"text {i}") for i in range(300)] + [(None, "none"), ("key-0150", "text 150")]
+    got = M.edited_pairs(spark.createDataFrame(rows, "doc_id string, text string").select("*", F.lit(1).alias("key"), F.lit(2).alias("tie"))).collect()
+    assert len(got) == 302
+    near = {r.key: r.next_text for r in M.with_next(spark.createDataFrame(rows, "doc_id string, text string"), "doc_id", "text").collect()}
+    assert near["key-0007"] == "text 6" and near["key-0000"] == "none" and near[None] == "text 299"
