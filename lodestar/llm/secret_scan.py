@@ -4,7 +4,10 @@ Each rule's regex is parsed on the driver and turned into a Boolean query over
 trigrams that any match must contain.  The index has a posting ``(trigram,
 document)`` for every trigram that occurs in some rule's query; postings of a
 document meet in one bit set (combined map-side), on which all queries are
-evaluated: that is the intersection and union of posting lists.  Documents that
+evaluated: that is the intersection and union of posting lists.  Postings are
+slim (a key and a hash), and so is the list of documents that survive; while
+that list is small it is broadcast to where the texts are, so texts stay there,
+and beyond ``MOST_BROADCAST`` rows it meets them by a shuffle.  Documents that
 survive for a rule are verified by running its regex over the whole text.  A
 rule without mandatory trigrams scans all texts.
 
@@ -21,6 +24,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.llm.common import durable, fresh
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -44,11 +49,18 @@ ADDED = (
     Rule("slack", r"xox[abprs]-[0-9]{6,}-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("payment", r"[rs]k_live_[A-Za-z0-9]{16,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
+    # A header of bounded length: else a run of beginnings is looked through to its end from each of them.
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,500}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
     Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
 )
 RULES = BASE + ADDED
 MOST_EXACT = 64
+#: Documents that survive the index and are broadcast (some 30 bytes each) rather than shuffled, at most.
+MOST_BROADCAST = 400_000
+#: Code points of a text that are cut apart at once.
+PIECE = 4096
+#: Steps of a prefix sum by doubling: arrays of up to so many elements.
+STEPS = tuple(1 << i for i in range(30))
 
 
 # -- Boolean trigram queries -------------------------------------------------
@@ -142,20 +154,19 @@ def _evaluate(query, bit: dict[str, Column]) -> Column:
 # -- index, candidates, verification -----------------------------------------
 
 
-def postings(df: DataFrame, trigrams: list[str], keys: list[Column], text: Column) -> DataFrame:
+def postings(df: DataFrame, trigrams: list[str], keys: dict[str, Column], text: Column) -> DataFrame:
     """``*keys, trigram`` (an index into ``trigrams``) for each that a text contains."""
     # A projection of its own: texts are lower-cased once, not for each trigram.
-    lowered = df.select(*keys, F.lower(text).alias("_ls_low"))
-    names = [c for c in lowered.columns if c != "_ls_low"]
-    found = F.array_compact(F.array(*[F.when(F.col("_ls_low").contains(t), F.lit(i)) for i, t in enumerate(trigrams)]))
-    return lowered.select(*names, F.explode(found).alias("trigram"))
+    lowered = df.select(*[c.alias(k) for k, c in keys.items()], F.lower(text).alias("low"))
+    found = F.array_compact(F.array(*[F.when(F.col("low").contains(t), F.lit(i)) for i, t in enumerate(trigrams)]))
+    return lowered.select(*keys, F.explode(found).alias("trigram"))
 
 
 def candidates(df: DataFrame, rules: tuple[Rule, ...], keys: dict[str, Column], text: Column) -> DataFrame:
-    """``*keys, _ls_rules``: a bit for each rule whose trigram query a document satisfies."""
+    """``*keys, rules``: a bit for each rule whose trigram query a document satisfies."""
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     trigrams = sorted(set().union(*map(trigrams_of, queries.values())))
-    found = postings(df, trigrams, [c.alias(k) for k, c in keys.items()], text)
+    found = postings(df, trigrams, keys, text)
     words = [f"bits{w}" for w in range((len(trigrams) + 62) // 63)]
     masks = found.groupBy(*keys).agg(
         *[F.expr(f"bit_or(if(trigram div 63 = {w}, shiftleft(1L, trigram % 63), 0L))").alias(name) for w, name in enumerate(words)]
@@ -165,7 +176,22 @@ def candidates(df: DataFrame, rules: tuple[Rule, ...], keys: dict[str, Column],
     for i, r in enumerate(rules):
         if queries[r.kind] is not True:
             mask = mask.bitwiseOR(F.when(_evaluate(queries[r.kind], bit), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
-    return masks.select(*keys, mask.alias("_ls_rules")).where(F.col("_ls_rules") != 0)
+    return masks.select(*keys, mask.alias("rules")).where(F.col("rules") != 0)
+
+
+def _bound(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(values: Column, combine) -> Column:
+    """``combine`` of each element and all before it, by doubling: no array grows element by element."""
+
+    def step(held: Column, by: Column) -> Column:
+        moved = F.concat(F.slice(held, 1, by), F.zip_with(F.slice(held, by + 1, F.size(held) - by), F.slice(held, F.lit(1), F.size(held) - by), combine))
+        return F.when(F.size(held) > by, moved).otherwise(held)
+
+    return F.aggregate(F.array(*map(F.lit, STEPS)), values, step)
 
 
 def _spans(text: Column, rule: Rule, at: int) -> Column:
@@ -178,42 +204,40 @@ def _spans(text: Column, rule: Rule, at: int) -> Column:
     between = F.transform(F.split(text, rule.pattern, -1), lambda s: F.length(s))
     lengths = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda s: F.length(s))
     tests = lengths if not rule.group else F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), lambda s: F.length(s))
-    start = F.aggregate(
-        F.arrays_zip(between.alias("gap"), lengths.alias("hit")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.coalesce(x["hit"], F.lit(0))).alias("at"),
-            F.concat(acc["starts"], F.array(acc["at"] + x["gap"])).alias("starts"),
-        ),
-        lambda acc: acc["starts"],
-    )
-    rows = F.arrays_zip(start.alias("start"), lengths.alias("n"), tests.alias("test"))
-    kept = F.filter(rows, lambda x: x["test"] >= rule.least) if rule.least else F.filter(rows, lambda x: x["n"].isNotNull())
+    # Where each match ends; after the last one there is a gap more.
+    steps = F.zip_with(between, lengths, lambda gap, n: gap + F.coalesce(n, F.lit(0)))
+    rows = F.arrays_zip(_running(steps, lambda a, b: a + b).alias("end"), lengths.alias("n"), tests.alias("test"))
+    kept = F.filter(rows, lambda x: x["n"].isNotNull() & (x["test"] >= rule.least))
     return F.transform(
         kept,
-        lambda x: F.struct(x["start"].alias("start"), F.lit(at).alias("order"), (x["start"] + x["n"]).alias("end"), F.lit(rule.kind).alias("kind")),
+        lambda x: F.struct((x["end"] - x["n"]).alias("start"), F.lit(at).alias("order"), x["end"].alias("end"), F.lit(rule.kind).alias("kind")),
     )
 
 
-def find_secrets(df: DataFrame, text: str = "text", key: str = "doc_id", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def find_secrets(df: DataFrame, text: str = "text", key: str = "doc_id", rules: tuple[Rule, ...] = RULES, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """``df`` with a column ``secrets``: array of (start, order, end, kind) sorted by start, then rule.
 
     Offsets count code points, ends are exclusive.  Null texts count as empty,
     null keys and repeated rows are scanned like others, an empty table gives an
-    empty result.  A column that has the name ``secrets`` is replaced.
+    empty result.  A column that has the name ``secrets`` is replaced, any other
+    is kept.
     """
     kinds = "array<struct<start:int,order:int,end:int,kind:string>>"
     body = F.coalesce(F.col(text), F.lit(""))
-    keys = {"_ls_key": F.col(key).cast("string"), "_ls_hash": F.xxhash64(body)}
-    marked = df.drop("secrets").select("*", *[c.alias(k) for k, c in keys.items()])
-    found = candidates(df.select(key, text), rules, keys, body).withColumnsRenamed({k: f"{k}_" for k in keys})
-    joined = marked.join(found, [marked[k].eqNullSafe(found[f"{k}_"]) for k in keys], "left").drop("_ls_key_", "_ls_hash_")
+    keys = {"key": F.col(key).cast("string"), "hash": F.xxhash64(body)}
+    found = durable(candidates(df.select(key, text), rules, keys, body), "candidates")
+    own_key, own_hash, key_, hash_, which = fresh(df, "own_key", "own_hash", "key", "hash", "rules")
+    found = found.toDF(key_, hash_, which)
+    if found.limit(most_broadcast + 1).count() <= most_broadcast:
+        found = F.broadcast(found)
+    marked = df.drop("secrets").select("*", keys["key"].alias(own_key), keys["hash"].alias(own_hash))
+    joined = marked.join(found, F.col(own_key).eqNullSafe(F.col(key_)) & (F.col(own_hash) == F.col(hash_)), "left")
     empty = F.array().cast(kinds)
     each = []
     for i, r in enumerate(rules):
-        likely = body.rlike(r.pattern) if trigram_query(r.pattern) is True else F.col("_ls_rules").bitwiseAND(F.lit(1 << i).cast("long")) != 0
+        likely = body.rlike(r.pattern) if trigram_query(r.pattern) is True else F.col(which).bitwiseAND(F.lit(1 << i).cast("long")) != 0
         each.append(F.when(likely, _spans(body, r, i).cast(kinds)).otherwise(empty))
-    return joined.withColumn("secrets", F.array_sort(F.concat(*each))).drop("_ls_key", "_ls_hash", "_ls_rules")
+    return joined.withColumn("secrets", F.array_sort(F.concat(*each))).drop(own_key, own_hash, key_, hash_, which)
 
 
 def joined_spans(spans: Column) -> Column:
@@ -221,20 +245,47 @@ def joined_spans(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def redact(df: DataFrame, text: str = "text", key: str = "doc_id", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``df`` with every secret in ``text`` replaced by ``[REDACTED]``; overlapping spans count as one.
+def redacted(text: Column, spans: Column) -> Column:
+    """``text`` with ``[REDACTED]`` for every span (sorted by start); overlapping spans count as one.
 
-    Rows and columns stay as they are otherwise; null texts stay null.
+    The text is cut into pieces first, so that reaching a span does not count
+    code points from the beginning.
     """
-    found = find_secrets(df, text, key, rules)
-    body = F.col(text)
-    cut = F.aggregate(
-        F.col("secrets"),
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, x: F.when(
-            x["start"] >= acc["at"],
-            F.struct(x["end"].alias("at"), F.concat(acc["out"], F.substring(body, acc["at"] + 1, x["start"] - acc["at"]), F.lit("[REDACTED]")).alias("out")),
-        ).otherwise(F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["out"].alias("out"))),
-        lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.length(body))),
+
+    def between(pieces: Column, start: Column, end: Column) -> Column:
+        first, last = F.floor(start / PIECE).cast("int"), F.floor(end / PIECE).cast("int")
+        part = lambda i, a, n: F.coalesce(F.substring(F.get(pieces, i), a + 1, n), F.lit(""))
+        low, high = F.pmod(start, F.lit(PIECE)), F.pmod(end, F.lit(PIECE))
+        whole = F.when(last > first + 1, F.array_join(F.slice(pieces, first + 2, last - first - 1), "")).otherwise("")
+        return F.when(first == last, part(first, low, high - low)).otherwise(F.concat(part(first, low, F.lit(PIECE)), whole, part(last, F.lit(0), high)))
+
+    def cut(held: Column) -> Column:
+        # From the furthest end before each span to its start; none if they overlap.
+        gaps = F.zip_with(held["before"], held["starts"], lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        clear = F.filter(gaps, lambda x: x["b"] >= x["a"])
+        kept = F.transform(clear, lambda x: between(held["pieces"], x["a"], x["b"]))
+        rest = between(held["pieces"], F.array_max(held["ends"]), F.length(text))
+        return F.concat(F.array_join(kept, "[REDACTED]"), F.lit("[REDACTED]"), rest)
+
+    ends = _running(F.transform(spans, lambda x: x["end"]), lambda a, b: F.greatest(a, b))
+    held = F.struct(
+        F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)).alias("pieces"),
+        F.transform(spans, lambda x: x["start"]).alias("starts"),
+        ends.alias("ends"),
+        F.concat(F.array(F.lit(0)), F.slice(ends, F.lit(1), F.size(spans) - 1)).alias("before"),
     )
-    return found.withColumn(text, F.when(F.size("secrets") > 0, cut).otherwise(body)).select(*df.columns)
+    return _bound(held, cut)
+
+
+def redact(df: DataFrame, text: str = "text", key: str = "doc_id", rules: tuple[Rule, ...] = RULES, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """``df`` with every secret in ``text`` replaced by ``[REDACTED]``; overlapping spans count as one.
+
+    Rows and columns stay as they are otherwise, one named ``secrets`` too; null
+    texts stay null; an empty table stays empty.
+    """
+    (spare,) = fresh(df, "spare")
+    source = df.withColumnRenamed("secrets", spare)
+    at = spare if text == "secrets" else text
+    found = find_secrets(source, at, spare if key == "secrets" else key, rules, most_broadcast)
+    changed = found.withColumn(at, F.when(F.size("secrets") > 0, redacted(F.col(at), F.col("secrets"))).otherwise(F.col(at)))
+    return changed.select(*source.columns).withColumnRenamed(spare, "secrets")

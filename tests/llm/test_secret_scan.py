@@ -1,8 +1,11 @@
 """Trigram-indexed scans against plain regex scans."""
 
+import random
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestar.llm import secret_scan as S
 
@@ -48,6 +51,54 @@ def test_clashing_column_kept(rows):
     assert {r.rules for r in found} == {"x", "again"}
 
 
+def test_internal_names_do_not_clash(spark):
+    names = "_ls_key string, _ls_hash string, _ls_rules string, _ls_own_key string, secrets string, low string, hash string"
+    df = spark.createDataFrame([(1, "token=abcdef1", *"abcdefg")], f"doc_id long, text string, {names}")
+    assert [x.kind for x in S.find_secrets(df).first().secrets] == ["assign"]
+    out = S.redact(df)
+    assert out.columns == df.columns and tuple(out.first()) == (1, "[REDACTED]", *"abcdefg")
+
+
+def test_shuffled_candidates_give_the_same(rows):
+    df, found = rows
+    again = S.find_secrets(df, most_broadcast=0).collect()
+    assert sorted(map(str, again)) == sorted(map(str, found))
+
+
+def test_many_spans_and_no_backtracking(spark):
+    """Linear work: a hundred thousand spans, and beginnings of a token by the ten thousand."""
+    rows = [(1, "é token=abcdef1 " * 100_000), (2, "eyJ" * 20_000 + "." + "eyJ" * 1000), (3, ("x" * 5000 + " secret=1234567 ") * 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).persist()
+    df.count()
+    S.redact(df.limit(0)).collect()
+    began = time.perf_counter()
+    got = {r.doc_id: r.text for r in S.redact(df).collect()}
+    assert time.perf_counter() - began < 20
+    assert got == {1: "é [REDACTED] " * 100_000, 2: rows[1][1], 3: ("x" * 5000 + " [REDACTED] ") * 40}
+
+
+def test_redaction_of_any_spans(spark):
+    """Against slices in Python: overlaps, neighbours, ends of pieces."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(60):
+        n = rng.choice([0, 1, 50, S.PIECE - 1, S.PIECE, 2 * S.PIECE, 3 * S.PIECE + 7])
+        text = "".join(rng.choice("aé😀b") for _ in range(n))
+        spans = sorted((a, min(n, a + rng.choice([1, 3, 40, S.PIECE, 2 * S.PIECE]))) for a in (rng.randrange(n) for _ in range(rng.randrange(1, 6) if n else 0)))
+        rows.append((i, text, [(a, 0, b, "k") for a, b in spans]))
+    df = spark.createDataFrame(rows, "i int, text string, spans array<struct<start:int,order:int,end:int,kind:string>>")
+    got = {r.i: r.out for r in df.where("size(spans) > 0").select("i", S.redacted(F.col("text"), F.col("spans")).alias("out")).collect()}
+    for i, text, spans in rows:
+        if not spans:
+            continue
+        out, at = "", 0
+        for a, _, b, _ in spans:
+            if a >= at:
+                out += text[at:a] + "[REDACTED]"
+            at = max(at, b)
+        assert got[i] == out + text[at:]
+
+
 def test_empty_table(spark):
     assert S.find_secrets(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
