@@ -70,6 +70,15 @@ def durable(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers that are broadcast, at most.
+FEW = 400_000
+
+
+def small(df: DataFrame, most: int = FEW) -> DataFrame:
+    """``df`` (written already, rows of a few numbers) with a broadcast hint if it has ``most`` rows or fewer."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def fresh(df: DataFrame, *names: str) -> tuple[str, ...]:
     """Column names that ``df`` does not have."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -7,7 +7,7 @@ document meet in one bit set (combined map-side), on which all queries are
 evaluated: that is the intersection and union of posting lists.  Postings are
 slim (a key and a hash), and so is the list of documents that survive; while
 that list is small it is broadcast to where the texts are, so texts stay there,
-and beyond ``MOST_BROADCAST`` rows it meets them by a shuffle.  Documents that
+and beyond ``most_broadcast`` rows it meets them by a shuffle.  Documents that
 survive for a rule are verified by running its regex over the whole text.  A
 rule without mandatory trigrams scans all texts.
 
@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import durable, fresh
+from lodestar.llm.common import FEW, durable, fresh, small
 
 
 @dataclass(frozen=True)
@@ -55,8 +55,6 @@ ADDED = (
 )
 RULES = BASE + ADDED
 MOST_EXACT = 64
-#: Documents that survive the index and are broadcast (some 30 bytes each) rather than shuffled, at most.
-MOST_BROADCAST = 400_000
 #: Code points of a text that are cut apart at once.
 PIECE = 4096
 #: Steps of a prefix sum by doubling: arrays of up to so many elements.
@@ -214,7 +212,7 @@ def _spans(text: Column, rule: Rule, at: int) -> Column:
     )
 
 
-def find_secrets(df: DataFrame, text: str = "text", key: str = "doc_id", rules: tuple[Rule, ...] = RULES, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+def find_secrets(df: DataFrame, text: str = "text", key: str = "doc_id", rules: tuple[Rule, ...] = RULES, most_broadcast: int = FEW) -> DataFrame:
     """``df`` with a column ``secrets``: array of (start, order, end, kind) sorted by start, then rule.
 
     Offsets count code points, ends are exclusive.  Null texts count as empty,
@@ -228,8 +226,7 @@ def find_secrets(df: DataFrame, text: str = "text", key: str = "doc_id", rules:
     found = durable(candidates(df.select(key, text), rules, keys, body), "candidates")
     own_key, own_hash, key_, hash_, which = fresh(df, "own_key", "own_hash", "key", "hash", "rules")
     found = found.toDF(key_, hash_, which)
-    if found.limit(most_broadcast + 1).count() <= most_broadcast:
-        found = F.broadcast(found)
+    found = small(found, most_broadcast)
     marked = df.drop("secrets").select("*", keys["key"].alias(own_key), keys["hash"].alias(own_hash))
     joined = marked.join(found, F.col(own_key).eqNullSafe(F.col(key_)) & (F.col(own_hash) == F.col(hash_)), "left")
     empty = F.array().cast(kinds)
@@ -277,7 +274,7 @@ def redacted(text: Column, spans: Column) -> Column:
     return _bound(held, cut)
 
 
-def redact(df: DataFrame, text: str = "text", key: str = "doc_id", rules: tuple[Rule, ...] = RULES, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+def redact(df: DataFrame, text: str = "text", key: str = "doc_id", rules: tuple[Rule, ...] = RULES, most_broadcast: int = FEW) -> DataFrame:
     """``df`` with every secret in ``text`` replaced by ``[REDACTED]``; overlapping spans count as one.
 
     Rows and columns stay as they are otherwise, one named ``secrets`` too; null

@@ -9,19 +9,24 @@ any string has an anchor in its middle third that depends on the string alone.
 Two equal strings thus share an anchor and the ``core`` bytes around it, and
 only anchors whose core occurs more than once can matter: one pass counts
 cores, a bit map of fixed size holds the repeated ones, a second pass keeps
-their anchors.  Anchors whose whole neighbourhood (all strings over the core)
-occurs more than once are done.  The others, with one of each repeated
-neighbourhood, meet by core.
+their anchors.  Anchors with equal neighbourhoods (all that strings over the
+core can hold, told by 128 bits of hashes) become one row that weighs as many.
 
 *Interval expansion.*  The suffixes that start at the cores are sorted, and the
 bytes before them form the Burrows-Wheeler column of the collection.  Backward
 extension goes breadth-first: in each round every interval of rows splits by
 the preceding byte, so after ``l`` rounds an interval is a string of ``l``
 bytes before the core.  Rows of an interval that also agree on ``span - l``
-bytes after it share a string of the full length.  The agreement after the
-core is the common prefix, which rounds ask for by falling values while the
-extension grows; an interval of one row is abandoned, and rounds stop at the
-minimum length.
+bytes after it, or one row that weighs more than one, share a string of the
+full length.  The agreement after the core is the common prefix, which rounds
+ask for by falling values while the extension grows; an interval of weight one
+is abandoned, and rounds stop at the minimum length.
+
+*Frequent cores.*  A core with more than ``group`` different neighbourhoods is
+split by what is next to it: strings with few bytes before the core have many
+after it, and the other way round, so each half of the possible ``l`` shares
+more bytes than the core and its rows meet by those; again and again while
+groups are large, down to single strings, whose rows need not meet at all.
 """
 
 from __future__ import annotations
@@ -35,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import durable, partitions, prepare
+from lodestar.llm.common import durable, partitions, prepare, small
 
 LENGTH = 200
 GRAM = 8
@@ -45,10 +50,12 @@ SLICE = 2_000_000
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 #: Bits for each repeated core, up to the bound; a fuller map lets more anchors through, none are lost.
 BITS = 24
-#: Rows of one core that meet in a task; beyond, each string over the core is counted by its own hash.
-GROUP = 50_000
+#: Rows of one core that meet in a task; beyond, they are split by the bytes next to it.
+GROUP = 4096
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+#: Windows looked at at once: places in them are kept in the lower bits of hashes.
+WINDOWS = 1 << 22
 PLACE = (1 << 26) - 1
 
 
@@ -79,11 +86,16 @@ def _grams(data: np.ndarray, gram: int) -> np.ndarray:
     return out
 
 
-def anchors(raw: np.ndarray, window: int) -> np.ndarray:
-    """Places of the smallest hash in each window, the last of equals."""
+def anchors(raw: np.ndarray, window: int, most: int = WINDOWS) -> np.ndarray:
+    """Places of the smallest hash in each window, the last of equals; ``most`` windows at once."""
+    n = len(raw) - window + 1
+    found = [_anchors(raw[a : min(n, a + most) + window - 1], window) + a for a in range(0, n, most)]
+    place = np.concatenate(found) if found else np.zeros(0, np.int64)
+    return place[np.r_[True, place[1:] != place[:-1]]] if len(place) else place
+
+
+def _anchors(raw: np.ndarray, window: int) -> np.ndarray:
     n = len(raw)
-    if n < window:
-        return np.zeros(0, np.int64)
     # Hash in the upper bits, place from the end in the lower: minima carry their place.
     least = _mix(raw * GOLDEN) & ~np.uint64(PLACE) | (np.uint64(PLACE) - np.arange(n, dtype=np.uint64))
     step = 1
@@ -92,8 +104,7 @@ def anchors(raw: np.ndarray, window: int) -> np.ndarray:
         step *= 2
     if window > step:
         least = np.minimum(least[: step - window], least[window - step :])
-    place = PLACE - (least & np.uint64(PLACE)).astype(np.int64)
-    return place[np.r_[True, place[1:] != place[:-1]]]
+    return PLACE - (least & np.uint64(PLACE)).astype(np.int64)
 
 
 def _fold(raw: np.ndarray, at: np.ndarray, size: int, gram: int, seed: int) -> np.ndarray:
@@ -105,25 +116,35 @@ def _fold(raw: np.ndarray, at: np.ndarray, size: int, gram: int, seed: int) -> n
 
 
 class Anchored:
-    """Anchors of a slice of documents whose bytes lie one after the other."""
+    """Anchors of documents whose bytes lie one after the other, or of a piece of a long one.
+
+    ``piece`` is (bytes before the piece, bytes of the document, first and last
+    of the piece's own windows, whether the first is another piece's).
+    """
 
-    def __init__(self, data: np.ndarray, lengths: np.ndarray, shape: Shape):
+    def __init__(self, data: np.ndarray, lengths: np.ndarray, shape: Shape, piece: tuple | None = None):
         self.data, self.shape = data, shape
-        ends = np.cumsum(lengths)
         raw = _grams(data, shape.gram)
-        at = anchors(raw, shape.window)
-        doc = np.searchsorted(ends, at, side="right")
-        self.place, size = at - (ends - lengths)[doc], lengths[doc]
+        if piece is None:
+            ends = np.cumsum(lengths)
+            at = anchors(raw, shape.window)
+            doc = np.searchsorted(ends, at, side="right")
+            self.place, size = at - (ends - lengths)[doc], lengths[doc]
+        else:
+            before, total, low, high, again = piece
+            at = anchors(raw[low : high + shape.window - 1], shape.window)[int(again) :] + low
+            doc = np.zeros(len(at), np.int64)
+            self.place, size = at + before, np.full(len(at), total)
         left, right = self.place - shape.left, size - self.place - shape.right
         ok = (left >= 0) & (right >= 0)
         left, right = np.minimum(left, shape.span), np.minimum(right, shape.span)
         ok &= left + right >= shape.span  # else no string fits around the core
-        self.at, self.doc, self.place, self.left, self.right = at[ok], doc[ok], self.place[ok], left[ok], right[ok]
+        self.at, self.doc, self.place, self.left, self.right, self.size = at[ok], doc[ok], self.place[ok], left[ok], right[ok], size[ok]
         self.raw = raw
         self.core = _fold(raw, self.at - shape.left, shape.left + shape.right, shape.gram, 1)
 
     def keep(self, rows: np.ndarray) -> None:
-        for name in ("at", "doc", "place", "left", "right", "core"):
+        for name in ("at", "doc", "place", "left", "right", "size", "core"):
             setattr(self, name, getattr(self, name)[rows])
 
     def around(self) -> np.ndarray:
@@ -137,16 +158,24 @@ class Anchored:
         return out
 
 
-def _slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, lengths) of runs of rows with bounded bytes; nulls are empty."""
+def _anchored(batch: pa.RecordBatch, column: int, shape: Shape, most: int = SLICE) -> Iterator[tuple[int, Anchored]]:
+    """(first row, anchors) of runs of rows of bounded bytes, and of the pieces of longer rows; nulls are empty."""
     texts = batch.column(column).fill_null("").cast(pa.large_binary())
     _, offsets, data = texts.buffers()
     ends = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
     held = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     row = 0
     while row < len(texts):
-        last = max(row + 1, int(np.searchsorted(ends, ends[row] + SLICE, side="right")) - 1)
-        yield row, held[ends[row] : ends[last]], np.diff(ends[row : last + 1])
+        last = max(row + 1, int(np.searchsorted(ends, ends[row] + most, side="right")) - 1)
+        body = held[ends[row] : ends[last]]
+        if len(body) <= most:
+            yield row, Anchored(body, np.diff(ends[row : last + 1]), shape)
+        else:
+            windows, beside = len(body) - shape.gram - shape.window + 2, shape.span + max(shape.left, shape.right) + shape.gram
+            for low in range(0, windows, most):
+                high, first = min(windows, low + most), max(0, low - 1)
+                a, b = max(0, first - beside), min(len(body), high + shape.window + beside)
+                yield row, Anchored(body[a:b], np.array([b - a]), shape, (a, len(body), first - a, high - a, low > 0))
         row = last
 
 
@@ -155,8 +184,8 @@ def _core_pass(shape: Shape):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, data, lengths in _slices(batch, 0):
-                core, n = np.unique(Anchored(data, lengths, shape).core, return_counts=True)
+            for _, found in _anchored(batch, 0, shape):
+                core, n = np.unique(found.core, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), pa.array(n.astype(np.int32))], ["core", "n"])
 
     return run
@@ -192,12 +221,23 @@ def _in_map(held: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (held[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def _filtered(docs: DataFrame, held: np.ndarray) -> DataFrame:
-    """Documents (``key, hash, text``) whose hash is in the map: before a shuffle moves texts."""
+def _filtered(docs: DataFrame, held: np.ndarray, once: bool = False) -> DataFrame:
+    """Documents (``key, hash, text``) whose hash is in the map: before a shuffle moves texts.
+
+    With ``once``, of equal rows a task passes on one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
         for batch in batches:
-            yield batch.filter(pa.array(_in_map(held, np.asarray(batch.column(1)))))
+            batch = batch.filter(pa.array(_in_map(held, np.asarray(batch.column(1)))))
+            if once:
+                new = []
+                for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    new.append(row not in seen)
+                    seen.add(row)
+                batch = batch.filter(pa.array(new, pa.bool_()))
+            yield batch
 
     return docs.select("key", "hash", "text").mapInArrow(run, docs.select("key", "hash", "text").schema)
 
@@ -207,8 +247,7 @@ def _anchor_pass(shape: Shape, held: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, data, lengths in _slices(batch, 2):
-                found = Anchored(data, lengths, shape)
+            for row, found in _anchored(batch, 2, shape):
                 found.keep(np.flatnonzero(_in_map(held, found.core)))
                 rows = pa.array(row + found.doc)
                 yield pa.RecordBatch.from_arrays(
@@ -216,7 +255,7 @@ def _anchor_pass(shape: Shape, held: np.ndarray):
                         batch.column(0).take(rows),
                         batch.column(1).take(rows),
                         pa.array(found.place.astype(np.int32)),
-                        pa.array(lengths[found.doc].astype(np.int32)),
+                        pa.array(found.size.astype(np.int32)),
                         pa.array(found.core.view(np.int64)),
                         pa.array(found.around().view(np.int64)),
                     ],
@@ -226,22 +265,49 @@ def _anchor_pass(shape: Shape, held: np.ndarray):
     return run
 
 
+#: A neighbourhood: how many anchors have it, and the bytes on both sides of its core (reversed before it), or just how many there are.
+ROW = "core bigint, around bigint, n bigint, n_left int, n_right int, before binary, behind binary"
+
+
 def _neighbourhoods(shape: Shape):
-    """From a text and its places: the bytes on both sides of each core."""
+    """From a text and its places: neighbourhoods with their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "hash", "place", "core", "single", "before", "behind"]
         for batch in batches:
-            columns: list[list] = [[] for _ in names]
-            for key, hash_, text, at in zip(*(c.to_pylist() for c in batch.columns)):
+            columns: list[list] = [[] for _ in range(7)]
+            for text, at in zip(*(c.to_pylist() for c in batch.columns)):
                 body = text.encode()
                 for x in at:
-                    place = x["place"]
-                    a, b = place - shape.left, place + shape.right
-                    for column, value in zip(columns, (key, hash_, place, x["core"], x["single"], body[max(0, a - shape.span) : a][::-1], body[b : b + shape.span])):
+                    a, b = x["place"] - shape.left, x["place"] + shape.right
+                    before, behind = body[max(0, a - shape.span) : a][::-1], body[b : b + shape.span]
+                    for column, value in zip(columns, (x["core"], x["around"], x["n"], len(before), len(behind), before, behind)):
                         column.append(value)
-            kinds = [batch.schema.field(0).type, pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["core", "around", "n", "n_left", "n_right", "before", "behind"])
+
+    return run
+
+
+def _split(span: int):
+    """Rows of a group (all strings with ``low`` to ``high`` bytes before the core) to those of its two halves.
+
+    Rows of a half share what all its strings hold: ``low`` bytes before and
+    ``span - high`` bytes behind the core; ``shared`` is their hash.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, lows, highs, shared = [], [], [], []
+            for i, (before, behind, low, high) in enumerate(zip(*(batch.column(c).to_pylist() for c in (5, 6, 7, 8)))):
+                middle = (low + high) // 2
+                for a, b in ((low, middle), (middle + 1, high)):
+                    if len(before) >= a and len(behind) >= span - b:
+                        rows.append(i)
+                        lows.append(a)
+                        highs.append(b)
+                        shared.append(xxhash.xxh64_intdigest(before[:a] + behind[: span - b], 1000 * a + b) - 2**63)
+            same = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*same.columns[:7], pa.array(lows, pa.int32()), pa.array(highs, pa.int32()), pa.array(shared, pa.int64())], [*same.schema.names[:7], "low", "high", "shared"])
 
     return run
 
@@ -252,24 +318,32 @@ def _matrix(values: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     return out, lengths
 
 
-def expand(groups: np.ndarray, before: list[bytes], behind: list[bytes], span: int) -> tuple[np.ndarray, np.ndarray]:
+def expand(groups: np.ndarray, before: list[bytes], behind: list[bytes], span: int, weight=None, sizes=None, limits=None) -> tuple[np.ndarray, np.ndarray]:
     """For each row the fewest and the most bytes before its core of the repeated strings over it.
 
-    ``groups`` are the cores' numbers, ``before`` reversed.  A row over which
-    no string is repeated gets (span + 1, -1).
+    ``groups`` are the cores' numbers, ``before`` reversed.  ``weight`` says how
+    often each row occurs (once by default), ``sizes`` how many bytes there are
+    on both sides (the lengths of what is given by default; a row that is its
+    group alone needs no more), ``limits`` the least and most bytes before the
+    core that count.  A row over which no string is repeated gets (span + 1, -1).
     """
     n = len(groups)
     least, most = np.full(n, span + 1), np.full(n, -1)
-    if n < 2:
+    if not n:
         return least, most
+    weight = np.ones(n, np.int64) if weight is None else weight
+    low, high = (np.zeros(n, np.int64), np.full(n, span)) if limits is None else limits
     left, n_left = _matrix(before, span)
     right, n_right = _matrix(behind, span)
+    if sizes is not None:
+        n_left, n_right = sizes
     # Suffixes in order, and the common prefix of neighbours behind the core.
     mark = np.zeros((n, 8 + span), np.uint8)
     mark[:, :8] = groups.astype(">u8").view(np.uint8).reshape(n, 8)
     mark[:, 8:] = right
     order = np.argsort(mark.view(f"V{8 + span}").ravel(), kind="stable")
     groups, left, n_left, right, n_right = groups[order], left[order], n_left[order], right[order], n_right[order]
+    weight, low, high = weight[order], low[order], high[order]
     differ = right[1:] != right[:-1]
     prefix = np.where(differ.any(axis=1), differ.argmax(axis=1), span)
     prefix = np.minimum(prefix, np.minimum(n_right[1:], n_right[:-1]))
@@ -282,7 +356,7 @@ def expand(groups: np.ndarray, before: list[bytes], behind: list[bytes], span: i
         block = np.cumsum(prefix < span - extended)[rows]
         enough = n_right[rows] >= span - extended
         joined = (interval[1:] == interval[:-1]) & (block[1:] == block[:-1])
-        shared = (np.r_[joined, False] | np.r_[False, joined]) & enough
+        shared = (np.r_[joined, False] | np.r_[False, joined] | (weight[rows] > 1)) & enough & (low[rows] <= extended) & (extended <= high[rows])
         hit = order[rows[shared]]
         least[hit] = np.minimum(least[hit], extended)
         most[hit] = extended
@@ -296,7 +370,7 @@ def expand(groups: np.ndarray, before: list[bytes], behind: list[bytes], span: i
         rows, split = rows[by], split[by]
         change = np.r_[True, split[1:] != split[:-1]] if len(split) else np.zeros(0, bool)
         number = np.cumsum(change)
-        several = np.bincount(number)[number] > 1 if len(number) else np.zeros(0, bool)
+        several = np.bincount(number, weights=weight[rows])[number] > 1 if len(number) else np.zeros(0, bool)
         rows, interval = rows[several], number[several]
         if not len(rows):
             break
@@ -304,29 +378,29 @@ def expand(groups: np.ndarray, before: list[bytes], behind: list[bytes], span: i
 
 
 def _expand_pass(shape: Shape):
-    """Rows sorted by core to the stretches that repeated strings cover: ``key, hash, start, stop``."""
+    """Rows sorted by group to what repeated strings cover: ``core, around, least, most`` bytes before the core."""
 
     def covered(rest: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(rest).combine_chunks()
-        core = rows.column("core").to_numpy()
-        groups = np.cumsum(np.r_[0, core[1:] != core[:-1]])
-        least, most = expand(groups, rows.column("before").to_pylist(), rows.column("behind").to_pylist(), shape.span)
-        place = rows.column("place").to_numpy() - shape.left
-        ok = np.flatnonzero((most >= 0) & rows.column("single").to_numpy(zero_copy_only=False))
-        # All strings over one core overlap, so they cover one stretch.
-        out = rows.select(["key", "hash"]).take(pa.array(ok)).to_batches() or [pa.RecordBatch.from_pylist([], rows.select(["key", "hash"]).schema)]
-        start, stop = place[ok] - most[ok], place[ok] - least[ok] + shape.length
-        return pa.RecordBatch.from_arrays([*out[0].columns, pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], ["key", "hash", "start", "stop"])
+        of = lambda name: rows.column(name).to_numpy()
+        core, low, shared = of("core"), of("low"), of("shared")
+        groups = np.cumsum(np.r_[0, (core[1:] != core[:-1]) | (low[1:] != low[:-1]) | (shared[1:] != shared[:-1])])
+        before, behind = ([x or b"" for x in rows.column(c).to_pylist()] for c in ("before", "behind"))
+        sizes = of("n_left").astype(np.int64), of("n_right").astype(np.int64)
+        least, most = expand(groups, before, behind, shape.span, of("n"), sizes, (low, of("high")))
+        ok = np.flatnonzero(most >= 0)
+        return pa.RecordBatch.from_arrays([pa.array(core[ok]), pa.array(of("around")[ok]), pa.array(least[ok].astype(np.int32)), pa.array(most[ok].astype(np.int32))], ["core", "around", "least", "most"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
+        names = ("core", "low", "shared")
         for batch in batches:
             if not batch.num_rows:
                 continue
-            core = batch.column(3).to_numpy()
-            same = np.flatnonzero(core != core[-1])
-            cut = int(same[-1]) + 1 if len(same) else 0
-            if cut or (rest and rest[-1].column(3)[-1].as_py() != core[-1]):
+            group = [batch.column(c).to_numpy() for c in names]
+            other = np.flatnonzero(np.any([g != g[-1] for g in group], axis=0))
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if cut or (rest and any(rest[-1].column(c)[-1].as_py() != g[-1] for c, g in zip(names, group))):
                 if cut:
                     rest.append(batch.slice(0, cut))
                 yield covered(rest)
@@ -338,24 +412,6 @@ def _expand_pass(shape: Shape):
     return run
 
 
-def _string_hashes(shape: Shape):
-    """Rows of cores too frequent for one task: a hash for each string over the core."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                one = batch.slice(i, 1)
-                place, core, before, behind = (one.column(c)[0].as_py() for c in (2, 3, 5, 6))
-                start, strings = [], []
-                for n in range(max(0, shape.span - len(behind)), min(shape.span, len(before)) + 1):
-                    start.append(place - shape.left - n)
-                    strings.append(xxhash.xxh64_intdigest(before[:n] + b"|" + behind[: shape.span - n], core & 2**64 - 1) - 2**63)
-                same = pa.array([0] * len(start), pa.int64())
-                yield pa.RecordBatch.from_arrays([one.column(0).take(same), one.column(1).take(same), one.column(4).take(same), pa.array(start, pa.int32()), pa.array(strings, pa.int64())], ["key", "hash", "single", "start", "string"])
-
-    return run
-
-
 def repeated_stretches(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """``key, hash, start, stop``: stretches of bytes, not merged, that repeated strings cover.
 
@@ -370,38 +426,57 @@ def repeated_stretches(df: DataFrame, key: str = "doc_id", text: str = "text", l
     repeated = durable(cores.select("core"), "cores")
     found = durable(docs.mapInArrow(_anchor_pass(shape, _bit_map(repeated)), f"key {kind}, hash bigint, place int, size int, core bigint, around bigint"), "anchors")
 
-    each = found.groupBy("core", "around").agg(F.count("*").alias("n"), F.min(F.struct("key", "hash", "place")).alias("one"))
+    each = found.groupBy("core", "around").agg(F.count("*").alias("n"), F.min(F.struct("key", "hash", "place", "size")).alias("one"))
     each = durable(each, "neighbourhoods")
-    # Whole neighbourhoods that occur more than once: every string over those cores is repeated.
-    whole = found.join(each.where("n > 1").select("core", "around"), ["core", "around"], "left_semi").select(
-        "key",
-        "hash",
-        F.greatest(F.lit(0), F.col("place") - (shape.left + shape.span)).cast("int").alias("start"),
-        F.least(F.col("size"), F.col("place") + (shape.right + shape.span)).cast("int").alias("stop"),
-    )
-    # Cores with several neighbourhoods: one row of each goes on.
     several = each.groupBy("core").agg(F.count("*").alias("several")).where("several > 1")
-    open_ = each.join(several, "core").select("core", (F.col("n") == 1).alias("single"), "one", "several")
-    asked = durable(open_.groupBy(F.col("one.key").alias("asked_key"), F.col("one.hash").alias("asked_hash")).agg(
-        F.collect_list(F.struct(F.col("one.place").alias("place"), "core", "single")).alias("at")
-    ), "asked")
-    likely = _filtered(docs, _bit_map(asked.select("asked_hash")))
-    unique = likely.join(asked, likely.key.eqNullSafe(asked.asked_key) & (likely.hash == asked.asked_hash)).select("key", "hash", "text", "at")
-    rows = unique.mapInArrow(_neighbourhoods(shape), f"key {kind}, hash bigint, place int, core bigint, single boolean, before binary, behind binary")
-    # A repeated row of documents would bring its neighbourhoods again; that they are repeated is known by then.
-    frequent = several.where(F.col("several") > group).select("core")
+    marked = each.join(several, "core", "left")
+    # Of cores with several neighbourhoods the bytes are asked for; a core's only one needs its lengths.
+    asked = marked.where("several > 1").groupBy(F.col("one.key").alias("asked_key"), F.col("one.hash").alias("asked_hash"))
+    asked = durable(asked.agg(F.collect_list(F.struct(F.col("one.place").alias("place"), "core", "around", "n")).alias("at")), "asked")
+    likely = _filtered(docs, _bit_map(asked.select("asked_hash")), once=True)
+    texts = likely.join(asked, likely.key.eqNullSafe(asked.asked_key) & (likely.hash == asked.asked_hash)).select("text", "at")
+    beside = lambda n: F.least(n, F.lit(shape.span)).cast("int")
+    nothing = F.lit(None).cast("binary")
+    alone = marked.where("several is null and n > 1").select(
+        "core", "around", "n", beside(F.col("one.place") - shape.left).alias("n_left"), beside(F.col("one.size") - F.col("one.place") - shape.right).alias("n_right"), nothing.alias("before"), nothing.alias("behind")
+    )
+    rows = texts.mapInArrow(_neighbourhoods(shape), ROW)
+    frequent = durable(several.where(F.col("several") > group).select("core"), "frequent")
+    parts, hot = [], None
     if frequent.limit(1).count():
-        rows = durable(rows, "strings")
-        hashed = rows.join(frequent, "core", "left_semi").select("key", "hash", "place", "core", "single", "before", "behind")
-        strings = hashed.mapInArrow(_string_hashes(shape), f"key {kind}, hash bigint, single boolean, start int, string bigint")
-        again = strings.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
-        more = strings.join(again, "string", "left_semi").where("single").select("key", "hash", "start", (F.col("start") + length).cast("int").alias("stop"))
-        rows = rows.join(frequent, "core", "left_anti").select("key", "hash", "place", "core", "single", "before", "behind")
-    else:
-        more = None
-    dealt = rows.repartition(partitions(spark), "core").sortWithinPartitions("core")
-    out = whole.unionByName(dealt.mapInArrow(_expand_pass(shape), f"key {kind}, hash bigint, start int, stop int"))
-    return out if more is None else out.unionByName(more)
+        rows, few = durable(rows, "rows"), small(frequent)
+        hot = rows.join(few, "core", "left_semi").select(*rows.columns, F.lit(0).alias("low"), F.lit(shape.span).alias("high"))
+        rows = rows.join(few, "core", "left_anti").select(*rows.columns)
+    state = [F.lit(0).alias("low"), F.lit(shape.span).alias("high"), F.lit(0).cast("long").alias("shared")]
+    ready = rows.unionByName(alone).select("*", *state)
+
+    def expanded(rows: DataFrame) -> DataFrame:
+        dealt = rows.repartition(partitions(spark), "core", "low", "shared").sortWithinPartitions("core", "low", "shared")
+        return dealt.mapInArrow(_expand_pass(shape), "core bigint, around bigint, least int, most int")
+
+    parts.append(expanded(ready))
+    while hot is not None:
+        halves = durable(hot.mapInArrow(_split(shape.span), f"{ROW}, low int, high int, shared bigint"), "halves")
+        names = ["core", "low", "shared"]
+        large = durable(halves.groupBy(*names).agg(F.count("*").alias("several")).where(F.col("several") > group).select(*names), "large")
+        if large.limit(1).count() == 0:
+            parts.append(expanded(halves))
+            break
+        few = small(large)
+        parts.append(expanded(halves.join(few, names, "left_anti").select(*halves.columns)))
+        hot = halves.join(few, names, "left_semi").select(*halves.columns)
+        # A group of one string is its repetition: its rows need not meet.
+        parts.append(hot.where("low = high").select("core", "around", F.col("low").alias("least"), F.col("low").alias("most")))
+        hot = hot.where("low < high")
+        if hot.limit(1).count() == 0:
+            break
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    # All strings over one core overlap, so they cover one stretch; every anchor of a neighbourhood has it.
+    return found.join(out, ["core", "around"]).select(
+        "key", "hash", (F.col("place") - shape.left - F.col("most")).cast("int").alias("start"), (F.col("place") - shape.left - F.col("least") + length).cast("int").alias("stop")
+    )
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
