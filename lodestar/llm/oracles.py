@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm import fingerprint, secret_scan, winnow
+from lodestar.llm import fingerprint, secret_scan, sharding, winnow
 from lodestar.llm.common import LOWER, UPPER
 
 
@@ -85,4 +85,17 @@ coalesce(v.n, 0)::INTEGER AS n_differing, coalesce(v.places, '') AS differing
 FROM e JOIN f a ON a.doc_id = e.doc_id AND a.part = 1 JOIN f b ON b.doc_id = e.doc_id AND b.part = 2 JOIN f c ON c.doc_id = e.doc_id AND c.part = 3 LEFT JOIN v ON v.doc_id = e.doc_id"""
 
 
-ORACLE = {"op1_merkle_fingerprints": fingerprints_sql(), "op3_secret_scan": secrets_sql(), "op6_winnowing_decontamination": contamination_sql()}
+def shards_sql() -> str:
+    """Every prefix of every address; a row's shard is the shortest one whose bucket fits."""
+    return f"""WITH d AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes, md5(concat(doc_id, ':', coalesce(text, ''))) AS c FROM documents),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, c) - 1 AS i FROM d),
+a AS (SELECT doc_id, n_bytes, i, concat(substring(c, 1, 8), substring(md5(concat(c, ':', i)), 1, 8)) AS h FROM o),
+b AS (SELECT doc_id, n_bytes, i, array_to_string(list_transform(range(1, 17), lambda x: lpad(bin(strpos('0123456789abcdef', substring(h, x, 1)) - 1), 4, '0')), '') AS bits FROM a),
+p AS (SELECT *, unnest(range(0, 65)) AS depth FROM b),
+s AS (SELECT substring(bits, 1, depth) AS shard, depth, sum(n_bytes)::BIGINT AS shard_bytes, count(*) AS shard_rows FROM p GROUP BY ALL),
+f AS (SELECT p.doc_id, p.i, p.n_bytes, s.*, row_number() OVER (PARTITION BY p.bits, p.doc_id, p.i ORDER BY s.depth) AS n
+FROM p JOIN s ON s.depth = p.depth AND s.shard = substring(p.bits, 1, p.depth) WHERE shard_bytes <= {sharding.SHARD_BYTES} OR shard_rows = 1 OR s.depth = 64)
+SELECT doc_id, n_bytes, shard, depth::INTEGER AS depth, shard_bytes, shard_rows, shard_bytes <= {sharding.SHARD_BYTES} AS fits FROM f WHERE n = 1"""
+
+
+ORACLE = {"op1_merkle_fingerprints": fingerprints_sql(), "op3_secret_scan": secrets_sql(), "op4_extendible_sharding": shards_sql(), "op6_winnowing_decontamination": contamination_sql()}

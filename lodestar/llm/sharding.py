@@ -1,7 +1,8 @@
 """Byte-bounded shards by extendible hashing, in DataFrame operations only.
 
-A row's 64-bit address is 32 bits hashed from its content, then 32 bits of
-salt.  A directory is indexed by address prefixes: the root bucket holds all
+A row's 64-bit address is 32 bits hashed from its key and text, then 32 bits of
+salt, which is hashed from the number of the row among equal rows.  So it
+depends on the table alone, not on how it is read.  A directory is indexed by address prefixes: the root bucket holds all
 rows, and only a bucket over the byte limit splits on its next bit, until every
 bucket fits.  Content bits come first, so rows go by content; the salt bits
 matter only for a bucket of rows with one and the same content, which would
@@ -21,10 +22,12 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import durable
+from lodestar.llm.common import durable, partitions, small
 
 #: Bytes of text in a shard at most.
-SHARD_BYTES = 32 * 1024 * 1024
+SHARD_BYTES = 1024 * 1024
+#: Equal rows numbered by one task at once.
+EQUAL = 100_000
 #: Address bits beyond those that even splitting would need.
 SPARE_BITS = 4
 STEP_BITS = 8
@@ -34,6 +37,26 @@ def _prefix(address: str, bits: int):
     return F.expr(f"shiftrightunsigned({address}, {64 - bits})") if bits else F.lit(0).cast("long")
 
 
+def _addresses(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, n_bytes, address``: equal rows are counted, then written out again with their numbers."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = df.select(
+        F.col(key).alias("key"),
+        F.octet_length(body).cast("long").alias("n_bytes"),
+        F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(":"), body)).alias("content"),
+    )
+    counts = rows.groupBy("key", "n_bytes", "content").agg(F.count("*").alias("n"))
+    one = counts.where("n = 1").withColumn("number", F.lit(0).cast("long"))
+    # Many equal rows are dealt out in runs before each run is numbered.
+    runs = counts.where("n > 1").withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {EQUAL}"))))
+    runs = runs.repartition(partitions(df.sparkSession), "content", "run")
+    more = runs.withColumn("number", F.explode(F.sequence(F.col("run") * EQUAL, F.least(F.col("n"), (F.col("run") + 1) * EQUAL) - 1)))
+    hex32 = lambda x: F.conv(F.substring(x, 1, 8), 16, 10).cast("long")
+    salt = F.md5(F.concat(F.col("content"), F.lit(":"), F.col("number").cast("string")))
+    names = ["key", "n_bytes", "content", "number"]
+    return one.select(*names).unionByName(more.select(*names)).select("key", "n_bytes", F.shiftleft(hex32(F.col("content")), 32).bitwiseOR(hex32(salt)).alias("address"))
+
+
 def assign_shards(df: DataFrame, key: str = "doc_id", text: str = "text", limit: int = SHARD_BYTES) -> DataFrame:
     """One row per input row: ``key, n_bytes, shard, depth, shard_bytes, shard_rows, fits``.
 
@@ -46,14 +69,7 @@ def assign_shards(df: DataFrame, key: str = "doc_id", text: str = "text", limit:
     """
     if limit <= 0:
         raise ValueError("limit must be positive")
-    rows = durable(
-        df.select(
-            F.col(key).alias("key"),
-            F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_bytes"),
-            F.expr(f"shiftleft(xxhash64(`{key}`, `{text}`), 32) | (xxhash64(monotonically_increasing_id()) & 4294967295L)").alias("address"),
-        ),
-        "addresses",
-    )
+    rows = durable(_addresses(df, key, text), "addresses")
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     base, low, parts = min(60, max(SPARE_BITS, math.ceil(math.log2(max(1.0, total / limit))) + SPARE_BITS)), 0, []
     while True:
@@ -71,7 +87,8 @@ def assign_shards(df: DataFrame, key: str = "doc_id", text: str = "text", limit:
             .groupBy("cell")
             .agg(F.min(F.struct("depth", "prefix", "shard_bytes", "shard_rows")).alias("leaf"))
         )
-        placed = celled.join(leaves, "cell", "left")
+        # Rows of one cell may be many: its leaf comes to them while leaves are few.
+        placed = celled.join(small(durable(leaves, "leaves")), "cell", "left")
         parts.append(
             placed.where(F.col("leaf").isNotNull()).select(
                 F.col("key").alias(key),

@@ -2,14 +2,16 @@
 
 Encoding follows the model's agenda: of all adjacent pairs that make a piece,
 the best scored (leftmost of equals) merges next.  Each merge, when it comes
-up, is skipped if a keyed hash of seed, place and piece falls below the dropout
+up, is skipped if a keyed hash of seed, document, place and piece falls below the dropout
 rate; a skipped pair stays apart unless one of its sides grows.  So one seed
 gives one segmentation anywhere, and other seeds, documents or places in a text
 give others.  With a rate of zero the result is the model's own.
 
 Pieces never go over a space that follows other characters, so a text is cut
-into chunks at spaces and equal chunks with equal keys are segmented once a
-batch.  Chunks of about the same length are segmented together: the agenda of
+into chunks at spaces.  Different chunks are segmented once a batch without
+dropout, which also gives the merges that come up.  Where the hash skips none
+of them the segmentation stands; every other occurrence is segmented for
+itself.  Chunks of about the same length are segmented together: the agenda of
 each is a row of a matrix, and every round pops the best pair of each row.
 Long chunks have a heap each.
 
@@ -21,12 +23,12 @@ from __future__ import annotations
 
 import heapq
 import re
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
 from lodestar.llm.common import prepare
@@ -35,11 +37,11 @@ from lodestar.llm.common import prepare
 SPACE = "▁"
 RATE = 0.1
 SEED = 42
-#: Keys that the places of one chunk share: so many different segmentations of it at most.
-VARIANTS = 16
 #: Chunks up to these lengths are segmented together; longer ones alone.
 WIDTHS = (6, 10, 16, 28, 64)
 ROWS = 400
+#: Occurrences of chunks taken at once.
+OCCURRENCES = 100_000
 NONE, FREE = 0xFFFF, np.uint32(0xFFFFFFFF)
 LAST = np.int32(2**31 - 1)
 CHUNK = re.compile(r" *[^ ]+| +")
@@ -141,8 +143,8 @@ def _skips(key, place, piece, limit: np.uint64):
         return mix(key + GOLDEN * (np.asarray(place, np.uint64) * np.uint64(0x10001) + np.asarray(piece, np.uint64) + np.uint64(1))) < limit
 
 
-def segment_one(model: Model, symbols: list[int], key: int, limit: int) -> list[tuple[int, int]]:
-    """(place, symbol) of one chunk's segments, by a heap."""
+def segment_one(model: Model, symbols: list[int], key: int, limit: int, merges: list | None = None) -> list[tuple[int, int]]:
+    """(place, symbol) of one chunk's segments, by a heap; adds (place, piece) of the merges done to ``merges``."""
     n = len(symbols)
     symbol, after, before = list(symbols), [*range(1, n), -1], [-1, *range(n - 1)]
     agenda: list[tuple[int, int, int, int, int]] = []
@@ -160,6 +162,8 @@ def segment_one(model: Model, symbols: list[int], key: int, limit: int) -> list[
         j = after[i]
         if symbol[i] != a or j < 0 or symbol[j] != b or (limit and bool(_skips(np.uint64(key), i, made, np.uint64(limit)))):
             continue
+        if merges is not None:
+            merges.append((i, made))
         symbol[i], symbol[j], after[i] = made, -1, after[j]
         if after[i] >= 0:
             before[after[i]] = i
@@ -169,8 +173,11 @@ def segment_one(model: Model, symbols: list[int], key: int, limit: int) -> list[
     return [(i, s) for i, s in enumerate(symbol) if s >= 0]
 
 
-def segment_rows(model: Model, symbol: np.ndarray, keys: np.ndarray, limit: int) -> np.ndarray:
-    """Segments of many chunks at once: ``symbol`` (rows x width, NONE-padded by -1) with -1 where merged away."""
+def segment_rows(model: Model, symbol: np.ndarray, keys: np.ndarray, limit: int, merges: list | None = None) -> np.ndarray:
+    """Segments of many chunks at once: ``symbol`` (rows x width, NONE-padded by -1) with -1 where merged away.
+
+    Adds (rows, places, pieces) of the merges done to ``merges``.
+    """
     rows, width = symbol.shape
     out = symbol.copy()
     if width < 2 or not rows:
@@ -207,6 +214,8 @@ def segment_rows(model: Model, symbol: np.ndarray, keys: np.ndarray, limit: int)
             row, best, piece = row[~skip], best[~skip], piece[~skip]
         if not len(row):
             continue
+        if merges is not None:
+            merges.append((at[row], best, piece))
         second = after[row, best]
         sym[row, best] = piece
         gone[row, second] = True
@@ -224,10 +233,10 @@ def segment_rows(model: Model, symbol: np.ndarray, keys: np.ndarray, limit: int)
 
 
 class Encoder:
-    def __init__(self, path: str, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS):
+    def __init__(self, path: str, rate: float = RATE, seed: int = SEED):
         self.model = Model(path)
         self.limit = min(int(rate * 2.0**64), 2**64 - 1)
-        self.seed, self.variants = np.uint64(seed & 2**64 - 1), variants if self.limit else 1
+        self.seed = np.uint64(seed & 2**64 - 1)
 
     def _ids(self, place_symbol: list[tuple[int, int]], chunk: str) -> list[int]:
         out = []
@@ -238,8 +247,11 @@ class Encoder:
                 out += [int(self.model.byte_id[b]) for b in chunk[place].encode()]
         return out
 
-    def _segment(self, chunks: list[str], of: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all rows, how many each row has); row i is chunk ``of[i]`` with ``keys[i]``."""
+    def _segment(self, chunks: list[str], of: np.ndarray, keys: np.ndarray, limit: int, merges: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows, how many each has); row i is chunk ``of[i]`` with ``keys[i]``.
+
+        Adds (rows, places, pieces) of the merges done to ``merges``.
+        """
         lengths = np.array([len(c) for c in chunks], np.int64)
         points = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
         symbols = self.model.symbols(points).astype(np.int64)
@@ -256,14 +268,21 @@ class Encoder:
                 for r in rows.tolist():
                     c = int(of[r])
                     own = symbols[starts[c] : starts[c] + lengths[c]].tolist()
-                    ids = np.array(self._ids(segment_one(self.model, own, int(keys[r]), self.limit), chunks[c]), np.int32)
+                    done: list | None = None if merges is None else []
+                    ids = np.array(self._ids(segment_one(self.model, own, int(keys[r]), limit, done), chunks[c]), np.int32)
+                    if done:
+                        places, pieces = np.array(done, np.int64).T
+                        merges.append((np.full(len(done), r), places, pieces))
                     counts[r] = len(ids)
                     parts.append((np.array([r]), ids))
                 continue
             place = np.arange(width)
             inside = place < size[rows][:, None]
             matrix = np.where(inside, symbols[np.minimum(starts[of[rows]][:, None] + place, len(symbols) - 1)], -1)
-            done = segment_rows(self.model, matrix, keys[rows], self.limit)
+            found = None if merges is None else []
+            done = segment_rows(self.model, matrix, keys[rows], limit, found)
+            if found:
+                merges += [(rows[r], p, x) for r, p, x in found]
             plain = (done < self.model.size).all(axis=1)
             kept = done[plain]
             counts[rows[plain]] = (kept >= 0).sum(axis=1)
@@ -279,6 +298,20 @@ class Encoder:
             ids[ranges(first[rows], counts[rows])] = own
         return ids, counts
 
+    def _dropped(self, chunk_at: np.ndarray, keys: np.ndarray, merges: list, chunks: int) -> np.ndarray:
+        """Which occurrences of chunks have a merge that the hash skips, by the merges of their plain segmentation."""
+        row, place, piece = (np.concatenate(x) for x in zip(*merges)) if merges else (np.zeros(0, np.int64),) * 3
+        order = np.argsort(row, kind="stable")
+        place, piece = place[order], piece[order]
+        n = np.bincount(row, minlength=chunks)
+        first, out = np.cumsum(n) - n, np.zeros(len(chunk_at), bool)
+        for a in range(0, len(chunk_at), OCCURRENCES):
+            own = chunk_at[a : a + OCCURRENCES]
+            at = ranges(first[own], n[own])
+            occurrence = np.repeat(np.arange(a, a + len(own)), n[own])
+            out[occurrence[_skips(keys[occurrence], place[at], piece[at], np.uint64(self.limit))]] = True
+        return out
+
     def encode(self, texts: list[str | None], names: list) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, how many each has); ``names`` tell documents apart in the keyed hash."""
         index: dict[str, int] = {}
@@ -289,22 +322,28 @@ class Encoder:
             n_chunks.append(len(found))
         if not chunk_at:
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-        chunk_at, n_chunks = np.array(chunk_at, np.int64), np.array(n_chunks, np.int64)
-        name = np.array([zlib.crc32(str(x).encode()) for x in names], np.uint64)
-        with np.errstate(over="ignore"):
-            place = (np.arange(len(chunk_at)) - np.repeat(np.cumsum(n_chunks) - n_chunks, n_chunks)).astype(np.uint64)
-            key = mix(self.seed + GOLDEN * (np.repeat(name, n_chunks) << np.uint64(32) | place))
-            variant = (key % np.uint64(self.variants)).astype(np.int64)
-            rows, back = np.unique(chunk_at * self.variants + variant, return_inverse=True)
-            chunks = list(index)
-            mark = np.array([zlib.crc32(c.encode("utf-8", "surrogatepass")) for c in chunks], np.uint64)
-            of = rows // self.variants
-            keys = mix(self.seed * GOLDEN + (mark[of] << np.uint64(16)) + (rows % self.variants).astype(np.uint64))
-        ids, counts = self._segment(chunks, of, keys)
-        first = np.cumsum(counts) - counts
-        each = counts[back]
-        ends = np.r_[0, np.cumsum(np.r_[0, np.cumsum(each)][np.r_[0, np.cumsum(n_chunks)]][1:] - np.r_[0, np.cumsum(each)][np.r_[0, np.cumsum(n_chunks)]][:-1])]
-        return ids[ranges(first[back], each)], np.diff(ends)
+        chunk_at, n_chunks, chunks = np.array(chunk_at, np.int64), np.array(n_chunks, np.int64), list(index)
+        merges: list = []
+        everything = np.arange(len(chunks))
+        ids, counts = self._segment(chunks, everything, np.zeros(len(chunks), np.uint64), 0, merges)
+        which = chunk_at  # of each occurrence, which segmentation it has
+        if self.limit:
+            name = np.array([xxhash.xxh64_intdigest(str(x).encode()) for x in names], np.uint64)
+            with np.errstate(over="ignore"):
+                place = (np.arange(len(chunk_at)) - np.repeat(np.cumsum(n_chunks) - n_chunks, n_chunks)).astype(np.uint64)
+                keys = mix(np.repeat(mix(name + self.seed * GOLDEN), n_chunks) + GOLDEN * place)
+            dropped = np.flatnonzero(self._dropped(chunk_at, keys, merges, len(chunks)))
+            which, parts, sizes = chunk_at.copy(), [ids], [counts]
+            which[dropped] = len(chunks) + np.arange(len(dropped))
+            for a in range(0, len(dropped), OCCURRENCES):
+                some = dropped[a : a + OCCURRENCES]
+                more = self._segment(chunks, chunk_at[some], keys[some], self.limit)
+                parts.append(more[0])
+                sizes.append(more[1])
+            ids, counts = np.concatenate(parts), np.concatenate(sizes)
+        first, each = np.cumsum(counts) - counts, counts[which]
+        ends = np.r_[0, np.cumsum(each)][np.r_[0, np.cumsum(n_chunks)]]
+        return ids[ranges(first[which], each)], np.diff(ends)
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """UTF-8 texts: pieces' bytes in a row, less the leading space."""
@@ -321,12 +360,12 @@ def ranges(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, rate: float, seed: int, variants: int) -> Encoder:
+def encoder(path: str, rate: float, seed: int) -> Encoder:
     """One encoder for each Python worker and setting."""
-    return Encoder(path, rate, seed, variants)
+    return Encoder(path, rate, seed)
 
 
-def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", rate: float = RATE, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", rate: float = RATE, seed: int = SEED) -> DataFrame:
     """``key, ids (array<int>), n_chars, lossless``: one row per row, decoded again in place.
 
     ``lossless`` is true if the decoded ids are the text.  Null and empty texts
@@ -336,7 +375,7 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", ra
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path, rate, seed, variants)
+        own = encoder(path, rate, seed)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
@@ -355,7 +394,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "text") -> Da
     """``df`` with ``text`` decoded from ``ids``; null ids give null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path, 0.0, 0, 1)
+        own = encoder(path, 0.0, 0)
         for batch in batches:
             lists = batch.column(at).to_pylist()
             out = own.decode(np.array([i for x in lists for i in x or ()], np.int64), np.array([len(x or ()) for x in lists], np.int64))

@@ -87,7 +87,7 @@ def _binary(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
 
 #: The byte-level BPE pre-tokenizer's classes of words, for Latin texts.
 _WORDS = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-_BEYOND = re.compile("[^\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]")
+_BEYOND = re.compile("[^\x00-\x1b\x20-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]")
 
 
 class Encoder:
@@ -105,7 +105,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # Texts that hold an added token, or characters whose classes may differ, go through whole.
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.beyond = re.compile("|".join([_BEYOND.pattern, *added]))
         vocabulary = self.tokenizer.get_vocab()
         self.kind = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
         self.starts = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -135,7 +137,7 @@ class Encoder:
             self.known.clear()
         get, found, new, whole = self.known.get, [], set(), []
         for i, text in enumerate(texts):
-            if text and _BEYOND.search(text):
+            if text and self.beyond.search(text):
                 whole.append(i)
                 text = ""
             words = _WORDS.findall(text or "")

@@ -101,5 +101,18 @@ def test_op9(spark, texts):
 
 
 def test_op10(spark, texts):
+    """Every document against a plain agenda of each chunk."""
+    from test_sp_dropout import PATH, naive
+
+    from lodestar.llm import sp_dropout as S
+
     rows = Q.op10_sentencepiece_dropout(spark, SF).collect()
     assert len(rows) == len(texts) and all(r.lossless and r.n_pieces == len(r.ids) for r in rows)
+    model, limit = S.Model(PATH), int(S.RATE * 2.0**64)
+    for r in sorted(rows, key=lambda r: r.n_chars)[:120]:
+        want, chunks = [], S.CHUNK.findall(" " + texts[r.doc_id]) if texts[r.doc_id] else []
+        with np.errstate(over="ignore"):
+            name = S.mix(np.array([S.xxhash.xxh64_intdigest(str(r.doc_id).encode())], np.uint64) + np.uint64(S.SEED) * S.GOLDEN)
+            for i, c in enumerate(chunks):
+                want += naive(model, c, S.mix(name + S.GOLDEN * np.uint64(i))[0], limit)
+        assert r.ids == want

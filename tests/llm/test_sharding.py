@@ -46,6 +46,17 @@ def test_hot_content_and_giant_row(spark):
     assert sum(not r.fits for r in rows) == 1
 
 
+def test_addresses_do_not_depend_on_partitions(spark):
+    df = spark.createDataFrame([(i % 50, "x" * (i % 50)) for i in range(400)] + [(7, None), (None, ""), (7, "many")] * 300, "doc_id long, text string")
+    before, S.EQUAL = S.EQUAL, 70
+    try:
+        first = sorted(map(str, S.assign_shards(df.coalesce(1), limit=900).collect()))
+        assert first == sorted(map(str, S.assign_shards(df.repartition(7), limit=900).collect()))
+    finally:
+        S.EQUAL = before
+    assert first == sorted(map(str, S.assign_shards(df, limit=900).collect())) and len(first) == 1300
+
+
 def test_empty(spark):
     assert S.assign_shards(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -85,6 +85,52 @@ def test_seeds_and_documents_vary(long_texts):
     assert plain < len(a[0]) < 2.5 * plain
 
 
+def naive(model, chunk, key, limit):
+    """The agenda by looking at all pairs each time; a skipped pair is left alone until a side grows."""
+    parts, skipped = [(i, s) for i, s in enumerate(model.symbols(np.array([ord(c) for c in chunk], np.uint32)).tolist())], set()
+    while True:
+        best = None
+        for (i, a), (_, b) in zip(parts, parts[1:]):
+            made = model.pairs.get(a << 16 | b)
+            if made is not None and (i, a, b) not in skipped and (best is None or (model.rank[made], i) < best[:2]):
+                best = (model.rank[made], i, a, b, made)
+        if best is None:
+            break
+        _, i, a, b, made = best
+        if limit and bool(S._skips(np.uint64(key), i, made, np.uint64(limit))):
+            skipped.add((i, a, b))
+            continue
+        at = [p for p, _ in parts].index(i)
+        parts[at : at + 2] = [(i, made)]
+    out = []
+    for i, s in parts:
+        out += [s] if s < model.size else [int(model.byte_id[x]) for x in chunk[i].encode()]
+    return out
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.1, 0.6])
+def test_every_place_has_its_own_draw(long_texts, rate):
+    """Against a plain agenda with the key of document and place; in slices of occurrences too."""
+    own, texts = S.Encoder(PATH, rate, seed=5), [t for t in TEXTS if t] + long_texts[:20] + ["same words same words " * 30] * 2
+    before, S.OCCURRENCES = S.OCCURRENCES, 97
+    try:
+        got = split(*own.encode(texts, list(range(len(texts)))))
+    finally:
+        S.OCCURRENCES = before
+    with np.errstate(over="ignore"):
+        for d, t in enumerate(texts):
+            name = S.mix(np.array([S.xxhash.xxh64_intdigest(str(d).encode())], np.uint64) + own.seed * S.GOLDEN)
+            want = []
+            for i, c in enumerate(S.CHUNK.findall(" " + t)):
+                want += naive(own.model, c, S.mix(name + S.GOLDEN * np.uint64(i))[0], own.limit)
+            assert got[d] == want, t
+    if rate:
+        with np.errstate(over="ignore"):
+            words = [naive(own.model, " words", S.mix(name + S.GOLDEN * np.uint64(i))[0], own.limit) for i in range(2000)]
+        assert len({tuple(w) for w in words}) > 3
+        assert got[-1] != got[-2]
+
+
 def test_rate_of_skips():
     keys = S.mix(np.arange(200_000, dtype=np.uint64))
     assert abs(S._skips(keys, 3, 77, np.uint64(int(0.1 * 2**64))).mean() - 0.1) < 0.005

@@ -1,5 +1,6 @@
 """Token files: exact round trip, order and positions."""
 
+import random
 import zlib
 
 import numpy as np
@@ -15,9 +16,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 def tokenizer():
     from tokenizers import Tokenizer
 
-    out = Tokenizer.from_file(PATH)
-    out.encode_special_tokens = True
-    return out
+    return Tokenizer.from_file(PATH)
 
 
 TEXTS = [None, "", " ", "a", "Hello  world\n\n  it's 123 <|endoftext|>!", "Éaux où 日本語 😀  x", "x" * 3000, "the of and " * 500, "\t\t  a b", "don't we'll 'tis"]
@@ -52,6 +51,18 @@ def test_words_alone_encode_like_texts():
             assert np.frombuffer(ids, own.kind).tolist() == tokenizer().encode(t or "", add_special_tokens=False).ids, t
 
 
+def test_random_texts_encode_like_the_library():
+    """Over an alphabet of every kind of space, control characters, special tokens, letters and digits."""
+    rng = random.Random(6)
+    parts = [*"\x00\x0b\x0c\x1b\x1c\x1d\x1e\x1f\x7f\x85\xa0\t\n\r  ab'sZ1_!.²ªºé×ÿſ", "\u2028", "\u3000", "日", "😀", "<|endoftext|>", "<|endof", "'ll", " the", "'S"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 9))) for _ in range(20_000)]
+    own, library = T.Encoder(PATH), tokenizer()
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    for a in range(0, len(texts), 500):
+        for t, ids, w in zip(texts[a : a + 500], own.encode(texts[a : a + 500]), want[a : a + 500]):
+            assert np.frombuffer(ids, own.kind).tolist() == w, repr(t)
+
+
 def test_files(spark, tmp_path):
     rows = [(50 - i, t, "x") for i, t in enumerate(TEXTS)] + [(None, "null key", "x"), (45, "again", "x"), (46, TEXTS[4], "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
