@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm import fingerprint, secret_scan, sharding, winnow
+from lodestar.llm import fingerprint, secret_scan, sharding, url_filter, winnow
 from lodestar.llm.common import LOWER, UPPER
 
 
@@ -98,4 +98,33 @@ FROM p JOIN s ON s.depth = p.depth AND s.shard = substring(p.bits, 1, p.depth) W
 SELECT doc_id, n_bytes, shard, depth::INTEGER AS depth, shard_bytes, shard_rows, shard_bytes <= {sharding.SHARD_BYTES} AS fits FROM f WHERE n = 1"""
 
 
-ORACLE = {"op1_merkle_fingerprints": fingerprints_sql(), "op3_secret_scan": secrets_sql(), "op4_extendible_sharding": shards_sql(), "op6_winnowing_decontamination": contamination_sql()}
+def urls_sql() -> str:
+    """Rules as one CASE, longest first; the model's weights as one list."""
+    u = url_filter
+    bias, weights = u.fit(tuple(u.labelled_urls()))
+    rules = sorted(u.RULES, key=lambda r: (len(r[1] + r[2]), r), reverse=True)
+    fits = lambda r: f"(host = '{r[1]}' OR ends_with(host, '.{r[1]}')) AND starts_with(path, '{r[2]}')"
+    case = lambda of: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{of(r)}'" for r in rules) + " END"
+    grams = []
+    for mark, text in (("h", "host"), ("p", "path")):
+        for n in u.SIZES:
+            cut = f"list_transform(range(1, length({text}) + 4 - {n}), lambda i: md5(concat('{mark}', substring(concat('^', {text}, '$'), i, {n}))))"
+            grams.append(f"list_transform({cut}, lambda x: ('0x' || substring(x, 1, 4))::INT % {u.BUCKETS})")
+    found = grams[0]
+    for g in grams[1:]:
+        found = f"list_concat({found}, {g})"
+    return f"""WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '{u.HOST}', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(coalesce(url, ''), '{u.PATH}', 1) AS path FROM pages),
+f AS (SELECT *, list_distinct({found}) AS f FROM p),
+g AS (SELECT *, list_sum(list_transform(f, lambda i: w[i + 1]))::DOUBLE AS total FROM f, (SELECT {list(weights)}::BIGINT[] AS w)),
+s AS (SELECT *, 1 / (1 + exp(-((coalesce(total, 0) / sqrt(greatest(len(f), 1)) + {bias}) / {u.UNIT}))) AS s FROM g)
+SELECT page_id, host, path, {case(lambda r: r[1] + r[2])} AS rule, coalesce({case(lambda r: r[0])}, CASE WHEN s >= {u.BLOCK_AT} THEN 'block' ELSE 'allow' END) AS verdict, round(s, 6) AS score FROM s"""
+
+
+def oracle() -> dict[str, str]:
+    return {
+        "op1_merkle_fingerprints": fingerprints_sql(),
+        "op3_secret_scan": secrets_sql(),
+        "op4_extendible_sharding": shards_sql(),
+        "op6_winnowing_decontamination": contamination_sql(),
+        "op7_url_filter": urls_sql(),
+    }

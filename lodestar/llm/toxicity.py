@@ -1,27 +1,30 @@
 """Toxicity by weak supervision.
 
-1. A lexicon is mined from labelled rows: whole words and word beginnings that
-   are frequent in toxic texts and rare in others.  Together with a short fixed
-   list they are lexicon voters (toxic where they occur); pattern voters look
-   at how many lexicon entries occur, how often and how densely, and vote clean
-   where nothing occurs.
-2. A generative label model estimates by expectation maximisation how often
-   each voter votes what under either label.  The row's given label is one more
-   voter, so wrong labels are outvoted.  Correlations of voters, given the
-   posterior, discount those that say the same thing.
-3. A linear classifier is trained on the posterior labels and scores every
-   text: the logistic of a weighted sum of capped entry counts and of a few
-   totals.
+1. Voters are mined from labelled rows: whole words and word beginnings that
+   are so much more frequent in toxic texts that it is not by chance.  With a
+   short fixed list they are lexicon voters (toxic where they occur); pattern
+   voters look at how many lexicon entries occur, how often and how densely, and
+   vote clean where nothing occurs.  The row's given label is one more voter.
+2. A generative label model estimates by expectation maximisation, starting
+   from the majority of the votes, how often each voter votes what under either
+   label, the given label's voter included: none is trusted beforehand.  Voters
+   are correlated: under either label they form a tree, the one with the most
+   mutual information, and each votes by a rate that depends on what its parent
+   voted.  So a voter that repeats another one adds nothing.
+3. A linear classifier is trained on the posterior labels.  Its features are
+   the text's words and word beginnings, hashed, and what lexicon and patterns
+   see, so it also finds texts that no entry covers.
 
 Fitting takes at most ``FIT_ROWS`` labelled rows, those with the smallest
-hashes of their keys; everything that comes to the driver is bounded by that
-and by ``MOST_ENTRIES``.  Scoring covers every row, whole texts.
+hashes of their keys; what comes to the driver grows with those rows only.
+Scoring covers every row, whole texts.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,8 +38,6 @@ from lodestar.llm.common import durable, prepare
 
 #: Labelled rows that a fit takes, at most.
 FIT_ROWS = 20_000
-#: Lexicon entries, at most.
-MOST_ENTRIES = 400
 #: Log likelihood ratio that makes an entry sure.
 SURE = 17.0
 #: Clean rows for each toxic row of an entry that is pure.
@@ -46,8 +47,17 @@ STEMS = (4, 5, 6, 7, 8)
 #: Min-hashes that find copies in the sample.
 MIN_HASHES = 4
 REJECT_AT = 0.7
-#: How often a given label is right: of clean texts, of toxic texts.
-TRUSTED = (0.995, 0.95)
+#: Buckets of hashed words and word beginnings; lengths of those beginnings.
+BUCKETS = 1 << 14
+HASHED = (4, 6)
+#: Distinct words whose hashes and entries a scorer remembers.
+REMEMBERED = 200_000
+#: Weight of what is known of a voter alone against what is seen beside its parent, in rows.
+PRIOR_ROWS = 5.0
+#: Ridge of what lexicon and patterns see, and of hashed words.
+RIDGE, HASHED_RIDGE = 0.3, 3.0
+#: Rows that a fit looks at at once.
+BLOCK = 2000
 WORD = re.compile(r"[^\W\d_]+")
 #: A short list of insults that holds without any labels.
 SEED_WORDS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "imbecile", "dumbass", "bastard")
@@ -85,34 +95,37 @@ class Lexicon:
         self.at = {e: i for i, e in enumerate(self.entries)}
         self.heads = {e.rstrip("*")[:4] for e in self.entries}
 
-    def hits(self, words: list[str]) -> list[list[int]]:
-        """Entries of each word that has any."""
-        heads, get, out = self.heads, self.at.get, []
-        for w in words:
-            if w[:4] in heads:
-                found = [i for i in (get(w), *[get(w[:n] + "*") for n in STEMS if len(w) > n]) if i is not None]
-                if found:
-                    out.append(found)
-        return out
+    def of(self, word: str) -> list[int]:
+        """Entries that a word matches."""
+        if word[:4] not in self.heads:
+            return []
+        get = self.at.get
+        return [i for i in (get(word), *[get(word[:n] + "*") for n in STEMS if len(word) > n]) if i is not None]
 
 
 #: Totals beside the entries' own counts.
 TOTALS = ("hit words", "entries", "per 100 words", "any", "three or more", "pure hits", "any pure")
 
 
-def features(lexicon: Lexicon, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(capped count of each entry, totals)."""
-    words = words_of(text)
-    hits = lexicon.hits(words)
-    counts = np.zeros(len(lexicon.entries), np.float32)
-    for found in hits:
-        for i in found:
-            counts[i] += 1
-    entries = int((counts > 0).sum())
-    n = len(hits)
-    pure = sum(min(found) < lexicon.pure for found in hits)
-    totals = np.array([math.log1p(n), math.log1p(entries), min(3.0, 10.0 * n / (len(words) + 5)), n > 0, n >= 3, math.log1p(pure), pure > 0], np.float32)
-    return np.minimum(counts, 3) / 3, totals
+def tokens(word: str) -> list[int]:
+    """Buckets of a word and its beginnings."""
+    return [xxhash.xxh32_intdigest(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in (word, *[word[:n] + "*" for n in HASHED if len(word) > n])]
+
+
+def features(lexicon: Lexicon, counted: Counter) -> tuple[dict[int, float], list[float]]:
+    """(capped count of each entry that occurs, totals) of a text's words."""
+    counts: Counter = Counter()
+    n = pure = 0
+    for word, times in counted.items():
+        found = lexicon.of(word)
+        if found:
+            n += times
+            pure += times * (min(found) < lexicon.pure)
+            for i in found:
+                counts[i] += times
+    words = counted.total()
+    totals = [math.log1p(n), math.log1p(len(counts)), min(3.0, 10.0 * n / (words + 5)), float(n > 0), float(n >= 3), math.log1p(pure), float(pure > 0)]
+    return {i: min(c, 3) / 3 for i, c in counts.items()}, totals
 
 
 # -- voters and label model ---------------------------------------------------
@@ -132,75 +145,182 @@ def votes(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
 
 @dataclass
 class LabelModel:
-    """Vote rates of each voter under both labels, the label's rate, and discounts for correlated voters."""
+    """The label's rate and, under both labels, each voter's votes given its parent's."""
 
     prior: float
-    rates: np.ndarray  # (label, voter, vote + 1)
-    weight: np.ndarray
+    parent: np.ndarray  # of each voter; -1 for none
+    rates: np.ndarray  # (label, voter, parent's vote + 1, vote + 1)
 
     def log_odds(self, seen: np.ndarray) -> np.ndarray:
         ratio = np.log(self.rates[1]) - np.log(self.rates[0])
         out = np.full(len(seen), math.log(self.prior / (1 - self.prior)))
-        for v in (-1, 0, 1):
-            out += (seen == v) @ (self.weight * ratio[:, v + 1])
+        voter = np.arange(seen.shape[1])
+        for a in range(0, len(seen), BLOCK):
+            own = seen[a : a + BLOCK].astype(np.int64) + 1
+            out[a : a + BLOCK] += ratio[voter, own[:, np.maximum(self.parent, 0)], own].sum(axis=1)
         return out
 
-
-def fit_label_model(seen: np.ndarray, start: np.ndarray, rounds: int = 12) -> tuple[LabelModel, np.ndarray]:
-    """EM from starting posteriors; returns the model and its posteriors.
-
-    The last voter is the given label.  Its rates are assumed, not estimated,
-    and it is never discounted: it anchors which of the two classes is which.
+    def accuracy(self, voter: int) -> tuple[float, float]:
+        """How often a voter votes clean under clean, toxic under toxic (parents' votes weighed alike)."""
+        return float(self.rates[0, voter, :, 0].mean()), float(self.rates[1, voter, :, 2].mean())
+
+
+def _joint(seen: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weighted counts of each two voters' votes: (voter, vote + 1, voter, vote + 1)."""
+    n, out = seen.shape[1], 0.0
+    for a in range(0, len(seen), BLOCK):
+        own = seen[a : a + BLOCK]
+        hot = np.stack([own == v for v in (-1, 0, 1)], axis=2).reshape(len(own), -1).astype(np.float32)
+        out = out + hot.T @ (hot * weight[a : a + BLOCK, None].astype(np.float32))
+    return np.asarray(out, np.float64).reshape(n, 3, n, 3)
+
+
+def voter_tree(joints: list[np.ndarray]) -> np.ndarray:
+    """The parent of each voter in the tree with the most mutual information given the label."""
+    n, worth = joints[0].shape[0], 0.0
+    for joint in joints:
+        share = joint / max(1e-9, joint[0, :, 0, :].sum()) + 1e-12
+        alone = share.sum(axis=3)[:, :, 0]
+        worth = worth + joint[0, :, 0, :].sum() * (share * np.log(share / (alone[:, :, None, None] * alone[None, None, :, :]))).sum(axis=(1, 3))
+    parent, inside = np.full(n, -1), np.zeros(n, bool)
+    inside[0] = True
+    best, via = worth[0].copy(), np.zeros(n, np.int64)
+    for _ in range(n - 1):
+        best[inside] = -np.inf
+        i = int(best.argmax())
+        parent[i], inside[i] = via[i], True
+        closer = (worth[i] > best) & ~inside
+        best[closer], via[closer] = worth[i][closer], i
+    return parent
+
+
+def _rates(seen: np.ndarray, weight: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    """Votes of each voter given its parent's, smoothed towards its votes alone."""
+    n = seen.shape[1]
+    counts = np.zeros(9 * n)
+    for a in range(0, len(seen), BLOCK):
+        own = seen[a : a + BLOCK].astype(np.int64) + 1
+        above = np.where(parent >= 0, own[:, np.maximum(parent, 0)], 0)
+        counts += np.bincount((9 * np.arange(n) + 3 * above + own).ravel(), np.repeat(weight[a : a + BLOCK], n), 9 * n)
+    counts = counts.reshape(n, 3, 3)
+    alone = counts.sum(axis=1) + 0.1
+    alone /= alone.sum(axis=1, keepdims=True)
+    out = counts + PRIOR_ROWS * alone[:, None, :]
+    return out / out.sum(axis=2, keepdims=True)
+
+
+def fit_label_model(seen: np.ndarray, rounds: int = 20) -> tuple[LabelModel, np.ndarray]:
+    """EM from the majority of the votes; returns the model and its posteriors.
+
+    First voters count as independent; then the tree is chosen by the
+    posteriors, and EM goes on with it.
     """
-    post, model = start.astype(np.float64), None
-    is_vote = np.stack([(seen == v).astype(np.float32) for v in (-1, 0, 1)])
-    for _ in range(rounds):
-        rates = np.empty((2, seen.shape[1], 3))
-        for label, w in ((0, 1 - post), (1, post)):
-            for v in range(3):
-                rates[label, :, v] = (is_vote[v].T @ w + 0.1) / (w.sum() + 0.3)
-        rates[1, -1], rates[0, -1] = (1 - TRUSTED[1], 1e-9, TRUSTED[1]), (TRUSTED[0], 1e-9, 1 - TRUSTED[0])
-        # Correlations given the label: of votes less what the posterior predicts.
-        mean = post[:, None] * (rates[1] @ [-1, 0, 1]) + (1 - post)[:, None] * (rates[0] @ [-1, 0, 1])
-        off = seen - mean
-        scale = np.sqrt((off**2).mean(axis=0)) + 1e-9
-        correlation = np.abs((off / scale).T @ (off / scale) / len(seen))
-        np.fill_diagonal(correlation, 0)
-        model = LabelModel(float(np.clip(post.mean(), 1e-3, 1 - 1e-3)), rates, 1 / (1 + np.where(correlation > 0.1, correlation, 0).sum(axis=1)))
-        model.weight[-1] = 1.0
-        new = 1 / (1 + np.exp(-np.clip(model.log_odds(seen), -30, 30)))
-        done = np.abs(new - post).max() < 1e-4
-        post = new
-        if done:
-            break
+    post = 1 / (1 + np.exp(-np.clip(seen.sum(axis=1, dtype=np.float64), -4, 4)))
+    parent = np.full(seen.shape[1], -1)
+    for stage in range(2):
+        if stage:
+            parent = voter_tree([_joint(seen, 1 - post), _joint(seen, post)])
+        for _ in range(rounds):
+            model = LabelModel(float(np.clip(post.mean(), 1e-3, 1 - 1e-3)), parent, np.stack([_rates(seen, 1 - post, parent), _rates(seen, post, parent)]))
+            new = 1 / (1 + np.exp(-np.clip(model.log_odds(seen), -30, 30)))
+            done = np.abs(new - post).max() < 1e-4
+            post = new
+            if done:
+                break
     return model, post
 
 
-def fit_linear(x: np.ndarray, target: np.ndarray, ridge: float = 0.3, rounds: int = 25) -> np.ndarray:
-    """Weights, bias last, of a ridge logistic regression on soft labels, by Newton steps."""
-    x = np.column_stack([x, np.ones(len(x))]).astype(np.float64)
-    w = np.zeros(x.shape[1])
-    penalty = np.full(len(w), ridge)
-    penalty[-1] = 1e-6
+class Sparse:
+    """Rows of hashed words: buckets of each row (repeats count), scaled by the root of its words."""
+
+    def __init__(self, buckets: list[np.ndarray], scale: np.ndarray):
+        self.lengths = np.array([len(b) for b in buckets], np.int64)
+        self.buckets = np.concatenate(buckets) if buckets else np.zeros(0, np.uint16)
+        self.ends, self.scale = np.r_[0, np.cumsum(self.lengths)], scale
+
+    def _blocks(self):
+        for a in range(0, len(self.lengths), BLOCK):
+            b = min(len(self.lengths), a + BLOCK)
+            yield a, b, self.buckets[self.ends[a] : self.ends[b]], np.repeat(np.arange(b - a), self.lengths[a:b])
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.bincount(row, w[own], b - a) for a, b, own, row in self._blocks()]) * self.scale
+
+    def back(self, r: np.ndarray) -> np.ndarray:
+        r = r * self.scale
+        return sum((np.bincount(own, r[a:b][row], BUCKETS) for a, b, own, row in self._blocks()), np.zeros(BUCKETS))
+
+
+def fit_linear(dense: np.ndarray, hashed: Sparse, target: np.ndarray, rounds: int = 60, memory: int = 8) -> np.ndarray:
+    """Weights (of the dense features, the hashed ones, bias last) of a ridge logistic regression on soft labels, by L-BFGS."""
+    k = dense.shape[1]
+    penalty = np.r_[np.full(k, RIDGE), np.full(BUCKETS, HASHED_RIDGE), 1e-6]
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        z = dense @ w[:k] + hashed.times(w[k:-1]) + w[-1]
+        off = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - target
+        value = (np.logaddexp(0, z) - target * z).sum() + (penalty * w * w).sum() / 2
+        return value, np.r_[dense.T @ off, hashed.back(off), off.sum()] + penalty * w
+
+    w = np.zeros(k + BUCKETS + 1)
+    value, slope = loss(w)
+    steps: list[tuple[np.ndarray, np.ndarray, float]] = []
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - target) + penalty * w
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(penalty), gradient)
-        w -= step * min(1.0, 5.0 / (np.abs(step).max() + 1e-9))
-        if np.abs(step).max() < 1e-6:
+        toward, kept = -slope, []
+        for s, y, r in reversed(steps):
+            kept.append(r * (s @ toward))
+            toward = toward - kept[-1] * y
+        if steps:
+            s, y, r = steps[-1]
+            toward = toward / (r * (y @ y))
+        else:
+            toward = toward / max(1.0, np.abs(slope).max())
+        for (s, y, r), c in zip(steps, reversed(kept)):
+            toward = toward + (c - r * (y @ toward)) * s
+        size, fall = 1.0, slope @ toward
+        while size > 1e-6:
+            new, new_slope = loss(w + size * toward)
+            if new <= value + 1e-4 * size * fall:
+                break
+            size /= 2
+        else:
+            break
+        s, y = size * toward, new_slope - slope
+        small = value - new < 1e-5 * max(1.0, abs(new))
+        w, value, slope = w + s, new, new_slope
+        if s @ y > 1e-12:
+            steps = [*steps[1 - memory :], (s, y, 1 / (s @ y))]
+        if small:
             break
     return w
 
 
-@dataclass
 class Model:
-    lexicon: Lexicon
-    weights: np.ndarray
+    """Scores texts; remembers the part of each word."""
+
+    def __init__(self, lexicon: Lexicon, entries: np.ndarray, totals: np.ndarray, hashed: np.ndarray, bias: float):
+        self.lexicon, self.entries, self.totals, self.hashed, self.bias = lexicon, entries, totals.tolist(), hashed, bias
+        self.known: dict[str, float] = {}
+
+    def _part(self, word: str) -> float:
+        return float(self.hashed[tokens(word)].sum())
 
     def score(self, text: str | None) -> float:
-        counts, totals = features(self.lexicon, text)
-        z = float(counts @ self.weights[: len(counts)] + totals @ self.weights[len(counts) : -1] + self.weights[-1])
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+        counted = Counter(words_of(text))
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        known, total = self.known, 0.0
+        for word in counted:
+            part = known.get(word)
+            if part is None:
+                part = known[word] = self._part(word)
+            total += part
+        counts, totals = features(self.lexicon, counted)
+        z = self.bias + total / math.sqrt(max(1, len(counted))) + sum(c * self.entries[i] for i, c in counts.items()) + sum(a * b for a, b in zip(totals, self.totals))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, float(z)))))
+
+    def __getstate__(self):
+        return {**self.__dict__, "known": {}}
 
 
 # -- fitting ------------------------------------------------------------------
@@ -263,21 +383,20 @@ def _mine(sample: DataFrame) -> tuple[DataFrame, int, int]:
     return counted, n.get(1, 0), n.get(0, 0)
 
 
-def choose_entries(rows: list[tuple[str, int, int]], positive: int, negative: int) -> tuple[list[str], int]:
-    """(entries that mark toxic texts for sure, pure ones first; how many are pure), without those that say what a chosen one says.
+def surely(positive: int, negative: int) -> Column:
+    """Whether an entry's share of toxic rows exceeds the sample's so clearly that it is not chance, by likelihood ratio."""
+    base, share = positive / (positive + negative), F.col("pos") / (F.col("pos") + F.col("neg"))
+    ratio = F.col("pos") * F.log(share / base) + F.when(F.col("neg") > 0, F.col("neg") * F.log((1 - share) / (1 - base))).otherwise(0.0)
+    return (share > base) & (ratio >= SURE)
+
+
+def choose_entries(rows: list[tuple[str, int, int]]) -> tuple[list[str], int]:
+    """(entries, pure ones first; how many are pure), without those that say what a chosen one says.
 
-    An entry's share of toxic rows must exceed the sample's so clearly
-    (likelihood ratio) that it would not happen by chance among all entries.
     Of a beginning and a word or longer beginning with about the same rows the
     longer stays; under a beginning that is nearly always toxic the longer go.
     """
-    base, ranked = positive / (positive + negative), []
-    for entry, pos, neg in rows:
-        share = pos / (pos + neg)
-        ratio = pos * math.log(share / base) + (neg * math.log((1 - share) / (1 - base)) if neg else 0.0)
-        if share > base and ratio >= SURE:
-            ranked.append((pos - 3 * neg, len(entry.rstrip("*")), pos, neg, entry))
-    ranked.sort(reverse=True)
+    ranked = sorted(((pos - 3 * neg, len(entry.rstrip("*")), pos, neg, entry) for entry, pos, neg in rows), reverse=True)
     chosen: dict[str, tuple[int, int]] = {}
     longer: dict[str, int] = {}  # of each beginning, rows of the most frequent longer entry
     for _, _, pos, _, entry in ranked:
@@ -291,50 +410,57 @@ def choose_entries(rows: list[tuple[str, int, int]], positive: int, negative: in
         if any(n <= PURE * p for p, n in shorter) or longer.get(entry.endswith("*") and stem, 0) >= 0.95 * pos:
             continue
         chosen[entry] = (pos, neg)
-        if len(chosen) >= MOST_ENTRIES:
-            break
     return sorted(chosen, key=lambda e: chosen[e][1] > PURE * chosen[e][0]), sum(n <= PURE * p for p, n in chosen.values())
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """Fit on labelled rows that are not held out; without both labels, on the fixed list alone."""
+    """Fit on labelled rows that are not held out; without both labels, on the fixed list alone.
+
+    Of several labels of a key the toxic one counts, of several texts the one
+    with the smallest hash.
+    """
     prepare(docs.sparkSession)
     known = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1) & (fit_key(F.col(key)) != 1))
     known = known.groupBy(F.col(key).alias("key")).agg(F.max(F.col(label)).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("key"), "key").limit(FIT_ROWS)
-    sample = durable(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key").select("key", "text", "label").dropDuplicates(["key"]), "fit")
+    named = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "key")
+    one = named.groupBy("key", "label").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("one"))
+    sample = durable(one.select("key", F.col("one.text").alias("text"), "label"), "fit")
     sample = _apart(sample)
     counted, positive, negative = _mine(sample)
-    # The strongest few thousand by a bound that needs no more than the counts.
-    likely = counted.where("pos >= 3").where(F.col("pos") * max(1, negative) > 3 * F.col("neg") * max(1, positive))
-    rows = [tuple(r) for r in likely.orderBy(F.desc(F.expr("pos - 3 * neg")), "entry").limit(20 * MOST_ENTRIES).collect()] if positive and negative else []
-    mined, pure = choose_entries(rows, positive, negative) if rows else ([], 0)
+    rows = [tuple(r) for r in counted.where(surely(positive, negative)).collect()] if positive and negative else []
+    mined, pure = choose_entries(rows) if rows else ([], 0)
     first = list(dict.fromkeys([*mined[:pure], *SEED_WORDS]))
     lexicon = Lexicon([*first, *[e for e in mined[pure:] if e not in first]], len(first))
+    n_entries = len(lexicon.entries)
+    if not positive or not negative:
+        # No labels to learn from: any hit of the fixed list is toxic.
+        return Model(lexicon, np.zeros(n_entries), np.array([0, 0, 0, 5.0, 0, 0, 0]), np.zeros(BUCKETS), -3.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows = []
             for value, y in zip(batch.column(0), batch.column(1)):
-                counts, totals = features(lexicon, value.as_py())
-                at = np.flatnonzero(counts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([at.tolist()], pa.list_(pa.int32())), pa.array([counts[at].tolist()], pa.list_(pa.float32())), pa.array([totals.tolist()], pa.list_(pa.float32())), pa.array([y.as_py()], pa.int32())], ["at", "n", "totals", "label"]
-                )
-
-    made = sample.select("text", "label").mapInArrow(run, "at array<int>, n array<float>, totals array<float>, label int").collect()
-    counts = np.zeros((len(made), len(lexicon.entries)), np.float32)
-    totals = np.zeros((len(made), len(TOTALS)), np.float32)
-    given = np.zeros(len(made), np.int8)
+                counted = Counter(words_of(value.as_py()))
+                counts, totals = features(lexicon, counted)
+                hashed = np.array([b for w in counted for b in tokens(w)], np.uint16).tobytes()
+                rows.append({"at": list(counts), "n": list(counts.values()), "totals": totals, "hashed": hashed, "words": len(counted), "label": y.as_py()})
+            yield pa.RecordBatch.from_pylist(rows, _MADE)
+
+    made = sample.select("text", "label").mapInArrow(run, "at array<int>, n array<double>, totals array<double>, hashed binary, words int, label int").collect()
+    # In an order of their own, so that sums come out the same.
+    made.sort(key=lambda r: (r.label, r.words, bytes(r.hashed)))
+    counts, totals, given = np.zeros((len(made), n_entries), np.float32), np.array([r.totals for r in made]), np.array([r.label for r in made])
     for i, r in enumerate(made):
-        counts[i, r.at], totals[i], given[i] = r.n, r.totals, r.label
-    if not positive or not negative:
-        # No labels to learn from: any hit of the fixed list is toxic.
-        weights = np.zeros(len(lexicon.entries) + len(TOTALS) + 1)
-        weights[len(lexicon.entries) + 3], weights[-1] = 5.0, -3.0
-        return Model(lexicon, weights)
+        counts[i, r.at] = r.n
+    hashed = Sparse([np.frombuffer(r.hashed, np.uint16) for r in made], 1 / np.sqrt([max(1, r.words) for r in made]))
     seen = np.column_stack([votes(counts, totals), np.where(given == 1, 1, -1)]).astype(np.int8)
-    _, post = fit_label_model(seen, np.where(given == 1, 0.9, 0.1))
-    return Model(lexicon, fit_linear(np.column_stack([counts, totals]), post))
+    _, post = fit_label_model(seen)
+    w = fit_linear(np.column_stack([counts, totals]), hashed, post)
+    return Model(lexicon, w[:n_entries], w[n_entries : n_entries + len(TOTALS)], w[n_entries + len(TOTALS) : -1], float(w[-1]))
+
+
+_MADE = pa.schema([("at", pa.list_(pa.int32())), ("n", pa.list_(pa.float64())), ("totals", pa.list_(pa.float64())), ("hashed", pa.binary()), ("words", pa.int32()), ("label", pa.int32())])
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

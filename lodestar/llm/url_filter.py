@@ -1,21 +1,23 @@
 """URL filter: host and path rules, then logistic regression on hashed n-grams.
 
 Scoring is DataFrame operations only: character n-grams of host and path are
-hashed by ``xxhash64`` into a fixed number of buckets, and the score is the
-logistic of the sum of their weights, held as one constant array.  The model is
-fitted on the driver to a small labelled URL table whose features the same
-DataFrame expression makes, so training and scoring cannot differ.
+hashed by md5 into a fixed number of buckets, and the score is the logistic of
+the sum of their weights, held as one constant array of whole numbers (so the
+sum does not depend on its order).  The model is fitted on the driver to a
+small labelled URL table: names put together from a topic and a neutral word.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import ascii_lower
+from lodestar.llm.common import LOWER, UPPER, ascii_lower
 
 #: Fixed values: (verdict, host, start of the path).
 RULES = (
@@ -26,48 +28,65 @@ RULES = (
 )
 BUCKETS = 1 << 13
 SIZES = (3, 4, 5)
+#: Weights are kept as whole multiples of one in so many.
+UNIT = 10_000
 #: Labelled rows that a fit takes, at most.
 MOST_LABELLED = 10_000
-RIDGE = 1e-2
+RIDGE = 3e-3
 BLOCK_AT = 0.5
 
-#: The small labelled table: site names of unwanted and of ordinary pages.
+#: What the small labelled table is made of: topics of unwanted and of ordinary sites, words that go with either.
 UNWANTED = (
-    "cheap-pills", "spam-farm", "casino-win", "free-bets", "adult-x", "ads-track", "pills-online", "buy-pills", "spam-links", "link-farm",
-    "casino-bonus", "online-casino", "win-big", "bets-today", "sports-bets", "adult-cams", "xxx-video", "track-ads", "ads-server", "popup-ads",
-    "payday-loans", "replica-watch", "lottery-win", "free-money", "click-bait", "cheap-meds",
+    "pills", "viagra", "meds", "steroids", "casino", "poker", "slots", "bets", "betting", "lottery", "jackpot", "adult", "porn", "escort", "cams",
+    "hookup", "loans", "payday", "replica", "spam", "backlinks", "ads", "adserver", "popups", "tracker", "clickbait", "warez", "cracks", "scam",
 )
 ORDINARY = (
-    "news", "library", "weather", "museum", "history", "science", "gardening", "recipes", "travel-notes", "city-council", "open-data", "school",
-    "university", "health-info", "poetry", "music-review", "chess-club", "river-walks", "photo-album", "book-shop", "the-times", "orchestra",
-    "northern", "thread", "there", "other", "therein", "mention", "station", "nation", "thing", "father", "hand", "tender", "render", "weblog",
+    "news", "library", "weather", "museum", "history", "science", "garden", "recipes", "travel", "council", "school", "university", "health",
+    "poetry", "music", "chess", "river", "photos", "books", "theater", "orchestra", "kitchen", "letters", "mathematics", "geology", "village",
+    "harbor", "railway", "bakery", "gallery", "astronomy", "philosophy", "hospital", "forest", "parish", "cycling", "swimming", "climate", "language", "editor",
 )
+NEUTRAL = ("online", "best", "top", "daily", "my", "world", "city", "direct", "plus", "center")
+#: Words of paths: of unwanted pages, of ordinary ones; half of all paths have none.
+UNWANTED_PATHS = ("buy", "bonus", "winner", "offer", "promo", "click", "redirect", "deal", "signup", "discount")
+ORDINARY_PATHS = ("article", "about", "docs", "archive", "help", "guide", "research", "team", "contact", "notes")
 ENDINGS = ("example.com", "example.net", "example.org")
 LANGUAGES = ("en", "de", "fr", "es")
 PREFIXES = ("", "www.", "m.", "blog.")
 SUFFIXES = ("", "/", ".html")
 
 
-def labelled_urls() -> list[tuple[str, int]]:
-    """(url, 1 if unwanted): every name with every ending; the rest of the url says nothing of its label."""
+def labelled_urls(held_out: bool | None = None) -> list[tuple[str, int]]:
+    """(url, 1 if unwanted).  ``held_out`` picks the quarter of the names that is held out, or the others; None is all."""
     out = []
-    for label, names in ((1, UNWANTED), (0, ORDINARY)):
-        for i, name in enumerate(names):
-            for j, ending in enumerate(ENDINGS):
-                for k in range(4):
+    for label, topics, paths in ((1, UNWANTED, UNWANTED_PATHS), (0, ORDINARY, ORDINARY_PATHS)):
+        for i, topic in enumerate(topics):
+            for j, word in enumerate(NEUTRAL):
+                for k, name in enumerate((f"{word}-{topic}", f"{topic}-{word}")):
+                    if held_out is not None and held_out != (hashlib.md5(name.encode()).digest()[0] % 4 == 0):
+                        continue
                     n = 37 * i + 101 * j + 13 * k
-                    out.append((f"https://{PREFIXES[(i + k) % 4]}{name}.{ending}/{LANGUAGES[(j + k) % 4]}/{n % 1000}{SUFFIXES[n % 3]}", label))
+                    page = f"{paths[n % len(paths)]}-{n}" if (i + j + k) % 2 else str(n)
+                    out.append((f"https://{PREFIXES[(i + j) % 4]}{name}.{ENDINGS[n % 3]}/{LANGUAGES[(j + k) % 4]}/{page}{SUFFIXES[n % 3]}", label))
     return out
 
 
+HOST, PATH = r"(?s)^.*?://([^/?#]*)", r"(?s)^.*?://[^/?#]*([^?#]*)"
+
+
 def host_of(url: Column) -> Column:
     """Between the first ``://`` and ``/``, ``?``, ``#`` or the end, A-Z lower-cased; "" for null or no ``://``."""
-    return ascii_lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
+    return ascii_lower(F.regexp_extract(F.coalesce(url, F.lit("")), HOST, 1))
 
 
 def path_of(url: Column) -> Column:
     """What follows the host up to ``?``, ``#`` or the end."""
-    return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
+    return F.regexp_extract(F.coalesce(url, F.lit("")), PATH, 1)
+
+
+def parts_of(url: str) -> tuple[str, str]:
+    """(host, path) of a url, in Python."""
+    host, path = re.match(HOST, url), re.match(PATH, url)
+    return (host[1].translate(str.maketrans(UPPER, LOWER)), path[1]) if host and path else ("", "")
 
 
 def rule_of(host: Column, path: Column, rules: tuple = RULES) -> Column:
@@ -87,7 +106,7 @@ def features(host: Column, path: Column) -> Column:
     """Bucket numbers, from 0, of the distinct n-grams of host and path."""
 
     def cut(text: Column, n: int, mark: str):
-        return lambda i: F.pmod(F.xxhash64(F.lit(mark), F.substring(text, i, F.lit(n))), F.lit(BUCKETS)).cast("int")
+        return lambda i: (F.conv(F.substring(F.md5(F.concat(F.lit(mark), F.substring(text, i, F.lit(n)))), 1, 4), 16, 10).cast("int") % BUCKETS).cast("int")
 
     grams = []
     for mark, text in (("h", F.concat(F.lit("^"), host, F.lit("$"))), ("p", F.concat(F.lit("^"), path, F.lit("$")))):
@@ -97,16 +116,26 @@ def features(host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(*grams))
 
 
-def fit(spark: SparkSession, labelled: list[tuple[str, int]], steps: int = 300, rate: float = 2.0) -> tuple[float, np.ndarray]:
-    """(bias, weights) of a ridge logistic regression; at most ``MOST_LABELLED`` rows."""
+def features_of(url: str) -> list[int]:
+    """The same in Python, for the labelled table."""
+    host, path = parts_of(url)
+    found = set()
+    for mark, text in (("h", f"^{host}$"), ("p", f"^{path}$")):
+        for n in SIZES:
+            found |= {int(hashlib.md5((mark + text[i : i + n]).encode()).hexdigest()[:4], 16) % BUCKETS for i in range(len(text) - n + 1)}
+    return sorted(found)
+
+
+@lru_cache(maxsize=4)
+def fit(labelled: tuple[tuple[str, int], ...], steps: int = 300, rate: float = 2.0) -> tuple[int, tuple[int, ...]]:
+    """(bias, weights), in units, of a ridge logistic regression; at most ``MOST_LABELLED`` rows."""
     if not labelled:
-        return 0.0, np.zeros(BUCKETS)
-    df = spark.createDataFrame(labelled[:MOST_LABELLED], "url string, label int")
-    rows = df.select("label", features(host_of(F.col("url")), path_of(F.col("url"))).alias("x")).collect()
+        return 0, (0,) * BUCKETS
+    rows = [features_of(url) for url, _ in labelled[:MOST_LABELLED]]
     x = np.zeros((len(rows), BUCKETS), np.float32)
-    for i, r in enumerate(rows):
-        x[i, r.x] = 1 / np.sqrt(max(1, len(r.x)))
-    y = np.array([r.label for r in rows], np.float32)
+    for i, own in enumerate(rows):
+        x[i, own] = 1 / np.sqrt(max(1, len(own)))
+    y = np.array([label for _, label in labelled[:MOST_LABELLED]], np.float32)
     used = np.flatnonzero(x.any(axis=0))
     z, w, bias = x[:, used], np.zeros(len(used), np.float32), 0.0
     for _ in range(steps):
@@ -115,21 +144,16 @@ def fit(spark: SparkSession, labelled: list[tuple[str, int]], steps: int = 300,
         bias -= rate * float(off.mean())
     weights = np.zeros(BUCKETS)
     weights[used] = w
-    return bias, weights
-
-
-@lru_cache(maxsize=4)
-def _model(application: str, table: tuple) -> tuple[float, np.ndarray]:
-    return fit(SparkSession.getActiveSession(), list(table))
+    return round(bias * UNIT), tuple(np.round(weights * UNIT).astype(int).tolist())
 
 
-def score_of(host: Column, path: Column, model: tuple[float, np.ndarray]) -> Column:
+def score_of(host: Column, path: Column, model: tuple[int, tuple[int, ...]]) -> Column:
     """Probability that a page is unwanted."""
     bias, weights = model
-    held = F.split(F.lit(",".join(f"{w:.7g}" for w in weights)), ",").cast("array<double>")  # folded into one constant
+    held = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<bigint>")  # folded into one constant
     found = features(host, path)
-    total = F.aggregate(found, F.lit(0.0), lambda acc, i: acc + F.get(held, i))
-    return F.lit(1.0) / (1.0 + F.exp(-(total / F.sqrt(F.greatest(F.size(found), F.lit(1))) + F.lit(float(bias)))))
+    total = F.aggregate(found, F.lit(0).cast("long"), lambda acc, i: acc + F.get(held, i))
+    return F.lit(1.0) / (1.0 + F.exp(-((total / F.sqrt(F.greatest(F.size(found), F.lit(1))) + F.lit(bias)) / UNIT)))
 
 
 def judge(df: DataFrame, url: str = "url", labelled: list[tuple[str, int]] | None = None, rules: tuple = RULES) -> DataFrame:
@@ -141,8 +165,7 @@ def judge(df: DataFrame, url: str = "url", labelled: list[tuple[str, int]] | Non
     names are replaced; rows that repeat are judged each; an empty table gives
     an empty result; without labelled rows every score is 0.5.
     """
-    table = labelled_urls() if labelled is None else labelled
-    model = _model(df.sparkSession.sparkContext.applicationId, tuple(table))
+    model = fit(tuple(labelled_urls() if labelled is None else labelled))
     names = ["host", "path", "score", "rule", "verdict"]
     kept = [c for c in df.columns if c not in names]
     cut = df.select(*kept, *([] if url in kept else [F.col(url)]), host_of(F.col(url)).alias("_ls_host"), path_of(F.col(url)).alias("_ls_path"))
