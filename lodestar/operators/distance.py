@@ -11,9 +11,9 @@ from lodestar.functions.metrics import metric as metric_of
 MOST_BYTES = 64 * 1024 * 1024
 
 
-def slices(queries: DataFrame, most_bytes: int = MOST_BYTES) -> list[DataFrame]:
-    """Queries in slices of checked size; one slice if all of them fit."""
-    size = queries.agg(F.coalesce(F.sum(F.size("q") * 8 + 32), F.lit(0))).first()[0]
+def slices(queries: DataFrame, most_bytes: int = MOST_BYTES, beside: int = 0) -> list[DataFrame]:
+    """Queries in slices of checked size, ``beside`` bytes a query included; one slice if all of them fit."""
+    size = queries.agg(F.coalesce(F.sum(F.size("q") * 8 + 32 + beside), F.lit(0))).first()[0]
     n = max(1, -(-2 * size // most_bytes)) if size > most_bytes else 1
     if n == 1:
         return [queries]

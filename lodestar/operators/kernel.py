@@ -1,7 +1,8 @@
 """Block kernel of the fused search: distances by matrix product, running top-k.
 
 A task holds the k nearest of its own points for every query and never the
-distance matrix.  Candidates come from ``|p|^2 - 2 p.q``; those that rounding
+distance matrix: queries go by tiles, points by blocks, and a tile's distances
+to a block take ``TILE_BYTES`` whatever the number of queries.  Candidates come from ``|p|^2 - 2 p.q``; those that rounding
 cannot rule out are measured again, term by term and left to right, so the
 distances equal those of the Column metrics bit for bit.
 """
@@ -13,8 +14,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Points in a block: with a thousand queries a block's distances take 32 MB.
-BLOCK = 4096
+#: Points in a block, and bytes of the distances of a block to the queries of a tile.
+BLOCK, TILE_BYTES = 4096, 16 * 1024 * 1024
+#: Bytes of candidates' vectors that are measured at once, about.
+EXACT_BYTES = 8 * 1024 * 1024
 
 
 def quantise(x: np.ndarray, precision: str) -> np.ndarray:
@@ -37,10 +40,11 @@ def _sum(terms: np.ndarray) -> np.ndarray:
     return np.add.accumulate(terms, axis=1)[:, -1] if terms.shape[1] else np.zeros(len(terms))
 
 
-def exact(points: np.ndarray, query: np.ndarray, metric: str) -> np.ndarray:
+def exact(points: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of rows that belong together (or of all rows to one query)."""
     if metric == "l2":
-        return _sum((points - query) ** 2)
-    return _sum(points * points) - 2.0 * _sum(points * query)
+        return _sum((points - queries) ** 2)
+    return _sum(points * points) - 2.0 * _sum(points * queries)
 
 
 def _matrix(column: pa.ListArray) -> np.ndarray:
@@ -48,15 +52,42 @@ def _matrix(column: pa.ListArray) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(np.float64) if len(column) else np.zeros((0, 0))
 
 
-def nearest(query_ids: np.ndarray, queries: np.ndarray, k: int, metric: str, precision: str):
+class Held:
+    """The k nearest so far of each query, in order; places without a neighbour come last."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.n = k, np.zeros(queries, np.int64)
+        self.dist, self.names = np.full((queries, k), np.inf), np.zeros((queries, k), np.int64)
+
+    def limit(self, tile: slice) -> np.ndarray:
+        """The distance that a neighbour may have at most, of each query."""
+        return np.where(self.n[tile] == self.k, self.dist[tile, -1], np.inf)
+
+    def add(self, low: int, high: int, query: np.ndarray, dist: np.ndarray, names: np.ndarray) -> None:
+        """Candidates of the queries from ``low`` to ``high``; ties go by name, not-a-number comes last."""
+        full = np.arange(self.k) < self.n[low:high, None]
+        query = np.r_[np.repeat(np.arange(low, high), self.n[low:high]), query]
+        dist, names = np.r_[self.dist[low:high][full], dist], np.r_[self.names[low:high][full], names]
+        order = np.lexsort((names, dist, query))
+        query, dist, names = query[order], dist[order], names[order]
+        count = np.bincount(query - low, minlength=high - low)
+        place = np.arange(len(query)) - np.repeat(np.cumsum(count) - count, count)
+        first = place < self.k
+        self.dist[query[first], place[first]], self.names[query[first], place[first]] = dist[first], names[first]
+        self.n[low:high] = np.minimum(count, self.k)
+
+
+def nearest(query_ids: np.ndarray, queries: np.ndarray, k: int, metric: str, precision: str, tile_bytes: int = TILE_BYTES):
     """A ``mapInArrow`` function: points to their k nearest for each query."""
     queries = quantise(queries, precision)
     norms = np.einsum("ij,ij->i", queries, queries)
     # Bound of the rounding error of a matrix product against a sum in order.
     slack = 1e-13 * max(1, queries.shape[1])
+    tile_rows = max(1, tile_bytes // (8 * BLOCK))
+    exact_rows = max(BLOCK, EXACT_BYTES // (8 * max(1, queries.shape[1])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = [(np.zeros(0), np.zeros(0, np.int64)) for _ in query_ids]
+        held = Held(len(query_ids), k)
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(at, BLOCK)
@@ -64,27 +95,30 @@ def nearest(query_ids: np.ndarray, queries: np.ndarray, k: int, metric: str, pre
                 if not len(ids):
                     continue
                 own = np.einsum("ij,ij->i", points, points)
-                rough = own - 2.0 * (queries @ points.T)
-                for i, query in enumerate(queries):
-                    held, names = best[i]
-                    row = rough[i]
-                    margin = slack * (np.nanmax(np.abs(own), initial=0.0) + norms[i] + 1.0)
-                    limit = np.inf
-                    if len(held) == k:
-                        limit = held[-1] - (norms[i] if metric == "l2" else 0.0)
-                    if len(row) > k:
-                        limit = min(limit, np.partition(row, k - 1)[k - 1])
-                    near = np.flatnonzero(~(row > limit + margin)) if np.isfinite(limit) else np.arange(len(row))
-                    if not len(near):
-                        continue
-                    dist = np.r_[held, exact(points[near], query, metric)]
-                    names = np.r_[names, ids[near]]
-                    first = np.lexsort((names, dist))[:k]  # not-a-number sorts last
-                    best[i] = dist[first], names[first]
-        count = [len(d) for d, _ in best]
-        if sum(count):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(query_ids, count)), pa.array(np.concatenate([n for _, n in best])), pa.array(np.concatenate([d for d, _ in best]))], ["query_id", "point_id", "dist"]
-            )
+                largest = np.nanmax(np.abs(own), initial=0.0)
+                for low in range(0, len(queries), tile_rows):
+                    tile = slice(low, min(len(queries), low + tile_rows))
+                    rough = own - 2.0 * (queries[tile] @ points.T)
+                    limit = held.limit(tile) - (norms[tile] if metric == "l2" else 0.0)
+                    if rough.shape[1] > k:
+                        limit = np.minimum(limit, np.partition(rough, k - 1, axis=1)[:, k - 1])
+                    # Not-a-number on either side rules nothing out.
+                    near = ~(rough > (limit + slack * (largest + norms[tile] + 1.0))[:, None])
+                    ends = np.cumsum(near.sum(axis=1))
+                    a = 0
+                    while a < len(near):
+                        done = ends[a - 1] if a else 0
+                        b = max(a + 1, int(np.searchsorted(ends, done + exact_rows, side="right")))
+                        q, j = np.nonzero(near[a:b])
+                        if len(q):
+                            held.add(low + a, low + b, low + a + q, exact(points[j], queries[low + a + q], metric), ids[j])
+                        a = b
+        for low in range(0, len(query_ids), tile_rows):
+            full = np.arange(k) < held.n[low : low + tile_rows, None]
+            if full.any():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(query_ids[low : low + tile_rows], held.n[low : low + tile_rows])), pa.array(held.names[low : low + tile_rows][full]), pa.array(held.dist[low : low + tile_rows][full])],
+                    ["query_id", "point_id", "dist"],
+                )
 
     return run

@@ -41,7 +41,8 @@ def knn_join(points: DataFrame, queries: DataFrame, spec: KnnSpec, most_bytes: i
 def _fused(points: DataFrame, queries: DataFrame, spec: KnnSpec, most_bytes: int) -> DataFrame:
     ship(points.sparkSession)
     near, out = spread(points.select("point_id", "p")), None
-    for part in slices(queries, most_bytes):
+    # A task holds k rows of 16 bytes a query, so they count as well.
+    for part in slices(queries, most_bytes, 16 * spec.k):
         rows = part.select("query_id", "q").orderBy("query_id").collect()  # bounded by most_bytes
         if not rows:
             continue

@@ -6,6 +6,7 @@ input precision.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -63,10 +64,24 @@ ALGORITHMS: dict[str, Algorithm] = {
 }
 
 
+#: Plans that users added: (points, queries, k) to neighbours, or to distances if it does not select.
+CUSTOM: dict[str, Callable[[DataFrame, DataFrame, int], DataFrame]] = {}
+
+
+def register_algorithm(name: str, plan: Callable[[DataFrame, DataFrame, int], DataFrame], selects: bool = True) -> None:
+    """Make ``plan(points, queries, k)`` available under a name, to :func:`run`, the runner and the command line."""
+    if name in ALGORITHMS and name not in CUSTOM:
+        raise ValueError(f"algorithm {name!r} is built in")
+    CUSTOM[name] = plan
+    ALGORITHMS[name] = Algorithm("custom", selects=selects)
+
+
 def run(name: str, points: DataFrame, queries: DataFrame, k: int, deg: int = 8) -> DataFrame:
     """Neighbours, or all distances for a distance-only name."""
     if name not in ALGORITHMS:
         raise ValueError(f"Unsupported algorithm {name!r}")
+    if name in CUSTOM:
+        return CUSTOM[name](points, queries, k)
     a = ALGORITHMS[name]
     if not a.selects:
         return distances(points, queries, a.metric)

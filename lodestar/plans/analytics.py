@@ -133,6 +133,8 @@ def statistics(speed: DataFrame, dataset: list[str], problem: list[str], bound:
     return grouped.select(*dataset, F.explode(F.array(*rows)).alias("x")).select(*dataset, "x.situation", "x.k", *[f"x.{c}" for c in problem], "x.sota", "x.proposed", "x.speedup")
 
 
+#: Rows that a lookup folds, at most.
+MOST_FOLDED = 1_000_000
 #: The configuration without any fitting row.
 DEFAULTS = {"block_size": 256, "deg": 1, "items_per_thread": 1, "items_per_thread2": 1, "items_per_thread3": 1}
 
@@ -143,11 +145,13 @@ def lookup_config(optima: DataFrame, algorithm: str, row: str, hostname: str | N
     A row scores one for each requested size it reaches; its slack is the
     product of how far it is off.  It replaces the current choice if its score
     is no smaller and its slack is smaller; the first row always does.  An
-    empty cell keeps the value of the row before.  Optima are small: their
-    fitting rows meet in one fold.
+    empty cell keeps the value of the row before.  The fold is sequential, so
+    fitting rows meet in one row; more than ``MOST_FOLDED`` are an error.
     """
     fits = F.col("algorithm") == algorithm
     rows = optima.where(fits & (F.col("hostname") == hostname) if hostname is not None else fits)
+    if rows.limit(MOST_FOLDED + 1).count() > MOST_FOLDED:
+        raise ValueError(f"more than {MOST_FOLDED} rows to look up in")
     asked = [(c, v) for c, v in request.items() if v is not None and c in optima.columns]
     score, slack = F.lit(0), F.lit(1.0)
     for c, v in asked:

@@ -19,7 +19,9 @@ from lodestar.operators.knn import checksum, knn_join, radius_filter
 from lodestar.operators.topk import top_k
 from lodestar.operators.verify import mismatches
 from lodestar.plans import algorithms, analytics
-from lodestar.sources.vectors import as_points, as_queries, from_columnar, generate, sort_with_position, stub_distances, to_columnar
+from lodestar.sources.benchlog import measured, read_log, write_log
+from lodestar.sources.vectors import PREPROCESSORS, as_points, as_queries, from_columnar, generate, sort_with_position, stub_distances, stub_steps, to_columnar
+from lodestar.storage import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -133,14 +135,22 @@ def knn_k_gt_n(spark, sf_dir):
     return _knn(spark, sf_dir, k=100_000, strategy="group_limit")
 
 
-@query()
+def rounded_sql(bits: int, least: int | None) -> str:
+    """Neighbours of vectors whose values have ``bits`` bits behind the first, ties to even, no exponent below ``least``."""
+    power = "floor(log2(abs(x)))" if least is None else f"greatest(floor(log2(abs(x))), {least})"
+    unit = f"pow(2, {power} - {bits})"
+    value = f"list_transform(embedding::DOUBLE[], lambda x: CASE WHEN x = 0 THEN x ELSE round_even(x / {unit}, 0) * {unit} END)"
+    return knn_sql(dist="round(dist, 6)").replace("embedding::DOUBLE[] AS v", f"{value} AS v")
+
+
+@query(rounded_sql(10, -14))
 def knn_half(spark, sf_dir):
-    return _knn(spark, sf_dir, precision="half")
+    return _knn(spark, sf_dir, precision="half").withColumn("dist", F.round("dist", 6))
 
 
-@query()
+@query(rounded_sql(7, None))
 def knn_bfloat16(spark, sf_dir):
-    return _knn(spark, sf_dir, precision="bfloat16")
+    return _knn(spark, sf_dir, precision="bfloat16").withColumn("dist", F.round("dist", 6))
 
 
 def _distance_query(name: str) -> None:
@@ -264,23 +274,77 @@ def columnar_round_trip(spark, sf_dir):
     return from_columnar(to_columnar(points, "point_id", "p"), "point_id", "p")
 
 
-@query()
+def _moments(spark, generator: str, low: float, high: float, digits: int) -> DataFrame:
+    """What can be said of generated vectors: how many, their size, range and moments."""
+    points, queries = generate(spark, generator, 1000, 10, 8, seed=1)
+    values = points.select("p").unionByName(queries.select(F.col("q").alias("p"))).select(F.size("p").alias("dim"), F.explode("p").alias("x"))
+    return values.agg(
+        F.count("*").alias("n"),
+        F.min("dim").alias("dim"),
+        F.min((F.col("x") >= low) & (F.col("x") < high)).alias("in_range"),
+        (F.abs(F.round(F.avg("x"), digits))).alias("mean"),
+        F.round(F.stddev_pop("x"), digits).alias("std"),
+        (F.count_distinct("x") > 8000).alias("different"),
+    )
+
+
+@query("SELECT 8080::BIGINT AS n, 8::INTEGER AS dim, true AS in_range, 0.0::DOUBLE AS mean, round(sqrt(1 / 3.0), 1)::DOUBLE AS std, true AS different")
 def generate_uniform(spark, sf_dir):
-    points, queries = generate(spark, "uniform:-1,1", 1000, 10, 8, seed=1)
-    return knn_join(points, queries, KnnSpec(K))
+    return _moments(spark, "uniform:-1,1", -1.0, 1.0, 1)
 
 
-@query()
+@query("SELECT 8080::BIGINT AS n, 8::INTEGER AS dim, true AS in_range, 0.0::DOUBLE AS mean, 2.0::DOUBLE AS std, true AS different")
 def generate_normal(spark, sf_dir):
-    points, queries = generate(spark, "normal:0,2", 1000, 10, 8, seed=1)
-    return knn_join(points, queries, KnnSpec(K))
+    return _moments(spark, "normal:0,2", -20.0, 20.0, 0)
+
+
+def _stub_sql(queries: int, points: int, unique: int, k: int) -> str:
+    stride, step = stub_steps(points, unique)
+    return (
+        f"WITH d AS (SELECT q.range AS query_id, p.range AS point_id, floor(((p.range * {step} + q.range * 7919) % {points}) / {stride}) / 32.0::DOUBLE AS dist FROM range({queries}) q, range({points}) p), "
+        f"r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, point_id) AS rank FROM d) SELECT query_id, rank::INTEGER AS rank, point_id, dist FROM r WHERE rank <= {k}"
+    )
 
 
-@query()
+@query(_stub_sql(13, 199, 7, 32))
 def stub_ties(spark, sf_dir):
     return top_k(stub_distances(spark, 13, 199, 7), ["query_id"], "dist", ["point_id"], 32)
 
 
+@query("SELECT q.range AS query_id, count(*) AS points, count(DISTINCT p.range) AS different, max(p.range) / 32.0::DOUBLE AS farthest FROM range(5) q, range(100) p GROUP BY ALL")
+def stub_dist(spark, sf_dir):
+    return stub_distances(spark, 5, 100).groupBy("query_id").agg(F.count("*").alias("points"), F.count_distinct("dist").alias("different"), F.max("dist").alias("farthest"))
+
+
+def _order_points_sql(direction: str) -> str:
+    return (
+        f"WITH e AS (SELECT vec_id, embedding[1]::DOUBLE AS v FROM embeddings) SELECT 'point' AS side, row_number() OVER (ORDER BY v {direction}, vec_id) - 1 AS id, v AS value FROM e "
+        "UNION ALL SELECT 'query', vec_id, 0.0 FROM e WHERE vec_id % 100 = 0"
+    )
+
+
+def _order_points(spark, sf_dir, name: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 1).alias("v"))
+    points, queries = PREPROCESSORS[name](as_points(rows, "vec_id", "v"), as_queries(rows.where("vec_id % 100 = 0"), "vec_id", "v"))
+    first = points.select(F.lit("point").alias("side"), F.col("point_id").cast("long").alias("id"), F.element_at("p", 1).alias("value"))
+    return first.unionByName(queries.select(F.lit("query").alias("side"), F.col("query_id").alias("id"), F.element_at("q", 1).alias("value")))
+
+
+@query(_order_points_sql("ASC"))
+def preprocess_ascending(spark, sf_dir):
+    return _order_points(spark, sf_dir, "ascending")
+
+
+@query(_order_points_sql("DESC"))
+def preprocess_descending(spark, sf_dir):
+    return _order_points(spark, sf_dir, "descending")
+
+
+@query(f"WITH {E_SQL} SELECT id AS point_id, v AS p FROM e")
+def preprocess_identity(spark, sf_dir):
+    return PREPROCESSORS["identity"](*vectors(spark, sf_dir))[0]
+
+
 @query(
     "WITH t AS (SELECT l_orderkey, l_linenumber, (l_partkey % 9)::VARCHAR || CASE WHEN l_suppkey % 3 = 0 THEN '' WHEN l_suppkey % 3 = 1 THEN ',' || (l_suppkey % 7)::VARCHAR ELSE ',2,3' END AS items, "
     "(l_partkey % 50)::VARCHAR || CASE l_linenumber % 4 WHEN 0 THEN '' WHEN 1 THEN 'k' WHEN 2 THEN 'M' ELSE 'g' END AS size FROM lineitem) "
@@ -462,6 +526,70 @@ def bench_roofline(spark, sf_dir):
     return rows.select(*analytics.PARAMETERS, F.round("time", 6).alias("time"), F.round(rate, 3).alias("throughput"))
 
 
+CSV_SQL = """SELECT l_linestatus AS algorithm, 'uniform' AS generator, 'identity' AS preprocessor, (l_orderkey % 20)::INTEGER AS iteration, 1024 * (1 + l_partkey % 3) AS point_count, 64::BIGINT AS query_count,
+1::INTEGER AS dim, 128::INTEGER AS block_size, 32::BIGINT AS k, l_linenumber AS a, l_orderkey % 4 AS b, 1::INTEGER AS deg, 'selection' AS phase, l_quantity / 64.0::DOUBLE AS time FROM lineitem"""
+
+
+def scanned_log(spark, sf_dir) -> DataFrame:
+    """A log written as CSV under a name that tells host and job, and scanned again."""
+    rows = table(spark, sf_dir, "lineitem")
+    log = rows.select(
+        F.col("l_linestatus").alias("algorithm"), F.lit("uniform").alias("generator"), F.lit("identity").alias("preprocessor"), (F.col("l_orderkey") % 20).cast("int").alias("iteration"),
+        (1024 * (1 + F.col("l_partkey") % 3)).cast("long").alias("point_count"), F.lit(64).cast("long").alias("query_count"), F.lit(1).alias("dim"), F.lit(128).alias("block_size"), F.lit(32).cast("long").alias("k"),
+        F.concat_ws(",", F.col("l_linenumber").cast("string"), (F.col("l_orderkey") % 4).cast("string")).alias("items_per_thread"), F.lit(1).alias("deg"), F.lit("selection").alias("phase"), (F.col("l_quantity") / 64.0).alias("time"),
+    )
+    path = f"{new_path(spark, 'log')}/bench-ampere02-108416.csv"
+    write_log(log, path)
+    return read_log(spark, path)
+
+
+@query(
+    f"WITH t AS ({CSV_SQL}) SELECT algorithm, iteration, point_count, 'ampere02' AS hostname, 108416::BIGINT AS jobid, 'A100' AS \"GPU\", a::INTEGER AS items_per_thread, b::INTEGER AS items_per_thread2, "
+    "1::INTEGER AS items_per_thread3, count(*) AS n, round(sum(time), 6) AS time FROM t WHERE iteration >= 10 AND phase IN ('selection', 'distances') GROUP BY ALL"
+)
+def csv_scan(spark, sf_dir):
+    rows = measured(scanned_log(spark, sf_dir), "selection", "distances")
+    keys = ["algorithm", "iteration", "point_count", "hostname", "jobid", "GPU", "items_per_thread", "items_per_thread2", "items_per_thread3"]
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.sum("time"), 6).alias("time"))
+
+
+HOLES_SQL = f"holes AS (SELECT * REPLACE (CASE WHEN block_size = 384 THEN NULL ELSE block_size END AS block_size, CASE WHEN point_count = 2048 AND items_per_thread = 1 THEN NULL ELSE k END AS k) FROM ({LOG_SQL}))"
+
+
+def _holes(spark, sf_dir):
+    hole = (F.col("point_count") == 2048) & (F.col("items_per_thread") == 1)
+    return proxy_log(spark, sf_dir).withColumns({"block_size": F.when(F.col("block_size") != 384, F.col("block_size")), "k": F.when(~hole, F.col("k"))})
+
+
+@query(f"WITH {HOLES_SQL} SELECT {KEYS}, {TUNED}, round(avg(time), 6) AS time FROM holes WHERE block_size IS NOT NULL AND k IS NOT NULL GROUP BY ALL")
+def bench_mean_no_null_keys(spark, sf_dir):
+    return analytics.mean_time(_holes(spark, sf_dir), drop_null_keys=True).withColumn("time", F.round("time", 6))
+
+
+@query(f"WITH {HOLES_SQL} SELECT {KEYS}, {TUNED}, round(avg(time), 6) AS time FROM holes GROUP BY ALL")
+def bench_mean_null_keys(spark, sf_dir):
+    return analytics.mean_time(_holes(spark, sf_dir)).withColumn("time", F.round("time", 6))
+
+
+@query(f"WITH {MEAN_SQL} SELECT {KEYS}, {TUNED}, round(time, 6) AS time FROM (SELECT *, row_number() OVER (PARTITION BY {KEYS}, block_size ORDER BY time, items_per_thread) AS r FROM mean) WHERE r = 1")
+def bench_first_best(spark, sf_dir):
+    found = analytics.first_best(_means(spark, sf_dir), [*analytics.PARAMETERS, "block_size"], "items_per_thread")
+    return found.withColumn("time", F.round("time", 6))
+
+
+@query(
+    "WITH t AS (SELECT CASE l_linenumber % 6 WHEN 0 THEN 'volta05' WHEN 1 THEN 'ampere01' WHEN 2 THEN 'ampere02' WHEN 3 THEN 'hopper01' WHEN 4 THEN 'laptop' END AS host, 1024 * (1 + l_partkey % 5) AS points, "
+    "CASE WHEN l_returnflag = 'A' THEN l_returnflag ELSE 'x' END AS flag FROM lineitem) SELECT host, points, flag, (CASE WHEN starts_with(host, 'volta') THEN 900 WHEN starts_with(host, 'ampere01') THEN 864 WHEN starts_with(host, 'ampere02') THEN 1935 WHEN starts_with(host, 'hopper') THEN 2039 ELSE 0 END "
+    "* 268435456.0)::DOUBLE AS floats, round(log2(points))::INTEGER AS label, count(*) AS n FROM t WHERE flag IN ('A', 'x') AND (host IS NULL OR host NOT IN ('laptop')) GROUP BY ALL"
+)
+def host_rates(spark, sf_dir):
+    names = ["volta05", "ampere01", "ampere02", "hopper01", "laptop"]
+    host = F.get(F.array(*map(F.lit, names)), (F.col("l_linenumber") % 6).cast("int"))
+    rows = table(spark, sf_dir, "lineitem").select(host.alias("host"), (1024 * (1 + F.col("l_partkey") % 5)).alias("points"), F.when(F.col("l_returnflag") == "A", "A").otherwise("x").alias("flag"))
+    kept = rows.where(F.col("flag").isin("A", "x") & (F.col("host").isNull() | ~F.col("host").isin("laptop")))
+    return kept.groupBy("host", "points", "flag").agg(F.count("*").alias("n")).select("*", scalar.floats_per_second(F.col("host")).alias("floats"), scalar.log2_label(F.col("points")).alias("label"))
+
+
 @query(f"WITH log AS ({LOG_SQL}) SELECT count(DISTINCT (hostname, algorithm))::BIGINT AS datasets, count(DISTINCT point_count)::BIGINT AS point_counts, max(time) AS slowest, min(time) AS fastest FROM log")
 def bench_datasets(spark, sf_dir):
     return proxy_log(spark, sf_dir).agg(

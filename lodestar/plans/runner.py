@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,9 +50,15 @@ def bench(
     deg: int = 8,
     generator: str = "",
     preprocessor: str = "identity",
+    block_size: int = 0,
+    items_per_thread: str = "1,1,1",
+    postprocess: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """One log row for each phase and repeat.
 
+    ``postprocess`` is applied to the result, in a phase of its own.  Block size
+    and items are logged as given; no plan depends on them.
+
     Two-phase algorithms time the distances and the selection from kept
     distances; fused ones have all of it in ``selection``.  Phases without a
     counterpart in Spark take no time.
@@ -67,13 +74,18 @@ def bench(
     for i in range(repeats):
         spent = dict.fromkeys(PHASES, 0.0)
         if not a.selects:
-            spent["distances"] = _timed(distances(points, queries, a.metric))
-        elif a.strategy == "fused":
+            spent["distances"] = _timed(run(name, points, queries, k, deg))
+        elif a.strategy in ("fused", "custom"):
             spent["selection"] = _timed(run(name, points, queries, k, deg))
         else:
             matrix = distances(points, queries, a.metric).persist()
             spent["distances"] = _timed(matrix)
             spent["selection"] = _timed(top_k(matrix, ["query_id"], "dist", ["point_id"], k, strategy=a.strategy, deg=deg))
             matrix.unpersist()
-        rows += [(name, generator, preprocessor, i, n, q, dim, 0, k, "1,1,1", deg, phase, spent[phase]) for phase in PHASES]
+        if postprocess is not None:
+            found = run(name, points, queries, k, deg).persist()
+            _timed(found)
+            spent["postprocessing"] = _timed(postprocess(found))
+            found.unpersist()
+        rows += [(name, generator, preprocessor, i, n, q, dim, block_size, k, items_per_thread, deg, phase, spent[phase]) for phase in PHASES]
     return spark.createDataFrame(rows, BENCH)

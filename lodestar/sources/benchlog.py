@@ -15,14 +15,14 @@ WARM_UP = 10
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Log rows with ``hostname, jobid`` from names like ``name-host-123.csv``, ``GPU`` and the items split."""
+    """Log rows with ``hostname, jobid`` from names like ``name-host-123.csv`` (of files or folders), ``GPU`` and the items split."""
     rows = spark.read.schema(BENCH).option("header", True).csv(path).withColumn("_ls_file", F.input_file_name())
-    host = F.regexp_extract("_ls_file", r"-([A-Za-z0-9]+)-\d+\.csv$", 1)
+    host = F.regexp_extract("_ls_file", r"-([A-Za-z0-9]+)-\d+\.csv(?:/[^/]*)?$", 1)
     gpus = F.create_map(*[F.lit(x) for pair in GPUS.items() for x in pair])
     return rows.withColumns(
         {
             "hostname": F.when(host != "", host),
-            "jobid": F.regexp_extract("_ls_file", r"-(\d+)\.csv$", 1).try_cast("long"),
+            "jobid": F.regexp_extract("_ls_file", r"-(\d+)\.csv(?:/[^/]*)?$", 1).try_cast("long"),
             "GPU": F.try_element_at(gpus, host),
             "items_per_thread2": item(F.col("items_per_thread"), 1),
             "items_per_thread3": item(F.col("items_per_thread"), 2),

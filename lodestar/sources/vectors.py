@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.scalar import parse_floats
 from lodestar.model import positive
+from lodestar.storage import durable
 
 
 def as_points(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -25,13 +26,18 @@ def _generate(spark: SparkSession, count: int, dim: int, name: str, component: C
     return spark.range(count).select(F.col("id").alias(key), F.array(*[component(i) for i in range(dim)]).alias(vector))
 
 
+def _seed(seed: int, component: int) -> int:
+    """Far apart, for a partition's number is added to it: else one component repeats another one's partition."""
+    return (seed * 65_537 + component) * 1_000_003
+
+
 def uniform(spark: SparkSession, count: int, dim: int, params: str = "", seed: int = 0, name: str = "points") -> DataFrame:
     """Components from [low, high); ``params`` is "", "high" or "low,high"."""
     given = parse_floats(params)
     low, high = (0.0, 1.0) if not given else (0.0, given[0]) if len(given) == 1 else (given[0], given[1])
     if len(given) > 2 or low >= high:
         raise ValueError(f"uniform needs low < high, not {params!r}")
-    return _generate(spark, count, dim, name, lambda i: F.rand(seed * 1_000_003 + i) * (high - low) + low)
+    return _generate(spark, count, dim, name, lambda i: F.rand(_seed(seed, i)) * (high - low) + low)
 
 
 def normal(spark: SparkSession, count: int, dim: int, params: str = "", seed: int = 0, name: str = "points") -> DataFrame:
@@ -40,7 +46,7 @@ def normal(spark: SparkSession, count: int, dim: int, params: str = "", seed: in
     mean, std = (0.0, 1.0) if not given else (0.0, given[0]) if len(given) == 1 else (given[0], given[1])
     if len(given) > 2 or std <= 0:
         raise ValueError(f"normal needs std > 0, not {params!r}")
-    return _generate(spark, count, dim, name, lambda i: F.randn(seed * 1_000_003 + i) * std + mean)
+    return _generate(spark, count, dim, name, lambda i: F.randn(_seed(seed, i)) * std + mean)
 
 
 GENERATORS = {"uniform": uniform, "normal": normal}
@@ -55,13 +61,16 @@ def generate(spark: SparkSession, generator: str, points: int, queries: int, dim
     return make(spark, points, dim, params, seed), make(spark, queries, dim, params, seed + 1, "queries")
 
 
+def stub_steps(points: int, unique: int = 0) -> tuple[int, int]:
+    """(points to a distance, step from point to point): a step that is coprime to ``points`` shuffles 0 .. points - 1."""
+    return 1 if unique <= 0 else -(-points // unique), next(s for s in range(max(2, points * 5 // 8), 2 * points + 3) if _coprime(s, points))
+
+
 def stub_distances(spark: SparkSession, queries: int, points: int, unique: int = 0, seed: int = 0) -> DataFrame:
     """Distances that are multiples of 1/32 in an order of their own for each query; ``unique`` different ones (0: all)."""
     positive(queries=queries, points=points)
-    stride = 1 if unique <= 0 else -(-points // unique)
+    stride, step = stub_steps(points, unique)
     grid = spark.range(queries).select(F.col("id").alias("query_id")).select("query_id", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point_id"))
-    # An affine step that is coprime to the number of points shuffles 0 .. points - 1.
-    step = next(s for s in range(max(2, points * 5 // 8), 2 * points + 3) if _coprime(s, points))
     place = F.pmod(F.col("point_id") * step + F.col("query_id") * 7919 + seed, F.lit(points))
     return grid.select("query_id", F.col("point_id").cast("long").alias("point_id"), (F.floor(place / stride) / 32.0).alias("dist"))
 
@@ -97,7 +106,8 @@ def sort_with_position(df: DataFrame, order: list, name: str) -> DataFrame:
     from pyspark.sql import Window
 
     part = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    placed = df.repartitionByRange(int(part), *order).withColumn("_ls_part", F.spark_partition_id())
+    # Written once: both uses must see the same ranges.
+    placed = durable(df.repartitionByRange(int(part), *order).withColumn("_ls_part", F.spark_partition_id()), "ranges")
     counts = placed.groupBy("_ls_part").agg(F.count("*").alias("_ls_n"))
     before = counts.select("_ls_part", (F.sum("_ls_n").over(Window.orderBy("_ls_part")) - F.col("_ls_n")).alias("_ls_before"))
     inside = F.row_number().over(Window.partitionBy("_ls_part").orderBy(*order)) - 1

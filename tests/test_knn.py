@@ -187,3 +187,80 @@ def test_plans(spark, tmp_path):
     plan = knn_join(p, q, KnnSpec(3, strategy="group_limit"))._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan and "BroadcastNestedLoopJoin" in plan
     assert "WindowGroupLimit" not in knn_join(p, q, KnnSpec(3, strategy="sort"))._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("n,q,d,k", [(32_768, 13, 10, 256), (8192, 3, 10, 2048)])
+@pytest.mark.parametrize("strategy", ["fused", "group_limit"])
+def test_large_shapes(spark, n, q, d, k, strategy):
+    points, queries = np.random.default_rng(42).random((n, d)), np.random.default_rng(43).random((q, d))
+    p = spark.range(n, numPartitions=8).select(F.col("id").alias("point_id")).mapInPandas(lambda it: (b.assign(p=list(points[b.point_id])) for b in it), "point_id long, p array<double>")
+    _, qs = frames(spark, points[:1], queries)
+    same(got(knn_join(p, qs, KnnSpec(k, strategy=strategy))), expected(points, queries, k))
+
+
+def test_tiles_bound_the_memory():
+    """A hundred thousand queries against a block of points, in this process."""
+    import resource
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    points, queries = rng.random((4096, 8)), rng.random((100_000, 8))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(4096)), pa.array(list(points))], ["point_id", "p"])
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    out = pa.Table.from_batches(kernel.nearest(np.arange(100_000), queries, 2, "l2", "double")([batch]))
+    assert (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024 < 300  # MB; all distances are 3.3 GB
+    assert out.num_rows == 200_000
+    found = out.column("point_id").to_numpy().reshape(-1, 2)
+    for i in (0, 1, 50_000, 99_999):
+        assert found[i].tolist() == np.argsort(((points - queries[i]) ** 2).sum(axis=1))[:2].tolist()
+
+
+@pytest.mark.parametrize("tile_bytes", [1, 3 * 8 * 4096, 1 << 24])
+@pytest.mark.parametrize("metric", ["l2", "l2_partial"])
+def test_tiles_agree(tile_bytes, metric):
+    """Ties, equal points, not-a-number and infinity, whatever the tile."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    points = rng.integers(0, 3, (300, 4)).astype(float)
+    points[7], points[100], points[150, 0] = np.nan, np.inf, -np.inf
+    queries = np.r_[rng.integers(0, 3, (20, 4)).astype(float), [[np.nan] * 4]]
+    batches = [pa.RecordBatch.from_arrays([pa.array(np.arange(a, b)), pa.array(list(points[a:b]))], ["point_id", "p"]) for a, b in ((0, 90), (90, 91), (91, 300))]
+    with np.errstate(invalid="ignore"):
+        got = pa.Table.from_batches(kernel.nearest(np.arange(21), queries, 9, metric, "double", tile_bytes)(batches)).to_pandas()
+        for i, q in enumerate(queries):
+            dist = kernel.exact(points, q, metric)
+            order = np.lexsort((np.arange(300), dist))[:9]
+            own = got[got.query_id == i]
+            assert own.point_id.tolist() == order.tolist() and np.array_equal(own.dist.to_numpy(), dist[order], equal_nan=True)
+
+
+def test_own_algorithm(spark):
+    from lodestar.plans import algorithms
+    from lodestar.plans.runner import bench
+
+    _, _, p, q = random_frames(spark, 50, 3, 4)
+    algorithms.register_algorithm("mine", lambda points, queries, k: knn_join(points, queries, KnnSpec(k, strategy="sort")))
+    try:
+        assert got(run("mine", p, q, 5)) == got(run("serial", p, q, 5))
+        log = bench(spark, "mine", p, q, 5, postprocess=lambda found: found.orderBy("query_id", "rank"), block_size=128, items_per_thread="2,1,1").collect()
+        spent = {r.phase: r.time for r in log}
+        assert spent["selection"] > 0 and spent["postprocessing"] > 0 and {(r.block_size, r.items_per_thread) for r in log} == {(128, "2,1,1")}
+        with pytest.raises(ValueError, match="built in"):
+            algorithms.register_algorithm("bits", None)
+    finally:
+        algorithms.ALGORITHMS.pop("mine"), algorithms.CUSTOM.pop("mine")
+
+
+def test_grid():
+    from lodestar.plans import grid
+
+    grid.check("bits", 2048, 512, 16)
+    grid.check("serial", 3, 7, 9)
+    for name, k, block, items, message in [("bits", 8, None, None, "k value: 8"), ("bits", 16, 64, None, "block size: 64"), ("bits-sq", 16, 128, 17, "batch size: 17"), ("block-select", 16, 64, 11, "thread queue size: 11"), ("fused-tc-half", 512, None, None, "k value: 512"), ("rapidsai-fused", 65, None, None, "k value: 65")]:
+        with pytest.raises(ValueError, match=f"Unsupported {message}"):
+            grid.check(name, k, block, items)
+    assert grid.legal_at_least(17, (16, 32, 64)) == 32
+    with pytest.raises(ValueError, match="Unsupported"):
+        grid.legal_at_least(65, (16, 64))
