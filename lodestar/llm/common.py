@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestar.shipping import ship
+from lodestar.storage import durable, release  # noqa: F401  (operators take them from here)
 
 #: Texts go to Python in batches of so many rows at most: with texts of many KB the default's are large.
 BATCH, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
@@ -31,45 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``.
-
-    Only where the session has none (tests in local mode) a temporary folder
-    is made and set.
-    """
-    context = spark.sparkContext
-    have = spark.conf.get("spark.checkpoint.dir", "") or context.getCheckpointDir()
-    if not have:
-        have = tempfile.mkdtemp(prefix="lodestar-shared-")
-        context.setCheckpointDir(have)
-    return have.rstrip("/")
-
-
-_WRITTEN: list[str] = []
-
-
-def release(spark: SparkSession) -> int:
-    """Delete what this process wrote to the shared folder; results that still read it must be written before."""
-    n = len(_WRITTEN)
-    while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return n
-
-
-def durable(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
-
-    Cuts lineage: later stages re-read files instead of recomputing, and a lost
-    executor costs no more than a re-read.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestar-{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Rows of a few numbers that are broadcast, at most.
 FEW = 400_000
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm import fingerprint, oracles, secret_scan, sharding, simhash, sp_dropout, suffix_dedup, token_binary, toxicity, url_filter, winnow
 from lodestar.llm.common import table
+from lodestar.storage import new_path
 
 
 def op1_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,7 +17,7 @@ def op1_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    path = token_binary.write_tokens(table(spark, sf_dir, "documents"), token_binary.new_path(spark), public_tokenizers.path("byte_bpe_50k.json"))
+    path = token_binary.write_tokens(table(spark, sf_dir, "documents"), new_path(spark, "token-files"), public_tokenizers.path("byte_bpe_50k.json"))
     return token_binary.positions(spark, path)
 
 

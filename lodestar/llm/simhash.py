@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm import bitslice
-from lodestar.llm.common import durable, partitions, prepare
+from lodestar.llm.common import durable, fresh, partitions, prepare, small
 from lodestar.llm.components import connected_components
 from lodestar.llm.suffix_dedup import _bit_map as bit_map
 from lodestar.llm.suffix_dedup import _in_map as in_map
@@ -115,15 +115,18 @@ def close_edges(distinct: DataFrame, radius: int, block: int = BLOCK) -> DataFra
         signed = lambda m: m - (1 << 64) if m >> 63 else m
         step = F.create_map(*[x for m, parts in wider.items() for x in (F.lit(signed(m)), F.array(*[F.lit(signed(p)) for p, _ in parts]))])
         spread = rows.select("fp", F.explode(step[F.col("mask")]).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
-        counts = spread.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1")
-        met = durable(spread.join(counts, ["mask", "key"]), "blocks")
+        # The keys of large blocks are known before rows move, so that no large block meets whole.
+        counts = spread.groupBy("mask", "key").agg(F.count("*").alias("n"))
+        large = durable(counts.where(F.col("n") > block).select("mask", "key"), "large")
         last = all(len(open_bits) <= radius + 8 for parts in wider.values() for _, open_bits in parts)
-        ready = met if last else met.where(F.col("n") <= block)
+        done = last or large.limit(1).count() == 0
+        few = None if done else small(large)
+        ready = spread if done else spread.join(few, ["mask", "key"], "left_anti")
         dealt = ready.select("fp", "mask", "key").repartition(partitions(spark), "mask", "key").sortWithinPartitions("mask", "key", "fp")
         edges.append(dealt.mapInArrow(_forest(radius), "u bigint, v bigint"))
-        if last or met.where(F.col("n") > block).limit(1).count() == 0:
+        if done:
             break
-        rows = met.where(F.col("n") > block).select("fp", "mask").distinct()
+        rows = durable(spread.join(few, ["mask", "key"], "left_semi").select("fp", "mask").distinct(), "blocks")
         level = [x for parts in wider.values() for x in parts]
     out = edges[0]
     for e in edges[1:]:
@@ -404,13 +407,14 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", words: int
     Of rows that repeat key and text one stays, whichever.
     """
     found = similar_classes(df, key, text, words, similarity)
-    marked = df.withColumn("_ls_hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    gone = durable(found.where("not keeper").select(F.col(key).alias("_ls_key"), F.col("hash").alias("_ls_gone")), "gone")
-    kept = marked.join(gone, marked[key].eqNullSafe(gone["_ls_key"]) & (marked["_ls_hash"] == gone["_ls_gone"]), "left_anti")
-    twice = marked.groupBy(F.col(key).alias("_ls_key"), F.col("_ls_hash").alias("_ls_twice")).agg(F.count("*").alias("_ls_n")).where("_ls_n > 1").drop("_ls_n")
+    own, gone_key, gone_hash, twice_key, twice_hash, count = fresh(df, "hash", "gone_key", "gone_hash", "twice_key", "twice_hash", "count")
+    marked = df.withColumn(own, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    gone = durable(found.where("not keeper").select(F.col(key).alias(gone_key), F.col("hash").alias(gone_hash)), "gone")
+    kept = marked.join(gone, F.col(key).eqNullSafe(F.col(gone_key)) & (F.col(own) == F.col(gone_hash)), "left_anti")
+    twice = marked.groupBy(F.col(key).alias(twice_key), F.col(own).alias(twice_hash)).agg(F.count("*").alias(count)).where(F.col(count) > 1).drop(count)
     twice = durable(twice, "twice")
     if twice.limit(1).count() == 0:
-        return kept.drop("_ls_hash")
-    same = kept[key].eqNullSafe(twice["_ls_key"]) & (kept["_ls_hash"] == twice["_ls_twice"])
-    one = kept.join(twice, same, "left_semi").dropDuplicates([key, "_ls_hash"])
-    return kept.join(twice, same, "left_anti").unionByName(one).drop("_ls_hash")
+        return kept.select(*df.columns)
+    same = F.col(key).eqNullSafe(F.col(twice_key)) & (F.col(own) == F.col(twice_hash))
+    one = kept.join(twice, same, "left_semi").dropDuplicates([key, own])
+    return kept.join(twice, same, "left_anti").unionByName(one).select(*df.columns)

@@ -17,8 +17,8 @@ from __future__ import annotations
 
 import os
 import re
-import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import durable, partitions, prepare, range_buckets, shared_dir
+from lodestar.llm.common import durable, partitions, prepare, range_buckets
 
 END = 0
-#: Distinct words whose ids a Python worker remembers.
-REMEMBERED = 250_000
+#: Distinct words, and chunks between spaces, whose ids a Python worker remembers.
+REMEMBERED = 300_000
 #: Documents taken at once.
 ROWS = 500
 #: Buckets of the key order for each shuffle partition.
@@ -90,75 +90,85 @@ _WORDS = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s
 _BEYOND = re.compile("[^\x00-\x1b\x20-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]")
 
 
+class Beyond(Exception):
+    """A text holds characters whose classes may differ between Unicode versions."""
+
+
+class _Words(dict):
+    """Ids of each word; new ones by the library's BPE model."""
+
+    def __init__(self, tokenizer, kind: np.dtype):
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.model, self.code = tokenizer.model, {1: "B", 2: "H", 4: "I"}[kind.itemsize]
+        # The library's printable letter for each byte: its alphabet in order of bytes is ASCII and Latin-1
+        # letters for themselves, then the others.
+        alphabet = set(ByteLevel.alphabet())
+        own = [b for b in range(256) if chr(b) in alphabet]
+        others = sorted(alphabet - {chr(b) for b in own})
+        self.letters = {b: chr(b) for b in own} | dict(zip([b for b in range(256) if chr(b) not in alphabet], others))
+
+    def __missing__(self, word: str) -> bytes:
+        tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
+        ids = self[word] = array(self.code, [t.id for t in tokens]).tobytes()
+        return ids
+
+
+class _Chunks(dict):
+    """Ids of what stands between two spaces, with the space before it."""
+
+    def __init__(self, words: _Words, before: str):
+        self.words, self.before = words, before
+
+    def __missing__(self, piece: str) -> bytes:
+        text = self.before + piece
+        if _BEYOND.search(text):
+            raise Beyond
+        ids = self[piece] = b"".join(map(self.words.__getitem__, _WORDS.findall(text)))
+        return ids
+
+
 class Encoder:
     """Whole texts to little-endian 16- or 32-bit ids of a byte-level BPE of the tokenizers library.
 
-    The tokenizer never merges over the words that it splits a text into, so a
-    word's ids are remembered.  New words are encoded many at once: words that
-    start with a space follow each other in one text, which splits into just
-    them, and a token that starts with a space starts the next word.  Texts
-    with characters other than ASCII and Latin letters, whose classes may
-    differ between Unicode versions, go through the tokenizer whole.
+    The tokenizer never merges over the words that it splits a text into, and
+    single spaces always begin a word, so the ids of words, and of chunks
+    between single spaces, are remembered.  Words are encoded by the library's
+    own model.  Texts that hold an added token, or characters other than ASCII
+    and Latin letters, go through the library's tokenizer whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        # Texts that hold an added token, or characters whose classes may differ, go through whole.
-        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
-        self.beyond = re.compile("|".join([_BEYOND.pattern, *added]))
-        vocabulary = self.tokenizer.get_vocab()
-        self.kind = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
-        self.starts = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.starts[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: set[str]) -> None:
-        spaced = [w for w in words if w[0] == " " and w[1:].isalpha()]
-        others = [w for w in words if not (w[0] == " " and w[1:].isalpha())]
-        if spaced:
-            joined = self._ids(["".join(spaced)])[0]
-            first = np.flatnonzero(self.starts[np.frombuffer(joined, self.kind)]) * self.kind.itemsize
-            if len(first) == len(spaced):
-                ends = [*first.tolist(), len(joined)]
-                self.known.update(zip(spaced, [joined[a:b] for a, b in zip(ends, ends[1:])]))
-            else:
-                others += spaced
-        if others:
-            self.known.update(zip(others, self._ids(others)))
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.kind = np.dtype("<u2" if max(self.tokenizer.get_vocab().values()) < 1 << 16 else "<u4")
+        self.words = _Words(self.tokenizer, self.kind)
+        self.first, self.rest = _Chunks(self.words, ""), _Chunks(self.words, " ")
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind).tobytes()
+
+    def _ids(self, text: str) -> bytes:
+        if any(a in text for a in self.added):
+            return self._whole(text)
+        try:
+            if "  " in text:  # runs of spaces are words of their own
+                if _BEYOND.search(text):
+                    raise Beyond
+                return b"".join(map(self.words.__getitem__, _WORDS.findall(text)))
+            first, *rest = text.split(" ")
+            return self.first[first] + b"".join(map(self.rest.__getitem__, rest))
+        except Beyond:
+            return self._whole(text)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; null counts as empty."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        get, found, new, whole = self.known.get, [], set(), []
-        for i, text in enumerate(texts):
-            if text and self.beyond.search(text):
-                whole.append(i)
-                text = ""
-            words = _WORDS.findall(text or "")
-            ids = list(map(get, words))
-            at, missing = -1, []
-            try:
-                while True:
-                    at = ids.index(None, at + 1)
-                    missing.append((at, words[at]))
-                    new.add(words[at])
-            except ValueError:
-                found.append((ids, missing))
-        if new:
-            self._learn(new)
-        for ids, missing in found:
-            for at, word in missing:
-                ids[at] = self.known[word]
-        out = [b"".join(ids) for ids, _ in found]
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole]) if whole else ()):
-            out[i] = ids
-        return out
+        for held in (self.words, self.first, self.rest):
+            if len(held) > REMEMBERED:
+                held.clear()
+        return [self._ids(t) if t else b"" for t in texts]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -296,6 +306,3 @@ def positions(spark, path: str, key: str = "doc_id") -> DataFrame:
     placed = rows.withColumn("upto", F.sum("n_tokens").over(window)).join(offsets, "bucket")
     return placed.select(key, (F.col("before") + F.col("upto") - F.col("n_tokens")).alias("start"), "n_tokens", "ids_crc32")
 
-
-def new_path(spark) -> str:
-    return f"{shared_dir(spark)}/lodestar-token-files-{uuid.uuid4().hex}"

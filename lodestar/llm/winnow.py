@@ -191,7 +191,8 @@ def contamination(
     named = docs.select(F.col(key), F.xxhash64(text).alias("_ls_hash"), F.col(text))
     passes, n = None, 0
     for rows in chain([first, second], slices):
-        one = named.mapInArrow(_scan(Index.build(rows, span, gram), 2, [key, "_ls_hash"]), f"`{key}` {kind}, _ls_hash bigint, {found}")
+        # Written at once, so that the driver holds the index of one slice at a time.
+        one = durable(named.mapInArrow(_scan(Index.build(rows, span, gram), 2, [key, "_ls_hash"]), f"`{key}` {kind}, _ls_hash bigint, {found}"), "pass")
         passes, n = one if passes is None else passes.unionByName(one), n + 1
     met = passes.groupBy(key, "_ls_hash").agg(
         F.first("n_words").alias("n_words"),

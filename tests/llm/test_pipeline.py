@@ -1,6 +1,8 @@
 """The pipeline's stages on a small made-up corpus, against what each must keep."""
 
 import random
+from collections import Counter
+from pathlib import Path
 
 import pytest
 
@@ -50,3 +52,51 @@ def test_stages(spark, folder, tmp_path):
 def test_run(spark, folder):
     rows = pipeline.run(spark, folder[0]).collect()
     assert len(rows) == len(folder[1]) - 6
+
+
+NAMES = "doc_id long, text string, lang string, source string, n_chars long, _ls_hash string, _ls_key string, secrets string, `key` string, rules string"
+
+
+@pytest.mark.parametrize("name,stage", pipeline.STAGES)
+def test_edges_of_each_stage(spark, folder, name, stage):
+    """Null keys, null and empty texts, repeated rows, a long text, clashing columns; and an empty table."""
+    path, _ = folder
+    rng = random.Random(7)
+    long = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 8))) for _ in range(60_000))
+    rows = [(1, None), (2, ""), (None, "one line of words that is alone here"), (3, "twice the same words in this text"), (3, "twice the same words in this text"), (4, long), (5, "\n" * 50_000 + "z")]
+    full = [(i, t, "en", "s", len(t or ""), "h", "k", "s", "y", "r") for i, t in rows]
+    df = spark.createDataFrame(full, NAMES)
+    out = stage(spark, df, path)
+    got = sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect())
+    every = sorted((i is None, i or 0) for i, _ in rows)
+    if name == "near_dedup":  # null and empty are alike, and so are rows that repeat
+        every = [x for i, x in enumerate(every) if x not in every[:i] and x != (False, 2)]
+    assert got == every
+    if name != "sentencepiece":
+        assert out.columns == df.columns and {tuple(r)[5:] for r in out.collect()} == {tuple("hksyr")}
+    empty = stage(spark, df.limit(0), path)
+    assert empty.columns == out.columns and empty.count() == 0
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").is_dir(), reason="no test data")
+def test_near_dedup_of_the_tables(spark):
+    """Classes of the documents against all pairs of texts: every link at 0.8 joins, nothing else does."""
+    from lodestar.llm import simhash
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    keys = sorted(texts)
+    sets = [simhash.shingles(texts[k]) for k in keys]
+    holders: dict = {}
+    for i, own in enumerate(sets):
+        for x in own.tolist():
+            holders.setdefault(x, []).append(i)
+    both = Counter((i, j) for held in holders.values() for n, i in enumerate(held) for j in held[n + 1 :])
+    name, links = list(range(len(keys))), 0
+    for (i, j), n in both.items():
+        if n / (len(sets[i]) + len(sets[j]) - n) >= 0.8:
+            links += 1
+            a, b = sorted((name[i], name[j]))
+            name = [a if x == b else x for x in name]
+    assert links > 50
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).select("doc_id").collect()) == sorted(keys[i] for i in set(name))

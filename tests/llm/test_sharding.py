@@ -59,14 +59,3 @@ def test_addresses_do_not_depend_on_partitions(spark):
 
 def test_empty(spark):
     assert S.assign_shards(spark.createDataFrame([], "doc_id long, text string")).count() == 0
-
-
-def test_release(spark):
-    from pathlib import Path
-
-    from lodestar.llm import common
-
-    kept = common.durable(spark.range(5), "gone")
-    assert kept.count() == 5
-    path = Path(common._WRITTEN[-1].removeprefix("file:"))
-    assert path.is_dir() and common.release(spark) >= 1 and not path.exists() and not common._WRITTEN
