@@ -80,7 +80,7 @@ class Held:
 def nearest(query_ids: np.ndarray, queries: np.ndarray, k: int, metric: str, precision: str, tile_bytes: int = TILE_BYTES):
     """A ``mapInArrow`` function: points to their k nearest for each query."""
     queries = quantise(queries, precision)
-    norms = np.einsum("ij,ij->i", queries, queries)
+    norms, twice = np.einsum("ij,ij->i", queries, queries), 2.0 * queries
     # Bound of the rounding error of a matrix product against a sum in order.
     slack = 1e-13 * max(1, queries.shape[1])
     tile_rows = max(1, tile_bytes // (8 * BLOCK))
@@ -98,12 +98,15 @@ def nearest(query_ids: np.ndarray, queries: np.ndarray, k: int, metric: str, pre
                 largest = np.nanmax(np.abs(own), initial=0.0)
                 for low in range(0, len(queries), tile_rows):
                     tile = slice(low, min(len(queries), low + tile_rows))
-                    rough = own - 2.0 * (queries[tile] @ points.T)
+                    rough = twice[tile] @ points.T
+                    np.subtract(own, rough, out=rough)
                     limit = held.limit(tile) - (norms[tile] if metric == "l2" else 0.0)
-                    if rough.shape[1] > k:
-                        limit = np.minimum(limit, np.partition(rough, k - 1, axis=1)[:, k - 1])
+                    margin = slack * (largest + norms[tile] + 1.0)
                     # Not-a-number on either side rules nothing out.
-                    near = ~(rough > (limit + slack * (largest + norms[tile] + 1.0))[:, None])
+                    near = ~(rough > (limit + margin)[:, None])
+                    if rough.shape[1] > k and near.sum() > 4 * k * len(near):  # the block's own k nearest bound it better
+                        limit = np.minimum(limit, np.partition(rough, k - 1, axis=1)[:, k - 1])
+                        near = ~(rough > (limit + margin)[:, None])
                     ends = np.cumsum(near.sum(axis=1))
                     a = 0
                     while a < len(near):
