@@ -57,7 +57,7 @@ PRIOR_ROWS = 5.0
 #: Ridge of what lexicon and patterns see, and of hashed words.
 RIDGE, HASHED_RIDGE = 0.3, 3.0
 #: Rows that a fit looks at at once.
-BLOCK = 2000
+BLOCK = 500
 WORD = re.compile(r"[^\W\d_]+")
 #: A short list of insults that holds without any labels.
 SEED_WORDS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "imbecile", "dumbass", "bastard")
@@ -443,24 +443,28 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             for value, y in zip(batch.column(0), batch.column(1)):
                 counted = Counter(words_of(value.as_py()))
                 counts, totals = features(lexicon, counted)
-                hashed = np.array([b for w in counted for b in tokens(w)], np.uint16).tobytes()
-                rows.append({"at": list(counts), "n": list(counts.values()), "totals": totals, "hashed": hashed, "words": len(counted), "label": y.as_py()})
+                hashed = np.array([b for w in counted for b in tokens(w)], np.uint16)
+                seen = np.array([*totals, *[x for pair in counts.items() for x in pair]], np.float32)
+                rows.append({"seen": seen.tobytes(), "hashed": hashed.tobytes(), "words": len(counted), "label": y.as_py()})
             yield pa.RecordBatch.from_pylist(rows, _MADE)
 
-    made = sample.select("text", "label").mapInArrow(run, "at array<int>, n array<double>, totals array<double>, hashed binary, words int, label int").collect()
+    made = sample.select("text", "label").mapInArrow(run, "seen binary, hashed binary, words int, label int").collect()
     # In an order of their own, so that sums come out the same.
-    made.sort(key=lambda r: (r.label, r.words, bytes(r.hashed)))
-    counts, totals, given = np.zeros((len(made), n_entries), np.float32), np.array([r.totals for r in made]), np.array([r.label for r in made])
+    made.sort(key=lambda r: (r.label, r.words, bytes(r.hashed), bytes(r.seen)))
+    counts, totals, given = np.zeros((len(made), n_entries), np.float32), np.zeros((len(made), len(TOTALS)), np.float32), np.array([r.label for r in made])
     for i, r in enumerate(made):
-        counts[i, r.at] = r.n
+        own = np.frombuffer(r.seen, np.float32)
+        totals[i], pairs = own[: len(TOTALS)], own[len(TOTALS) :].reshape(-1, 2)
+        counts[i, pairs[:, 0].astype(np.int64)] = pairs[:, 1]
     hashed = Sparse([np.frombuffer(r.hashed, np.uint16) for r in made], 1 / np.sqrt([max(1, r.words) for r in made]))
+    del made
     seen = np.column_stack([votes(counts, totals), np.where(given == 1, 1, -1)]).astype(np.int8)
     _, post = fit_label_model(seen)
     w = fit_linear(np.column_stack([counts, totals]), hashed, post)
     return Model(lexicon, w[:n_entries], w[n_entries : n_entries + len(TOTALS)], w[n_entries + len(TOTALS) : -1], float(w[-1]))
 
 
-_MADE = pa.schema([("at", pa.list_(pa.int32())), ("n", pa.list_(pa.float64())), ("totals", pa.list_(pa.float64())), ("hashed", pa.binary()), ("words", pa.int32()), ("label", pa.int32())])
+_MADE = pa.schema([("seen", pa.binary()), ("hashed", pa.binary()), ("words", pa.int32()), ("label", pa.int32())])
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -136,6 +136,44 @@ def test_similar_classes(spark, monkeypatch, large):
     assert len(by) <= len(groups) + 1
 
 
+def test_copies_alike_by_one_text_only(spark, monkeypatch):
+    """Copies that are each close to one text but not to each other; and the same without that text."""
+    monkeypatch.setattr(S, "LARGE", 60)
+    asked = []
+    monkeypatch.setattr(S, "NEAREST", (2, 16, None))
+    real = S._near_pairs
+    monkeypatch.setattr(S, "_near_pairs", lambda *a: asked.append(a[2]) or real(*a))
+    rng = random.Random(3)
+
+    def copies(name, n):
+        base = [f"{name}{i}" for i in range(200)]
+        out = [" ".join(base)]
+        for c in range(n):
+            own = list(base)
+            for at in rng.sample(range(5, 195, 10), 3):
+                own[at] = f"new{name}{c}x{at}"
+            out.append(" ".join(own))
+        return out
+
+    texts = copies("a", 150) + copies("b", 100)[1:] + [" ".join(f"c{i}" for i in range(300))]
+    sets = [set(S.shingles(t).tolist()) for t in texts]
+    name = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((name[i], name[j]))
+                name = [a if x == b else x for x in name]
+    got = {r.doc_id: r.component for r in S.similar_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    classes: dict = {}
+    for i, c in got.items():
+        classes.setdefault(c, []).append(i)
+    want: dict = {}
+    for i, n in enumerate(name):
+        want.setdefault(n, []).append(i)
+    assert sorted(map(sorted, classes.values())) == sorted(want.values())
+    assert max(map(len, want.values())) == 151 and len(asked) <= 3
+
+
 def test_keep_one(spark):
     base = " ".join(f"w{i}" for i in range(300))
     rows = [(5, base, "a"), (3, base.upper(), "b"), (9, base.replace("w150 ", "other "), None), (7, None, "c"), (8, "", "c"), (4, "fine text alone", "d"), (4, "fine text alone", "d"), (None, base, "e"), (None, "null key", "e")]
