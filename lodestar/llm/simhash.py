@@ -520,9 +520,12 @@ def similar_classes(df: DataFrame, key: str = "doc_id", text: str = "text", word
         dealt = left.unionByName(right).repartition(partitions(spark), *group).sortWithinPartitions(*group, "node")
         near = durable(dealt.mapInArrow(_near_pairs(similarity, low, high), "u bigint, v bigint").distinct(), "near")
         more = near.where("u is null").limit(1).count() > 0
-        rest = near.where("u is not null").join(first, ["u", "v"], "left_anti")
-        edges = edges.unionByName(verified(rest, "links"))
-        found = connected_components(edges)
+        rest = durable(near.where("u is not null").join(first, ["u", "v"], "left_anti"), "rest")
+        if rest.limit(1).count():
+            links = verified(rest, "links")
+            if links.limit(1).count():
+                edges = edges.unionByName(links)
+                found = connected_components(edges)
         if not more:
             break
         low = high
