@@ -30,7 +30,7 @@ from lodestar.llm.common import durable, partitions, prepare, range_buckets
 
 END = 0
 #: Distinct words, and chunks between spaces, whose ids a Python worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: Documents taken at once.
 ROWS = 500
 #: Buckets of the key order for each shuffle partition.

@@ -51,7 +51,7 @@ REJECT_AT = 0.7
 BUCKETS = 1 << 14
 HASHED = (4, 6)
 #: Distinct words whose hashes and entries a scorer remembers.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 #: Weight of what is known of a voter alone against what is seen beside its parent, in rows.
 PRIOR_ROWS = 5.0
 #: Ridge of what lexicon and patterns see, and of hashed words.
