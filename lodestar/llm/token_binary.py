@@ -31,6 +31,8 @@ from lodestar.llm.common import durable, partitions, prepare, range_buckets
 END = 0
 #: Distinct words, and chunks between spaces, whose ids a Python worker remembers.
 REMEMBERED = 150_000
+#: Characters of whole texts that it holds for copies of them.
+HELD = 8_000_000
 #: Documents taken at once.
 ROWS = 500
 #: Buckets of the key order for each shuffle partition.
@@ -146,6 +148,8 @@ class Encoder:
         self.kind = np.dtype("<u2" if max(self.tokenizer.get_vocab().values()) < 1 << 16 else "<u4")
         self.words = _Words(self.tokenizer, self.kind)
         self.first, self.rest = _Chunks(self.words, ""), _Chunks(self.words, " ")
+        self.texts: dict[str, bytes] = {}
+        self.held = 0
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind).tobytes()
@@ -168,7 +172,20 @@ class Encoder:
         for held in (self.words, self.first, self.rest):
             if len(held) > REMEMBERED:
                 held.clear()
-        return [self._ids(t) if t else b"" for t in texts]
+        return [self._copied(t) if t else b"" for t in texts]
+
+    def _copied(self, text: str) -> bytes:
+        """Ids of a text, from the last ones with the same text if it is still held."""
+        ids = self.texts.get(text)
+        if ids is None:
+            ids = self._ids(text)
+            self.held += len(text)
+            if self.held > HELD:
+                self.texts.clear()
+                self.held = len(text)
+            if len(text) <= HELD // 100:
+                self.texts[text] = ids
+        return ids
 
 
 _ENCODERS: dict[str, Encoder] = {}
