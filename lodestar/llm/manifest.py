@@ -75,8 +75,8 @@ def folded(leaf: str, proof: list[tuple[str, str]]) -> str:
     return leaf
 
 
-def _placed(df: DataFrame, key: str, group: str, leaf: Column, other: Column) -> tuple[DataFrame, int, int]:
-    """``rank`` of the group, ``n`` rows of it, ``pos`` in it, ``key, leaf, other``; number of groups; rows of the largest."""
+def _placed(df: DataFrame, key: str, group: str, leaf: Column, other: Column) -> tuple[DataFrame, int, int, int]:
+    """``rank`` of the group, ``n`` rows of it, ``pos`` in it, ``key, leaf, other``; number of groups; rows of the largest; all rows."""
     spark = df.sparkSession
     slim = durable(df.select(F.col(group).cast("string").alias("g"), F.col(key).alias("k"), leaf.alias("leaf"), other.alias("other")), "leaves")
     order = [F.col("k").asc_nulls_first(), F.col("leaf")]
@@ -86,9 +86,9 @@ def _placed(df: DataFrame, key: str, group: str, leaf: Column, other: Column) ->
     # At most one row for each range and each group that begins in it.
     counts = durable(ranged.groupBy("part", "g").agg(F.count("*").alias("c")), "counts")
     sizes = durable(counts.groupBy("g").agg(F.sum("c").alias("n")), "sizes")
-    most = sizes.agg(F.count("*").alias("groups"), F.max("n").alias("n")).first()
+    most = sizes.agg(F.count("*").alias("groups"), F.max("n").alias("most"), F.sum("n").alias("total")).first()
     if not most.groups:
-        return slim.select(F.lit(0).alias("rank"), F.lit(0).alias("n"), F.lit(0).alias("pos"), "k", "leaf", "other"), 0, 0
+        return slim.select(F.lit(0).alias("rank"), F.lit(0).alias("n"), F.lit(0).alias("pos"), "k", "leaf", "other"), 0, 0, 0
     ranks = durable(sort_with_position(sizes, [F.col("g").asc_nulls_first()], "rank"), "ranks")
     before = (F.sum("c").over(Window.partitionBy("g").orderBy("part")) - F.col("c")).alias("before")
     starts = counts.select("part", "g", before).join(small(ranks).withColumnRenamed("g", "rg"), F.col("g").eqNullSafe(F.col("rg"))).drop("rg")
@@ -96,7 +96,7 @@ def _placed(df: DataFrame, key: str, group: str, leaf: Column, other: Column) ->
     inside = F.row_number().over(Window.partitionBy("part", "g").orderBy(*order)) - 1
     numbered = ranged.withColumn("inside", inside)
     met = numbered.join(small(starts), (F.col("part") == F.col("s_part")) & F.col("g").eqNullSafe(F.col("s_g")))
-    return met.select("rank", "n", (F.col("before") + F.col("inside")).alias("pos"), "k", "leaf", "other"), most.groups, most.n
+    return met.select("rank", "n", (F.col("before") + F.col("inside")).alias("pos"), "k", "leaf", "other"), most.groups, most.most, most.total
 
 
 def _written(rdd: RDD, df: DataFrame, name: str) -> RDD:
@@ -198,12 +198,11 @@ def verify(
     schema = T.StructType([T.StructField(key, kind), *[T.StructField(n, T.StringType()) for n in ("leaf", "subroot", "root", "proof_sha256", "folded_root")], T.StructField("verified", T.BooleanType())])
     if proofs:
         schema.add("proof", T.ArrayType(T.StructType([T.StructField("left", T.StringType()), T.StructField("right", T.StringType())])))
-    rows, groups, largest = _placed(df, key, group, leaf_of(df, fields), F.lit(None).cast("binary") if offered is None else offered)
+    rows, groups, largest, total = _placed(df, key, group, leaf_of(df, fields), F.lit(None).cast("binary") if offered is None else offered)
     if not groups:
         return spark.createDataFrame([], schema)
-    forest, total = Forest(df, arity, stride), groups * largest  # more than there are; decides partitions only
-    run = forest.run
-    parts = partitions(spark)
+    forest = Forest(df, arity, stride)
+    run, parts = forest.run, partitions(spark)
     leaves = rows.rdd.map(lambda r: ((r.rank, r.pos // run), (r.pos % run, r.leaf.hex(), r.n, (r.k, r.other.hex() if r.other is not None else None))))
     steps, subroots = forest.climb(leaves, largest, total, "vertices")
     tops = subroots.map(lambda x: ((GROUPS, x[0] // run), (x[0] % run, x[1][0], groups, (x[0], x[1][1]))))

@@ -120,6 +120,31 @@ s AS (SELECT *, 1 / (1 + exp(-((coalesce(total, 0) / sqrt(greatest(len(f), 1)) +
 SELECT page_id, host, path, {case(lambda r: r[1] + r[2])} AS rule, coalesce({case(lambda r: r[0])}, CASE WHEN s >= {u.BLOCK_AT} THEN 'block' ELSE 'allow' END) AS verdict, round(s, 6) AS score FROM s"""
 
 
+def crc32_sql(text: str) -> str:
+    """Unsigned crc32 of an ASCII string, bit by bit."""
+    bytes_ = f"list_transform(range(0, 8 * length({text})), lambda j: CASE WHEN j % 8 = 0 THEN ascii(substring({text}, (j // 8 + 1)::INT, 1))::BIGINT ELSE 0::BIGINT END)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bytes_}), lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295)"
+
+
+def manifest_sql() -> str:
+    """Trees level by level; then every leaf climbs them, with its proof and with its folded root."""
+    leaf = lambda text: "sha256(concat(" + ", ".join(f"CASE WHEN {v} IS NULL THEN '-' ELSE concat(strlen({v}::VARCHAR), ':', {v}) END" for v in ("doc_id", "source", "lang", "n_chars", text)) + "))"
+    climb = "SELECT g, l + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM {} WHERE n > 1 GROUP BY g, l, i // 3, n"
+    runs = "SELECT g, l, i // 3 AS j, list(h ORDER BY i) AS h FROM {} GROUP BY ALL"
+    left, right = "array_to_string(x.h[1:u.i % 3], '')", "array_to_string(x.h[u.i % 3 + 2:], '')"
+    step = f"SELECT u.r, u.g, u.l + 1, u.i // 3, (u.n + 2) // 3, concat(u.p, {left}, {right}), sha256(concat({left}, u.f, {right})) FROM {{}} u JOIN {{}} x ON x.g IS NOT DISTINCT FROM u.g AND x.l = u.l AND x.j = u.i // 3 WHERE u.n > 1"
+    return f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, source, {leaf("text")} AS h, CASE WHEN doc_id IS NOT NULL AND {crc32_sql("doc_id::VARCHAR")} % 2 = 0 THEN {leaf("replace(text, chr(10), '')")} END AS o FROM documents),
+b AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM d),
+t(g, l, i, n, h) AS (SELECT source, 0, i, n, h FROM b UNION ALL {climb.format("t")}),
+s AS (SELECT g AS source, h, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+e(g, l, i, n, h) AS (SELECT 0, 0, i, n, h FROM s UNION ALL {climb.format("e")}),
+tx AS ({runs.format("t")}), ex AS ({runs.format("e")}),
+u(r, g, l, i, n, p, f) AS (SELECT r, source, 0, i, n, '', coalesce(o, h) FROM b UNION ALL {step.format("u", "tx")}),
+v(r, g, l, i, n, p, f) AS (SELECT u.r, 0, 0, s.i, s.n, u.p, u.f FROM u JOIN s ON s.source IS NOT DISTINCT FROM u.g WHERE u.n = 1 UNION ALL {step.format("v", "ex")})
+SELECT b.doc_id, b.h AS leaf, s.h AS subroot, top.h AS root, sha256(v.p) AS proof_sha256, v.f AS folded_root, v.f = top.h AS verified
+FROM b JOIN s ON s.source IS NOT DISTINCT FROM b.source JOIN v ON v.r = b.r AND v.n = 1 CROSS JOIN (SELECT h FROM e WHERE n = 1) top"""
+
+
 def oracle() -> dict[str, str]:
     return {
         "op1_merkle_fingerprints": fingerprints_sql(),
@@ -127,4 +152,5 @@ def oracle() -> dict[str, str]:
         "op4_extendible_sharding": shards_sql(),
         "op6_winnowing_decontamination": contamination_sql(),
         "op7_url_filter": urls_sql(),
+        "op13_merkle_manifest": manifest_sql(),
     }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import fingerprint, oracles, secret_scan, sharding, simhash, sp_dropout, suffix_dedup, token_binary, toxicity, url_filter, winnow
+from lodestar.llm import fingerprint, manifest, oracles, secret_scan, sharding, simhash, sp_dropout, suffix_dedup, token_binary, toxicity, url_filter, winnow
 from lodestar.llm.common import table
 from lodestar.storage import new_path
 
@@ -76,7 +76,14 @@ def op10_sentencepiece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_chars", F.size("ids").cast("long").alias("n_pieces"), "lossless", "ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_merkle_fingerprints, op2_token_binary, op3_secret_scan, op4_extendible_sharding, op5_simhash_near_dedup, op6_winnowing_decontamination, op7_url_filter, op8_weak_toxicity, op9_suffix_dedup, op10_sentencepiece_dropout)}
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = manifest.leaf_of(docs, manifest.FIELDS, {"text": F.replace("text", F.lit("\n"), F.lit(""))})
+    even = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(2)) == 0
+    return manifest.verify(docs, offered=F.when(even, tampered))
+
+
+QUERIES = {f.__name__: f for f in (op1_merkle_fingerprints, op2_token_binary, op3_secret_scan, op4_extendible_sharding, op5_simhash_near_dedup, op6_winnowing_decontamination, op7_url_filter, op8_weak_toxicity, op9_suffix_dedup, op10_sentencepiece_dropout, op13_merkle_manifest)}
 
 
 def __getattr__(name: str):
