@@ -145,6 +145,20 @@ SELECT b.doc_id, b.h AS leaf, s.h AS subroot, top.h AS root, sha256(v.p) AS proo
 FROM b JOIN s ON s.source IS NOT DISTINCT FROM b.source JOIN v ON v.r = b.r AND v.n = 1 CROSS JOIN (SELECT h FROM e WHERE n = 1) top"""
 
 
+def trie_sql() -> str:
+    """Every prefix of every rebuilt conversation; nodes are groups of equal prefixes, subtrees are their longer prefixes."""
+    return rf"""WITH t AS (SELECT conv_id, turn, {{'r': coalesce(role, ''), 'x': coalesce(text, '')}} AS v FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list(v ORDER BY turn NULLS FIRST, md5(concat(strlen(v.r), ':', v.r, v.x))) AS a FROM t GROUP BY conv_id),
+b AS (SELECT c.conv_id, c.a, h.a AS ha, ({crc32_sql("c.conv_id::VARCHAR")} % 4)::INT AS n FROM c LEFT JOIN c h ON h.conv_id = c.conv_id - c.conv_id % 20),
+f AS (SELECT conv_id, list_concat(coalesce(ha[1:n], []), a[n + 1:]) AS a FROM b),
+p AS (SELECT conv_id, d, len(a) = d AS ends, a[1:d] AS p, CASE WHEN d > 0 THEN len(regexp_extract_all(a[d].x, '[^\x20\x09-\x0D]+')) ELSE 0 END AS w FROM (SELECT conv_id, a, unnest(range(0, len(a) + 1)) AS d FROM f)),
+n AS (SELECT p, d, min(conv_id) AS id, count(*) AS k, any_value(w) AS w, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '') AS ends FROM p GROUP BY p, d),
+k AS (SELECT n.*, coalesce(m.c, 0) AS c FROM n LEFT JOIN (SELECT p[1:d - 1] AS p, count(*) AS c FROM n WHERE d > 0 GROUP BY ALL) m ON m.p = n.p),
+s AS (SELECT p[1:u] AS p, sum((c = 0)::BIGINT)::BIGINT AS leaves, sum((k - 1) * w)::BIGINT AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS u FROM k) GROUP BY 1)
+SELECT k.id AS conv_id, k.d::BIGINT AS depth, up.id AS parent_conv_id, k.k AS n_convs, k.c::BIGINT AS n_children, s.leaves AS n_leaves, s.saved AS saved_tokens, sha256(k.ends) AS ends_sha256
+FROM k JOIN s ON s.p = k.p LEFT JOIN n up ON up.d = k.d - 1 AND up.p = k.p[1:k.d - 1]"""
+
+
 def oracle() -> dict[str, str]:
     return {
         "op1_merkle_fingerprints": fingerprints_sql(),
@@ -152,5 +166,6 @@ def oracle() -> dict[str, str]:
         "op4_extendible_sharding": shards_sql(),
         "op6_winnowing_decontamination": contamination_sql(),
         "op7_url_filter": urls_sql(),
+        "op11_prefix_trie": trie_sql(),
         "op13_merkle_manifest": manifest_sql(),
     }

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import fingerprint, manifest, oracles, secret_scan, sharding, simhash, sp_dropout, suffix_dedup, token_binary, toxicity, url_filter, winnow
-from lodestar.llm.common import table
+from lodestar.llm import fingerprint, manifest, oracles, prefix_trie, secret_scan, sharding, simhash, sp_dropout, suffix_dedup, token_binary, toxicity, url_filter, winnow
+from lodestar.llm.common import durable, table
 from lodestar.storage import new_path
 
 
@@ -76,6 +76,16 @@ def op10_sentencepiece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_chars", F.size("ids").cast("long").alias("n_pieces"), "lossless", "ids")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrays = durable(prefix_trie.turn_arrays(table(spark, sf_dir, "conversations")), "turns")
+    heads = arrays.select(F.col("conv_id").alias("base"), F.slice("turns", 1, 3).alias("head"))
+    h = F.pmod(F.crc32(F.col("conv_id").cast("string")), F.lit(4)).cast("int")
+    own = F.slice("turns", h + 1, F.size("turns"))
+    met = arrays.join(heads, F.col("conv_id") - F.col("conv_id") % 20 == F.col("base"), "left")
+    rebuilt = met.select("conv_id", F.when(F.col("head").isNull(), own).otherwise(F.concat(F.slice("head", 1, h), own)).alias("turns"))
+    return prefix_trie.trie(rebuilt)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     tampered = manifest.leaf_of(docs, manifest.FIELDS, {"text": F.replace("text", F.lit("\n"), F.lit(""))})
@@ -83,7 +93,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.verify(docs, offered=F.when(even, tampered))
 
 
-QUERIES = {f.__name__: f for f in (op1_merkle_fingerprints, op2_token_binary, op3_secret_scan, op4_extendible_sharding, op5_simhash_near_dedup, op6_winnowing_decontamination, op7_url_filter, op8_weak_toxicity, op9_suffix_dedup, op10_sentencepiece_dropout, op13_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_merkle_fingerprints, op2_token_binary, op3_secret_scan, op4_extendible_sharding, op5_simhash_near_dedup, op6_winnowing_decontamination, op7_url_filter, op8_weak_toxicity, op9_suffix_dedup, op10_sentencepiece_dropout, op11_prefix_trie, op13_merkle_manifest)}
 
 
 def __getattr__(name: str):
