@@ -94,3 +94,18 @@ def range_buckets(df: DataFrame, key: str, tie: Column, buckets: int) -> Column:
     part = F.shiftrightunsigned(tie, 33)  # 31 bits
     spread = F.shiftright(part * (high - low + 1), 31)
     return F.when(F.col(key).isNull(), F.lit(0)).when(high == low, low).otherwise((low + spread).cast("int"))
+
+
+def meet(rows: DataFrame, names: DataFrame, key: str, often: int = 1 << 14) -> DataFrame:
+    """Inner join of many rows with a table (written already) that has each ``key`` once.
+
+    Broadcast if the table is small.  Else keys of more than ``often`` rows, of
+    which there are few, are broadcast and only the others are shuffled, so that no
+    key's rows meet in one task.
+    """
+    if names.limit(FEW + 1).count() <= FEW:
+        return rows.join(F.broadcast(names), key)
+    hot = rows.groupBy(key).agg(F.count("*").alias("_ls_n")).where(F.col("_ls_n") > often).select(key)
+    hot = durable(names.join(hot, key, "left_semi"), "hot")
+    few = small(hot)
+    return rows.join(few, key).unionByName(rows.join(small(hot.select(key)), key, "left_anti").join(names, key))

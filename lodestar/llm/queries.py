@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import fingerprint, manifest, oracles, prefix_trie, secret_scan, sharding, simhash, sp_dropout, suffix_dedup, token_binary, toxicity, url_filter, winnow
+from lodestar.llm import fingerprint, jaccard_join, manifest, oracles, prefix_trie, secret_scan, sharding, simhash, sp_dropout, suffix_dedup, token_binary, toxicity, url_filter, winnow
 from lodestar.llm.common import durable, table
 from lodestar.storage import new_path
 
@@ -86,6 +86,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(rebuilt)
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     tampered = manifest.leaf_of(docs, manifest.FIELDS, {"text": F.replace("text", F.lit("\n"), F.lit(""))})
@@ -93,7 +97,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.verify(docs, offered=F.when(even, tampered))
 
 
-QUERIES = {f.__name__: f for f in (op1_merkle_fingerprints, op2_token_binary, op3_secret_scan, op4_extendible_sharding, op5_simhash_near_dedup, op6_winnowing_decontamination, op7_url_filter, op8_weak_toxicity, op9_suffix_dedup, op10_sentencepiece_dropout, op11_prefix_trie, op13_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_merkle_fingerprints, op2_token_binary, op3_secret_scan, op4_extendible_sharding, op5_simhash_near_dedup, op6_winnowing_decontamination, op7_url_filter, op8_weak_toxicity, op9_suffix_dedup, op10_sentencepiece_dropout, op11_prefix_trie, op12_jaccard_join, op13_merkle_manifest)}
 
 
 def __getattr__(name: str):
