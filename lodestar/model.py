@@ -49,6 +49,8 @@ class KnnSpec:
     deg: int = 8
     precision: str = "double"
     pad: bool = False
+    #: ``precision`` only finds candidates, with a proven bound; distances and results are those of doubles.
+    certify: bool = False
 
     def __post_init__(self):
         positive(k=self.k, deg=self.deg)

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from lodestar.functions.metrics import metric as metric_of
 from lodestar.model import KnnSpec
 from lodestar.operators import kernel
 from lodestar.operators.distance import MOST_BYTES, distances, slices, spread
 from lodestar.operators.topk import STRATEGIES, top_k
 from lodestar.shipping import ship
+from lodestar.storage import durable
 
 FUSED_METRICS = ("l2", "l2_partial")
 
@@ -19,10 +21,15 @@ def knn_join(points: DataFrame, queries: DataFrame, spec: KnnSpec, most_bytes: i
     """``query_id, rank, point_id, dist``, ascending, equal distances by ``point_id``.
 
     Strategy ``fused`` never makes the distance matrix; the others select from
-    :func:`distances`.  With fewer points than k a query has as many rows, or k
+    :func:`distances`, ``radius`` from what a first block's radius lets through.
+    With fewer points than k a query has as many rows, or k
     rows padded by (-1, infinity) if ``spec.pad``.
     """
-    if spec.strategy == "fused":
+    if spec.strategy == "radius":
+        if spec.precision != "double":
+            raise ValueError(f"Unsupported precision {spec.precision!r} with strategy {spec.strategy!r}")
+        found = top_k(within_radius(points, queries, spec.k, spec.metric, most_bytes=most_bytes), ["query_id"], "dist", ["point_id"], spec.k)
+    elif spec.strategy == "fused":
         if spec.metric in FUSED_METRICS:
             found = _fused(points, queries, spec, most_bytes)
         elif spec.precision != "double":
@@ -41,13 +48,14 @@ def knn_join(points: DataFrame, queries: DataFrame, spec: KnnSpec, most_bytes: i
 def _fused(points: DataFrame, queries: DataFrame, spec: KnnSpec, most_bytes: int) -> DataFrame:
     ship(points.sparkSession)
     near, out = spread(points.select("point_id", "p")), None
+    search = kernel.certified if spec.certify else kernel.nearest
     # A task holds k rows of 16 bytes a query, so they count as well.
     for part in slices(queries, most_bytes, 16 * spec.k):
         rows = part.select("query_id", "q").orderBy("query_id").collect()  # bounded by most_bytes
         if not rows:
             continue
         ids, vectors = np.array([r.query_id for r in rows], np.int64), np.array([r.q for r in rows], np.float64)
-        one = near.mapInArrow(kernel.nearest(ids, vectors, spec.k, spec.metric, spec.precision), "query_id bigint, point_id bigint, dist double")
+        one = near.mapInArrow(search(ids, vectors, spec.k, spec.metric, spec.precision), "query_id bigint, point_id bigint, dist double")
         out = one if out is None else out.unionByName(one)
     if out is None:
         out = points.sparkSession.createDataFrame([], "query_id bigint, point_id bigint, dist double")
@@ -60,6 +68,36 @@ def _padded(found: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return filled.select("query_id", "rank", F.coalesce("point_id", F.lit(-1).cast("long")).alias("point_id"), F.coalesce("dist", F.lit(float("inf"))).alias("dist"))
 
 
+#: One point of so many is in the first block, by its id.
+FIRST = 16
+
+
+def first_radius(points: DataFrame, queries: DataFrame, k: int, metric: str = "l2", share: int = FIRST, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """``query_id, r``: the distance of the k-th nearest among the first block, which no k-th of all can exceed; none where the block has fewer."""
+    block = points.where(F.pmod("point_id", F.lit(share)) == 0)
+    kth = top_k(distances(block, queries, metric, most_bytes), ["query_id"], "dist", ["point_id"], k).where(F.col("rank") == k)
+    return durable(kth.select("query_id", F.col("dist").alias("r")), "radius")
+
+
+def within_radius(points: DataFrame, queries: DataFrame, k: int, metric: str = "l2", share: int = FIRST, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """``query_id, point_id, dist`` of the pairs that may be among the k nearest.
+
+    A first block of points bounds every query's k-th distance.  The bound goes
+    with the query into the product, as the join's condition, so other pairs never
+    leave it; k rows of every query do.
+    """
+    measure, near, out = metric_of(metric), spread(points.select("point_id", "p")), None
+    bounds = first_radius(points, queries, k, metric, share, most_bytes)
+    for part in slices(queries, most_bytes, 8):
+        asked = part.select("query_id", "q").join(bounds, "query_id", "left")
+        dist = measure(F.col("p"), F.col("q"))
+        # A null bound admits all; not-a-number is larger than any bound.
+        one = near.join(F.broadcast(asked), F.coalesce(dist <= F.col("r"), F.lit(True)))
+        one = one.select("query_id", "point_id", dist.alias("dist"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def radius_filter(dist: DataFrame, k: int) -> DataFrame:
     """Rows strictly closer than their query's k-th nearest."""
     kth = top_k(dist, ["query_id"], "dist", ["point_id"], k).groupBy("query_id").agg(F.max(F.struct("rank", "dist")).alias("last"))
@@ -71,5 +109,13 @@ def checksum(found: DataFrame) -> DataFrame:
     return found.groupBy("query_id").agg(F.pmod(F.sum("point_id"), F.lit(1 << 32)).alias("checksum"))
 
 
+def write_neighbors(found: DataFrame, path: str) -> dict[str, int]:
+    """Write neighbours as Parquet; ``rows`` and ``checksum`` are counted in the pass that writes."""
+    seen = Observation("neighbors")
+    ids = F.coalesce(F.sum("point_id"), F.lit(0))
+    found.observe(seen, F.count("*").alias("rows"), F.pmod(ids, F.lit(1 << 32)).alias("checksum")).write.parquet(path)
+    return {name: int(value) for name, value in seen.get.items()}
+
+
 def total_checksum(found: DataFrame) -> int:
     return int(found.agg(F.pmod(F.coalesce(F.sum("point_id"), F.lit(0)), F.lit(1 << 32))).first()[0])

@@ -10,6 +10,9 @@ One operator, several physical strategies with equal results:
 ``heap``
     Each task keeps the k best of every group while batches pass (pandas),
     then the window merges tasks.  Never more than k rows of a group in memory.
+``radix``
+    Histograms of the ordered bits of the value find the k-th smallest, pass by
+    pass; only counts and what is selected shuffle (:mod:`lodestar.operators.radix`).
 ``two_level``
     Groups are cut into ``deg`` parts by the label's hash, k of each part are
     merged: for one group that is large by itself.
@@ -24,9 +27,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.model import positive
+from lodestar.operators.radix import radix_rows
 from lodestar.shipping import ship
 
-STRATEGIES = ("group_limit", "sort", "heap", "two_level")
+STRATEGIES = ("group_limit", "sort", "heap", "two_level", "radix")
 
 
 def _order(value: str, labels: list[str], largest: bool) -> list[Column]:
@@ -56,6 +60,8 @@ def top_k(df: DataFrame, groups: list[str], value: str, labels: list[str], k: in
     if strategy == "sort":
         window = Window.partitionBy(*groups).orderBy(*order)
         return slim.withColumns({"rank": F.row_number().over(window), "_ls_all": F.max(F.lit(1)).over(Window.partitionBy(*groups))}).where(F.col("rank") * F.col("_ls_all") <= k).select(*out)
+    if strategy == "radix":
+        return _ranked(radix_rows(slim, groups, value, k, largest), groups, order, k).select(*out)
     if strategy == "two_level":
         part = slim.withColumn("_ls_part", F.pmod(F.xxhash64(*labels), F.lit(deg)))
         return _ranked(_ranked(part, [*groups, "_ls_part"], order, k).drop("rank"), groups, order, k).select(*out)

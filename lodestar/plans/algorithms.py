@@ -24,7 +24,7 @@ class Algorithm:
     selects: bool = True
 
 
-_WINDOW, _FUSED = Algorithm("group_limit"), Algorithm("fused")
+_WINDOW, _FUSED, _RADIUS = Algorithm("group_limit"), Algorithm("fused"), Algorithm("radius")
 #: The names.
 ALGORITHMS: dict[str, Algorithm] = {
     "serial": Algorithm("sort"),
@@ -34,17 +34,17 @@ ALGORITHMS: dict[str, Algorithm] = {
     "partial-bitonic-warp-static": _WINDOW,
     "partial-bitonic-soa": _WINDOW,
     "partial-bitonic-regs": _WINDOW,
-    "partial-bitonic-buffered": _WINDOW,
-    "partial-bitonic-buffered-static": _WINDOW,
-    "bits": _WINDOW,
-    "bits-prefetch": _WINDOW,
+    "partial-bitonic-buffered": _RADIUS,
+    "partial-bitonic-buffered-static": _RADIUS,
+    "bits": _RADIUS,
+    "bits-prefetch": _RADIUS,
     "bits-sq": Algorithm("two_level"),
     "warp-select": _WINDOW,
     "warp-select-tunable": _WINDOW,
     "block-select": _WINDOW,
     "block-select-tunable": _WINDOW,
-    "air-topk": Algorithm("sort"),
-    "radik": Algorithm("sort"),
+    "air-topk": Algorithm("radix"),
+    "radik": Algorithm("radix"),
     "grid-select": _WINDOW,
     "warpsort": _WINDOW,
     "fused-regs": _FUSED,

@@ -15,12 +15,14 @@ from lodestar.functions import metrics as M
 from lodestar.functions import scalar
 from lodestar.model import KnnSpec
 from lodestar.operators.distance import distances
-from lodestar.operators.knn import checksum, knn_join, radius_filter
+from lodestar.operators import pivots
+from lodestar.operators.knn import FIRST, checksum, knn_join, radius_filter, within_radius, write_neighbors
+from lodestar.operators.running import RunningTopK
 from lodestar.operators.topk import top_k
 from lodestar.operators.verify import mismatches
 from lodestar.plans import algorithms, analytics
 from lodestar.sources.benchlog import measured, read_log, write_log
-from lodestar.sources.vectors import PREPROCESSORS, as_points, as_queries, from_columnar, generate, sort_with_position, stub_distances, stub_steps, to_columnar
+from lodestar.sources.vectors import PREPROCESSORS, as_points, as_queries, from_columnar, normal_vector, sort_with_position, stub_between, to_columnar, uniform_vector
 from lodestar.storage import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,6 +102,82 @@ def knn_l2_heap(spark, sf_dir):
     return _knn(spark, sf_dir, strategy="heap")
 
 
+@query(knn_sql())
+def knn_l2_radix(spark, sf_dir):
+    return _knn(spark, sf_dir, strategy="radix")
+
+
+@query(knn_sql())
+def knn_l2_radius(spark, sf_dir):
+    return _knn(spark, sf_dir, strategy="radius")
+
+
+@query(
+    f"{pairs_sql()}, f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, point_id) AS rank FROM d WHERE point_id % {FIRST} = 0) "
+    f"SELECT d.query_id, count(*) AS points, count(*) FILTER (f.dist IS NULL OR d.dist <= f.dist) AS measured FROM d LEFT JOIN f ON f.query_id = d.query_id AND f.rank = {K} GROUP BY d.query_id"
+)
+def radius_rows(spark, sf_dir):
+    """How many rows of the product a first block's radius lets through."""
+    points, queries = vectors(spark, sf_dir)
+    left = within_radius(points, queries, K).groupBy("query_id").agg(F.count("*").alias("measured"))
+    return left.crossJoin(F.broadcast(points.agg(F.count("*").alias("points"))))
+
+
+PIVOTS, RINGS = 8, 6
+
+
+def _pivot_index(spark, sf_dir):
+    points, queries = vectors(spark, sf_dir)
+    first = points.where(F.col("point_id") < PIVOTS).orderBy("point_id")
+    return pivots.build(points, [r.p for r in first.collect()], RINGS), queries
+
+
+@query(knn_sql())
+def knn_pivot(spark, sf_dir):
+    return pivots.pivot_join(*_pivot_index(spark, sf_dir), K)
+
+
+def _pivot_work_sql() -> str:
+    ids = range(PIVOTS)
+    d = ", ".join(f"max(sqrt(dist)) FILTER (v = {i}) AS d{i}" for i in ids)
+    near = f"least({', '.join(f'd{i}' for i in ids)})"
+    pivot = "CASE " + " ".join(f"WHEN d{i} = near THEN {i}" for i in ids) + " END"
+    ends = ", ".join(f"min(d{i}) AS lo{i}, max(d{i}) AS hi{i}" for i in ids)
+    low = f"greatest({', '.join(f'lo{i} - d{i}, d{i} - hi{i}' for i in ids)}, 0.0::DOUBLE)"
+    high = f"least({', '.join(f'hi{i} + d{i}' for i in ids)})"
+    own = " AND ".join(f"abs(p.d{i} - o.d{i}) <= o.r" for i in ids)
+    slack = f"(1 + {pivots.SLACK!r}::DOUBLE)"
+    upto = "sum(n) OVER (PARTITION BY query_id ORDER BY {}, home, ring)"
+    return f"""WITH {E_SQL}, vp AS (SELECT q.id AS v, p.id, {METRIC_SQL["l2"]} AS dist FROM e p CROSS JOIN e q WHERE q.id < {PIVOTS}),
+t AS (SELECT *, {near} AS near FROM (SELECT id, {d} FROM vp GROUP BY id)), u AS (SELECT *, {pivot} AS home FROM t), w AS (SELECT home, max(near) AS width FROM u GROUP BY home),
+p AS (SELECT u.*, CASE WHEN width > 0 THEN least(floor(near / width * {RINGS}), {RINGS - 1}) ELSE 0 END::INTEGER AS ring FROM u JOIN w USING (home)),
+r AS (SELECT home, ring, count(*)::BIGINT AS n, {ends} FROM p GROUP BY ALL),
+b AS (SELECT a.id AS query_id, {", ".join(f"a.d{i}" for i in ids)}, r.home, r.ring, n, {low} AS low, {high} AS high FROM t a CROSS JOIN r WHERE a.id % 100 = 0),
+f AS (SELECT query_id, CASE WHEN max(upto) >= {K} THEN max(high) ELSE 'inf'::DOUBLE END AS r FROM (SELECT *, {upto.format("high")} AS upto FROM b) WHERE upto - n < {K} GROUP BY query_id),
+c AS (SELECT b.*, f.r FROM b JOIN f USING (query_id) WHERE low <= f.r * {slack}),
+h AS (SELECT * FROM (SELECT *, {upto.format("low")} AS upto FROM c) WHERE upto - n < {K}),
+m AS (SELECT h.query_id, pt.id AS point_id, {METRIC_SQL["l2"].replace("p.v", "pv.v").replace("q.v", "qv.v")} AS dist FROM h JOIN p pt ON pt.home = h.home AND pt.ring = h.ring JOIN e pv ON pv.id = pt.id JOIN e qv ON qv.id = h.query_id),
+k AS (SELECT query_id, sqrt(dist) AS own FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, point_id) AS rank FROM m) WHERE rank = {K}),
+o AS (SELECT * FROM (SELECT c.* EXCLUDE (r), least(c.r, coalesce(k.own, 'inf'::DOUBLE)) * {slack} AS r FROM c LEFT JOIN k USING (query_id)) WHERE low <= r)
+SELECT query_id, (SELECT count(*) FROM e) AS points, any_value(s) AS in_rings, count(pid) AS measured FROM (SELECT o.query_id, o.home, o.ring, p.id AS pid FROM o LEFT JOIN p ON p.home = o.home AND p.ring = o.ring AND {own}) JOIN (SELECT query_id, sum(n)::BIGINT AS s FROM o GROUP BY 1) USING (query_id) GROUP BY query_id"""
+
+
+@query(_pivot_work_sql())
+def pivot_work(spark, sf_dir):
+    """Of all points those in rings that a query reaches, and those whose distance is computed."""
+    return pivots.pivot_work(*_pivot_index(spark, sf_dir), K)
+
+
+@query(knn_sql(dist="round(dist, 6)"))
+def knn_certified_half(spark, sf_dir):
+    return _knn(spark, sf_dir, precision="half", certify=True).withColumn("dist", F.round("dist", 6))
+
+
+@query(knn_sql(dist="round(dist, 6)"))
+def knn_certified_bfloat16(spark, sf_dir):
+    return _knn(spark, sf_dir, precision="bfloat16", certify=True).withColumn("dist", F.round("dist", 6))
+
+
 @query(knn_sql())
 def knn_l2_two_level(spark, sf_dir):
     return _knn(spark, sf_dir, strategy="two_level", deg=7)
@@ -212,6 +290,36 @@ def topk_per_group_two_level(spark, sf_dir):
     return _lines(spark, sf_dir, strategy="two_level", deg=7)
 
 
+@query(_lines_sql())
+def topk_two_appends(spark, sf_dir):
+    """Two halves that arrive one after the other, the second one again after a failure."""
+    rows = table(spark, sf_dir, "lineitem")
+    kept = RunningTopK(spark, new_path(spark, "running"), ["l_returnflag"], "l_extendedprice", ["l_orderkey", "l_linenumber"], K)
+    for number, part in enumerate((0, 1, 1)):
+        kept.append(rows.where(F.col("l_orderkey") % 2 == part), min(number, 1))
+    return kept.rows().select("l_returnflag", "rank", "l_orderkey", "l_linenumber", "l_extendedprice")
+
+
+TIES_SQL = "SELECT l_linestatus, l_orderkey, l_linenumber, CASE WHEN l_quantity < 50 THEN floor(l_quantity / 10) * 10 - 20 END AS amount FROM lineitem"
+
+
+def _ties(spark, sf_dir, **given):
+    """Groups with few different values, some of them null."""
+    amount = F.when(F.col("l_quantity") < 50, F.floor(F.col("l_quantity") / 10) * 10.0 - 20.0).alias("amount")
+    rows = table(spark, sf_dir, "lineitem").select("l_linestatus", "l_orderkey", "l_linenumber", amount)
+    return top_k(rows, ["l_linestatus"], "amount", ["l_orderkey", "l_linenumber"], **given)
+
+
+@query(f"SELECT l_linestatus, rank::INTEGER AS rank, l_orderkey, l_linenumber, amount::DOUBLE AS amount FROM (SELECT *, row_number() OVER (PARTITION BY l_linestatus ORDER BY amount DESC NULLS LAST, l_orderkey, l_linenumber) AS rank FROM ({TIES_SQL})) WHERE rank <= 50")
+def topk_radix_ties(spark, sf_dir):
+    return _ties(spark, sf_dir, k=50, largest=True, strategy="radix")
+
+
+@query(_lines_sql())
+def topk_radix(spark, sf_dir):
+    return _lines(spark, sf_dir, strategy="radix")
+
+
 @query(
     "SELECT row_number() OVER (ORDER BY l_extendedprice, l_orderkey, l_linenumber)::INTEGER AS rank, l_orderkey, l_linenumber, l_extendedprice FROM lineitem "
     f"ORDER BY l_extendedprice, l_orderkey, l_linenumber LIMIT {K}"
@@ -260,6 +368,13 @@ def checksum_per_query(spark, sf_dir):
     return checksum(_knn(spark, sf_dir))
 
 
+@query(f"SELECT count(*) AS rows, (sum(point_id) % 4294967296)::BIGINT AS checksum FROM ({knn_sql()})")
+def checksum_observed(spark, sf_dir):
+    """Counted while the neighbours are written."""
+    seen = write_neighbors(_knn(spark, sf_dir), new_path(spark, "neighbors"))
+    return spark.createDataFrame([(seen["rows"], seen["checksum"])], "rows bigint, checksum bigint")
+
+
 @query(
     f"{pairs_sql()}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, point_id) AS rank FROM d) "
     f"SELECT d.query_id, d.point_id, d.dist FROM d JOIN r ON r.query_id = d.query_id AND r.rank = {K} WHERE d.dist < r.dist"
@@ -274,46 +389,44 @@ def columnar_round_trip(spark, sf_dir):
     return from_columnar(to_columnar(points, "point_id", "p"), "point_id", "p")
 
 
-def _moments(spark, generator: str, low: float, high: float, digits: int) -> DataFrame:
-    """What can be said of generated vectors: how many, their size, range and moments."""
-    points, queries = generate(spark, generator, 1000, 10, 8, seed=1)
-    values = points.select("p").unionByName(queries.select(F.col("q").alias("p"))).select(F.size("p").alias("dim"), F.explode("p").alias("x"))
-    return values.agg(
-        F.count("*").alias("n"),
-        F.min("dim").alias("dim"),
-        F.min((F.col("x") >= low) & (F.col("x") < high)).alias("in_range"),
-        (F.abs(F.round(F.avg("x"), digits))).alias("mean"),
-        F.round(F.stddev_pop("x"), digits).alias("std"),
-        (F.count_distinct("x") > 8000).alias("different"),
-    )
+def _drawn_sql(seed: int, at: str, first: int) -> str:
+    """A number from [0, 1) by the hash of (seed, id, dimension)."""
+    return f"(('0x' || substring(md5(concat({seed}, ':', {at}, ':', i)), {first}, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
 
 
-@query("SELECT 8080::BIGINT AS n, 8::INTEGER AS dim, true AS in_range, 0.0::DOUBLE AS mean, round(sqrt(1 / 3.0), 1)::DOUBLE AS std, true AS different")
+@query(f"SELECT vec_id AS point_id, list_transform(range(0, 8), lambda i: -1.0::DOUBLE + {_drawn_sql(1, 'vec_id', 1)} * 2.0) AS p FROM embeddings")
 def generate_uniform(spark, sf_dir):
-    return _moments(spark, "uniform:-1,1", -1.0, 1.0, 1)
+    ids = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("point_id"))
+    return ids.withColumn("p", uniform_vector(F.col("point_id"), 8, "-1,1", 1))
 
 
-@query("SELECT 8080::BIGINT AS n, 8::INTEGER AS dim, true AS in_range, 0.0::DOUBLE AS mean, 2.0::DOUBLE AS std, true AS different")
+@query(
+    f"SELECT vec_id AS query_id, list_transform(range(0, 6), lambda i: round(0.5 + 2.0 * sqrt(-2 * ln(1 - {_drawn_sql(7, '(vec_id + 1000)', 1)})) * cos(2 * pi() * {_drawn_sql(7, '(vec_id + 1000)', 14)}), 6)) AS q FROM embeddings"
+)
 def generate_normal(spark, sf_dir):
-    return _moments(spark, "normal:0,2", -20.0, 20.0, 0)
+    """Queries go on where a thousand points have ended."""
+    ids = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"))
+    drawn = normal_vector(F.col("query_id") + 1000, 6, "0.5,2", 7)
+    return ids.withColumn("q", F.transform(drawn, lambda x: F.round(x, 6)))
 
 
-def _stub_sql(queries: int, points: int, unique: int, k: int) -> str:
-    stride, step = stub_steps(points, unique)
-    return (
-        f"WITH d AS (SELECT q.range AS query_id, p.range AS point_id, floor(((p.range * {step} + q.range * 7919) % {points}) / {stride}) / 32.0::DOUBLE AS dist FROM range({queries}) q, range({points}) p), "
-        f"r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, point_id) AS rank FROM d) SELECT query_id, rank::INTEGER AS rank, point_id, dist FROM r WHERE rank <= {k}"
-    )
+def _stub_sql(unique: int) -> str:
+    return f"SELECT q.vec_id AS query_id, p.vec_id AS point_id, ((p.vec_id * 7919 + q.vec_id * 104729) % {unique}) / 32.0::DOUBLE AS dist FROM embeddings p CROSS JOIN embeddings q WHERE q.vec_id % 100 = 0"
+
+
+def _stub(spark, sf_dir, unique: int) -> DataFrame:
+    points, queries = vectors(spark, sf_dir)
+    return stub_between(points, queries, unique)
 
 
-@query(_stub_sql(13, 199, 7, 32))
+@query(f"SELECT query_id, rank::INTEGER AS rank, point_id, dist FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, point_id) AS rank FROM ({_stub_sql(7)})) WHERE rank <= 32")
 def stub_ties(spark, sf_dir):
-    return top_k(stub_distances(spark, 13, 199, 7), ["query_id"], "dist", ["point_id"], 32)
+    return top_k(_stub(spark, sf_dir, 7), ["query_id"], "dist", ["point_id"], 32)
 
 
-@query("SELECT q.range AS query_id, count(*) AS points, count(DISTINCT p.range) AS different, max(p.range) / 32.0::DOUBLE AS farthest FROM range(5) q, range(100) p GROUP BY ALL")
+@query(f"SELECT query_id, count(*) AS points, count(DISTINCT dist) AS different, max(dist) AS farthest FROM ({_stub_sql(128)}) GROUP BY query_id")
 def stub_dist(spark, sf_dir):
-    return stub_distances(spark, 5, 100).groupBy("query_id").agg(F.count("*").alias("points"), F.count_distinct("dist").alias("different"), F.max("dist").alias("farthest"))
+    return _stub(spark, sf_dir, 128).groupBy("query_id").agg(F.count("*").alias("points"), F.count_distinct("dist").alias("different"), F.max("dist").alias("farthest"))
 
 
 def _order_points_sql(direction: str) -> str:

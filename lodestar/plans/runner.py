@@ -75,7 +75,7 @@ def bench(
         spent = dict.fromkeys(PHASES, 0.0)
         if not a.selects:
             spent["distances"] = _timed(run(name, points, queries, k, deg))
-        elif a.strategy in ("fused", "custom"):
+        elif a.strategy in ("fused", "radius", "custom"):
             spent["selection"] = _timed(run(name, points, queries, k, deg))
         else:
             matrix = distances(points, queries, a.metric).persist()

@@ -20,45 +20,85 @@ def as_queries(df: DataFrame, key: str, vector: str) -> DataFrame:
     return df.select(F.col(key).cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("q"))
 
 
-def _generate(spark: SparkSession, count: int, dim: int, name: str, component: Callable[[int], Column]) -> DataFrame:
-    positive(count=count, dim=dim)
-    key, vector = ("point_id", "p") if name == "points" else ("query_id", "q")
-    return spark.range(count).select(F.col("id").alias(key), F.array(*[component(i) for i in range(dim)]).alias(vector))
+#: Hexadecimal digits of a number that is drawn, and how many numbers they can be.
+DIGITS, NUMBERS = 13, float(1 << 52)
+
+
+def drawn(seed: int, counter: Column, dim: Column, nth: int = 0) -> Column:
+    """A number from [0, 1) that depends on (seed, counter, dimension) alone, ``nth`` of two.
+
+    Not on partitions, order or cores: any task can draw any component again.
+    """
+    digest = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), counter.cast("string"), dim.cast("string")))
+    return F.conv(F.substring(digest, 1 + DIGITS * nth, DIGITS), 16, 10).cast("long") / NUMBERS
 
 
-def _seed(seed: int, component: int) -> int:
-    """Far apart, for a partition's number is added to it: else one component repeats another one's partition."""
-    return (seed * 65_537 + component) * 1_000_003
+def _vector(dim: int, component: Callable[[Column], Column]) -> Column:
+    positive(dim=dim)
+    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), component)
 
 
-def uniform(spark: SparkSession, count: int, dim: int, params: str = "", seed: int = 0, name: str = "points") -> DataFrame:
+def uniform_vector(counter: Column, dim: int, params: str = "", seed: int = 0) -> Column:
     """Components from [low, high); ``params`` is "", "high" or "low,high"."""
     given = parse_floats(params)
     low, high = (0.0, 1.0) if not given else (0.0, given[0]) if len(given) == 1 else (given[0], given[1])
     if len(given) > 2 or low >= high:
         raise ValueError(f"uniform needs low < high, not {params!r}")
-    return _generate(spark, count, dim, name, lambda i: F.rand(_seed(seed, i)) * (high - low) + low)
+    return _vector(dim, lambda i: F.lit(low) + drawn(seed, counter, i) * (high - low))
 
 
-def normal(spark: SparkSession, count: int, dim: int, params: str = "", seed: int = 0, name: str = "points") -> DataFrame:
+def normal_vector(counter: Column, dim: int, params: str = "", seed: int = 0) -> Column:
     """Normally distributed components; ``params`` is "", "std" or "mean,std"."""
     given = parse_floats(params)
     mean, std = (0.0, 1.0) if not given else (0.0, given[0]) if len(given) == 1 else (given[0], given[1])
     if len(given) > 2 or std <= 0:
         raise ValueError(f"normal needs std > 0, not {params!r}")
-    return _generate(spark, count, dim, name, lambda i: F.randn(_seed(seed, i)) * std + mean)
+
+    def component(i: Column) -> Column:
+        radius = F.sqrt(-2 * F.ln(1 - drawn(seed, counter, i)))
+        return F.lit(mean) + std * radius * F.cos(2 * F.pi() * drawn(seed, counter, i, 1))
+
+    return _vector(dim, component)
+
+
+#: Vectors of a column of counters.
+VECTORS: dict[str, Callable[..., Column]] = {"uniform": uniform_vector, "normal": normal_vector}
+
+
+def _generate(spark: SparkSession, count: int, dim: int, make: Callable[..., Column], params: str, seed: int, name: str, start: int) -> DataFrame:
+    positive(count=count, dim=dim)
+    key, vector = ("point_id", "p") if name == "points" else ("query_id", "q")
+    return spark.range(count).select(F.col("id").alias(key), make(F.col("id") + start, dim, params, seed).alias(vector))
+
+
+def uniform(spark: SparkSession, count: int, dim: int, params: str = "", seed: int = 0, name: str = "points", start: int = 0) -> DataFrame:
+    """Vectors of the counters from ``start``; see :func:`uniform_vector`."""
+    return _generate(spark, count, dim, uniform_vector, params, seed, name, start)
+
+
+def normal(spark: SparkSession, count: int, dim: int, params: str = "", seed: int = 0, name: str = "points", start: int = 0) -> DataFrame:
+    """Vectors of the counters from ``start``; see :func:`normal_vector`."""
+    return _generate(spark, count, dim, normal_vector, params, seed, name, start)
 
 
 GENERATORS = {"uniform": uniform, "normal": normal}
 
 
 def generate(spark: SparkSession, generator: str, points: int, queries: int, dim: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Points and queries of ``name`` or ``name:params``; the queries' seed follows the points'."""
+    """Points and queries of ``name`` or ``name:params``; the queries' counters go on where the points' end."""
     name, _, params = generator.partition(":")
     if name not in GENERATORS:
         raise ValueError(f"Unsupported generator {name!r}")
     make = GENERATORS[name]
-    return make(spark, points, dim, params, seed), make(spark, queries, dim, params, seed + 1, "queries")
+    return make(spark, points, dim, params, seed), make(spark, queries, dim, params, seed, "queries", points)
+
+
+def stub_between(points: DataFrame, queries: DataFrame, unique: int) -> DataFrame:
+    """Distances without a metric: multiples of 1/32 in an order of each query's own, ``unique`` different ones."""
+    positive(unique=unique)
+    pairs = points.select("point_id").crossJoin(F.broadcast(queries.select("query_id")))
+    place = F.pmod(F.col("point_id") * 7919 + F.col("query_id") * 104729, F.lit(unique))
+    return pairs.select("query_id", "point_id", (place / 32.0).alias("dist"))
 
 
 def stub_steps(points: int, unique: int = 0) -> tuple[int, int]:
