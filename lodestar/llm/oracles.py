@@ -106,7 +106,7 @@ def urls_sql() -> str:
     fits = lambda r: f"(host = '{r[1]}' OR ends_with(host, '.{r[1]}')) AND starts_with(path, '{r[2]}')"
     case = lambda of: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{of(r)}'" for r in rules) + " END"
     grams = []
-    for mark, text in (("h", "host"), ("p", "path")):
+    for mark, text in (("h", "host"), ("p", "translate(path, '123456789', '000000000')")):
         for n in u.SIZES:
             cut = f"list_transform(range(1, length({text}) + 4 - {n}), lambda i: md5(concat('{mark}', substring(concat('^', {text}, '$'), i, {n}))))"
             grams.append(f"list_transform({cut}, lambda x: ('0x' || substring(x, 1, 4))::INT % {u.BUCKETS})")
@@ -116,8 +116,8 @@ def urls_sql() -> str:
     return f"""WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '{u.HOST}', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(coalesce(url, ''), '{u.PATH}', 1) AS path FROM pages),
 f AS (SELECT *, list_distinct({found}) AS f FROM p),
 g AS (SELECT *, list_sum(list_transform(f, lambda i: w[i + 1]))::DOUBLE AS total FROM f, (SELECT {list(weights)}::BIGINT[] AS w)),
-s AS (SELECT *, 1 / (1 + exp(-((coalesce(total, 0) / sqrt(greatest(len(f), 1)) + {bias}) / {u.UNIT}))) AS s FROM g)
-SELECT page_id, host, path, {case(lambda r: r[1] + r[2])} AS rule, coalesce({case(lambda r: r[0])}, CASE WHEN s >= {u.BLOCK_AT} THEN 'block' ELSE 'allow' END) AS verdict, round(s, 6) AS score FROM s"""
+s AS (SELECT *, floor(coalesce(total, 0) / greatest(len(f), 1))::BIGINT + {bias} AS logit FROM g)
+SELECT page_id, host, path, {case(lambda r: r[1] + r[2])} AS rule, coalesce({case(lambda r: r[0])}, CASE WHEN logit >= {u.BLOCK_AT} THEN 'block' ELSE 'allow' END) AS verdict, logit::BIGINT AS logit FROM s"""
 
 
 def crc32_sql(text: str) -> str:

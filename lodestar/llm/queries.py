@@ -57,7 +57,7 @@ def op6_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
-    return found.select("page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
+    return found.select("page_id", "host", "path", "rule", "verdict", "logit")
 
 
 def op8_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

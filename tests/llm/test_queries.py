@@ -21,7 +21,7 @@ def texts(spark):
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in Q.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in Q.QUERIES) == list(range(1, 14))
     assert set(Q.ORACLE) < set(Q.QUERIES)
 
 
@@ -29,7 +29,7 @@ def test_every_operator_has_one_query():
 def test_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     connection = duckdb.connect()
-    for table in ("documents", "benchmark", "pages", "labels"):
+    for table in ("documents", "benchmark", "pages", "labels", "conversations"):
         connection.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     df = Q.QUERIES[name](spark, SF)
     columns = sorted(df.columns)
@@ -75,7 +75,7 @@ def test_op7(spark):
     bad = ("cheap-pills", "spam-farm", "casino-win", "free-bets", "adult-x", "ads-track")
     free = [r for r in rows if r.rule is None]
     wrong = [r.host for r in free if (r.verdict == "block") != any(b in r.host for b in bad)]
-    assert len(rows) == spark.read.parquet(f"{SF}/pages.parquet").count() and len(wrong) <= 0.05 * len(free)
+    assert len(rows) == spark.read.parquet(f"{SF}/pages.parquet").count() and not wrong
 
 
 def test_op8(spark, texts):
