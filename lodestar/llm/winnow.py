@@ -4,15 +4,15 @@ Words become k-gram hashes; from every window of consecutive hashes the
 smallest is kept (the last of equals).  A span shared by a document and an item
 that is at least ``k + window - 1`` words long holds a whole window in both, so
 both keep the same hash of it.  Kept hashes of documents are joined with those
-of the benchmark and every hit is extended, word by word, both ways; the hit
-words are those of maximal common runs that are long enough.  Items shorter
-than that span are windows of their own: all their words are one gram, looked
-up among the document grams of the same length.
-
-The benchmark's fingerprints go to the executors while their number is below a
-checked bound (``most_words``).  Beyond it the benchmark is dealt out in slices
-below the bound and each slice makes its own pass over the documents; the
-passes meet in one aggregation by document.
+of the benchmark, and every hit is extended: the few spans around it are looked
+up among the spans of the items, each once, however often a text repeats
+itself.  The hit words are those of all spans found.  Items shorter than a span
+are spans of their own, looked up among the document's grams of their length.
+
+The benchmark's spans go to the executors while they are below a checked bound
+(``most_words``).  Beyond it both sides are joined as tables: documents send the
+kept hashes that a bit map of the benchmark's lets through, and the spans around
+those that are joined; texts stay where they are.
 """
 
 from __future__ import annotations
@@ -20,21 +20,24 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import durable, prepare
+from lodestar.llm.common import ascii_lower, durable, fresh, meet, prepare
+from lodestar.llm.suffix_dedup import _bit_map as bit_map
+from lodestar.llm.suffix_dedup import _in_map as in_map
 
 #: Words in a window that counts as contamination; k-gram; hashes in a winnowing window.
 SPAN, GRAM = 10, 5
-#: Benchmark words that are sent to the executors at once, at most (8 bytes each, and their texts).
-MOST_WORDS = 1_000_000
-#: Fixed value: what is a word, over lower-cased UTF-8.
+#: Benchmark words that are sent to the executors, at most, and bytes of them.
+MOST_WORDS, WORD_BYTES = 1_000_000, 16
+#: Fixed value: what is a word, over lower-cased UTF-8; the same for Spark.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -42,14 +45,14 @@ def words_of(text: str | None) -> list[bytes]:
     return WORD.findall((text or "").encode("utf-8").lower())
 
 
-def grams(ids: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of k consecutive word numbers."""
+def grams(ids: np.ndarray, k: int, at: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of k consecutive word numbers, from everywhere or from ``at``."""
     n = len(ids) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
+    out = np.zeros(n if at is None else len(at), np.uint64)
     for i in range(k):
-        out = (out ^ ids[i : i + n]) * MIX
+        out = (out ^ (ids[i : i + n] if at is None else ids[at + i])) * MIX
         out ^= out >> np.uint64(32)
     return out
 
@@ -67,73 +70,117 @@ def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
     return np.unique(at)
 
 
+def around(kept: np.ndarray, words: int, span: int, gram: int) -> np.ndarray:
+    """Starts of the spans that hold a gram of ``kept``, each once."""
+    starts = np.unique((kept[:, None] + np.arange(gram - span, 1)).ravel())
+    return starts[(starts >= 0) & (starts <= words - span)]
+
+
+def covered(words: int, spans: list[tuple[np.ndarray, int]]) -> np.ndarray:
+    """Which words are in a span, of (starts, length)."""
+    step = np.zeros(words + 1, np.int64)
+    for starts, n in spans:
+        np.add.at(step, starts, 1)
+        np.add.at(step, starts + n, -1)
+    return np.cumsum(step)[:words] > 0
+
+
+class Spans:
+    """Spans of one length, known by hash and by one place each, with the items that hold them."""
+
+    def __init__(self, ids: np.ndarray, starts: np.ndarray, items: np.ndarray, n: int):
+        self.n, self.ids = n, ids
+        hashes = grams(ids, n, starts)
+        order = np.lexsort((items, hashes))
+        hashes, starts, items = hashes[order], starts[order], items[order]
+        new = np.r_[True, hashes[1:] != hashes[:-1]] if len(hashes) else np.zeros(0, bool)
+        self.hashes, self.places = hashes[new], starts[new]
+        own = new | np.r_[True, items[1:] != items[:-1]] if len(hashes) else new
+        self.items = items[own]
+        self.first = np.flatnonzero(new[own])
+        self.last = np.r_[self.first[1:], len(self.items)].astype(np.int64)
+
+    def among(self, numbers: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of ``starts`` where a span of an item begins, and which spans those are; compared word by word."""
+        if not len(self.hashes) or not len(starts):
+            return starts[:0], starts[:0]
+        hashes = grams(numbers, self.n, starts)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        same = self.hashes[at] == hashes
+        starts, at = starts[same], at[same]
+        each = np.arange(self.n)
+        same = (numbers[starts[:, None] + each] == self.ids[self.places[at][:, None] + each]).all(axis=1)
+        return starts[same], at[same]
+
+    def items_of(self, spans: np.ndarray) -> set[int]:
+        out: set[int] = set()
+        for i in np.unique(spans).tolist():
+            out.update(self.items[self.first[i] : self.last[i]].tolist())
+        return out
+
+
 @dataclass
 class Index:
-    """Fingerprints of benchmark items, with their words as numbers; 0 is any word not in it."""
+    """Kept hashes and spans of benchmark items, words as numbers; 0 is any word that is in none."""
 
     span: int
     gram: int
     vocabulary: dict[bytes, int] = field(default_factory=dict)
     ids: list = field(default_factory=list)
-    words: list[np.ndarray] = field(default_factory=list)
-    table: dict[int, list[tuple[int, int]]] = field(default_factory=dict)
-    short: dict[int, dict[tuple, list[int]]] = field(default_factory=dict)
 
     @classmethod
     def build(cls, items: list[tuple], span: int = SPAN, gram: int = GRAM) -> Index:
         self = cls(span, gram)
+        flat, kept, found, at = [], [np.zeros(0, np.uint64)], {}, 0
         for item, text in items:
             words = words_of(text)
             if not words:
                 continue
             numbers = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.uint64)
-            at = len(self.ids)
-            self.ids.append(item)
-            self.words.append(numbers)
-            if len(words) < span:
-                self.short.setdefault(len(words), {}).setdefault(tuple(numbers.tolist()), []).append(at)
-            else:
+            n = min(span, len(words))
+            starts = at + np.arange(len(words) - n + 1)
+            found.setdefault(n, []).append((starts, np.full(len(starts), len(self.ids))))
+            if n == span:
                 hashes = grams(numbers, gram)
-                for p in winnow(hashes, span - gram + 1).tolist():
-                    self.table.setdefault(int(hashes[p]), []).append((at, p))
-        self.kept = np.array(sorted(self.table), np.uint64)
+                kept.append(hashes[winnow(hashes, span - gram + 1)])
+            flat.append(numbers)
+            self.ids.append(item)
+            at += len(words)
+        flat = np.concatenate(flat) if flat else np.zeros(0, np.uint64)
+        self.kept = np.unique(np.concatenate(kept))
+        self.spans = {n: Spans(flat, *(np.concatenate(x) for x in zip(*rows)), n) for n, rows in found.items()}
         return self
 
     def hits(self, numbers: np.ndarray) -> tuple[np.ndarray, set[int]]:
         """(which words are hit, which items) of one document's word numbers."""
-        hit, items = np.zeros(len(numbers), bool), set()
-        unknown = np.flatnonzero(numbers == 0)  # no common run goes over one
-        if len(self.kept) and np.any(np.diff(np.r_[-1, unknown, len(numbers)]) > self.span):
-            hashes = grams(numbers, self.gram)
-            kept = winnow(hashes, self.span - self.gram + 1)
-            where = np.minimum(np.searchsorted(self.kept, hashes[kept]), len(self.kept) - 1)
-            kept = kept[self.kept[where] == hashes[kept]]
-            done: dict[tuple[int, int], int] = {}  # by item and diagonal: up to where it is extended
-            for p in kept.tolist():
-                for at, q in self.table[int(hashes[p])]:
-                    if done.get((at, p - q), -1) > p:
-                        continue
-                    words = self.words[at]
-                    left = min(p, q)
-                    same = numbers[p - left : p] == words[q - left : q]
-                    back = left if same.all() else int(same[::-1].argmin())
-                    right = min(len(numbers) - p, len(words) - q)
-                    same = numbers[p : p + right] == words[q : q + right]
-                    on = right if same.all() else int(same.argmin())
-                    done[at, p - q] = p + max(on, 1)
-                    if back + on >= self.span:
-                        hit[p - back : p + on] = True
-                        items.add(at)
-        for n, known in self.short.items():
+        spans, items = [], set()
+        unknown = np.flatnonzero(numbers == 0)  # no span goes over one
+        for n, own in self.spans.items():
             if len(numbers) < n:
                 continue
-            first = np.array([k[0] for k in known], np.uint64)
-            for p in np.flatnonzero(np.isin(numbers[: len(numbers) - n + 1], first)).tolist():
-                found = known.get(tuple(numbers[p : p + n].tolist()))
-                if found:
-                    hit[p : p + n] = True
-                    items.update(found)
-        return hit, items
+            if n == self.span:
+                if not np.any(np.diff(np.r_[-1, unknown, len(numbers)]) > n):
+                    continue
+                hashes = grams(numbers, self.gram)
+                kept = winnow(hashes, n - self.gram + 1)
+                at = np.minimum(np.searchsorted(self.kept, hashes[kept]), len(self.kept) - 1)
+                starts = around(kept[self.kept[at] == hashes[kept]], len(numbers), n, self.gram)
+            else:
+                starts = np.flatnonzero(numbers[: len(numbers) - n + 1])
+            starts, found = own.among(numbers, starts)
+            if len(starts):
+                spans.append((starts, n))
+                items |= own.items_of(found)
+        return covered(len(numbers), spans), items
+
+
+FOUND = "n_words bigint, hit_spans array<struct<start:int,end:int>>, items array<string>"
+SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
+def _runs(hit: np.ndarray) -> list[dict[str, int]]:
+    edge = np.flatnonzero(np.diff(np.r_[0, hit.view(np.int8), 0]))
+    return [{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2])]
 
 
 def _scan(index: Index, text: int, keep: list[str]):
@@ -145,29 +192,114 @@ def _scan(index: Index, text: int, keep: list[str]):
             for value in batch.column(text):
                 words = words_of(value.as_py())
                 hit, found = index.hits(np.array([known(w, 0) for w in words], np.uint64))
-                edge = np.flatnonzero(np.diff(np.r_[0, hit.view(np.int8), 0]))
                 n_words.append(len(words))
-                spans.append([{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2])])
+                spans.append(_runs(hit))
                 items.append(sorted({str(index.ids[i]) for i in found if index.ids[i] is not None}))
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(i) for i in range(len(keep))], pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(items, pa.list_(pa.string()))],
-                [*keep, "n_words", "hit_spans", "items"],
-            )
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.array(n_words, pa.int64()), pa.array(spans, SPANS), pa.array(items, pa.list_(pa.string()))], [*keep, "n_words", "hit_spans", "items"])
+
+    return run
+
+
+def _held(items: DataFrame, item: str, text: str, most: int) -> list[tuple] | None:
+    """The benchmark, if its words and their bytes are within the bound."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    size = items.agg(F.sum(F.regexp_count(ascii_lower(body), F.lit(WORDS))).alias("words"), F.sum(F.octet_length(body)).alias("bytes")).first()
+    if (size.words or 0) > most or (size.bytes or 0) > WORD_BYTES * max(most, 1 << 16):
+        return None
+    return [tuple(r) for r in items.select(item, text).collect()]
+
+
+# -- a benchmark beyond the bound: both sides as tables ---------------------------
+
+
+def _numbers(text: str | None) -> np.ndarray:
+    """Words as 64-bit hashes, the same on both sides."""
+    words = words_of(text)
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    return pa.array([x.tolist() for x in values], pa.list_(kind))
+
+
+def _item_spans(span: int, gram: int):
+    """``name, text`` of items to ``name, n, spans, kept``: hashes of its spans of n words, and of what winnowing keeps."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ns, spans, kept = [], [], []
+            for value in batch.column(1):
+                numbers = _numbers(value.as_py())
+                n = min(span, len(numbers))
+                hashes = grams(numbers, gram) if n == span else np.zeros(0, np.uint64)
+                ns.append(n)
+                spans.append(np.unique(grams(numbers, n)).view(np.int64) if n else np.zeros(0, np.int64))
+                kept.append(np.unique(hashes[winnow(hashes, span - gram + 1)]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int32()), _lists(spans, pa.int64()), _lists(kept, pa.int64())], ["name", "n", "spans", "kept"])
+
+    return run
+
+
+def _doc_spans(span: int, gram: int, long_map: np.ndarray, short_maps: dict[int, np.ndarray]):
+    """``at, text`` of documents to ``at, n, kept, start, span``: spans around kept hashes in the map, and short spans in theirs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row, value in enumerate(batch.column(1)):
+                numbers = _numbers(value.as_py())
+                hashes = grams(numbers, gram)
+                kept = winnow(hashes, span - gram + 1)
+                kept = kept[in_map(long_map, hashes[kept].view(np.int64))]
+                for p in kept.tolist():
+                    starts = around(np.array([p]), len(numbers), span, gram)
+                    out.append((np.full(len(starts), row), span, np.full(len(starts), hashes[p]), starts, grams(numbers, span, starts)))
+                for n, held in short_maps.items():
+                    own = grams(numbers, n)
+                    starts = np.flatnonzero(in_map(held, own.view(np.int64)))
+                    out.append((np.full(len(starts), row), n, np.zeros(len(starts), np.uint64), starts, own[starts]))
+            if not out:
+                continue
+            rows = np.concatenate([x[0] for x in out])
+            columns = [batch.column(0).take(pa.array(rows)), pa.array(np.repeat([x[1] for x in out], [len(x[0]) for x in out]), pa.int32())]
+            columns += [pa.array(np.concatenate([x[i] for x in out]).astype(np.uint64).view(np.int64)) for i in (2, 3, 4)]
+            yield pa.RecordBatch.from_arrays(columns, ["at", "n", "kept", "start", "span"])
 
     return run
 
 
-def _slices(items: DataFrame, item: str, text: str, most: int) -> Iterator[list[tuple]]:
-    """Benchmark rows in slices of bounded words; one partition at a time comes to the driver."""
-    batch, words = [], 0
-    for row in items.select(item, text).toLocalIterator():
-        n = len(words_of(row[1]))
-        if batch and words + n > most:
-            yield batch
-            batch, words = [], 0
-        batch.append(tuple(row))
-        words += n
-    yield batch
+def _joined(docs: DataFrame, text: str, items: DataFrame, item: str, item_text: str, span: int, gram: int) -> DataFrame:
+    """``at, hit_spans, items`` of the texts that any item hits; ``at`` is the text's md5."""
+    told = durable(items.select(F.col(item).cast("string").alias("name"), F.col(item_text)).mapInArrow(_item_spans(span, gram), "name string, n int, spans array<bigint>, kept array<bigint>"), "items")
+    kept = durable(told.select(F.explode("kept").alias("kept")).distinct(), "kept")
+    spans = durable(told.select("n", F.explode("spans").alias("span"), "name").distinct(), "spans")
+    shorts = {n: bit_map(spans.where(F.col("n") == n).select("span")) for n in (r.n for r in spans.where(F.col("n") < span).select("n").distinct().collect())}  # span - 1 numbers at most
+    texts = docs.select(F.md5(F.coalesce(F.col(text), F.lit(""))).alias("at"), F.col(text))
+    found = texts.mapInArrow(_doc_spans(span, gram, bit_map(kept), shorts), "at string, n int, kept bigint, start bigint, span bigint")
+    # Copies of a text, and spans around several kept hashes, count once.
+    found = durable(found.distinct(), "around")
+    long = meet(found.where(F.col("n") == span), kept, "kept")
+    near = durable(long.unionByName(found.where(F.col("n") < span)).select("at", "n", "start", F.xxhash64("n", "span").alias("code")).distinct(), "near")
+    codes = spans.select(F.xxhash64("n", "span").alias("code"), "name")
+    hits = durable(meet(near, durable(codes.select("code").distinct(), "codes"), "code"), "hits")
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for value in batch.column(1).to_pylist():
+                starts, ends = np.array([x["start"] for x in value]), np.array([x["start"] + x["n"] for x in value])
+                step = np.zeros(int(ends.max()) + 1, np.int64)
+                np.add.at(step, starts, 1)
+                np.add.at(step, ends, -1)
+                out.append(_runs(np.cumsum(step)[:-1] > 0))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, SPANS)], ["at", "hit_spans"])
+
+    where = hits.groupBy("at").agg(F.collect_list(F.struct("start", "n")).alias("hits")).mapInArrow(merged, "at string, hit_spans array<struct<start:int,end:int>>")
+    # A span's items, all of them once for each text that has it.
+    names = codes.where("name is not null").groupBy("code").agg(F.sort_array(F.collect_set("name")).alias("names"))
+    own = meet(hits.select("at", "code").distinct(), durable(names, "names"), "code").select("at", F.explode("names").alias("name"))
+    named = own.groupBy("at").agg(F.sort_array(F.collect_set("name")).alias("items"))
+    return durable(where.join(named, "at", "left").select("at", "hit_spans", F.coalesce("items", F.array().cast("array<string>")).alias("items")), "contaminated")
 
 
 def contamination(
@@ -177,65 +309,43 @@ def contamination(
 
     ``hit_spans`` are disjoint (start, end) in words, ``items`` item names as
     sorted strings.  Null texts have no words; null item names cover words but
-    are not named; rows that repeat are scanned each.  Where the benchmark needs
-    more than one slice, rows are told apart by key and text, and rows with both
-    equal come back once for each copy.  Empty tables give no rows or no hits.
+    are not named; rows that repeat come back as often.  Texts that repeat
+    themselves cost no more than others of their length.  Empty tables give no
+    rows or no hits.  Beyond ``most_words`` spans are known by 64 bits of hash.
     """
     prepare(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
-    found = "n_words bigint, hit_spans array<struct<start:int,end:int>>, items array<string>"
-    slices = _slices(items, item, item_text, most_words)
-    first, second = next(slices), next(slices, None)
-    if second is None:
-        return docs.select(key, text).mapInArrow(_scan(Index.build(first, span, gram), 1, [key]), f"`{key}` {kind}, {found}")
-    named = docs.select(F.col(key), F.xxhash64(text).alias("_ls_hash"), F.col(text))
-    passes, n = None, 0
-    for rows in chain([first, second], slices):
-        # Written at once, so that the driver holds the index of one slice at a time.
-        one = durable(named.mapInArrow(_scan(Index.build(rows, span, gram), 2, [key, "_ls_hash"]), f"`{key}` {kind}, _ls_hash bigint, {found}"), "pass")
-        passes, n = one if passes is None else passes.unionByName(one), n + 1
-    met = passes.groupBy(key, "_ls_hash").agg(
-        F.first("n_words").alias("n_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("hit_spans")))).alias("hit_spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-        (F.count("*") / n).cast("int").alias("copies"),
-    )
-    merged = F.aggregate(
-        "hit_spans",
-        F.array().cast("array<struct<start:int,end:int>>"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] >= x["start"]),
-            F.concat(
-                F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))),
-                F.array(F.struct(F.try_element_at(acc, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(acc, F.lit(-1))["end"], x["end"]).alias("end"))).cast("array<struct<start:int,end:int>>"),
-            ),
-        ).otherwise(F.concat(acc, F.array(x))),
-    )
-    return met.select(key, "n_words", merged.alias("hit_spans"), "items", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_ls_copy")).drop("_ls_copy")
+    held = _held(items, item, item_text, most_words)
+    if held is not None:
+        return docs.select(key, text).mapInArrow(_scan(Index.build(held, span, gram), 1, [key]), f"`{key}` {kind}, {FOUND}")
+    hit = _joined(docs, text, items, item, item_text, span, gram)
+    body = F.coalesce(F.col(text), F.lit(""))
+    words = F.regexp_count(ascii_lower(body), F.lit(WORDS)).cast("long")
+    slim = docs.select(F.col(key).alias("k"), F.md5(body).alias("at"), words.alias("n_words"))
+    met = meet(slim, hit, "at", left=True)
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    return met.select(F.col("k").alias(key), "n_words", F.coalesce("hit_spans", none).alias("hit_spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def keep_clean(
     docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", span: int = SPAN, gram: int = GRAM, most_words: int = MOST_WORDS
 ) -> DataFrame:
-    """``docs`` without the documents that any item hits, columns as they are; a pass for each slice of the benchmark."""
+    """``docs`` without the documents that any item hits, columns as they are."""
     prepare(docs.sparkSession)
-    at = docs.columns.index(text)
-
-    def keep(index: Index):
-        known = index.vocabulary.get
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                clean = []
-                for value in batch.column(at):
-                    hit, _ = index.hits(np.array([known(w, 0) for w in words_of(value.as_py())], np.uint64))
-                    clean.append(not hit.any())
-                yield batch.filter(pa.array(clean, pa.bool_()))
-
-        return run
-
-    for n, rows in enumerate(_slices(items, item, item_text, most_words)):
-        if n:  # one pass at a time holds an index in memory
-            docs = durable(docs, "clean")
-        docs = docs.mapInArrow(keep(Index.build(rows, span, gram)), docs.schema)
-    return docs
+    at, held = docs.columns.index(text), _held(items, item, item_text, most_words)
+    if held is None:
+        (own,) = fresh(docs, "at")
+        hit = _joined(docs, text, items, item, item_text, span, gram).select(F.col("at").alias(own))
+        return docs.withColumn(own, F.md5(F.coalesce(F.col(text), F.lit("")))).join(hit, own, "left_anti").select(*docs.columns)
+    index = Index.build(held, span, gram)
+    known = index.vocabulary.get
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = []
+            for value in batch.column(at):
+                hit, _ = index.hits(np.array([known(w, 0) for w in words_of(value.as_py())], np.uint64))
+                clean.append(not hit.any())
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
