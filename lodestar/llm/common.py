@@ -96,17 +96,17 @@ def range_buckets(df: DataFrame, key: str, tie: Column, buckets: int) -> Column:
     return F.when(F.col(key).isNull(), F.lit(0)).when(high == low, low).otherwise((low + spread).cast("int"))
 
 
-def meet(rows: DataFrame, names: DataFrame, key: str, left: bool = False, often: int = 1 << 14) -> DataFrame:
-    """Join, inner or left, of many rows with a table (written already) that has each ``key`` once.
+def meet(rows: DataFrame, names: DataFrame, key: str | list[str], left: bool = False, often: int = 1 << 14) -> DataFrame:
+    """Join, inner or left, of many rows with a table (both written already) that has each ``key`` once.
 
     Broadcast if the table is small.  Else keys of more than ``often`` rows, of
     which there are few, are broadcast and only the others are shuffled, so that no
     key's rows meet in one task.
     """
-    how = "left" if left else "inner"
+    how, keys = "left" if left else "inner", [key] if isinstance(key, str) else key
     if names.limit(FEW + 1).count() <= FEW:
         return rows.join(F.broadcast(names), key, how)
-    hot = rows.groupBy(key).agg(F.count("*").alias("_ls_n")).where(F.col("_ls_n") > often).select(key)
+    hot = rows.groupBy(*keys).agg(F.count("*").alias("_ls_n")).where(F.col("_ls_n") > often).select(*keys)
     hot = durable(hot, "often")
     few, wide = small(hot), small(durable(names.join(hot, key, "left_semi"), "hot"))
     return rows.join(few, key, "left_semi").join(wide, key, how).unionByName(rows.join(few, key, "left_anti").join(names, key, how))

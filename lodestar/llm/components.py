@@ -1,8 +1,10 @@
 """Connected components by alternating large-star and small-star steps.
 
-Each step is two equi-joins of an edge table, so no node's neighbours meet in
-one task and nothing but two numbers a round comes to the driver.  Rounds grow
-with the logarithm of the longest path.
+Each step is an aggregation and a join of an edge table with the smallest
+neighbour of each node, which is broadcast while it is small; beyond, nodes of
+very many edges get theirs by broadcast, so no node's neighbours meet in one
+task.  Nothing but two numbers a round comes to the driver.  Rounds grow with the
+logarithm of the longest path.
 """
 
 from __future__ import annotations
@@ -10,19 +12,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import durable
+from lodestar.llm.common import durable, meet
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    least = durable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+    return meet(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = durable(down.groupBy("u").agg(F.min("v").alias("m")), "least")
+    moved = meet(down, least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
 
 
@@ -39,4 +41,4 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if tuple(mark) == seen or not mark[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = tuple(mark)
-        now = durable(_small_star(_large_star(now)), "edges")
+        now = durable(_small_star(durable(_large_star(now), "stars")), "edges")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import durable, meet, partitions, prepare, small
-from lodestar.llm.linking import least_overlap, link, shared_rows, sketch
+from lodestar.llm.linking import LARGE, in_blocks, least_overlap, link, sketch
 from lodestar.llm.suffix_dedup import _bit_map as bit_map
 from lodestar.llm.suffix_dedup import _in_map as in_map
 
@@ -191,7 +191,7 @@ def matches(n: np.ndarray, base: int, most: int) -> int:
 
 def _adapt(percent: int):
     """Rows sorted by team, the note among them, to a row for each set that may have partners."""
-    names = ("node", "size", "base", "matches", "held", "small", "tokens")
+    names = ("node", "size", "base", "matches", "held", "wide", "small", "tokens")
 
     def team_rows(note: bytes, answers: list[bytes]) -> list[tuple]:
         nodes, sizes, distinct, bulk, n_bulk, holders = pickle.loads(note)
@@ -223,10 +223,10 @@ def _adapt(percent: int):
             base = (b - a) - max(1, least) + 1
             if base < 1:
                 continue
-            out.append((int(nodes[i]), size, base, matches(n[a:b], base, max(1, least)), b - a, sketch(token[a:b]), token[a:b].tobytes()))
+            out.append((int(nodes[i]), size, base, matches(n[a:b], base, max(1, least)), b - a, np.searchsorted(n[a : a + base], LARGE, side="right"), sketch(token[a:b]), token[a:b].tobytes()))
         return out
 
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    kinds = [pa.int64(), *[pa.int32()] * 5, pa.binary(), pa.binary()]
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], list(names))
@@ -259,16 +259,19 @@ def _adapt(percent: int):
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets to one row a shingle of the shortest prefix: ``block, node, size, rest``."""
+    """Sets to one row a shingle of the shortest prefix: ``block, node, size, rest, wide``.
+
+    A set's ``wide`` is where, in the common order, shingles begin that many texts hold.
+    """
     for batch in batches:
-        node, size, base, held, tokens = (batch.column(c) for c in ("node", "size", "base", "held", "tokens"))
+        node, size, base, held, wide, tokens = (batch.column(c) for c in ("node", "size", "base", "held", "wide", "tokens"))
         n = np.asarray(base)
         if not len(n):
             continue
         place = np.concatenate([np.arange(x, dtype=np.int32) for x in n])
         block = np.concatenate([np.frombuffer(t, np.int64, count) for t, count in zip(tokens.to_pylist(), n.tolist())])
-        columns = [block, np.repeat(np.asarray(node), n), np.repeat(np.asarray(size), n), np.repeat(np.asarray(held), n) - place]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["block", "node", "size", "rest"])
+        columns = [block, np.repeat(np.asarray(node), n), np.repeat(np.asarray(size), n), np.repeat(np.asarray(held), n) - place, place >= np.repeat(np.asarray(wide), n)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["block", "node", "size", "rest", "wide"])
 
 
 def _prefix(base: int, asked: int, tokens: bytes) -> np.ndarray:
@@ -325,11 +328,9 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     dealt = sent.select("bucket", "team", "packed").repartitionById(buckets, F.pmod("bucket", F.lit(buckets))).sortWithinPartitions("bucket", "team")
     answers = dealt.mapInArrow(_answer, "team bigint, packed binary").repartition(buckets, "team").sortWithinPartitions("team")
     # A set that two tasks have sent comes twice, with the same answers.
-    sets = answers.mapInArrow(_adapt(percent), "node bigint, size int, base int, matches int, held int, small binary, tokens binary")
+    sets = answers.mapInArrow(_adapt(percent), "node bigint, size int, base int, matches int, held int, wide int, small binary, tokens binary")
     sets = durable(sets, "prefixes")
-    dealt = sets.drop("small").mapInArrow(_entries, "block bigint, node bigint, size int, rest int").dropDuplicates(["block", "node"])
-    met = dealt.repartition(buckets, "block").sortWithinPartitions("block").mapInArrow(shared_rows, "block bigint, node bigint, size int, rest int")
-    met = durable(met, "met")
+    met = in_blocks(sets.drop("small").mapInArrow(_entries, "block bigint, node bigint, size int, rest int, wide boolean"))
     there = met.select("node").distinct()
     once = lambda *names: sets.join(there, "node", "left_semi").groupBy("node").agg(*[F.first(c).alias(c) for c in names])
     drawn = durable(once("held", "small"), "sketches")

@@ -30,13 +30,17 @@ from lodestar.llm.components import connected_components
 BITS = 512
 #: Rows of a block beyond which it is dealt out in slices.
 LARGE = 2048
+#: Tasks that a block which is known to be large is dealt to at first.
+PIECES = 64
 #: How many of the nearest of each node are verified in a round; the last round takes all that are left.
 NEAREST = (4, 64, 1024, None)
 
 
-def least_overlap(sizes, percent: int):
-    """Members that two sets of so many together need in common (whole numbers, or arrays of them)."""
-    return -(-sizes * percent // (100 + percent))
+def least_overlap(sizes, percent: float):
+    """Members that two sets of so many together need in common (numbers, or arrays of them); exact for whole ``percent``."""
+    if percent == int(percent):
+        return -(-sizes * int(percent) // (100 + int(percent)))
+    return np.ceil(sizes * (percent / (100 + percent)) - 1e-6).astype(np.int64)
 
 
 def sketch(own: np.ndarray) -> bytes:
@@ -48,27 +52,44 @@ def sketch(own: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows, sorted by their first column, whose value there has more than one row."""
+def in_blocks(entries: DataFrame) -> DataFrame:
+    """Rows ``block, node, size, rest`` of blocks with more than one node, each once; written.
+
+    ``wide`` says of an entry that its block is known to be large: its rows are
+    dealt out by node and kept.
+    """
+    piece = F.when(F.col("wide"), F.pmod(F.xxhash64("node"), F.lit(PIECES))).otherwise(0)
+    dealt = entries.repartition(partitions(entries.sparkSession), "block", piece).sortWithinPartitions("block", "node")
+    return durable(dealt.mapInArrow(_shared, "block bigint, node bigint, size int, rest int"), "met")
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows, sorted by block and node, of blocks with more than one node here or known to be large."""
     last, taken = None, True
     for batch in batches:
         if not batch.num_rows:
             continue
-        block = np.asarray(batch.column(0))
+        block, node = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+        before = (None, None) if last is None else (last.column(0)[0].as_py(), last.column(1)[0].as_py())
+        new = np.r_[(int(block[0]), int(node[0])) != before, (block[1:] != block[:-1]) | (node[1:] != node[:-1])]
+        batch = batch.filter(pa.array(new))
+        if not batch.num_rows:
+            continue
+        block = block[new]
         same = block[1:] == block[:-1]
-        keep = np.r_[False, same] | np.r_[same, False]
-        if last is not None and last.column(0)[0].as_py() == block[0]:
+        keep = np.r_[False, same] | np.r_[same, False] | batch.column(4).to_numpy(zero_copy_only=False)
+        if before[0] == block[0]:
             keep[0] = True
             if not taken:
-                yield last
-        yield batch.filter(pa.array(keep))
+                yield last.select(range(4))
+        yield batch.filter(pa.array(keep)).select(range(4))
         last, taken = batch.slice(batch.num_rows - 1, 1), bool(keep[-1])
 
 
 class Group:
     """Rows that meet: a block, or two slices of one."""
 
-    def __init__(self, rows: pa.Table, percent: int):
+    def __init__(self, rows: pa.Table, percent: float):
         of = lambda name: rows.column(name).to_numpy()
         self.node, self.root, self.side, self.percent = of("node"), of("root"), of("side"), percent
         self.size, self.held, self.rest = (of(c).astype(np.int64) for c in ("size", "held", "rest"))
@@ -107,7 +128,7 @@ class Group:
         return (np.concatenate(u), np.concatenate(v), more) if u else (none, none, more)
 
 
-def _near_pairs(percent: int, high: int | None):
+def _near_pairs(percent: float, high: int | None):
     """Rows sorted by ``block, i, j`` to possible pairs ``u, v``; a row of nulls says that more are left."""
     names = ("block", "i", "j")
 
@@ -176,7 +197,7 @@ def _dealt(spark, rooted: DataFrame, drawn: DataFrame, large: int) -> DataFrame:
     return out
 
 
-def neighbours(met: DataFrame, percent: int, large: int = LARGE) -> DataFrame:
+def neighbours(met: DataFrame, percent: float, large: int) -> DataFrame:
     """``u, v``: neighbours by size in each block, or in slices of a large one and among the slices' first."""
     counts = met.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > large)
     counts = small(durable(counts.withColumnRenamed("block", "wide"), "wide"))
@@ -186,7 +207,7 @@ def neighbours(met: DataFrame, percent: int, large: int = LARGE) -> DataFrame:
     def chain(rows: DataFrame, *by: str) -> DataFrame:
         after = Window.partitionBy(*by).orderBy("size", "node")
         pairs = rows.select("size", "rest", "node", *[F.lead(c).over(after).alias(f"next_{c}") for c in ("size", "rest", "node")]).where("next_node is not null")
-        least = F.ceil((F.col("size") + F.col("next_size")) * percent / (100 + percent))
+        least = F.ceil((F.col("size") + F.col("next_size")) * percent / (100 + percent) - 1e-6)
         pairs = pairs.where(F.least("rest", "next_rest") >= least)
         return pairs.select(F.least("node", "next_node").alias("u"), F.greatest("node", "next_node").alias("v"))
 
@@ -196,7 +217,7 @@ def neighbours(met: DataFrame, percent: int, large: int = LARGE) -> DataFrame:
 
 
 def link(
-    met: DataFrame, drawn: DataFrame, verified: Callable[[DataFrame], DataFrame], percent: int, close: DataFrame | None = None, large: int = LARGE, nearest: tuple = NEAREST
+    met: DataFrame, drawn: DataFrame, verified: Callable[[DataFrame], DataFrame], percent: float, close: DataFrame | None = None, large: int | None = None, nearest: tuple | None = None
 ) -> DataFrame:
     """``node, root`` of all nodes that links connect to others; root is the smallest node.
 
@@ -205,7 +226,7 @@ def link(
     common.  ``verified`` keeps those of pairs ``u < v`` that are links; ``close``
     are pairs to be verified with the first ones.
     """
-    spark = met.sparkSession
+    spark, large, nearest = met.sparkSession, large or LARGE, nearest or NEAREST
     first = neighbours(met, percent, large)
     if close is not None:
         first = first.unionByName(close).distinct()

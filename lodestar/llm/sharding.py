@@ -103,7 +103,9 @@ def assign_shards(df: DataFrame, key: str = "doc_id", text: str = "text", limit:
         over = cells.where((F.col("bytes") > limit) & (F.col("rows") > 1))
         if base >= 64 or over.limit(1).count() == 0:
             break
-        rows = durable(celled.join(over.select("cell"), "cell", "left_semi").select("key", "n_bytes", "address"), "oversized")
+        # So do the cells of equal rows.
+        over = small(durable(over.select("cell"), "over"))
+        rows = durable(celled.join(over, "cell", "left_semi").select("key", "n_bytes", "address"), "oversized")
         low, base = base + 1, min(64, base + STEP_BITS)
     out = parts[0]
     for part in parts[1:]:

@@ -17,12 +17,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm import bitslice
-from lodestar.llm.common import durable, fresh, partitions, prepare, small
+from lodestar.llm.common import durable, fresh, meet, partitions, prepare, small
 from lodestar.llm.components import connected_components
+from lodestar.llm.linking import LARGE, in_blocks, link
+from lodestar.llm.linking import sketch as small_sketch
 from lodestar.llm.suffix_dedup import _bit_map as bit_map
 from lodestar.llm.suffix_dedup import _in_map as in_map
 
@@ -146,13 +148,14 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     its keys are null.  Repeated rows come back as often; an empty table gives
     an empty result; other columns are ignored.
     """
-    rows = durable(fingerprints(df, key, text, words), "fingerprints")
-    distinct = rows.groupBy("fp").agg(F.min(key).alias("least"))
+    rows = durable(fingerprints(df.select(F.col(key).alias("k"), F.col(text).alias("text")), "k", "text", words), "fingerprints")
+    distinct = rows.groupBy("fp").agg(F.min("k").alias("least"))
     found = connected_components(close_edges(distinct.select("fp"), radius, block))
-    labelled = distinct.join(found, distinct.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = labelled.join(named, "root").select("fp", "component_id")
-    return rows.join(of_fp, "fp").select(key, "fp", "component_id")
+    labelled = durable(distinct.join(found, distinct.fp == found.node, "left").select(distinct.fp, "least", F.coalesce("root", distinct.fp).alias("root")), "labelled")
+    named = durable(labelled.groupBy("root").agg(F.min("least").alias("component_id")), "named")
+    of_fp = durable(meet(labelled, named, "root").select("fp", "component_id"), "of-fp")
+    # Many rows may have one fingerprint, many fingerprints one root: neither meets in one task.
+    return meet(rows, of_fp, "fp").select(F.col("k").alias(key), F.col("fp").alias("fp" if key.lower() != "fp" else "fingerprint"), "component_id")
 
 
 # -- classes by similarity ------------------------------------------------------
@@ -163,22 +166,15 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", words: int =
 # differ more than the sets do, so an exact way follows: sets that similar share
 # one of their first few shingles in any common order (prefix filtering), so
 # candidates meet in blocks of one shingle and none is lost; frequent shingles
-# come last in the order, so that blocks are small.  Blocks are compared by
-# sketches, which reject pairs that are surely too different.  Of the others each
-# set's few nearest go first; what they connect need not be looked at again, and
-# so on with more while any are left, so that pairs do not grow with the square
-# of a group of alike texts.  Every link is verified on the whole sets.
+# come last in the order, so that blocks are small.  Blocks are linked as
+# :mod:`lodestar.llm.linking` says, so that pairs do not grow with the square of a
+# group of alike texts, and no block meets whole.  Every link is verified on the
+# whole sets.
 
 #: Shingles estimated to be in more texts than this come last in the order.
 ORDINARY = 16
 #: Bits in which fingerprints of first candidates may differ.
 CLOSE = 3
-#: Rows of a block beyond which it is dealt out in slices that meet pairwise; up to which all its pairs count as few.
-LARGE, SMALL = 2048, 32
-#: Bits of the sketches that blocks are compared by.
-BITS = 512
-#: How many of the nearest of each set are verified in a round; the last round takes all that are left.
-NEAREST = (4, 64, 1024, None)
 #: Texts, about, whose shingles tell the frequent ones, and how many of those are told apart.
 SAMPLE, FREQUENT = 20_000, 200_000
 #: Shingles of texts remembered while pairs are verified.
@@ -220,12 +216,6 @@ def sketch(own: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def small_sketch(own: np.ndarray) -> np.ndarray:
-    """The same with ``BITS`` bits, whatever the set's size."""
-    odd = np.bincount((own & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
-
-
 def too_different(a: np.ndarray, b: np.ndarray, sizes: int, similarity: float) -> bool:
     """Whether two sketches rule out that their sets, of so many members together, are as similar as asked."""
     while len(a) > len(b):
@@ -236,18 +226,21 @@ def too_different(a: np.ndarray, b: np.ndarray, sizes: int, similarity: float) -
     return int(np.bitwise_count(a ^ b).sum()) > most
 
 
-def _prefix(own: np.ndarray, frequent: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
-    """The first shingles of a set in the common order: so many that a similar set shares one."""
+def _prefix(own: np.ndarray, frequent: np.ndarray, rank: np.ndarray, wide: int, similarity: float) -> tuple[np.ndarray, int]:
+    """The first shingles of a set in the common order: so many that a similar set shares one; and which are in very many texts, from where on."""
     n = len(own) - math.ceil(similarity * len(own) - TINY) + 1
+    first_wide = len(own)
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
         late = frequent[at] == own
+        ranks = np.sort(rank[at[late]])
         own = np.concatenate([own[~late], own[late][np.argsort(rank[at[late]])]])
-    return own[:n]
+        first_wide = len(own) - int((ranks >= wide).sum())
+    return own[:n], first_wide
 
 
-def _frequent(df: DataFrame, text: str, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles of a sample, sorted, and their ranks from the rarest.  They decide the cost, never the result."""
+def _frequent(df: DataFrame, text: str, words: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Frequent shingles of a sample, sorted, their ranks from the rarest, and the rank from which texts are very many.  They decide the cost, never the result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,134 +254,20 @@ def _frequent(df: DataFrame, text: str, words: int) -> tuple[np.ndarray, np.ndar
     top = counts.orderBy(F.desc("n"), "shingle").limit(FREQUENT).collect()
     found = np.array([r.shingle for r in reversed(top)], np.int64).view(np.uint64)
     order = np.argsort(found)
-    return found[order], order
+    return found[order], order, sum(r.n * share <= LARGE for r in top)
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``node, size, prefix`` to one row a shingle of the prefix, with its place."""
+    """``node, size, prefix, wide`` to one row a shingle of the prefix: ``block, node, size, rest, wide``."""
     for batch in batches:
         held = [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
         if not held:
             continue
         lengths = np.array([len(x) for x in held])
         place = np.concatenate([np.arange(n, dtype=np.int32) for n in lengths])
-        columns = [np.concatenate(held), np.repeat(np.asarray(batch.column(0)), lengths), np.repeat(np.asarray(batch.column(1)), lengths), place]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["shingle", "node", "size", "place"])
-
-
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows, sorted by shingle, whose shingle has more than one row."""
-    last, taken = None, True
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        shingle = np.asarray(batch.column(0))
-        same = shingle[1:] == shingle[:-1]
-        keep = np.r_[False, same] | np.r_[same, False]
-        if last is not None and last.column(0)[0].as_py() == shingle[0]:
-            keep[0] = True
-            if not taken:
-                yield last
-        yield batch.filter(pa.array(keep))
-        last, taken = batch.slice(batch.num_rows - 1, 1), bool(keep[-1])
-
-
-class Block:
-    """Rows of one or more groups: what is known of each set where it has a group's shingle."""
-
-    def __init__(self, batches: list[pa.RecordBatch], similarity: float):
-        rows = pa.Table.from_batches(batches).combine_chunks()
-        of = lambda name: rows.column(name).to_numpy()
-        self.node, self.root, self.size, self.rest = of("node"), of("root"), of("size").astype(np.int64), (of("size") - of("place")).astype(np.int64)
-        self.side, shingle, i, j = of("side"), of("shingle"), of("i"), of("j")
-        self.sketch = np.frombuffer(b"".join(rows.column("small").to_pylist()), np.uint64).reshape(-1, BITS // 64)
-        change = (shingle[1:] != shingle[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
-        self.starts = np.flatnonzero(np.r_[True, change])
-        self.ends = np.r_[self.starts[1:], len(self.node)]
-        self.cross = i != j
-        self.share = similarity / (1 + similarity)
-
-    def distance(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Differing bits of the sketches of rows (which broadcast), -1 for pairs that are ruled out."""
-        sizes = self.size[a] + self.size[b]
-        least = np.ceil(sizes * self.share - TINY).astype(np.int64)
-        bits = np.bitwise_count(self.sketch[a] ^ self.sketch[b]).sum(axis=-1, dtype=np.int64)
-        return np.where((np.minimum(self.rest[a], self.rest[b]) >= least) & (bits <= sizes - 2 * least), bits, -1)
-
-    def few(self) -> tuple[np.ndarray, np.ndarray]:
-        """All possible pairs of the small groups."""
-        size = np.repeat(self.ends - self.starts, self.ends - self.starts)
-        group = np.repeat(np.arange(len(self.starts)), self.ends - self.starts)
-        own, out = np.flatnonzero((size <= SMALL) & ~self.cross), []
-        for shift in range(1, int(size[own].max(initial=1))):
-            a = own[:-shift][group[own[:-shift]] == group[own[shift:]]]
-            a = a[self.root[a] != self.root[a + shift]]
-            out.append(np.stack([a, a + shift])[:, self.distance(a, a + shift) >= 0])
-        return tuple(np.concatenate(out, axis=1)) if out else (np.zeros(0, np.int64),) * 2
-
-    def nearest(self, start: int, end: int, low: int, high: int | None) -> tuple[np.ndarray, np.ndarray, bool]:
-        """Possible pairs of a large group that are among one side's nearest, from ``low`` to ``high``; whether more are left."""
-        rows = np.arange(start, end)
-        a, b = (rows[self.side[rows] == 0], rows[self.side[rows] == 1]) if self.cross[start] else (rows, rows)
-        far = BITS + 1
-        bits = np.full((len(a), len(b)), far, np.int16)
-        for at in range(0, len(a), 64):
-            found = self.distance(a[at : at + 64, None], b[None, :])
-            bits[at : at + 64] = np.where(found < 0, far, found)
-        if a is b:
-            np.fill_diagonal(bits, far)
-        possible = bits < far
-
-        def ranks(bits: np.ndarray) -> np.ndarray:
-            place = np.empty(bits.shape, np.int32)
-            np.put_along_axis(place, bits.argsort(axis=1, kind="stable"), np.arange(bits.shape[1], dtype=np.int32)[None, :], axis=1)
-            return place
-
-        apart = possible & (self.root[a][:, None] != self.root[b][None, :])
-        if a is b:
-            apart &= np.arange(len(a))[:, None] < np.arange(len(b))[None, :]
-        if not apart.any():
-            return a[:0], b[:0], False
-        rank = np.minimum(ranks(bits), ranks(bits.T).T)
-        i, j = np.nonzero(apart & (rank >= low) & ((rank < high) if high is not None else True))
-        return a[i], b[j], bool(high is not None and (apart & (rank >= high)).any())
-
-
-def _near_pairs(similarity: float, low: int, high: int | None):
-    """Rows sorted by group to possible pairs ``u, v`` of different components; a row of nulls says that more are left."""
-
-    def pairs(rest: list[pa.RecordBatch]) -> pa.RecordBatch:
-        block = Block(rest, similarity)
-        found, more = [block.few()] if low == 0 else [], False
-        for start, end in zip(block.starts.tolist(), block.ends.tolist()):
-            if end - start > SMALL or block.cross[start]:
-                a, b, left = block.nearest(start, end, low, high)
-                found.append((a, b))
-                more |= left
-        a, b = (block.node[np.concatenate([f[side] for f in found])] if found else block.node[:0] for side in (0, 1))
-        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-        none = [None] if more else []
-        return pa.RecordBatch.from_arrays([pa.array([*both[0].tolist(), *none], pa.int64()), pa.array([*both[1].tolist(), *none], pa.int64())], ["u", "v"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[pa.RecordBatch] = []
-        names = ("shingle", "i", "j")
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            group = [batch.column(c).to_numpy() for c in names]
-            other = np.flatnonzero(np.any([g != g[-1] for g in group], axis=0))
-            cut = int(other[-1]) + 1 if len(other) else 0
-            if cut or (rest and any(rest[-1].column(c)[-1].as_py() != g[-1] for c, g in zip(names, group))):
-                if cut:
-                    rest.append(batch.slice(0, cut))
-                yield pairs(rest)
-                rest = []
-            rest.append(batch.slice(cut))
-        if rest:
-            yield pairs(rest)
-
-    return run
+        size = np.repeat(np.asarray(batch.column(1)), lengths)
+        columns = [np.concatenate(held), np.repeat(np.asarray(batch.column(0)), lengths), size, size - place, place >= np.repeat(np.asarray(batch.column(3)), lengths)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["block", "node", "size", "rest", "wide"])
 
 
 def _possible(similarity: float):
@@ -441,32 +320,30 @@ def similar_classes(df: DataFrame, key: str = "doc_id", text: str = "text", word
     spark = df.sparkSession
     prepare(spark)
     kind = df.schema[key].dataType.simpleString()
-    frequent, rank = _frequent(df, text, words)
+    frequent, rank, wide = _frequent(df, text, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [shingles(t.as_py(), words) for t in batch.column(2)]
             node = [xxhash.xxh64_intdigest(x.tobytes()) - 2**63 for x in own]
-            prefix = [_prefix(x, frequent, rank, similarity).tobytes() for x in own]
+            prefix = [_prefix(x, frequent, rank, wide, similarity) for x in own]
             drawn = [sketch(x).tobytes() for x in own]
             fps = pa.array(np.array([_majority(x) for x in own], np.uint64).view(np.int64))
-            little = [small_sketch(x).tobytes() for x in own]
-            columns = [pa.array(node, pa.int64()), fps, pa.array([len(x) for x in own], pa.int32()), pa.array(prefix, pa.binary()), pa.array(drawn, pa.binary()), pa.array(little, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["key", "hash", "node", "fp", "size", "prefix", "sketch", "small"])
+            little = [small_sketch(x) for x in own]
+            columns = [pa.array(node, pa.int64()), fps, pa.array([len(x) for x in own], pa.int32()), pa.array([x.tobytes() for x, _ in prefix], pa.binary()), pa.array([n for _, n in prefix], pa.int32()), pa.array(drawn, pa.binary()), pa.array(little, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["key", "hash", "node", "fp", "size", "prefix", "wide", "sketch", "small"])
 
     body = F.coalesce(F.col(text), F.lit(""))
     docs = df.select(F.col(key).alias("key"), F.xxhash64(body).alias("hash"), body.alias("text"))
-    rows = durable(docs.mapInArrow(run, f"key {kind}, hash bigint, node bigint, fp bigint, size int, prefix binary, sketch binary, small binary"), "prefixes")
-    slim = rows.select("key", "hash", "node").distinct()
-    distinct = rows.groupBy("node").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-    entry = "shingle bigint, node bigint, size int, place int"
-    dealt = distinct.mapInArrow(_entries, entry).repartition(partitions(spark), "shingle").sortWithinPartitions("shingle")
-    met = durable(dealt.mapInArrow(_shared, entry), "met")
+    rows = durable(docs.mapInArrow(run, f"key {kind}, hash bigint, node bigint, fp bigint, size int, prefix binary, wide int, sketch binary, small binary"), "prefixes")
+    slim = durable(rows.select("key", "hash", "node").distinct(), "slim")
+    distinct = rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "prefix", "wide")])
+    met = in_blocks(distinct.mapInArrow(_entries, "block bigint, node bigint, size int, rest int, wide boolean"))
 
     drawn = rows.select("node", "size", "sketch", "small").join(met.select("node").distinct(), "node", "left_semi")
     drawn = durable(drawn.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "sketch", "small")]), "sketches")
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
+    def verified(pairs: DataFrame) -> DataFrame:
         ends = lambda at: drawn.select(F.col("node").alias(at), F.col("size").alias(f"{at}_size"), F.col("sketch").alias(f"{at}_sketch"))
         pairs = pairs.join(ends("u"), "u").join(ends("v"), "v").select("u", "v", (F.col("u_size") + F.col("v_size")).alias("sizes"), "u_sketch", "v_sketch")
         pairs = durable(pairs.mapInArrow(_possible(similarity), "u bigint, v bigint"), "possible")
@@ -485,12 +362,7 @@ def similar_classes(df: DataFrame, key: str = "doc_id", text: str = "text", word
         texts = durable(some.dropDuplicates(["node"]), "texts")
         of = lambda at, name: texts.select(F.col("node").alias(at), F.col("text").alias(name))
         both = pairs.join(of("u", "a"), "u").join(of("v", "b"), "v").select("u", "v", "a", "b")
-        return durable(both.mapInArrow(_verified(words, similarity), "u bigint, v bigint"), name)
-
-    def could(size, place, other_size, other_place):
-        """At the first shingle in common, what follows must suffice for the similarity."""
-        least = F.ceil((size + other_size) * (similarity / (1 + similarity)) - TINY)
-        return F.least(size - place, other_size - other_place) >= least
+        return durable(both.mapInArrow(_verified(words, similarity), "u bigint, v bigint"), "links")
 
     # Sets with close fingerprints first: a star for each fingerprint, a forest over fingerprints.
     of_fp = durable(rows.groupBy("fp").agg(F.min("node").alias("rep")), "fps")
@@ -498,39 +370,11 @@ def similar_classes(df: DataFrame, key: str = "doc_id", text: str = "text", word
     ends = lambda at: of_fp.select(F.col("fp").alias(at), F.col("rep").alias(f"{at}_rep"))
     forest = close_edges(of_fp.select("fp"), CLOSE).join(ends("u"), "u").join(ends("v"), "v")
     close = star.unionByName(forest.select(F.least("u_rep", "v_rep").alias("u"), F.greatest("u_rep", "v_rep").alias("v")))
-    # With them neighbours by size in each block: together they connect most of what is alike.
-    after = Window.partitionBy("shingle").orderBy("size", "node")
-    chain = met.select("*", *[F.lead(c).over(after).alias(f"next_{c}") for c in ("node", "size", "place")])
-    chain = chain.where("next_node is not null").where(could(F.col("size"), F.col("place"), F.col("next_size"), F.col("next_place")))
-    pair = [F.least("node", "next_node").alias("u"), F.greatest("node", "next_node").alias("v")]
-    first = durable(chain.select(*pair).unionByName(close).distinct(), "pairs")
-    edges = verified(first, "links")
-    # Then the other pairs of each block that are not connected yet, the nearest ones first.
-    found, low = connected_components(edges), 0
-    for high in NEAREST:
-        rooted = met.join(found, "node", "left").select("shingle", "node", "size", "place", F.coalesce("root", "node").alias("root"))
-        apart = rooted.groupBy("shingle").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("least < most")
-        slices = F.ceil(F.col("n") / LARGE).cast("int")
-        open_rows = rooted.join(apart.select("shingle", slices.alias("slices")), "shingle").withColumn("own", F.pmod(F.xxhash64("node"), "slices").cast("int"))
-        open_rows = durable(open_rows.join(drawn.select("node", "small"), "node"), "open")
-        columns = ["node", "root", "size", "place", "small"]
-        left = open_rows.select("shingle", F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.col("slices") - 1)).alias("j"), F.lit(0).alias("side"), *columns)
-        right = open_rows.where("own > 0").select("shingle", F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), *columns)
-        group = ["shingle", "i", "j"]
-        dealt = left.unionByName(right).repartition(partitions(spark), *group).sortWithinPartitions(*group, "node")
-        near = durable(dealt.mapInArrow(_near_pairs(similarity, low, high), "u bigint, v bigint").distinct(), "near")
-        more = near.where("u is null").limit(1).count() > 0
-        rest = durable(near.where("u is not null").join(first, ["u", "v"], "left_anti"), "rest")
-        if rest.limit(1).count():
-            links = verified(rest, "links")
-            if links.limit(1).count():
-                edges = edges.unionByName(links)
-                found = connected_components(edges)
-        if not more:
-            break
-        low = high
+    percent = round(100 * similarity, 9)
+    found = link(met, drawn.select("node", F.col("size").alias("held"), "small"), verified, percent, close)
     order = F.struct(F.col("key").isNull(), "key", "hash")
-    named = slim.join(found, slim.node == found.node, "left").select("key", "hash", F.coalesce("root", slim.node).alias("component"))
+    # Many rows may be copies of one set.
+    named = meet(slim, durable(found, "found"), "node", left=True).select("key", "hash", F.coalesce("root", "node").alias("component"))
     named = durable(named, "named")
     # The keepers meet their rows by key and text, which no class makes frequent.
     first = named.groupBy("component").agg(F.min(order).alias("first")).select(F.col("first.key").alias("_ls_key"), F.col("first.hash").alias("_ls_hash"))

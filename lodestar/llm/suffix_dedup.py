@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import durable, partitions, prepare, small
+from lodestar.llm.common import durable, meet, partitions, prepare, small
 
 LENGTH = 200
 GRAM = 8
@@ -474,7 +474,7 @@ def repeated_stretches(df: DataFrame, key: str = "doc_id", text: str = "text", l
     for part in parts[1:]:
         out = out.unionByName(part)
     # All strings over one core overlap, so they cover one stretch; every anchor of a neighbourhood has it.
-    return found.join(out, ["core", "around"]).select(
+    return meet(found, durable(out, "stretches"), ["core", "around"]).select(
         "key", "hash", (F.col("place") - shape.left - F.col("most")).cast("int").alias("start"), (F.col("place") - shape.left - F.col("least") + length).cast("int").alias("stop")
     )
 

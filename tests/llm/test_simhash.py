@@ -7,6 +7,7 @@ import pytest
 import xxhash
 
 from lodestar.llm import bitslice
+from lodestar.llm import linking as L
 from lodestar.llm import simhash as S
 
 
@@ -118,7 +119,7 @@ def near_copies():
 
 @pytest.mark.parametrize("large", [20_000, 8])
 def test_similar_classes(spark, monkeypatch, large):
-    monkeypatch.setattr(S, "LARGE", large)
+    monkeypatch.setattr(L, "LARGE", large)
     monkeypatch.setattr(S, "ORDINARY", 32)
     groups = near_copies()
     rows = [(i, t, g) for i, (g, t) in enumerate((g, t) for g, group in enumerate(groups) for t in group)]
@@ -138,11 +139,11 @@ def test_similar_classes(spark, monkeypatch, large):
 
 def test_copies_alike_by_one_text_only(spark, monkeypatch):
     """Copies that are each close to one text but not to each other; and the same without that text."""
-    monkeypatch.setattr(S, "LARGE", 60)
+    monkeypatch.setattr(L, "LARGE", 60)
     asked = []
-    monkeypatch.setattr(S, "NEAREST", (2, 16, None))
-    real = S._near_pairs
-    monkeypatch.setattr(S, "_near_pairs", lambda *a: asked.append(a[2]) or real(*a))
+    monkeypatch.setattr(L, "NEAREST", (2, 16, None))
+    real = L._near_pairs
+    monkeypatch.setattr(L, "_near_pairs", lambda *a: asked.append(a[1]) or real(*a))
     rng = random.Random(3)
 
     def copies(name, n):
@@ -247,3 +248,8 @@ def test_repeated_lines_count_once(spark):
     texts = [" ".join([line] * 50 + [o]) for o in own] + [" ".join([line] * n + [own[0]]) for n in (2, 9)]
     got, want = same_classes(spark, texts)
     assert got == want == [0, 1, 2, 3, 4, 5, 0, 0]
+
+
+def test_a_key_named_like_a_column_of_the_operator(spark):
+    rows = S.classes(spark.createDataFrame([(1, "a b c d"), (2, "a b c d"), (3, "z y x w")], "fp long, text string"), key="fp").collect()
+    assert sorted((r.fp, r.component_id) for r in rows) == [(1, 1), (2, 1), (3, 3)]
