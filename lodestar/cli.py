@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import secrets
 import sys
 
 from pyspark.sql import SparkSession
@@ -25,13 +26,13 @@ def parser() -> argparse.ArgumentParser:
     out.add_argument("-d", "--dim", default="8", type=parse_number)
     out.add_argument("-k", default="10", type=parse_number)
     out.add_argument("-r", "--repeats", default="1", type=parse_number)
-    out.add_argument("-s", "--seed", default=1, type=int)
+    out.add_argument("-s", "--seed", default=1, type=int, help="0 draws one")
     out.add_argument("-g", "--generator", default="uniform", help="name or name:params")
     out.add_argument("-p", "--preprocessor", default="identity", choices=sorted(PREPROCESSORS))
     out.add_argument("-v", "--verify", choices=sorted(ALGORITHMS), help="compare with this algorithm's result")
     out.add_argument("--deg", default=8, type=int)
     out.add_argument("--block-size", default="256", type=parse_number, help="logged; checked with --strict")
-    out.add_argument("--items-per-thread", default="1", type=parse_dim3, help="up to three numbers; logged, the first checked with --strict")
+    out.add_argument("--items-per-thread", default="1", type=parse_dim3, help="up to three numbers; logged, checked with --strict")
     out.add_argument("--point-layout", default="row", choices=("row", "column"), help="column: points go through columnar blocks")
     out.add_argument("--query-layout", default="row", choices=("row", "column"))
     out.add_argument("--strict", action="store_true", help="errors for parameters that the original kernels do not have")
@@ -47,9 +48,10 @@ def main(args: list[str] | None = None) -> int:
         return 0
     positive(point_count=given.point_count, query_count=given.query_count, dim=given.dim, k=given.k, repeats=given.repeats, block_size=given.block_size)
     if given.strict:
-        check(given.algorithm, given.k, given.block_size, given.items_per_thread[0])
+        check(given.algorithm, given.k, given.block_size, given.items_per_thread, given.deg, given.dim)
     spark = SparkSession.builder.getOrCreate()
-    points, queries = generate(spark, given.generator, given.point_count, given.query_count, given.dim, given.seed)
+    seed = given.seed or secrets.randbits(31) + 1
+    points, queries = generate(spark, given.generator, given.point_count, given.query_count, given.dim, seed)
     points, queries = PREPROCESSORS[given.preprocessor](points.persist(), queries.persist())
     if given.point_layout == "column":
         points = from_columnar(to_columnar(points, "point_id", "p"), "point_id", "p").persist()

@@ -56,6 +56,13 @@ def parse_dim3(text: str) -> tuple[int, int, int]:
     return tuple((given + [1, 1, 1])[:3])
 
 
+def dim3(text: Column) -> Column:
+    """Struct ``x, y, z`` of up to three comma-separated numbers with suffixes; missing and empty ones are 1 and 0, as :func:`parse_dim3` has it."""
+    parts = F.when(text != "", F.split(text, ","))
+    at = lambda i: F.when(F.get(parts, F.lit(i)).isNull(), F.lit(1).cast("long")).otherwise(number(F.get(parts, F.lit(i))))
+    return F.when(text.isNotNull(), F.struct(*[at(i).alias(name) for i, name in enumerate("xyz")]))
+
+
 def item(text: Column, n: int) -> Column:
     """The n-th number, from 0, of a comma-separated column; 1 if there is none."""
     return F.coalesce(F.get(F.split(text, ","), F.lit(n)).try_cast("int"), F.lit(1))

@@ -21,6 +21,7 @@ from lodestar.operators.running import RunningTopK
 from lodestar.operators.topk import top_k
 from lodestar.operators.verify import mismatches
 from lodestar.plans import algorithms, analytics
+from lodestar.plans.runner import bench, feasible_rows
 from lodestar.sources.benchlog import measured, read_log, write_log
 from lodestar.sources.vectors import PREPROCESSORS, as_points, as_queries, from_columnar, normal_vector, sort_with_position, stub_between, to_columnar, uniform_vector
 from lodestar.storage import new_path
@@ -300,6 +301,81 @@ def topk_two_appends(spark, sf_dir):
     return kept.rows().select("l_returnflag", "rank", "l_orderkey", "l_linenumber", "l_extendedprice")
 
 
+SKEW_SQL = "CASE WHEN l_orderkey % 10 < 8 THEN -1 ELSE l_suppkey END"
+
+
+@query(
+    f"SELECT supplier, rank::INTEGER AS rank, l_orderkey, l_linenumber, l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY supplier ORDER BY l_extendedprice, l_orderkey, l_linenumber) AS rank "
+    f"FROM (SELECT {SKEW_SQL} AS supplier, l_orderkey, l_linenumber, l_extendedprice FROM lineitem)) WHERE rank <= 3"
+)
+def topk_skewed(spark, sf_dir):
+    """One group with most rows and many small ones; their sizes decide what is cut."""
+    supplier = F.when(F.col("l_orderkey") % 10 < 8, F.lit(-1).cast("long")).otherwise(F.col("l_suppkey"))
+    rows = table(spark, sf_dir, "lineitem").withColumn("supplier", supplier)
+    return top_k(rows, ["supplier"], "l_extendedprice", ["l_orderkey", "l_linenumber"], 3, strategy="two_level", deg=0)
+
+
+@query(
+    "SELECT l_orderkey, l_linenumber, (l_quantity::BIGINT * 1024) AS x, CASE WHEN l_linenumber > 1 THEN l_linenumber::BIGINT ELSE 1 END AS y, CASE WHEN l_linenumber > 2 THEN l_suppkey * 1048576 ELSE 1 END AS z FROM lineitem"
+)
+def parse_dims(spark, sf_dir):
+    """Up to three numbers with suffixes, written from the table and read again."""
+    rows = table(spark, sf_dir, "lineitem")
+    parts = [F.concat(F.col("l_quantity").cast("long").cast("string"), F.lit("k")), F.when(F.col("l_linenumber") > 1, F.col("l_linenumber").cast("string")), F.when(F.col("l_linenumber") > 2, F.concat(F.col("l_suppkey").cast("string"), F.lit("M")))]
+    found = rows.select("l_orderkey", "l_linenumber", scalar.dim3(F.concat_ws(",", *parts)).alias("d"))
+    return found.select("l_orderkey", "l_linenumber", "d.*")
+
+
+@query(
+    "SELECT o_orderkey, n, q, k, n::HUGEINT * q <= 4294967296 AND k <= n AS feasible FROM (SELECT o_orderkey, o_orderkey * 1024 AS n, o_custkey * 16 AS q, (o_orderkey * o_custkey) % 4096 + 1 AS k FROM orders)"
+)
+def feasible_problems(spark, sf_dir):
+    """Which problems a benchmark measures."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") * 1024).alias("n"), (F.col("o_custkey") * 16).alias("q"), ((F.col("o_orderkey") * F.col("o_custkey")) % 4096 + 1).alias("k"))
+    return rows.withColumn("feasible", feasible_rows(F.col("n"), F.col("q"), F.col("k")))
+
+
+def _canberra(p, q):
+    share = lambda a, b: F.when(F.abs(a) + F.abs(b) > 0, F.abs(a - b) / (F.abs(a) + F.abs(b))).otherwise(0.0)
+    return M.fold(F.zip_with(p, q, share))
+
+
+CANBERRA_SQL = _fold("CASE WHEN abs(p.v[i]) + abs(q.v[i]) > 0 THEN abs(p.v[i] - q.v[i]) / (abs(p.v[i]) + abs(q.v[i])) ELSE 0.0 END")
+
+
+@query(knn_sql().replace(METRIC_SQL["l2"], CANBERRA_SQL))
+def knn_own_metric(spark, sf_dir):
+    """A metric that the user registers."""
+    M.register_metric("canberra", _canberra)
+    return _knn(spark, sf_dir, strategy="group_limit", metric="canberra")
+
+
+@query(
+    f"{pairs_sql()}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist DESC, point_id) AS rank FROM d) "
+    f"SELECT query_id, rank::INTEGER AS rank, point_id, dist FROM r WHERE rank <= {K}"
+)
+def knn_own_algorithm(spark, sf_dir):
+    """A plan that the user registers: the farthest points."""
+    farthest = lambda points, queries, k: top_k(distances(points, queries), ["query_id"], "dist", ["point_id"], k, largest=True)
+    algorithms.register_algorithm("farthest", farthest)
+    return algorithms.run("farthest", *vectors(spark, sf_dir), K)
+
+
+@query(
+    "SELECT a.algorithm, p.phase, i.range::INTEGER AS iteration, n.points AS point_count, n.queries AS query_count, 64::INTEGER AS dim, 10::INTEGER AS k, true AS measured "
+    "FROM (VALUES ('bits-sq'), ('fused-cache')) a(algorithm), (VALUES ('prepare'), ('transfer-in'), ('distances'), ('selection'), ('postprocessing'), ('finish'), ('transfer-out')) p(phase), range(2) i, "
+    "(SELECT count(*) AS points, count(*) FILTER (vec_id % 100 = 0) AS queries FROM embeddings) n"
+)
+def phase_log(spark, sf_dir):
+    """The log of two algorithms over the table's vectors; of times only that they were taken where a phase has work."""
+    log = None
+    for name in ("bits-sq", "fused-cache"):
+        one = bench(spark, name, *vectors(spark, sf_dir), K, repeats=2)
+        log = one if log is None else log.unionByName(one)
+    works = F.col("phase").isin("selection") | ((F.col("phase") == "distances") & (F.col("algorithm") == "bits-sq"))
+    return log.select("algorithm", "phase", "iteration", "point_count", "query_count", "dim", "k", F.when(works, F.col("time") > 0).otherwise(F.col("time") == 0).alias("measured"))
+
+
 TIES_SQL = "SELECT l_linestatus, l_orderkey, l_linenumber, CASE WHEN l_quantity < 50 THEN floor(l_quantity / 10) * 10 - 20 END AS amount FROM lineitem"
 
 

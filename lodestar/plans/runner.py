@@ -5,7 +5,8 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestar.model import BENCH, PHASES, positive
 from lodestar.operators.distance import distances
@@ -29,6 +30,12 @@ def feasible(points: int, queries: int, k: int) -> bool:
     return points * queries <= MOST_DISTANCES and k <= points
 
 
+def feasible_rows(points: Column, queries: Column, k: Column) -> Column:
+    """The same for columns, without overflow."""
+    pairs = points.cast("decimal(38,0)") * queries.cast("decimal(38,0)")
+    return (pairs <= F.lit(MOST_DISTANCES)) & (k <= points)
+
+
 def bench_grid(spark: SparkSession, names: list[str], problems: list[tuple[int, int, int, int]], generator: str = "uniform", repeats: int = 1, seed: int = 1) -> DataFrame:
     """The log of every algorithm on every feasible problem ``(points, queries, dim, k)``."""
     out = spark.createDataFrame([], BENCH)

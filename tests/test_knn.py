@@ -261,6 +261,60 @@ def test_grid():
     for name, k, block, items, message in [("bits", 8, None, None, "k value: 8"), ("bits", 16, 64, None, "block size: 64"), ("bits-sq", 16, 128, 17, "batch size: 17"), ("block-select", 16, 64, 11, "thread queue size: 11"), ("fused-tc-half", 512, None, None, "k value: 512"), ("rapidsai-fused", 65, None, None, "k value: 65")]:
         with pytest.raises(ValueError, match=f"Unsupported {message}"):
             grid.check(name, k, block, items)
+    more = [
+        ("fused-regs", 256, None, None, {}, "k value: 256"),
+        ("fused-regs-tunable", 256, 32, None, {}, "block size: 32"),
+        ("fused-regs-tunable", 256, 8, (16, 4, 1), {}, "query register count: 16"),
+        ("fused-regs-tunable", 256, 8, (8, 8, 1), {}, "point register count: 8"),
+        ("fused-cache", 512, None, None, {}, "k value: 512"),
+        ("fused-cache", 4, 8, None, {}, "query_block_size value: 8"),
+        ("fused-cache", 4, 4, (3, 4, 1), {}, "queries_reg value: 3"),
+        ("fused-cache", 4, 4, (16, 2, 1), {}, "db_reg value: 2"),
+        ("fused-cache", 4, 4, (16, 16, 8), {}, "dim_reg value: 8"),
+        ("fused-cache", 4, 4, (16, 16, 4), {"deg": 3}, "dim_mult value: 3"),
+        ("partial-bitonic-warp-static", 16, 32, None, {}, "block size: 32"),
+        ("partial-bitonic-soa", 16, 1024, None, {}, "block size: 1024"),
+        ("partial-bitonic-regs", 16, 96, None, {}, "block size: 96"),
+        ("partial-bitonic-buffered-static", 16, 64, None, {}, "block size: 64"),
+        ("partial-bitonic", 24, None, None, {}, "k value: 24"),
+        ("warp-select-tunable", 16, 128, 1, {}, "thread queue size: 1"),
+        ("fused-tc-double", 16, 64, None, {}, "block size: 64"),
+        ("tiled-dist", 1, 64, None, {}, "tile size: 64"),
+    ]
+    for name, k, block, items, rest, message in more:
+        with pytest.raises(ValueError, match=f"Unsupported {message}"):
+            grid.check(name, k, block, items, **rest)
+    grid.check("fused-cache", 256, 4, (16, 16, 4), 4, 16)
+    grid.check("partial-bitonic-buffered", 16, 7)
+    with pytest.raises(ValueError, match="must not be lower than 16, but is 15"):
+        grid.check("fused-cache", 256, 4, (16, 16, 4), 4, 15)
     assert grid.legal_at_least(17, (16, 32, 64)) == 32
     with pytest.raises(ValueError, match="Unsupported"):
         grid.legal_at_least(65, (16, 64))
+
+
+def test_groups_are_cut_by_size(spark, monkeypatch):
+    """One group with most rows and many small ones, a null group: the large one is dealt to parts, results are those of a window."""
+    from lodestar.operators import topk
+
+    rows = [("hot", float(i * 7919 % 10_007), i) for i in range(3000)] + [(f"g{i % 200}" if i % 200 else None, float(i), i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "g string, v double, id long").repartition(4)
+    sizes = topk.cut_by_size(df, ["g"], ["id"], 100).groupBy("g", "_ls_part").count().collect()
+    assert max(r["count"] for r in sizes) < 200 and sum(r.g == "hot" for r in sizes) == 30 and sum(r.g != "hot" for r in sizes) == 200
+    monkeypatch.setattr(topk, "PART_ROWS", 100)
+    found = top_k(df, ["g"], "v", ["id"], 3, strategy="two_level", deg=0)
+    assert sorted(map(str, found.collect())) == sorted(map(str, top_k(df, ["g"], "v", ["id"], 3).collect()))
+
+
+def test_heap_drops_rows_before_sorting():
+    """Batches whose rows the k-th of their group rules out cost no sort; ties at the k-th are kept."""
+    import pandas as pd
+
+    from lodestar.operators.topk import _running
+
+    frame = lambda rows: pd.DataFrame(rows, columns=["g", "_ls_place", "v", "id"])
+    first = frame([("a", 0, float(i), i) for i in range(5)] + [(None, 0, 1.0, 50), ("b", 2, None, 9)])
+    second = frame([("a", 0, 9.0, 10), ("a", 0, 1.0, -1), ("a", 0, 0.5, 11), (None, 0, 0.0, 51), ("b", 0, 3.0, 12), ("c", 0, 7.0, 13)])
+    (best,) = _running(["g"], ["_ls_place", "v", "id"], [True, True, True], 2)([first, second, second.iloc[:1]])
+    got = sorted((str(r.g), r.id) for r in best.itertuples())
+    assert got == sorted([("a", 0), ("a", 11), (str(None), 50), (str(None), 51), ("b", 12), ("b", 9), ("c", 13)])
