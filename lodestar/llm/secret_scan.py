@@ -49,9 +49,10 @@ ADDED = (
     Rule("slack", r"xox[abprs]-[0-9]{6,}-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("payment", r"[rs]k_live_[A-Za-z0-9]{16,}"),
-    # A header of bounded length: else a run of beginnings is looked through to its end from each of them.
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,500}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    # What follows the header may be missing, and such matches are dropped: so a run of beginnings that leads
+    # nowhere is passed over at once, however long, and not looked through from each of them.
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}(\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})?", 1, 1),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 )
 RULES = BASE + ADDED
 MOST_EXACT = 64

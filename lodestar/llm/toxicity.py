@@ -38,6 +38,8 @@ from lodestar.llm.common import durable, prepare
 
 #: Labelled rows that a fit takes, at most.
 FIT_ROWS = 20_000
+#: Bytes of text that a fit takes, at most (labelled rows in order of their keys' hash), and mined entries that become voters.
+FIT_BYTES, MOST_VOTERS = 256 * 1024 * 1024, 512
 #: Log likelihood ratio that makes an entry sure.
 SURE = 17.0
 #: Clean rows for each toxic row of an entry that is pure.
@@ -333,6 +335,21 @@ def _min_hashes(text: str | None) -> list[int]:
     return [int((values * np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) & 2**64 - 1) >> np.uint64(1)).min()) for i in range(MIN_HASHES)]
 
 
+def _within_bytes(sample: DataFrame) -> DataFrame:
+    """The first rows in order of their keys' hash that have ``FIT_BYTES`` of text together, one row at least."""
+    sizes = sample.select("key", F.xxhash64("key").alias("hash"), F.octet_length("text").alias("n")).orderBy("hash", "key").collect()  # FIT_ROWS at most
+    if sum(r.n for r in sizes) <= FIT_BYTES:
+        return sample
+    total, kept = 0, []
+    for r in sizes:
+        total += r.n
+        if kept and total > FIT_BYTES:
+            break
+        kept.append((r.key,))
+    kind = sample.schema["key"].dataType.simpleString()
+    return sample.join(F.broadcast(sample.sparkSession.createDataFrame(kept, f"key {kind}")), "key")
+
+
 def _apart(sample: DataFrame) -> DataFrame:
     """One row of each group of copies of a label: words of a text that was copied are not frequent words.
 
@@ -426,10 +443,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     named = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "key")
     one = named.groupBy("key", "label").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("one"))
     sample = durable(one.select("key", F.col("one.text").alias("text"), "label"), "fit")
-    sample = _apart(sample)
+    sample = _apart(_within_bytes(sample))
     counted, positive, negative = _mine(sample)
     rows = [tuple(r) for r in counted.where(surely(positive, negative)).collect()] if positive and negative else []
     mined, pure = choose_entries(rows) if rows else ([], 0)
+    mined, pure = mined[:MOST_VOTERS], min(pure, MOST_VOTERS)
     first = list(dict.fromkeys([*mined[:pure], *SEED_WORDS]))
     lexicon = Lexicon([*first, *[e for e in mined[pure:] if e not in first]], len(first))
     n_entries = len(lexicon.entries)

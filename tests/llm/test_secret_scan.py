@@ -120,3 +120,16 @@ def test_redact(spark):
     df = spark.createDataFrame([(1, "a password=hunter22 b"), (2, None), (3, "token=" + "a1" * 20), (4, "clean")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in S.redact(df).collect()}
     assert got == {1: "a [REDACTED] b", 2: None, 3: "[REDACTED]", 4: "clean"}
+
+
+def test_no_length_is_too_long(spark):
+    """Long headers, long names before a key's, and long runs of beginnings that lead nowhere."""
+    rows = [
+        (1, "x eyJ" + "a" * 5000 + ".eyJ" + "b" * 20 + "." + "c" * 20 + " y"),
+        (2, "-----BEGIN " + "VERY LONG " * 40 + "PRIVATE KEY-----"),
+        (3, "eyJ" * 400_000),
+        (4, "eyJ" * 50_000 + ".eyJ" + "b" * 12 + "." + "c" * 12),
+        (5, "eyJ" + "a" * 20 + " eyJ" + "d" * 20 + ".eyJ" + "b" * 20 + "." + "c" * 20),
+    ]
+    got = {r.doc_id: [(x.kind, x.start, x.end) for x in r.secrets if x.kind in ("jwt", "private_key")] for r in S.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [("jwt", 2, len(rows[0][1]) - 2)], 2: [("private_key", 0, len(rows[1][1]))], 3: [], 4: [("jwt", 0, len(rows[3][1]))], 5: [("jwt", 24, len(rows[4][1]))]}

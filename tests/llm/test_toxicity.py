@@ -116,3 +116,13 @@ def test_keep_clean_keeps_columns(spark):
 @pytest.mark.parametrize("text", [None, "", "Ünï çode wörds", "IDIOT!!"])
 def test_words(text):
     assert T.words_of(text) == [w for w in (text or "").lower().replace("!", "").split()]
+
+
+def test_bytes_of_a_fit_are_bounded(spark, monkeypatch):
+    rows = [(i, "word " * 100, i % 2) for i in range(40)]
+    sample = spark.createDataFrame(rows, "key long, text string, label int")
+    assert T._within_bytes(sample).count() == 40
+    monkeypatch.setattr(T, "FIT_BYTES", 5200)
+    assert T._within_bytes(sample).count() == 10
+    monkeypatch.setattr(T, "FIT_BYTES", 1)
+    assert T._within_bytes(sample).count() == 1
