@@ -17,10 +17,15 @@ HEADLINE = (
     "knn_l2",
     "knn_l2_two_level",
     "knn_l2_heap",
+    "knn_l2_radius",
+    "knn_l2_radix",
+    "knn_pivot",
+    "knn_certified_half",
     "knn_l2_partial_arrow",
     "dist_l2",
     "topk_per_group",
     "topk_per_group_two_level",
+    "topk_radix",
     "topk_global",
     "sort_asc",
     "bench_optima",

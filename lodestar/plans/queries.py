@@ -23,6 +23,7 @@ from lodestar.operators.verify import mismatches
 from lodestar.plans import algorithms, analytics
 from lodestar.plans.runner import bench, feasible_rows
 from lodestar.sources.benchlog import measured, read_log, write_log
+from lodestar.sources.logsource import register
 from lodestar.sources.vectors import PREPROCESSORS, as_points, as_queries, from_columnar, normal_vector, sort_with_position, stub_between, to_columnar, uniform_vector
 from lodestar.storage import new_path
 
@@ -719,7 +720,7 @@ CSV_SQL = """SELECT l_linestatus AS algorithm, 'uniform' AS generator, 'identity
 1::INTEGER AS dim, 128::INTEGER AS block_size, 32::BIGINT AS k, l_linenumber AS a, l_orderkey % 4 AS b, 1::INTEGER AS deg, 'selection' AS phase, l_quantity / 64.0::DOUBLE AS time FROM lineitem"""
 
 
-def scanned_log(spark, sf_dir) -> DataFrame:
+def scanned_log(spark, sf_dir, source: bool = False) -> DataFrame:
     """A log written as CSV under a name that tells host and job, and scanned again."""
     rows = table(spark, sf_dir, "lineitem")
     log = rows.select(
@@ -728,6 +729,10 @@ def scanned_log(spark, sf_dir) -> DataFrame:
         F.concat_ws(",", F.col("l_linenumber").cast("string"), (F.col("l_orderkey") % 4).cast("string")).alias("items_per_thread"), F.lit(1).alias("deg"), F.lit("selection").alias("phase"), (F.col("l_quantity") / 64.0).alias("time"),
     )
     path = f"{new_path(spark, 'log')}/bench-ampere02-108416.csv"
+    if source:
+        register(spark)
+        log.withColumns({"k": F.col("k").cast("int"), "point_count": F.col("point_count").cast("long")}).write.format("benchlog").mode("append").save(path)
+        return spark.read.format("benchlog").option("hostname", "ampere02").load(path)
     write_log(log, path)
     return read_log(spark, path)
 
@@ -742,6 +747,17 @@ def csv_scan(spark, sf_dir):
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.sum("time"), 6).alias("time"))
 
 
+@query(
+    f"WITH t AS ({CSV_SQL}) SELECT algorithm, iteration, 'ampere02' AS hostname, 108416::BIGINT AS jobid, concat(a, ',', b) AS items, count(*) AS n, round(sum(time), 6) AS time "
+    "FROM t WHERE phase = 'selection' GROUP BY ALL"
+)
+def csv_source(spark, sf_dir):
+    """The log written and read by the data source of its own."""
+    rows = scanned_log(spark, sf_dir, source=True)
+    keys = ["algorithm", "iteration", "hostname", "jobid", F.col("items_per_thread").alias("items")]
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.sum("time"), 6).alias("time"))
+
+
 HOLES_SQL = f"holes AS (SELECT * REPLACE (CASE WHEN block_size = 384 THEN NULL ELSE block_size END AS block_size, CASE WHEN point_count = 2048 AND items_per_thread = 1 THEN NULL ELSE k END AS k) FROM ({LOG_SQL}))"
 
 

@@ -104,3 +104,57 @@ def test_command_line(spark, capsys):
     assert out.out.splitlines()[0] == ",".join(f.name for f in BENCH) and "mismatches 0" in out.err
     with pytest.raises(ValueError):
         cli.main(["-k", "0"])
+
+
+def _log(spark, n=50):
+    rows = [("bits", "uniform", "identity", i, 1024, 64, 8, 256, 10, f"{i % 3},1" if i % 4 else None, 1, "selection", i / 7) for i in range(n)]
+    return spark.createDataFrame(rows, BENCH)
+
+
+def test_log_source(spark, tmp_path):
+    from lodestar.sources import logsource as L
+
+    L.register(spark)
+    for host, job in (("hopper01", 7), ("volta05", 8)):
+        _log(spark).repartition(3).write.format("benchlog").mode("append").save(f"file://{tmp_path}/sub/x-{host}-{job}.csv")
+    (tmp_path / "sub" / "_hidden.csv").write_text("nothing")
+    (tmp_path / "empty-hopper01-9.csv").write_text("")
+    back = spark.read.format("benchlog").load(str(tmp_path))
+    assert back.rdd.getNumPartitions() == 6 and back.columns == [f.name for f in BENCH] + ["hostname", "jobid", "file"]
+    assert sorted(map(str, back.where("jobid = 8").select(*[f.name for f in BENCH]).collect())) == sorted(map(str, _log(spark).collect()))
+    assert {(r.hostname, r.jobid) for r in back.collect()} == {("hopper01", 7), ("volta05", 8)}
+    _log(spark, 3).coalesce(1).write.format("benchlog").mode("overwrite").save(f"{tmp_path}/sub/x-volta05-8.csv")
+    back = spark.read.format("benchlog").load(str(tmp_path))  # files are listed once a DataFrame
+    assert back.where("hostname = 'volta05'").count() == 3 and back.count() == 53
+    assert spark.read.format("benchlog").option("hostname", "hopper01").load(str(tmp_path)).count() == 50
+
+
+def test_log_source_prunes_files_by_host(tmp_path):
+    from lodestar.sources import logsource as L
+
+    for name in ("a-hopper01-1.csv", "a-volta05-2.csv", "plain.csv"):
+        (tmp_path / name).write_text("algorithm\nbits\n")
+    assert len(L.LogReader(str(tmp_path)).partitions()) == 3
+    reader = L.LogReader(str(tmp_path), "volta05")
+    (one,) = reader.partitions()
+    (batch,) = reader.read(one)
+    assert batch.to_pylist()[0]["algorithm"] == "bits" and batch.to_pylist()[0]["time"] is None and batch.to_pylist()[0]["jobid"] == 2
+    with pytest.raises(FileNotFoundError):
+        L.LogReader(str(tmp_path / "no")).partitions()
+
+
+def test_an_aborted_log_leaves_nothing(spark, tmp_path):
+    from lodestar.sources import logsource as L
+
+    L.register(spark)
+    fails = _log(spark).repartition(4).withColumn("time", F.when(F.col("iteration") == 13, F.raise_error(F.lit("lost")).cast("double")).otherwise(F.col("time")))
+    with pytest.raises(Exception, match="lost"):
+        fails.write.format("benchlog").mode("append").save(str(tmp_path / "x-hopper01-1.csv"))
+    assert not [p for p in tmp_path.rglob("*") if p.is_file()]
+    writer = L.LogWriter(str(tmp_path / "y"), [f.name for f in BENCH], False)
+    done = writer.write(iter([r.asDict() for r in _log(spark, 2).collect()]))
+    assert (tmp_path / "y").is_dir() and not list((tmp_path / "y").glob("part*"))
+    writer.abort([done, None])
+    assert not list((tmp_path / "y").iterdir())
+    with pytest.raises(ValueError):
+        L.LogWriter(str(tmp_path), ["time"], False)
