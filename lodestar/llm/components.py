@@ -12,19 +12,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import durable, meet
+from lodestar.llm.common import FEW, durable, meet
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _told(rows: DataFrame, least: DataFrame, few: bool) -> DataFrame:
+    """Edges with their node's smallest neighbour."""
+    return rows.join(F.broadcast(least), "u") if few else meet(rows, durable(least, "least"), "u")
+
+
+def _large_star(edges: DataFrame, few: bool) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = durable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-    return meet(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return _told(both, least, few).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, few: bool) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = durable(down.groupBy("u").agg(F.min("v").alias("m")), "least")
-    moved = meet(down, least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    moved = _told(down, least, few).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
 
 
@@ -41,4 +46,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if tuple(mark) == seen or not mark[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = tuple(mark)
-        now = durable(_small_star(durable(_large_star(now), "stars")), "edges")
+        few = 2 * mark[0] <= FEW  # as many nodes at most
+        stars = _large_star(now, few)
+        now = durable(_small_star(stars if few else durable(stars, "stars"), few), "edges")
